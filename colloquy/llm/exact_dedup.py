@@ -15,7 +15,6 @@ kept, extra columns are ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,8 +101,7 @@ def probe_filter(data: bytes, keys: np.ndarray) -> np.ndarray:
 
 def digests(docs: DataFrame) -> DataFrame:
     """One small row per row of ``docs``; what follows shuffles these, not texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.length(text).alias("n"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    return docs.select("doc_id", F.length(F.coalesce(F.col("text"), F.lit(""))).alias("n"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -178,6 +176,6 @@ def keep_first(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     kept = deduplicate(docs, in_snapshot).where("kept").select(F.col("doc_id").alias("_d"), F.unhex("text_sha256").alias("_g"))
     keyed = docs.withColumn("_h", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    # Repeated rows (same doc_id, same normalised text) leave one row each: the longest original.
+    # Of rows repeated with the same doc_id and normalised text one stays.
     joined = keyed.join(kept, F.col("_h").eqNullSafe(F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     return joined.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
