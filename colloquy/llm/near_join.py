@@ -138,7 +138,8 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     task = F.when(F.col("blocks") == 1, F.pmod("root", F.lit(shares))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
     wanted = pairs.select("key", "root", "lead", task.alias("task"), (F.col("own") > F.col("other")).alias("second"))
 
-    texts_of = docs.select(F.col("doc_id").alias("d"), "text").join(dealt.select("key", "lead"), F.col("d").eqNullSafe(F.col("lead"))).select("key", "text")
+    # Candidates grow with the corpus, so they are shuffled at every size and never broadcast.
+    texts_of = docs.select(F.col("doc_id").alias("d"), "text").join(dealt.select("key", "lead").hint("merge"), F.col("d").eqNullSafe(F.col("lead"))).select("key", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
