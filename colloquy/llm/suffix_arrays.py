@@ -14,8 +14,8 @@ from colloquy.llm.textscan import RangeHash, mix
 
 def _smaller(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the one after them; the last sign must be the least and unique."""
-    step = np.sign(np.diff(text.astype(np.int64)))
-    at = np.where(step != 0, np.arange(len(step)), len(step))
+    step = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
+    at = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
     at = np.minimum.accumulate(at[::-1])[::-1]
     out = np.ones(len(text), bool)
     out[:-1] = np.append(step, 1)[at] > 0
@@ -27,23 +27,24 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sorted_lms: np.ndarray) -> np
     n = len(text)
     size = np.bincount(text)
     end = np.cumsum(size)
-    head, tail = (end - size).tolist(), end.copy()
-    array = np.full(n, -1, np.int64)
+    head = (end - size).tolist()
+    array = np.full(n, -1, np.int32)
 
-    def place(preds: np.ndarray, at: np.ndarray, way: int) -> np.ndarray:
+    def place(preds: np.ndarray, at: list[int], way: int) -> None:
         """Append suffixes to the fronts (way 1) or backs (way -1) of their buckets, in the order given."""
-        signs = text[preds]
-        order = np.argsort(signs, kind="stable")
-        values, first, count = np.unique(signs[order], return_index=True, return_counts=True)
-        for v, a, k in zip(values.tolist(), first.tolist(), count.tolist(), strict=True):
-            got = preds[order[a : a + k]]
+        if not len(preds):
+            return
+        values = text[preds]
+        order = np.argsort(values, kind="stable")
+        preds, values = preds[order], values[order]
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(preds)]
+        for v, a, b in zip(values[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
             if way > 0:
-                array[at[v] : at[v] + k] = got
-                at[v] += k
+                array[at[v] : at[v] + b - a] = preds[a:b]
+                at[v] += b - a
             else:
-                array[at[v] - k : at[v]] = got[::-1]
-                at[v] -= k
-        return values
+                array[at[v] - b + a : at[v]] = preds[a:b][::-1]
+                at[v] -= b - a
 
     lms_tail = end.tolist()
     place(sorted_lms[::-1], lms_tail, -1)
@@ -62,7 +63,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sorted_lms: np.ndarray) -> np
         preds = here[here > 0] - 1
         place(preds[~smaller[preds]], head, 1)
     # Smaller suffixes, from the back; they overwrite the seeds.
-    back = tail.tolist()
+    back = end.tolist()
     for c in reversed(signs):
         done = ends[c]
         while done > back[c]:
@@ -109,6 +110,8 @@ def suffix_array(text: np.ndarray, smallest_alphabet: int = 4096) -> np.ndarray:
     n = len(text)
     if n <= 2:
         return np.arange(n)[::-1].copy()
+    if text.max() < 2**15:
+        text = text.astype(np.int16)  # which numpy sorts by radix
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(lms) < 2:

@@ -37,16 +37,7 @@ from colloquy.llm.textscan import RangeHash, mix, pieces
 LENGTH = 200
 GRAM = 32
 MOST_CONTEXTS = 2_000
-SHARD_BYTES = 4_000_000
-
-
-def _row_keys(hashing: RangeHash, off: np.ndarray, doc_id: pa.Array) -> np.ndarray:
-    missing = doc_id.is_null().to_numpy(zero_copy_only=False)
-    if pa.types.is_integer(doc_id.type):
-        ids = doc_id.fill_null(0).cast(pa.int64()).to_numpy().view(np.uint64)
-    else:
-        ids = np.array([int.from_bytes(hashlib.blake2b(repr(i).encode(), digest_size=8).digest()) for i in doc_id.to_pylist()], np.uint64)
-    return mix(hashing(off[:-1], off[1:]) ^ np.where(missing, np.uint64(1), mix(ids))).view(np.int64)
+SHARD_BYTES = 1_000_000
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -83,28 +74,20 @@ def serve(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np
     return np.searchsorted(off, start, "right") - 1, grams[anchor].view(np.int64), context.view(np.int64), start, more
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+
+
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(row_key, anchor, context, start, more): one row for each anchor that serves windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
             row, anchor, context, start, more = serve(data, off, length, gram)
-            keys = _row_keys(RangeHash.of_bytes(data), off, part.column(0))
-            columns = [keys[row], anchor, context, start - off[row], more]
+            columns = [part.column(0).to_numpy()[row], anchor, context, start - off[row], more]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])], ["row_key", "anchor", "context", "start", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "row_key long, anchor long, context long, start int, more int")
-
-
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in pieces(batches):
-            keys = _row_keys(RangeHash.of_bytes(data), off, part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), part.column(1)], ["row_key", "doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"row_key long, doc_id {kind}, text string")
+    return keyed(docs).select("row_key", "text").mapInArrow(run, "row_key long, anchor long, context long, start int, more int")
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -129,7 +112,7 @@ def repeated_in_shard(contexts: list[bytes], length: int) -> list[np.ndarray]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(row_key, begin, end): bytes of a text that repeats cover; spans may overlap."""
-    found = anchors(docs, length, gram)
+    found = spool(anchors(docs, length, gram), "found")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     served = spool(found.join(shared, "anchor"), "anchors")
     groups = served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start", "more")).alias("lead"))
@@ -142,14 +125,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     total = mixed.where(F.col("contexts") <= most_contexts).agg(F.coalesce(F.sum(F.col("more") + length), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_bytes))
     asked = mixed.select("row_key", F.struct("anchor", F.col("n").alias("copies"), "contexts", "start", "more").alias("ask")).groupBy("row_key").agg(F.collect_list("ask").alias("asks"))
-    texts = keyed_texts(docs).select("row_key", "text").join(asked, "row_key").dropDuplicates(["row_key"])
+    texts = keyed(docs).select("row_key", "text").join(asked.hint("merge"), "row_key").dropDuplicates(["row_key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row_key", "anchor", "copies", "start", "more", "many", "bytes"]
         for batch in batches:
             out: list[tuple] = []
             for key, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+                raw = (text or "").encode()
                 for a in asks:
                     out.append((key, a["anchor"], a["copies"], a["start"], a["more"], a["contexts"] > most_contexts, raw[a["start"] : a["start"] + a["more"] + length]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
@@ -190,7 +173,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     kind = dict(docs.dtypes)["doc_id"]
     spans = repeated_spans(docs, length, gram, most_contexts, shard_bytes)
     lists = spool(spans.groupBy("row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
-    joined = keyed_texts(docs).join(lists, "row_key", "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(lists.hint("merge"), "row_key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
