@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+from itertools import filterfalse
 
 import numpy as np
 
@@ -21,9 +22,10 @@ JOINED = 512
 # The vocabularies' own rules for pre-tokens, over the characters below.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-¬®-±´¶-¸»¿{_LETTER}×÷‐-‧€]|İ")
-_BYTE_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_BYTE_SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _PLAIN = re.compile(rf" [{_LETTER}]+")
-_WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\r0-9{_LETTER}]+")
+_WORD_SPLIT = re.compile(rf"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r0-9{_LETTER}]+")
 
 
 class Encoder:
@@ -57,12 +59,12 @@ class Encoder:
             self.known.clear()
         known, parts, new, whole = self.known, [], set(), []
         for i, text in enumerate(texts):
-            if _OTHER.search(text):
+            if not text.isascii() and _OTHER.search(text) or not text.isprintable() and _CONTROL.search(text):
                 parts.append(None)
                 whole.append(i)
                 continue
             found = self.split(text.lower() if self.lower else text)
-            new.update(set(found).difference(known))
+            new.update(filterfalse(known.__contains__, found))
             parts.append(found)
         if new:
             self._learn(list(new))
