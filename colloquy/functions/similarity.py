@@ -36,12 +36,23 @@ def partial_score(a: str, b: str) -> float:
     if part in body:
         return 100.0
     size, best = len(part), 0.0
-    signs = set(part)
-    for start in range(1 - size, len(body)):
-        window = body[max(0, start) : start + size]
-        # The best stretch begins and ends with a character of the part.
-        if (start < 0 or window[0] in signs) and (start + size > len(body) or window[-1] in signs):
-            best = max(best, indel_ratio(part, window))
+    # Characters of a stretch that the part has too, counted as often as in the part, bound what they can have in common.
+    spare: dict[str, int] = {}
+    for c in part:
+        spare[c] = spare.get(c, 0) + 1
+    shared = 0
+    for end in range(1, len(body) + size):
+        if end <= len(body):
+            c = body[end - 1]
+            spare[c] = spare.get(c, 0) - 1
+            shared += spare[c] >= 0
+        if end > size:
+            c = body[end - size - 1]
+            shared -= spare[c] >= 0
+            spare[c] += 1
+        start, stop = max(0, end - size), min(end, len(body))
+        if 200.0 * shared / (size + stop - start) > best:
+            best = max(best, indel_ratio(part, body[start:stop]))
     return best
 
 

@@ -38,10 +38,10 @@ def thirds(df: DataFrame, community: str, order: list[Column], into: str = "tert
 def thirds_at_scale(df: DataFrame, community: str, value: str, key: str, into: str = "tertile", buckets: int = 3, ranges: int = 64) -> DataFrame:
     """``ntile`` by falling ``value``, then ``key``, without a task that holds a whole community.
 
-    Values are dealt into ranges by approximate quantiles. Rows are numbered
-    inside each range, and the sizes of the ranges ahead complete the number.
-    A single value held by very many rows is split further by a hash of ``key``
-    only where ``key`` orders it, so the numbers are exact.
+    Values are dealt into ranges by approximate quantiles, the values on a cut
+    further by quantiles of ``key``. Rows are numbered inside each range, and
+    the sizes of the ranges ahead complete the number. The bounds only steer the
+    dealing, so approximate ones leave the numbers exact.
     """
     steps = [i / ranges for i in range(1, ranges)]
     cuts = df.groupBy(community).agg(F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, steps)), 10_000).alias("_cuts"), F.count("*").alias("_n"))
@@ -50,10 +50,10 @@ def thirds_at_scale(df: DataFrame, community: str, value: str, key: str, into: s
     above = F.size(F.filter("_cuts", lambda c: c > F.col(value).cast("double")))
     below = F.size(F.filter("_key_cuts", lambda c: c < F.col(key).cast("double")))
     on_cut = F.exists("_cuts", lambda c: c == F.col(value).cast("double"))
-    # Rows on a cut may be very many: they follow the rows of greater value in ranges of their own, by key.
+    # Rows on a cut may be very many: they follow the rows above it in ranges of their own, by key.
     rows = rows.withColumn("_range", F.struct(above.alias("a"), F.when(on_cut, 1).otherwise(0).alias("b"), F.when(on_cut, below).otherwise(0).alias("c")))
     sizes = rows.groupBy(community, "_range").agg(F.count("*").alias("_k"))
-    ahead = W.partitionBy(community).orderBy(F.col("_range.a"), F.desc("_range.b"), F.col("_range.c")).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(community).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(community, "_range", F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_ahead"))
     inside = F.row_number().over(W.partitionBy(community, "_range").orderBy(F.desc(value), key))
     placed = rows.withColumn("_inside", inside).join(offsets, [community, "_range"])

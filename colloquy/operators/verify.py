@@ -26,7 +26,7 @@ def score_parts(pairs: DataFrame, part: str = "part", body: str = "body_norm", t
 
     A score at the threshold leaves at most (1 - t) * 2m edits of a part of m
     characters, and one edit destroys at most three 3-grams, so the early
-    rejection loses nothing. Only what is left reaches the Arrow function.
+    rejection loses nothing. Only the texts that are left reach the Arrow function.
     """
     p, b = F.col(part), F.col(body)
     m, n = F.length(p), F.length(b)
@@ -36,9 +36,9 @@ def score_parts(pairs: DataFrame, part: str = "part", body: str = "body_norm", t
     # Repeated 3-grams count once, so the bound is lowered by the repeats.
     hopeless = (m <= n) & (shared < least - (m - 2 - distinct))
     state = F.when(F.contains(b, p), 100.0).when((n == 0) | hopeless, 0.0)
-    marked = pairs.withColumn("score", state)
-    sure, rest = marked.where("score is not null"), marked.where("score is null")
-    return sure.unionByName(rest.withColumn("score", quote_score(part, body)))
+    marked = pairs.withColumn("_sure", state)
+    asked = (F.when(F.col("_sure").isNull(), c).otherwise("") for c in (p, b))
+    return marked.withColumn("score", F.coalesce("_sure", quote_score(*asked))).drop("_sure")
 
 
 def verify_quotes(rows: DataFrame, key: str, quote: str, body: str, threshold: float = THRESHOLD) -> DataFrame:
