@@ -99,9 +99,11 @@ def probe_filter(data: bytes, keys: np.ndarray) -> np.ndarray:
 # -- snapshot and batch --------------------------------------------------------------------------
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """One small row per row of ``docs``; what follows shuffles these, not texts."""
-    return docs.select("doc_id", F.length(F.coalesce(F.col("text"), F.lit(""))).alias("n"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
+    length = F.length(F.coalesce(F.col("text"), F.lit("")))
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    return docs.select("doc_id", length.alias("n"), digest.alias("digest"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def deduplicate(docs: DataFrame, in_snapshot: Column, keys_per_shard: int = KEYS
 
     Returns one row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
     """
-    rows = spool(digests(docs).withColumns({"rid": F.monotonically_increasing_id(), "old": F.coalesce(in_snapshot, F.lit(False))}), "digests")
+    rows = spool(digests(docs, in_snapshot).withColumn("rid", F.monotonically_increasing_id()), "digests")
     old, new = buckets(rows.where("old")), buckets(rows.where("not old"))
     shards = max(1, math.ceil(rows.count() / keys_per_shard))
     screened = screen(new, fuse_filters(old, shards), shards).where("maybe")
@@ -174,8 +176,8 @@ def deduplicate(docs: DataFrame, in_snapshot: Column, keys_per_shard: int = KEYS
 
 def keep_first(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    kept = deduplicate(docs, in_snapshot).where("kept").select(F.col("doc_id").alias("_d"), F.unhex("text_sha256").alias("_g"))
-    keyed = docs.withColumn("_h", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    kept = deduplicate(docs, in_snapshot).where("kept").select(F.col("doc_id").alias("d"), F.unhex("text_sha256").alias("g"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("h"))
+    joined = keyed.join(kept, F.col("h").eqNullSafe(F.col("g")) & F.col("id").eqNullSafe(F.col("d")), "left_semi")
     # Of rows repeated with the same doc_id and normalised text one stays.
-    joined = keyed.join(kept, F.col("_h").eqNullSafe(F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    return joined.dropDuplicates(["id", "h"]).select("row.*")

@@ -91,7 +91,10 @@ def mix_sources(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_R
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of the mix with the columns of ``docs``: each as often as its taken words need it, whole."""
-    taken = mix_sources(docs, seed).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    per_row = taken.groupBy("_d", "_s").agg(F.sum("_times").alias("_sum"), F.count("*").alias("_rows"))
-    out = docs.withColumn("_size", word_count(F.col("text"))).join(per_row, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_s")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.ceil(F.col("_sum") / F.col("_rows")).cast("int"))).alias("_n")).drop("_n")
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    taken = mix_sources(docs, seed).where("taken > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("s"), times.alias("times"))
+    # Rows that repeat a doc_id share what they take together.
+    per_row = taken.groupBy("d", "s").agg(F.ceil(F.sum("times") / F.count("*")).cast("int").alias("times"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("words"))
+    out = keyed.join(per_row, F.col("id").eqNullSafe(F.col("d")) & (F.col("words") == F.col("s")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -173,6 +173,6 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their class, with their own columns; of equal rows one stays."""
-    leads = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    led = docs.withColumn("_same", F.xxhash64("text")).join(leads, F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi")
-    return led.dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
+    leads = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("lead")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
+    return keyed.join(leads, F.col("id").eqNullSafe(F.col("lead")), "left_semi").dropDuplicates(["id", "same"]).select("row.*")

@@ -26,6 +26,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.llm.storage import spool
 from colloquy.llm.textscan import RangeHash, pieces, shingles, words
@@ -194,9 +195,9 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: tuple[str, .
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "features"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, features array<double>")
+    columns = docs.select(*keep, "text")
+    schema = T.StructType([*columns.schema.fields[: len(keep)], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return columns.mapInArrow(run, schema)
 
 
 # -- fitting -------------------------------------------------------------------------------------
@@ -249,14 +250,14 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = spool(labelled_sample(docs, labels, sample_rows), "labelled")
-    lexicon = learn_lexicon(sample.where("part < 5"))
+    lexicon = learn_lexicon(sample.where("part < 4"))
     rows = spool(with_features(sample, lexicon, ("toxic", "part")), "features")
     rows = rows.select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("vector")).coalesce(4)
-    fit, rest = rows.where("part between 5 and 7"), rows.where("part >= 8")
+    fit, rest = rows.where("part between 4 and 7"), rows.where("part >= 8")
     counts = {r.label: r["count"] for r in fit.groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 2:
         return Model(lexicon, None, ())
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, minInstancesPerNode=2).fit(fit)
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, minInstancesPerNode=10).fit(fit)
     graded = trees.transform(rest).select("label", vector_to_array("probability")[1].alias("p"))
     if graded.agg(F.count_distinct("label")).first()[0] < 2:
         return Model(lexicon, trees, ())
@@ -275,28 +276,24 @@ def _calibrated(p: Column, levels: tuple[tuple[float, float], ...]) -> Column:
     return 0.98 * value + 0.02 * p
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
-    rows = with_features(docs, model.lexicon)
+def _scored(rows: DataFrame, key: str, model: Model) -> DataFrame:
+    """(key, score) of rows with features."""
     if model.trees is None:
         hits = F.col("features")[FEATURES.index("hits")]
-        rows = rows.withColumn("score", hits / (hits + 1))
+        value = hits / (hits + 1)
     else:
         rows = model.trees.transform(rows.withColumn("vector", array_to_vector("features")))
-        rows = rows.withColumn("score", _calibrated(vector_to_array("probability")[1], model.levels))
-    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return rows.select("doc_id", held_out().alias("held_out"), kept.alias("score")).withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+        value = _calibrated(vector_to_array("probability")[1], model.levels)
+    return rows.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("score"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    rows = _scored(with_features(docs, model.lexicon), "doc_id", model)
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their own columns."""
-    names = tuple(c for c in docs.columns if c != "text")
-    held = docs.withColumn("_text", F.col("text"))
-    rows = with_features(held, model.lexicon, (*names, "_text"))
-    if model.trees is None:
-        hits = F.col("features")[FEATURES.index("hits")]
-        rows = rows.withColumn("_score", hits / (hits + 1))
-    else:
-        rows = model.trees.transform(rows.withColumn("vector", array_to_vector("features")))
-        rows = rows.withColumn("_score", _calibrated(vector_to_array("probability")[1], model.levels))
-    return rows.where(F.col("_score") < TOXIC_FROM).withColumnRenamed("_text", "text").select(*docs.columns)
+    rows = with_features(docs.select(F.struct("*").alias("row"), "text"), model.lexicon, ("row",))
+    return _scored(rows, "row", model).where(F.col("score") < TOXIC_FROM).select("row.*")
