@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -56,13 +57,13 @@ def partial_score(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def label_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Score of two labels whatever the order of their words."""
     tidy = [" ".join(sorted(x.split())) for x in a], [" ".join(sorted(x.split())) for x in b]
     return pd.Series([indel_ratio(x, y) for x, y in zip(*tidy, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def quote_score(part: pd.Series, body: pd.Series) -> pd.Series:
     return pd.Series([partial_score(x, y) for x, y in zip(part, body, strict=True)], dtype="float64")

@@ -1,12 +1,10 @@
-"""Schemas of the stored tables and of the structures inside them."""
+"""Schemas of the stored tables and of the structures inside them, as DDL texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-
-def _struct(**kinds: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+def _struct(**kinds: str) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
 DEDUCTIVE_CODE = "struct<code:string,evidence_quote:string,confidence:string>"
