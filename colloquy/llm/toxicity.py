@@ -1,9 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Fitting uses a sample of labelled rows of at most ``sample_rows``; rows whose
-crc32(doc_id as text) mod 4 is 2 are never among them. One part of the sample
-gives the lexicon (words, and stems of 4 to 6 letters, that mark label 1 far
-beyond chance), another the trees, a third the calibration. Only the text
+crc32(doc_id as text) mod 4 is 2 are never among them. The sample gives the
+lexicon (words, and stems of 4 to 6 letters, that mark label 1 far beyond
+chance), most of it the trees, and the rest the calibration. Only the text
 enters a score: densities of lexicon words, plain and disguised, how close they
 stand to a second-person word, capitals, punctuation and disguise rates.
 
@@ -185,19 +185,17 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.nda
     )
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``features``, an array of ``FEATURES``."""
+def features_of(text: Column, lexicon: dict[str, float]) -> Column:
+    """An array of ``FEATURES``; only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(column: pa.Array) -> pa.Array:
         terms, second = Lexicon(lexicon), np.sort(_codes(SECOND_PERSON))
-        for part, data, off in pieces(batches):
-            x = features(data, off, terms, second)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists], [*keep, "features"])
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        parts = [features(data, off, terms, second) for _, data, off in pieces([batch])]
+        x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
 
-    columns = docs.select(*keep, "text")
-    schema = T.StructType([*columns.schema.fields[: len(keep)], T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return columns.mapInArrow(run, schema)
+    return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(text)
 
 
 # -- fitting -------------------------------------------------------------------------------------
@@ -213,8 +211,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms of documents with label 1, by how far their share of label 1 exceeds chance."""
+def sample_terms(sample: DataFrame) -> DataFrame:
+    """(toxic, part, terms) of the sample; of texts with the same least shingle hash one stays, since near copies would make their rare words look telling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
@@ -225,13 +223,18 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
             if some.any():
                 sketch[some] = np.minimum.reduceat(hashes, at[:-1][some])
             terms = []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 found = set(re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
                 terms.append([*found, *{w[:k] + "*" for w in found for k in STEMS if len(w) >= k}])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sketch.view(np.int64)), pa.array(terms, pa.list_(pa.string()))], ["toxic", "sketch", "terms"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sketch.view(np.int64)), pa.array(terms, pa.list_(pa.string()))], ["toxic", "part", "sketch", "terms"])
 
-    rows = sample.select("toxic", "text").mapInArrow(run, f"toxic {dict(sample.dtypes)['toxic']}, sketch long, terms array<string>")
-    rows = spool(rows.dropDuplicates(["sketch"]), "terms")  # near copies would make their rare words look telling
+    kinds = dict(sample.dtypes)
+    rows = sample.select("toxic", "part", "text").mapInArrow(run, f"toxic {kinds['toxic']}, part {kinds['part']}, sketch long, terms array<string>")
+    return rows.dropDuplicates(["sketch"])
+
+
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Terms of documents with label 1, by how far their share of label 1 exceeds chance."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     lexicon = dict.fromkeys(INSULTS, 3.0)
     if not 0 < total.p < total.n:
@@ -240,7 +243,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where("p >= 3")
     share = F.col("p") / F.col("n")
     no = F.when(F.col("n") > F.col("p"), (F.col("n") - F.col("p")) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    scored = counts.where(share > 5 * rate if rate < 0.15 else share > 0.75).withColumn("evidence", F.col("p") * F.log(share / rate) + no)
+    scored = counts.where(share > min(5 * rate, (1 + rate) / 2)).withColumn("evidence", F.col("p") * F.log(share / rate) + no)
     # At most MOST_TERMS rows reach the driver, whatever the size of the input.
     best = scored.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS)
     for r in best.select("term", F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5) * (1 - rate) / rate).alias("w")).collect():
@@ -249,11 +252,15 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Each half of the sample meets the lexicon of the other half, so the trees see words as new texts bring them; the model's own lexicon comes from both."""
     sample = spool(labelled_sample(docs, labels, sample_rows), "labelled")
-    lexicon = learn_lexicon(sample.where("part < 4"))
-    rows = spool(with_features(sample, lexicon, ("toxic", "part")), "features")
+    terms = spool(sample_terms(sample), "terms")
+    halves = [learn_lexicon(terms.where(f"part % 2 = {1 - i}")) for i in (0, 1)]
+    parts = [sample.where(f"part % 2 = {i}").select("toxic", "part", features_of(F.col("text"), lexicon).alias("features")) for i, lexicon in enumerate(halves)]
+    lexicon = learn_lexicon(terms)
+    rows = spool(parts[0].unionByName(parts[1]), "features")
     rows = rows.select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("vector")).coalesce(4)
-    fit, rest = rows.where("part between 4 and 7"), rows.where("part >= 8")
+    fit, rest = rows.where("part < 7"), rows.where("part >= 7")
     counts = {r.label: r["count"] for r in fit.groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 2:
         return Model(lexicon, None, ())
@@ -289,11 +296,11 @@ def _scored(rows: DataFrame, key: str, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    rows = _scored(with_features(docs, model.lexicon), "doc_id", model)
+    rows = _scored(docs.select("doc_id", features_of(F.col("text"), model.lexicon).alias("features")), "doc_id", model)
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their own columns."""
-    rows = with_features(docs.select(F.struct("*").alias("row"), "text"), model.lexicon, ("row",))
+    rows = docs.select(F.struct("*").alias("row"), features_of(F.col("text"), model.lexicon).alias("features"))
     return _scored(rows, "row", model).where(F.col("score") < TOXIC_FROM).select("row.*")
