@@ -262,9 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = rows.select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("vector")).coalesce(4)
     fit, rest = rows.where("part < 7"), rows.where("part >= 7")
     counts = {r.label: r["count"] for r in fit.groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 2:
+    fewer = min(counts.get(0.0, 0), counts.get(1.0, 0))
+    if fewer < 2:
         return Model(lexicon, None, ())
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, minInstancesPerNode=10).fit(fit)
+    leaf = max(1, min(10, fewer // 4))  # leaves of a few rows would follow noise
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, minInstancesPerNode=leaf).fit(fit)
     graded = trees.transform(rest).select("label", vector_to_array("probability")[1].alias("p"))
     if graded.agg(F.count_distinct("label")).first()[0] < 2:
         return Model(lexicon, trees, ())
