@@ -113,7 +113,8 @@ def repeated_in_shard(contexts: list[bytes], length: int) -> list[np.ndarray]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(row_key, begin, end): bytes of a text that repeats cover; spans may overlap."""
     found = spool(anchors(docs, length, gram), "found")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # A table of its own, so that Spark can split the partition of an anchor that very many rows share.
+    shared = spool(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     served = spool(found.join(shared, "anchor"), "anchors")
     groups = served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start", "more")).alias("lead"))
     groups = spool(groups, "contexts")
