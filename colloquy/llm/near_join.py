@@ -164,10 +164,11 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     checked = spool(wanted.join(found, "key").groupBy("task").applyInArrow(verify, "key long, links long, to long"), "links")
     joined = components(checked.where("key <> to").select(F.col("key").alias("u"), F.col("to").alias("v")))
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links")).where("n_links > 0")
-    known = links.join(joined, links.key == joined.node).select("key", "n_links", "root")
-
-    rows = signed.select("doc_id", "key").join(known, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    # Tables of their own, so that Spark can split the partition of a text or class that very many rows share.
+    known = spool(links.join(joined, links.key == joined.node).select("key", "n_links", "root"), "known")
+    rows = signed.select("doc_id", "key").join(known, "key", "left")
+    rows = spool(rows.select("doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
+    classes = spool(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")), "classes")
     return rows.join(classes, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
 
 
