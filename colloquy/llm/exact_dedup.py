@@ -164,7 +164,8 @@ def deduplicate(docs: DataFrame, in_snapshot: Column, keys_per_shard: int = KEYS
     keyed = rows.join(clash, rows.digest.eqNullSafe(clash.digest) & rows.doc_id.eqNullSafe(clash.doc_id), "left").select(rows["*"], "other")
     classes = keyed.where(F.col("digest").isNotNull()).withColumn("other", F.coalesce("other", F.lit("")))
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
-    best = classes.groupBy("digest", "other").agg(F.min(order).alias("keep"), F.count("*").alias("group_size"))
+    # A table of its own, so that Spark can split the partition of a text that very many rows share.
+    best = spool(classes.groupBy("digest", "other").agg(F.min(order).alias("keep"), F.count("*").alias("group_size")), "classes")
     return classes.join(best, ["digest", "other"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
