@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import sys
 import types
-from itertools import filterfalse
 
 import numpy as np
 
@@ -57,19 +56,24 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        known, parts, new, whole = self.known, [], set(), []
+        get, parts, new, whole = self.known.get, [], set(), []
         for i, text in enumerate(texts):
             if not text.isascii() and _OTHER.search(text) or not text.isprintable() and _CONTROL.search(text):
-                parts.append(None)
+                parts.append(([], [], []))
                 whole.append(i)
                 continue
             found = self.split(text.lower() if self.lower else text)
-            new.update(filterfalse(known.__contains__, found))
-            parts.append(found)
+            ids = list(map(get, found))  # one look into the large table for each word
+            gaps = [k for k, x in enumerate(ids) if x is None]
+            new.update([found[k] for k in gaps])
+            parts.append((found, ids, gaps))
         if new:
             self._learn(list(new))
-        get = known.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else b"" for p in parts]
+        out = []
+        for found, ids, gaps in parts:
+            for k in gaps:
+                ids[k] = self.known[found[k]]
+            out.append(b"".join(ids))
         if whole:
             for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
                 out[i] = ids
