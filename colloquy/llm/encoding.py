@@ -23,7 +23,6 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e¡-¬®-±´¶-¸»¿{_LETTER}×÷‐-‧€]|İ")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _BYTE_SPLIT = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \t\n\r0-9{_LETTER}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-_PLAIN = re.compile(rf" [{_LETTER}]+")
 _WORD_SPLIT = re.compile(rf"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r0-9{_LETTER}]+")
 
 
@@ -41,14 +40,14 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new pre-tokens. Those made of letters are encoded many at a time, as a text whose pre-tokens they are."""
-        plain = [w for w in new if (w.isalpha() if self.lower else _PLAIN.fullmatch(w))]
+        plain = [w for w in new if w.isalpha()] if self.lower else [w for w in new if w[0] == " " and w[1:].isalpha()]
         chunks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         gap = " " if self.lower else ""
         for chunk, coded in zip(chunks, self.library.encode_batch([gap.join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids, word = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
             cuts = [0, *(np.flatnonzero(word[1:] != word[:-1]) + 1).tolist(), len(ids)]
             raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True))
+            self.known.update(zip(chunk, [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
         rest = [w for w in new if w not in self.known]
         self.known.update(zip(rest, self._ask(rest), strict=True))
 
