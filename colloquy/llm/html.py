@@ -34,12 +34,16 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("ul ol dl table body html div section article td".split())
 #: Words in class, id and role that mark what is not the article.
 UNLIKELY = frozenset(
-    "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer "
+    "header ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer "
     "gdpr hidden login masthead menu modal nav navbar navigation navigation-bar newsletter notice overlay pager pagination paywall popup promo promoted "
     "related recommended remark reply replies respond rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe "
     "tags teaser toolbar tooltip topbar widget alert announcement discussion feedback responses".split()
 )
 LIKELY = frozenset("article body content entry main post story text hentry".split())
+#: Those that hold even beside a likely word, as in "entry-footer".
+CERTAIN = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie footer menu nav navigation newsletter promo related share sharing sidebar social sponsor sponsored subscribe".split())
+#: "with-sidebar" says something of an element that is no sidebar.
+BESIDE = frozenset("has with no without".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
@@ -83,7 +87,9 @@ def _drops(node: Node) -> bool:
     if not node.attrs:
         return False
     names, hidden = _named(node.attrs)
-    return hidden or bool(names & UNLIKELY) and not (node.tag in ("article", "main") or names & LIKELY and not names & {"comment", "comments", "sidebar", "ad", "ads", "advert", "related"})
+    if hidden or node.tag in ("article", "main", "h1", "h2", "h3", "h4", "h5", "h6") or names & BESIDE:
+        return hidden
+    return bool(names & (CERTAIN if names & LIKELY else UNLIKELY))
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]]]]]:

@@ -18,6 +18,8 @@ TEXT = "A title\nFirst paragraph, with & and é in it.\nSecond paragraph goes on
         ARTICLE.replace("<p>Second", '<div class="advert">Advert, advert</div><p>Second'),
         ARTICLE.replace("</article>", '<div class="comments"><div class="comment"><p>A reader, says this.</p></div></div></article>'),
         ARTICLE.replace("</article>", '<ul><li><a href="1">one</a></li><li><a href="2">two</a></li><li><a href="3">three</a></li></ul></article>'),
+        f'<body><div class="content with-sidebar"><div class="header">Site, name</div>{ARTICLE.replace("<h1>", "<header class='entry-header'><h1 class='header'>").replace("</h1>", "</h1></header>")}</div><div class="sidebar">Side, text</div></body>',
+        ARTICLE.replace("</article>", '<div class="entry-footer">Filed under, things</div><div class="post-share">Share, this</div></article>'),
         ARTICLE.replace("First", "<b>First").replace("with", "<a href='x'>with</a>"),
     ],
 )
