@@ -157,7 +157,7 @@ def deduplicate(docs: DataFrame, in_snapshot: Column, keys_per_shard: int = KEYS
     members = rows.join(groups.select("digest", F.col("keep.doc_id").alias("lead")), "digest").select("digest", "doc_id", "lead").distinct()
     texts = docs.select(F.col("doc_id").alias("d"), normalised(F.col("text")).alias("norm")).withColumn("g", F.unhex(F.sha2("norm", 256)))
     held = spool(texts.join(members, F.col("g").eqNullSafe(F.col("digest")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("digest", "doc_id", "lead", "norm"), "texts")
-    leads = held.where(F.col("doc_id").eqNullSafe(F.col("lead"))).groupBy("digest").agg(F.min("norm").alias("lead_norm"))
+    leads = spool(held.where(F.col("doc_id").eqNullSafe(F.col("lead"))).groupBy("digest").agg(F.min("norm").alias("lead_norm")), "leads")
     clash = held.join(leads, "digest").where("norm <> lead_norm").select("digest", "doc_id", F.col("norm").alias("other")).distinct()
 
     # A clash of digests would put the text itself into the key of the class.

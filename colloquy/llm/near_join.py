@@ -87,6 +87,7 @@ def candidate_sets(texts: DataFrame, length: int) -> DataFrame:
     )
     under = texts.select("key", F.explode(trees).alias("trie_node"))
     least = under.groupBy("trie_node").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("trie_node", "least")
+    least = spool(least, "nodes")  # a table of its own, so that Spark can split a node that very many texts share
     edges = under.join(least, "trie_node").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
     return components(edges)
 

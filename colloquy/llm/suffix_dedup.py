@@ -121,7 +121,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     whole = served.join(groups.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
     spans = whole.select("row_key", F.col("start").alias("begin"), (F.col("start") + F.col("more") + length).alias("end"))
 
-    variety = groups.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    variety = spool(groups.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "variety")
     mixed = groups.join(variety, "anchor").select("anchor", "n", "contexts", "lead.*")
     total = mixed.where(F.col("contexts") <= most_contexts).agg(F.coalesce(F.sum(F.col("more") + length), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_bytes))
