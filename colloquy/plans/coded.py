@@ -22,10 +22,13 @@ RULES = {
 
 
 def coded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, text, n_chars, tertile (by length) and deductive_codes."""
-    docs = table(spark, sf_dir, "documents")
-    third = sampling.thirds(docs, "source", [F.desc("n_chars"), F.asc("doc_id")])
-    return coding.code_by_rules(third, RULES)
+    """The documents with deductive_codes."""
+    return coding.code_by_rules(table(spark, sf_dir, "documents"), RULES)
+
+
+def with_thirds(rows: DataFrame) -> DataFrame:
+    """Posts with their third by length; texts are left behind before rows are dealt out."""
+    return sampling.thirds_at_scale(rows.drop("text"), "source", "n_chars", "doc_id")
 
 
 def _hits(code: str) -> str:
@@ -70,7 +73,7 @@ def community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "low / total > 0.3::DOUBLE AS flag_low_confidence, low / total > 0.3::DOUBLE AND mean_length < 150 AS flag_body_length FROM r"
 )
 def tertile_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source", extra=("tertile", "n_chars"))
+    flags = with_thirds(profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source", extra=("n_chars",)))
     return profile.tertile_sensitivity(flags, "source", "tertile", "n_chars")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.config import CODES, DIMENSIONS
 from colloquy.operators import agreement, coding, linking, tables
 from colloquy.operators.report_tables import report_tables
-from colloquy.plans.coded import _SOURCES, coded_documents
+from colloquy.plans.coded import _SOURCES, coded_documents, with_thirds
 from colloquy.plans.registry import query, table
 from colloquy.plans.texts import _ratings, scratch
 from colloquy.sources import readers, writers
@@ -21,7 +21,7 @@ from colloquy.sources import readers, writers
 )
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All report tables written as CSV and counted from the files; each source brings up one theme, named too unlike the others to merge."""
-    posts = coded_documents(spark, sf_dir)
+    posts = with_thirds(coded_documents(spark, sf_dir))
     themes = posts.select(
         F.sha2("source", 256).alias("label"), F.col("source").alias("community"), F.col("doc_id").alias("post"), F.col("doc_id").alias("seq"), F.lit("d").alias("definition"), F.lit("q").alias("evidence_quote"), F.lit("").alias("partial_overlap_with"), F.lit("PUSH").alias("distinct_dimension")
     )
