@@ -285,7 +285,7 @@ def _stream(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame
 @query("SELECT event_id, user_id FROM events")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "ingested")
-    jobs.ingest(_stream(spark, sf_dir, copies=True), out, scratch(spark, "offsets"), ["event_id"], "ts", "ts", "40 days").awaitTermination()
+    jobs.ingest(_stream(spark, sf_dir, copies=True), out, scratch(spark, "offsets"), ["event_id"], "ts").awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id")
 
 

@@ -16,12 +16,13 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, at: str, late: str = "1 day") -> StreamingQuery:
+def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, at: str | None = None, late: str | None = None) -> StreamingQuery:
     """Append rows whose key is not in the table yet.
 
-    The stream drops duplicates that arrive within ``late`` of each other; what
-    comes later is held back by the anti-join of each batch with the table. A
-    batch that is run again adds nothing, for its keys are there.
+    The anti-join of each batch with the table is exact, and a batch that is run
+    again adds nothing, for its keys are there. With ``late`` the stream also
+    drops duplicates that arrive within that time before they reach the table;
+    Spark then leaves out rows that come later than the watermark on ``at``.
     """
 
     def add(batch: DataFrame, _: int) -> None:
@@ -35,7 +36,7 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], orde
         fresh = insert_ignore(current, batch.withColumn("_order", F.col(order)), keys, "_order")
         fresh.write.mode("append").parquet(table)
 
-    once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+    once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if at and late else stream
     return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
