@@ -130,7 +130,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     sets = spool(candidate_sets(texts.select("key", "labels"), prefix_length(threshold, recall)), "sets")
 
     # Blocks of a set, every pair of them once; sets of one block share tasks.
-    counts = sets.groupBy("root").agg(F.count("*").alias("texts"))
+    counts = spool(sets.groupBy("root").agg(F.count("*").alias("texts")), "counts")
     leads = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("lead"))
     dealt = sets.join(counts, "root").join(leads, sets.node == leads.key).select("key", "root", "lead", F.ceil(F.col("texts") / block).cast("int").alias("blocks"))
     dealt = spool(dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "blocks")
