@@ -27,6 +27,8 @@ from colloquy.llm.storage import shared_path
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 SLICE = 256
+#: Writers hold a stripe in memory, readers take one at a time.
+STRIPE_BYTES = 16 << 20
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str | None = None) -> str:
@@ -54,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     coded = ordered.mapInArrow(run, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>")
-    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000"}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": "1000"}
     coded.write.options(**options).orc(path)
     return path
 
