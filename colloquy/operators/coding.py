@@ -22,15 +22,14 @@ def code_by_rules(posts: DataFrame, rules: dict[str, tuple[str, ...]], text: str
     the evidence is the text from the first phrase of the rule on. The phrases
     are constants of the plan, so a post is read once by the scan that holds it.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    codes = []
+    posts, low, codes = posts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))), F.col("_low"), []
     for code, phrases in rules.items():
         hits = reduce(Column.__add__, (F.contains(low, F.lit(p)).cast("int") for p in phrases))
         place = F.least(*(F.nullif(F.instr(low, F.lit(p)), F.lit(0)) for p in phrases)) if len(phrases) > 1 else F.instr(low, F.lit(phrases[0]))
         level = F.when(hits >= 3, "HIGH").when(hits == 2, "MED").otherwise("LOW")
         one = F.struct(F.lit(code).alias("code"), F.substring(F.col(text), place, F.lit(QUOTE_CHARS)).alias("evidence_quote"), level.alias("confidence"))
         codes.append(F.when(hits > 0, one))
-    return posts.withColumn("deductive_codes", F.array_compact(F.array(*codes)))
+    return posts.withColumn("deductive_codes", F.array_compact(F.array(*codes))).drop("_low")
 
 
 def emergent_phrases(posts: DataFrame, known: list[str], key: str, text: str = "text", codes: str = "deductive_codes", size: int = 2, least_posts: int = 3, most_codes: int = 1) -> DataFrame:

@@ -44,11 +44,13 @@ def post_flags(coded: DataFrame, key: str, community: str, codes: str = "deducti
 
     A bare dimension name counts for its dimension; an unknown code for none.
     """
-    names = F.transform(F.col(codes), lambda c: c["code"])
+    # A column of its own, so that the names are taken from the codes once for all flags.
+    named = coded.select(key, community, *extra, F.transform(F.col(codes), lambda c: c["code"]).alias("_names"), all_low(F.col(codes)).cast("int").alias("all_low"))
+    names = F.col("_names")
     has = {c: F.coalesce(F.array_contains(names, c), F.lit(False)) for c in CODES}
     dims = {d: reduce(Column.__or__, [has[c] for c in CODES if DIMENSION_OF[c] == d], F.coalesce(F.array_contains(names, d), F.lit(False))) for d in DIMENSIONS}
     flags = {_column(c): v.cast("int") for c, v in has.items()} | {f"{_column(d)}_any": v.cast("int") for d, v in dims.items()}
-    rows = coded.select(key, community, *extra, *(v.alias(n) for n, v in flags.items()), all_low(F.col(codes)).cast("int").alias("all_low"), F.lit(1).alias("n_rows"))
+    rows = named.select(key, community, *extra, *(v.alias(n) for n, v in flags.items()), "all_low", F.lit(1).alias("n_rows"))
     # A post that occurs more than once is one post: any of its rows may carry a code.
     measures = [F.max(n).alias(n) for n in flags] + [F.sum("all_low").alias("all_low"), F.sum("n_rows").alias("n_rows")]
     posts = rows.groupBy(key, community, *extra).agg(*measures)
