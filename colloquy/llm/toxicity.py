@@ -10,7 +10,7 @@ stand to a second-person word, capitals, punctuation and disguise rates.
 Edge cases: a null text counts as empty and gets a score too, labels without a
 text or value are left out, a doc_id labelled more than once has its highest
 label, with too few labels for trees the score follows the lexicon density
-alone, repeated rows are rows of their own, extra columns are ignored.
+alone (0 for all without a lexicon), repeated rows are rows of their own, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,12 @@ from colloquy.llm.textscan import RangeHash, pieces, shingles, words
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 2_000
 EVIDENCE = 12.0
+FOLDS = 5
 TOXIC_FROM = 0.3
 NEAR_WORDS = 5
 STEMS = (4, 5, 6)
 
-# Common insults and second-person words, known without labels.
+# Second-person words, and insults for a lexicon without labels. No fit reads the insults.
 INSULTS = "idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb bastard jerk idiota estupido estúpido imbécil basura connard idiote imbécile minable trottel dummkopf abschaum versager".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 
@@ -236,7 +238,7 @@ def sample_terms(sample: DataFrame) -> DataFrame:
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Terms of documents with label 1, by how far their share of label 1 exceeds chance."""
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    lexicon = dict.fromkeys(INSULTS, 3.0)
+    lexicon: dict[str, float] = {}
     if not 0 < total.p < total.n:
         return lexicon
     rate = total.p / total.n
@@ -247,18 +249,18 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     # At most MOST_TERMS rows reach the driver, whatever the size of the input.
     best = scored.where(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "term").limit(MOST_TERMS)
     for r in best.select("term", F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5) * (1 - rate) / rate).alias("w")).collect():
-        lexicon[r.term] = max(r.w, lexicon.get(r.term, 0.0))
+        lexicon[r.term] = r.w
     return lexicon
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Each half of the sample meets the lexicon of the other half, so the trees see words as new texts bring them; the model's own lexicon comes from both."""
+    """Each fold of the sample meets the lexicon of the other folds, so the trees see words as new texts bring them; the model's own lexicon comes from all."""
     sample = spool(labelled_sample(docs, labels, sample_rows), "labelled")
     terms = spool(sample_terms(sample), "terms")
-    halves = [learn_lexicon(terms.where(f"part % 2 = {1 - i}")) for i in (0, 1)]
-    parts = [sample.where(f"part % 2 = {i}").select("toxic", "part", features_of(F.col("text"), lexicon).alias("features")) for i, lexicon in enumerate(halves)]
+    others = [learn_lexicon(terms.where(f"part % {FOLDS} <> {i}")) for i in range(FOLDS)]
+    parts = [sample.where(f"part % {FOLDS} = {i}").select("toxic", "part", features_of(F.col("text"), lexicon).alias("features")) for i, lexicon in enumerate(others)]
     lexicon = learn_lexicon(terms)
-    rows = spool(parts[0].unionByName(parts[1]), "features")
+    rows = spool(reduce(DataFrame.unionByName, parts), "features")
     rows = rows.select(F.col("toxic").cast("double").alias("label"), "part", array_to_vector("features").alias("vector")).coalesce(4)
     fit, rest = rows.where("part < 7"), rows.where("part >= 7")
     counts = {r.label: r["count"] for r in fit.groupBy("label").count().collect()}

@@ -72,3 +72,10 @@ def test_the_sample_is_bounded(spark):
     sample = toxicity.labelled_sample(docs, labels, 1_000)
     assert 800 < sample.count() < 1_200
     assert sample.where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").count() == 0
+
+
+def test_the_lexicon_comes_from_the_fitting_rows_alone(spark):
+    schema = "toxic int, part int, terms array<string>"
+    rows = [(int(i % 5 == 0), i % 10, ["zorvel", "plain"] if i % 5 == 0 else ["plain"]) for i in range(200)]
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, schema))) == {"zorvel"}
+    assert toxicity.learn_lexicon(spark.createDataFrame([], schema)) == {}
