@@ -29,7 +29,9 @@ TOKEN = re.compile(
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head nav footer aside form button dialog menu input label fieldset".split())
+DROPPED = frozenset("head nav footer aside button dialog menu input label".split())
+#: Dropped unless they hold most of the page's points, or its article.
+FORMS = frozenset(("form", "fieldset"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE = frozenset("ul ol dl table body html div section article td".split())
 #: Words in class, id and role that mark what is not the article.
@@ -161,18 +163,40 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
     return nodes, blocks
 
 
+def _drop_forms(nodes: list[Node], found: list[tuple[Node, str, int, float]]) -> None:
+    """Marks what lies in forms that are no wrapper of the page's text."""
+    if not any(n.tag in FORMS for n in nodes):
+        return
+    held, whole = dict.fromkeys((n.number for n in nodes), 0.0), set()
+    for owner, _, _, points in found:
+        up: Node | None = owner
+        while up is not None:
+            held[up.number] += points
+            up = up.parent
+    for n in nodes:
+        up = n.parent if n.tag in ("article", "main") and not n.dropped else None
+        while up is not None:
+            whole.add(up.number)
+            up = up.parent
+    for n in nodes:
+        if n.parent is not None:
+            n.dropped |= n.parent.dropped or n.tag in FORMS and n.number not in whole and 2 * held[n.number] <= held[0]
+
+
 def main_text(page: str) -> str:
     nodes, blocks = parse(page)
-    lines: list[tuple[Node, str]] = []
+    found = []
     for owner, parts in blocks:
+        line = "" if owner.dropped else " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+        if line:
+            linked = min(len(line), sum(len(p) for p, inside in parts if inside))
+            found.append((owner, line, linked, 1 + line.count(",") + min(len(line) / 100, 3)))
+    _drop_forms(nodes, found)
+    lines: list[tuple[Node, str]] = []
+    for owner, line, linked, points in found:
         if owner.dropped:
             continue
-        line = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
-        if not line:
-            continue
-        linked = min(len(line), sum(len(p) for p, inside in parts if inside))
         lines.append((owner, line))
-        points = 1 + line.count(",") + min(len(line) / 100, 3)
         up, level = owner if owner.tag in ("div", "section", "article", "main", "td", "body", "html") else owner.parent or owner, 1
         while up is not None:
             up.points += points / level

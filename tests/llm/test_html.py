@@ -58,3 +58,10 @@ def test_edge_cases(spark):
     assert found[1, "u"].text == "" and found[None, None].n_chars == 0
     assert found[2, "v"].text == ("long, " * 100_000).strip() and found[3, None].text == "plain text, no markup"
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("wrap", ["<form action='/p'>{}</form>", "<form><fieldset><input name='q'><label>Search</label>{}<button>Go</button></fieldset></form>", "<form><div>{}</div><fieldset><p>Your name, please</p></fieldset></form>"])
+def test_a_page_in_a_form_keeps_its_text(wrap):
+    assert html.main_text(f"<body>{wrap.format(ARTICLE)}</body>") == TEXT
+    plain = ARTICLE.replace("article>", "div>")
+    assert html.main_text(f"<body>{wrap.format(plain)}</body>") == TEXT
