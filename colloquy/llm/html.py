@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,8 +43,15 @@ UNLIKELY = frozenset(
     "tags teaser toolbar tooltip topbar widget alert announcement discussion feedback responses".split()
 )
 LIKELY = frozenset("article body content entry main post story text hentry".split())
+#: Names of what is never the article, whatever its shape; other unlikely names ask for a look at the text.
+FIRM = frozenset("ad ads adv advert advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr login masthead modal nav navbar newsletter pager pagination paywall shoutbox sidebar signup skip sponsored toolbar tooltip topbar".split())
 #: Those that hold even beside a likely word, as in "entry-footer".
 CERTAIN = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie footer menu nav navigation newsletter promo related share sharing sidebar social sponsor sponsored subscribe".split())
+REPLIES = frozenset("comment comments commentlist reply replies respond".split())
+LISTS = frozenset("also contents latest links more next pages popular recent toc trending".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Characters from which a line is a paragraph, and entries of a list are no menu.
+PROSE, ENTRY = 80, 40
 #: "with-sidebar" says something of an element that is no sidebar.
 BESIDE = frozenset("has with no without".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -51,13 +59,14 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "dropped", "links", "number", "parent", "points", "size", "tag")
+    __slots__ = ("attrs", "children", "doubtful", "dropped", "links", "number", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str, number: int):
         self.tag, self.parent, self.attrs, self.number = tag, parent, attrs, number
         self.children: list[Node] = []
         self.points, self.size, self.links = 0.0, 0, 0
         self.dropped = parent is not None and parent.dropped
+        self.doubtful = False
 
 
 def _named(attrs: str) -> tuple[set[str], bool]:
@@ -68,6 +77,7 @@ def _named(attrs: str) -> tuple[set[str], bool]:
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role"):
             names.update(w.lower() for w in WORDS.findall(value))
+            hidden |= key == "class" and "hidden" in value.split()
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif key == "aria-hidden":
@@ -91,7 +101,9 @@ def _drops(node: Node) -> bool:
     names, hidden = _named(node.attrs)
     if hidden or node.tag in ("article", "main", "h1", "h2", "h3", "h4", "h5", "h6") or names & BESIDE:
         return hidden
-    return bool(names & (CERTAIN if names & LIKELY else UNLIKELY))
+    found = names & (CERTAIN if names & LIKELY else UNLIKELY)
+    node.doubtful = bool(found) and not found & FIRM
+    return bool(found & FIRM)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]]]]]:
@@ -183,6 +195,41 @@ def _drop_forms(nodes: list[Node], found: list[tuple[Node, str, int, float]]) ->
             n.dropped |= n.parent.dropped or n.tag in FORMS and n.number not in whole and 2 * held[n.number] <= held[0]
 
 
+def _drop_named(nodes: list[Node], found: list[tuple[Node, str, int, float]]) -> None:
+    """Marks blocks with an unlikely name that have no paragraph, many links, or comments in them."""
+    if not any(n.doubtful for n in nodes):
+        return
+    size, links, prose, replies = Counter(), Counter(), set(), set()
+    for owner, line, linked, _ in found:
+        up: Node | None = owner
+        while up is not None and not owner.dropped:
+            size[up.number] += len(line)
+            links[up.number] += linked
+            if len(line) >= PROSE:
+                prose.add(up.number)
+            up = up.parent
+    for n in nodes:
+        up = n.parent if n.attrs and _named(n.attrs)[0] & REPLIES else None
+        while up is not None:
+            replies.add(up.number)
+            up = up.parent
+    for n in nodes:
+        if n.parent is not None:
+            n.dropped |= n.parent.dropped or n.doubtful and (n.number not in prose or n.number in replies or links[n.number] > 0.25 * size[n.number])
+
+
+def _is_menu(node: Node, text: dict[int, str]) -> bool:
+    """A list of links, unless its entries are long or a heading makes it one of the article's own."""
+    if node.tag not in ("ul", "ol") or node.links <= 0.6 * node.size or len(node.children) <= 2:
+        return False
+    if node.size >= ENTRY * len(node.children):
+        return False
+    beside = node.parent.children if node.parent is not None else []
+    at = next((i for i, n in enumerate(beside) if n is node), 0)
+    title = text.get(beside[at - 1].number, "") if at and beside[at - 1].tag in HEADINGS else ""
+    return not title or bool({w.lower() for w in WORDS.findall(title)} & (UNLIKELY | LISTS))
+
+
 def main_text(page: str) -> str:
     nodes, blocks = parse(page)
     found = []
@@ -192,6 +239,7 @@ def main_text(page: str) -> str:
             linked = min(len(line), sum(len(p) for p, inside in parts if inside))
             found.append((owner, line, linked, 1 + line.count(",") + min(len(line) / 100, 3)))
     _drop_forms(nodes, found)
+    _drop_named(nodes, found)
     lines: list[tuple[Node, str]] = []
     for owner, line, linked, points in found:
         if owner.dropped:
@@ -200,6 +248,7 @@ def main_text(page: str) -> str:
         up, level = owner if owner.tag in ("div", "section", "article", "main", "td", "body", "html") else owner.parent or owner, 1
         while up is not None:
             up.points += points / level
+            points *= 0.25 if up.doubtful else 1
             up, level = up.parent, level * 2 if level < 2 else level + 2
         up = owner
         while up is not None:
@@ -208,7 +257,7 @@ def main_text(page: str) -> str:
             up = up.parent
     if not lines:
         return ""
-    score = {n.number: n.points * (1 - n.links / n.size) for n in nodes if n.size}
+    score = {n.number: n.points * (1 - n.links / n.size) * (0.25 if n.doubtful else 1) for n in nodes if n.size}
     best = max((n for n in nodes if n.number in score), key=lambda n: (score[n.number], n.number))
     up, whole = best, None
     while up is not None:  # an element that says it is the article holds all of it
@@ -221,13 +270,28 @@ def main_text(page: str) -> str:
     least = max(3.0, 0.2 * score[best.number])
     for near in best.parent.children if best.parent is not None else ():
         dense = near.links > 0.25 * near.size
-        if near.number in score and not dense and (score[near.number] >= least or near.tag in ("h1", "p") and near.size > 80):
+        if near.number in score and not dense and not near.doubtful and (score[near.number] >= least or near.tag in ("h1", "p") and near.size > 80):
             kept.add(near.number)
-    out = []
+    beside = [n for n in best.parent.children if n.number in score or n is best] if best.parent is not None and not whole else [best]
+    at = beside.index(best)
+    for step in (-1, 1):  # headings and paragraphs next to it, however short; no heading of what is not kept
+        waiting: list[int] = []
+        for near in beside[at + step :: step] if at + step >= 0 else ():
+            if near.number in kept or near.tag == "p" and near.links <= 0.25 * near.size:
+                kept.update((near.number, *waiting))
+                waiting = []
+            elif near.tag in HEADINGS and near.links <= 0.25 * near.size:
+                if step < 0:
+                    kept.add(near.number)
+                else:
+                    waiting.append(near.number)
+            else:
+                break
+    out, text = [], {owner.number: line for owner, line in lines}
     for owner, line in lines:
         up, menu = owner, False
         while up is not None and up.number not in kept:
-            menu |= up.tag in ("ul", "ol") and up.links > 0.6 * up.size and len(up.children) > 2
+            menu |= _is_menu(up, text)
             up = up.parent
         if up is not None and not menu:
             out.append(line)

@@ -65,3 +65,28 @@ def test_a_page_in_a_form_keeps_its_text(wrap):
     assert html.main_text(f"<body>{wrap.format(ARTICLE)}</body>") == TEXT
     plain = ARTICLE.replace("article>", "div>")
     assert html.main_text(f"<body>{wrap.format(plain)}</body>") == TEXT
+
+
+LONG = "The third paragraph is long enough to be prose, of more than eighty characters, and has few links."
+
+
+@pytest.mark.parametrize("attrs", ["id='discussion'", "class='related-work'", "class='feedback'", "id='responses'", "class='alert'", "id='announcement'", "class='tags'"])
+def test_names_alone_drop_no_paragraphs(attrs):
+    assert html.main_text(ARTICLE.replace("</article>", f"<section {attrs}><h2>Part</h2><p>{LONG}</p></section></article>")) == f"{TEXT}\nPart\n{LONG}"
+
+
+@pytest.mark.parametrize("block", [f"<section class='responses'><div class='comment'><p>{LONG}</p></div></section>", f"<div class='related'><p><a href='x'>{LONG}</a></p></div>", f"<div class='hidden'><p>{LONG}</p></div>", "<div class='tags'>one, two</div>", f"<div class='ad'><p>{LONG}</p></div>"])
+def test_named_blocks_of_another_shape_are_dropped(block):
+    assert html.main_text(ARTICLE.replace("</article>", f"{block}</article>")) == TEXT
+
+
+def test_lists_of_references_stay_and_menus_go():
+    entries = "".join(f"<li><a href='{i}'>Paper {i}</a></li>" for i in range(4))
+    assert html.main_text(ARTICLE.replace("</article>", f"<h2>References</h2><ol>{entries}</ol></article>")) == f"{TEXT}\nReferences\nPaper 0\nPaper 1\nPaper 2\nPaper 3"
+    assert "Paper" not in html.main_text(ARTICLE.replace("</article>", f"<ul>{entries}</ul></article>"))
+
+
+def test_a_title_and_a_short_paragraph_beside_the_best_div_stay():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    page = f"<body><div><a href='/'>Home</a></div><h1>A title</h1><p>By a writer.</p><div>{body}</div><p>The end.</p><h3>More</h3><div><a href='/x'>About</a></div></body>"
+    assert html.main_text(page) == "\n".join(["A title", "By a writer.", *[LONG] * 4, "The end."])
