@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import CODES
@@ -34,6 +34,40 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify_quotes(docs.withColumn("quote", quote), "doc_id", "quote", "text").select("doc_id", "verified")
 
 
+def _place(size: int) -> Column:
+    """A place in the text from which ``size`` characters can be quoted, anywhere in it."""
+    return (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1).cast("int")
+
+
+def quoted(docs: DataFrame) -> DataFrame:
+    """``docs`` with a quote for each: its own words from anywhere, with an ellipsis, foreign, empty, in capitals."""
+    n, at = F.pmod("doc_id", F.lit(5)), _place(130)
+    whole = F.substring("text", at, F.lit(60))
+    parts = F.concat(F.substring("text", at, F.lit(40)), F.lit("…"), F.substring("text", at + 90, F.lit(40)))
+    return docs.withColumn("quote", F.when(n == 0, whole).when(n == 1, parts).when(n == 2, "0123456789 9876543210 zzqqzz 4455").when(n == 3, "").otherwise(F.upper(whole)))
+
+
+@query()
+def quotes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quote_verification`` over every document, short ones and those with line breaks, digits or accents too."""
+    return verify.verify_quotes(quoted(table(spark, sf_dir, "documents")), "doc_id", "quote", "text").select("doc_id", "verified")
+
+
+def coded_quotes(docs: DataFrame) -> DataFrame:
+    """``docs`` with JSON lists of codes and quotes as in ``quarantine``, the own quote from anywhere in the text."""
+    n = F.pmod("doc_id", F.lit(4))
+    codes = F.when(n == 0, '["push-01", "PULL-02"]').when(n == 1, '["PUSH-99"]').when(n == 2, '["PUSH-02"]').otherwise('["[EMPTY]"]')
+    own = F.to_json(F.array(F.substring("text", _place(50), F.lit(50)), F.lit("zzqq 0123456789 never said")))
+    return docs.withColumns({"codes": codes, "quotes": F.when(n == 0, own).when(n == 2, '["zzqq 0123456789 never said"]').otherwise("[]")})
+
+
+@query()
+def quarantine_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quarantine`` over every document."""
+    out = verify.clean_rows(coded_quotes(table(spark, sf_dir, "documents")), "doc_id", "codes", "quotes", "text")
+    return out.select("doc_id", F.array_join("codes_clean", ",").alias("codes_clean"), "quarantine_reason")
+
+
 @query()
 def fuzzy_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages with a changed word against the documents that share their first five words."""
