@@ -10,7 +10,7 @@ from colloquy.operators import agreement, coding, linking, tables
 from colloquy.operators.report_tables import report_tables
 from colloquy.plans.coded import _SOURCES, coded_documents, with_thirds
 from colloquy.plans.registry import query, table
-from colloquy.plans.texts import _ratings, scratch
+from colloquy.plans.texts import _ratings, dealt, scratch
 from colloquy.sources import readers, writers
 
 
@@ -59,13 +59,14 @@ def machine_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'collected' AS part, count(*) AS n FROM documents UNION ALL SELECT 'coded', count(*) FROM labels UNION ALL SELECT 'codebook', count(*) FROM region")
 def bundle_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions saved as JSON bundles, one for each source and one for the rest, read into their three tables."""
+    """Sessions saved as JSON bundles, for each source one for about 8 million characters, read into their three tables."""
     docs, labels, codes = (table(spark, sf_dir, t) for t in ("documents", "labels", "region"))
     none = lambda df, name: F.array().cast(f"array<{df.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}>").alias(name)
     book = lambda c: F.struct(c.alias("codes")).alias("codebook")
     empty_codes = book(none(codes, "codes"))
-    collected = docs.groupBy("source").agg(F.collect_list(F.struct(*docs.columns)).alias("collected_data")).select("collected_data", none(labels, "coded_data"), empty_codes)
-    coded = labels.groupBy(F.col("doc_id") % 10).agg(F.collect_list(F.struct(*labels.columns)).alias("coded_data")).select(none(docs, "collected_data"), "coded_data", empty_codes)
+    by_source = dealt(docs, "source", F.coalesce(F.length("text"), F.lit(0)) + 100, 8_000_000)
+    collected = by_source.groupBy("source", "bundle").agg(F.collect_list(F.struct(*docs.columns)).alias("collected_data")).select("collected_data", none(labels, "coded_data"), empty_codes)
+    coded = dealt(labels.withColumn("_all", F.lit(0)), "_all", F.lit(1), 10_000).groupBy("bundle").agg(F.collect_list(F.struct(*labels.columns)).alias("coded_data")).select(none(docs, "collected_data"), "coded_data", empty_codes)
     rest = codes.agg(F.collect_list(F.struct(*codes.columns)).alias("codes")).select(none(docs, "collected_data"), none(labels, "coded_data"), book(F.col("codes")))
     path = scratch(spark, "bundles")
     collected.unionByName(coded).unionByName(rest).write.option("maxRecordsPerFile", 1).json(path)

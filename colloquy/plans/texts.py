@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """``rows`` with ``bundle``, so that the rows of a key and bundle together weigh about ``most``, however many the key has."""
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).alias("_n"))
+    hashed = F.pmod(F.xxhash64(*rows.columns), F.col("_n")).alias("bundle")
+    return rows.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, hashed)
+
+
 # -- quotes --------------------------------------------------------------------------------------
 
 
@@ -265,10 +272,11 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type FROM events WHERE user_id % 2 = 0")
 def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON objects with a list of collected items, one object for each user."""
+    """Events as JSON objects with a list of collected items, an object for each user and 10,000 events."""
     path = scratch(spark, "dataset")
     rows = table(spark, sf_dir, "events").where("user_id % 2 = 0")
-    rows.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "event_type")).alias("collected")).select("collected").write.option("maxRecordsPerFile", 1).json(path)
+    rows = dealt(rows.select("user_id", "event_id", "event_type"), "user_id", F.lit(1), 10_000)
+    rows.groupBy("user_id", "bundle").agg(F.collect_list(F.struct("event_id", "event_type")).alias("collected")).select("collected").write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_dataset_json(spark, path)
 
 
