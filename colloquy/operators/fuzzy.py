@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.similarity import label_score
+from colloquy.shared import shared_folder
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a session without one (a test) gets a local folder."""
-    context = df.sparkSession.sparkContext
+    """A reliable checkpoint in the shared folder."""
+    context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import CODES
 from colloquy.operators import agreement, audit, emergent, fuzzy, verify
 from colloquy.plans.registry import query, table
+from colloquy.shared import shared_path as scratch
 from colloquy.sources import readers, writers
 from colloquy.streaming import jobs
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share; a session without one (a test) gets a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
     """``rows`` with ``bundle``, so that the rows of a key and bundle together weigh about ``most``, however many the key has."""
     sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.greatest(F.ceil(F.sum(weight) / most), F.lit(1)).alias("_n"))
