@@ -24,13 +24,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component."""
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v); the root is the least node of its component.
+
+    Rounds go on until one changes nothing. With ``most_rounds``, more rounds
+    than that are an error; unfinished components are never returned.
+    """
     edges = spool(edges.select("u", "v").where("u <> v").distinct(), "edges")
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    seen = None
-    for _ in range(most_rounds):
+    seen, rounds = None, 0
+    while True:
+        if most_rounds is not None and rounds >= most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rounds += 1
         edges = spool(_star(_star(edges, True), False), "edges")
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == seen:

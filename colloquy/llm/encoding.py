@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public vocabulary, inside Spark tasks.
 
 The tokenizers library encodes every distinct pre-token once; a task then finds
-the ids of the pre-tokens it has seen, by 64-bit hash, in a table of numpy
-arrays. Where the split into pre-tokens is not certain (characters outside a
-set of Latin letters, digits and signs, or an apostrophe), the text goes to the
-library as it is.
+the ids of the pre-tokens it has seen in a table of numpy arrays, by a 64-bit
+code, and compares the bytes of every hit. A text goes to the library as it is
+where the split into pre-tokens is not certain (characters outside a set of
+Latin letters, digits and signs, or an apostrophe), where it holds the string of
+an added token such as an end of text, and where two pre-tokens share a code.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import types
 
 import numpy as np
 
-from colloquy.llm.textscan import RangeHash
+from colloquy.llm.textscan import LONG, lanes, range_codes
 
 #: Pre-tokens that one worker remembers before it starts afresh.
 MOST_WORDS = 800_000
+#: And so many bytes of them.
+MOST_BYTES = 64 << 20
 #: So many new words are encoded as one text.
 JOINED = 512
 
@@ -112,17 +115,20 @@ class _Table:
 
 
 class Encoder:
+    """``lower``: the vocabulary reads lower-case text, else it reads bytes and spaces."""
+
     def __init__(self, path: str, lower: bool):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.lower = lower
         self._forget()
 
     def _forget(self) -> None:
         self.table, self.ids = _Table(), np.zeros(0, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
+        self.bounds, self.places = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.held = np.zeros(0, np.uint8)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -142,40 +148,66 @@ class Encoder:
         known.update(zip(rest, self._ask(rest), strict=True))
         return [known[w] for w in new]
 
-    def _looked_up(self, texts: list[str]) -> list[bytes]:
+    def _differ(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which pre-tokens are other bytes than those of the entry that their code found."""
+        size, at = end - start, self.places[entry]
+        out = size != self.places[entry + 1] - at
+        # Codes of up to 8 bytes of one length are all different, so longer ones are left to compare.
+        open_ = np.flatnonzero(~out & (size > 8) & (size <= LONG))
+        mine, theirs = lanes(data), lanes(self.held)
+        for step in range(0, LONG, 8):
+            open_ = open_[size[open_] > step]
+            if not len(open_):
+                break
+            back = np.minimum(step, size[open_] - 8)  # the last eight bytes overlap the ones before
+            out[open_] |= mine[start[open_] + back] != theirs[at[open_] + back]
+        for i in np.flatnonzero(~out & (size > LONG)).tolist():
+            out[i] = not np.array_equal(data[start[i] : end[i]], self.held[at[i] : at[i] + size[i]])
+        return out
+
+    def _looked_up(self, texts: list[str]) -> list[bytes | None]:
         raws = [t.encode() for t in texts]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
-        data = np.frombuffer(b"".join(raws), np.uint8)
+        all_bytes = b"".join(raws)
+        data = np.frombuffer(all_bytes, np.uint8)
         start, end, first = pre_tokens(data, off, self.lower)
-        keys = RangeHash.of_bytes(data)(start, end)
+        keys = range_codes(data, start, end)
         keys[keys == 0] = 1
-        if self.table.size > MOST_WORDS:
+        if self.table.size > MOST_WORDS or len(self.held) > MOST_BYTES:
             self._forget()
         entry = self.table.find(keys)
         gaps = np.flatnonzero(entry < 0)
         if len(gaps):
             new, at = np.unique(keys[gaps], return_index=True)
-            all_bytes = data.tobytes()
-            coded = self._encode_words([all_bytes[a:b].decode() for a, b in zip(start[gaps[at]].tolist(), end[gaps[at]].tolist(), strict=True)])
+            words = [all_bytes[a:b] for a, b in zip(start[gaps[at]].tolist(), end[gaps[at]].tolist(), strict=True)]
+            coded = self._encode_words([w.decode() for w in words])
             self.table.add(new)
             self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(c) // 4 for c in coded])])
+            self.held = np.concatenate([self.held, np.frombuffer(b"".join(words), np.uint8)])
+            self.places = np.concatenate([self.places, self.places[-1] + np.cumsum([len(w) for w in words])])
             entry[gaps] = self.table.find(keys[gaps])
+        other = set((np.searchsorted(first, np.flatnonzero(self._differ(data, start, end, entry)), "right") - 1).tolist())
         size = self.bounds[entry + 1] - self.bounds[entry]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.bounds[entry] - total[:-1], size)].astype("<u4", copy=False)
         cuts = total[first].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [None if i in other else ids[a:b].tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+
+    def _certain(self, text: str) -> bool:
+        """Whether the split into pre-tokens is certain."""
+        if "'" in text or (not text.isascii() and _OTHER.search(text)) or (not text.isprintable() and _CONTROL.search(text)):
+            return False
+        return not any(token in text for token in self.added)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if "'" in t or (not t.isascii() and _OTHER.search(t)) or (not t.isprintable() and _CONTROL.search(t))]
-        asked = set(whole)
-        split = [i for i in range(len(texts)) if i not in asked]
-        out = [b""] * len(texts)
+        out: list[bytes | None] = [None] * len(texts)
+        split = [i for i, t in enumerate(texts) if self._certain(t)]
         if split:
             for i, ids in zip(split, self._looked_up([texts[i].lower() if self.lower else texts[i] for i in split]), strict=True):
                 out[i] = ids
+        whole = [i for i, ids in enumerate(out) if ids is None]
         if whole:
             for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
                 out[i] = ids

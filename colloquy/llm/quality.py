@@ -1,12 +1,16 @@
 """Quality rules on repetition, from suffix arrays over the words of each text.
 
-All suffixes of a slice of texts are sorted by prefix doubling, with the row as
-first key so that no match leaves its text. Ranks of equal prefixes of length
-1, 2, 4, ... are kept, which give the common prefix of neighbours in the array.
-A suffix's longest common prefix with a neighbour spans the longest substring
-that begins there and occurs elsewhere too; the union of these spans (of at
+All suffixes of a slice of texts are sorted by prefix doubling; signs are
+numbered by row and word, so that no match leaves its text. Common prefixes of
+neighbours in the array bound the intervals of suffixes that share a prefix. The
+deepest such interval that holds a suffix is the longer of its two common
+prefixes: the longest substring that begins there and occurs elsewhere too. Every
+maximal repeated substring is covered by them, so the union of these spans (of at
 least ``min_repeat`` words) and the longest of them are limited.
 
+A text of any length is one slice; what is held beside it are some 32-bit and
+64-bit numbers for each of its words and a few bits for each byte.
+
 Edge cases: a null text counts as empty (no words, fails the base rules), texts
 of one word have no repeats, repeated rows are rows of their own, extra columns
 are ignored, an empty table gives no rows.
@@ -20,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colloquy.llm.textscan import SPACE, RangeHash, pieces, words
+from colloquy.llm.suffix_arrays import permuted_common_prefixes
+from colloquy.llm.textscan import SPACE, STRETCH, pieces, range_codes, shingles, words
 
 LEAST_WORDS = 50
 MOST_REPEAT_WORDS = 50  # percent
@@ -32,122 +37,128 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _dense(row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks of (row, key): the place of the first equal pair in sorted order."""
-    order = np.lexsort((key, row))
-    a, b = row[order], key[order]
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Ranks of keys: the place of the first equal one in sorted order."""
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.maximum.accumulate(np.where(new, np.arange(len(order), dtype=np.int32), np.int32(0)))
     return out
 
 
-def repeats(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word: length in words of the longest substring that begins there and also begins elsewhere in its row."""
-    n = len(tokens)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    levels = [_dense(row, tokens)]
-    # Suffixes alone in their rank are sorted; only the others are looked at again.
-    width, open_ = 1, np.arange(n)
+def _pairs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers of 31 bits as one; ``low`` may be -1."""
+    return (high.astype(np.int64) << 32) + low + 1
+
+
+def _sorted_suffixes(signs: np.ndarray) -> np.ndarray:
+    """The suffix array of a string over ranks. Suffixes alone in their rank are sorted; only the others are looked at again."""
+    n = len(signs)
+    rank, width, open_ = signs.copy(), 1, np.arange(n, dtype=np.int32)
     while True:
-        rank = levels[-1]
-        count = np.bincount(rank[open_], minlength=int(rank.max()) + 1)
+        count = np.bincount(rank[open_], minlength=n)
         open_ = open_[count[rank[open_]] > 1]
-        if len(open_) == 0:
+        del count
+        if not len(open_):
             break
-        ahead = open_ + width
-        inside = (ahead < n) & (row[np.minimum(ahead, n - 1)] == row[open_])
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)], -1)
-        order = np.lexsort((second, rank[open_]))
-        a, b = rank[open_][order], second[order]
+        second = np.where(open_ + width < n, rank[np.minimum(open_ + width, n - 1)], np.int32(-1))
+        key = _pairs(rank[open_], second)
+        del second
+        order = np.argsort(key).astype(np.int32)
+        key, place = key[order], np.arange(len(order), dtype=np.int32)
         # A rank is the place of its first suffix, so a finer rank stays inside the places of the coarser one.
-        head = np.ones(len(order), bool)
-        head[1:] = a[1:] != a[:-1]
-        new = head.copy()
-        new[1:] |= b[1:] != b[:-1]
-        place = np.arange(len(order))
-        within = place - np.maximum.accumulate(np.where(head, place, 0))
-        finer = rank.copy()
-        finer[open_[order]] = a + np.maximum.accumulate(np.where(new, place, 0)) - (place - within)
-        levels.append(finer)
+        new, head = np.ones(len(order), bool), np.ones(len(order), bool)
+        new[1:] = key[1:] != key[:-1]
+        head[1:] = key[1:] >> 32 != key[:-1] >> 32
+        finer = np.maximum.accumulate(np.where(new, place, np.int32(0))) - np.maximum.accumulate(np.where(head, place, np.int32(0)))
+        rank[open_[order]] = (key >> 32).astype(np.int32) + finer
         width *= 2
-    # Equal ranks of distinct suffixes of a row mean that both reach the full length of the level.
-    order = np.argsort(levels[-1], kind="stable")
-    left, right = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    for j in range(len(levels) - 1, -1, -1):
-        step = 1 << j
-        ok = (left < n) & (right < n)
-        ok[ok] = levels[j][left[ok]] == levels[j][right[ok]]
-        common += ok * step
-        left, right = left + ok * step, right + ok * step
-        done = (left < n) & (right < n)
-        left = np.where(done & (row[np.minimum(left, n - 1)] == row[order[:-1]]), left, n)
-        right = np.where(done & (row[np.minimum(right, n - 1)] == row[order[1:]]), right, n)
-    out = np.zeros(n, np.int64)
-    out[order[:-1]] = common
-    out[order[1:]] = np.maximum(out[order[1:]], common)
+    out = np.empty(n, np.int32)
+    out[rank] = np.arange(n, dtype=np.int32)
+    return out
+
+
+def repeats(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word: length in words of the longest substring that begins there and also begins elsewhere in its row."""
+    n = len(tokens)
+    if n == 0:
+        return np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+    signs = _ranks(_pairs(row, _ranks(tokens)))  # rows share no sign
+    array = _sorted_suffixes(signs)
+    common = permuted_common_prefixes(signs, array)
+    out = common.copy()
+    out[array[:-1]] = np.maximum(out[array[:-1]], common[array[1:]])
     return out
 
 
 def covered(length: np.ndarray) -> np.ndarray:
     """Words inside the union of the spans ``[i, i + length[i])``."""
-    reach = np.maximum.accumulate(np.arange(len(length)) + length) if len(length) else length
-    return reach > np.arange(len(length))
+    place = np.arange(len(length), dtype=np.int32)
+    return np.maximum.accumulate(place + length) > place if len(length) else place > 0
 
 
 def _per_row(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[first])
+    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])[first])
 
 
 def measure(data: np.ndarray, off: np.ndarray, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     """Counts for each row of a slice of texts."""
     start, end, first = words(data, off)
-    hashing = RangeHash.of_bytes(data)
-    token = hashing(start, end)
+    token = range_codes(data, start, end)
     n_words = np.diff(first)
-    row = np.repeat(np.arange(len(n_words)), n_words)
-    letters = np.concatenate([[0], np.cumsum(~SPACE[data] & ((data & 0xC0) != 0x80))])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    row = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
+    letters, symbols = np.zeros(len(n_words), np.int64), np.zeros(len(n_words), np.int64)
+    newlines = [np.zeros(0, np.int64)]
+    for a in range(0, len(data), STRETCH):
+        part = data[a : a + STRETCH]
+        of = np.searchsorted(off, np.array([a, a + len(part) - 1]), "right") - 1
+        cuts = np.clip(off[of[0] : of[1] + 1] - a, 0, None)
+        some = np.flatnonzero(np.diff(np.append(cuts, len(part))))
+        letters[of[0] + some] += np.add.reduceat(~SPACE[part] & ((part & 0xC0) != 0x80), cuts[some], dtype=np.int64)
+        symbols[of[0] + some] += np.add.reduceat(_SYMBOL[part], cuts[some], dtype=np.int64)
+        newlines.append(a + np.flatnonzero(part == 10))
 
     # Lines: from each row's start and after each newline, up to the next newline or the row's end.
-    newline = np.flatnonzero(data == 10)
-    begins = np.sort(np.concatenate([off[:-1], newline + 1]))
-    begins = begins[np.searchsorted(off, begins, "right") <= len(off) - 1] if len(begins) else begins
-    begins = np.unique(begins)
+    newline = np.concatenate(newlines)
+    begins = np.unique(np.concatenate([off[:-1], newline + 1]))
+    begins = begins[begins < len(data)]
     line_row = np.searchsorted(off, begins, "right") - 1
     stop = np.minimum(np.append(newline, len(data))[np.searchsorted(newline, begins)], off[line_row + 1])
-    has_word = letters[stop] > letters[begins]
+    has_word = np.searchsorted(start, stop) > np.searchsorted(start, begins)
     begins, stop, line_row = begins[has_word], stop[has_word], line_row[has_word]
-    order = np.lexsort((hashing(begins, stop), line_row))
+    code = range_codes(data, begins, stop)
+    order = np.lexsort((code, line_row))
     same = np.zeros(len(order), bool)
-    h = hashing(begins, stop)[order]
-    same[1:] = (h[1:] == h[:-1]) & (line_row[order][1:] == line_row[order][:-1])
+    same[1:] = (code[order[1:]] == code[order[:-1]]) & (line_row[order[1:]] == line_row[order[:-1]])
     dup_lines = np.bincount(line_row[order], weights=same, minlength=len(n_words)).astype(np.int64)
+    del start, end, newline, newlines, begins, stop, line_row, code, order, same
 
     # Windows of three words that occur twice or more in their row.
-    at = np.flatnonzero(np.arange(len(row)) + 2 < first[row + 1]) if len(row) else np.zeros(0, np.int64)
-    window = RangeHash(token)(at, at + 3)
-    order = np.lexsort((window, row[at]))
-    w, r = window[order], row[at][order]
-    twin = np.zeros(len(order), bool)
-    twin[1:] = (w[1:] == w[:-1]) & (r[1:] == r[:-1])
-    twin[:-1] |= twin[1:]
-    in_window = np.zeros(len(row) + 3, bool)
-    for k in range(3):
-        in_window[at[order[twin]] + k] = True
+    twin = np.zeros(len(row) + 3, bool)
+    long = np.flatnonzero(n_words >= 3)
+    if len(long):
+        window, at = shingles(token, first, 3)
+        place = np.arange(len(window), dtype=np.int32) + np.repeat((first[:-1] - at[:-1]).astype(np.int32), np.diff(at))
+        key = _pairs(row[place], _ranks(window))
+        del window
+        order = np.argsort(key)
+        equal = np.zeros(len(order) + 1, bool)
+        equal[1:-1] = key[order[1:]] == key[order[:-1]]
+        found = place[order[equal[1:] | equal[:-1]]]
+        for k in range(3):
+            twin[found + k] = True
+        del key, order, equal, place, found
     length = repeats(token, first)
     longest = np.zeros(len(n_words), np.int64)
     np.maximum.at(longest, row, length)
     return {
         "n_words": n_words,
-        "word_chars": letters[off[1:]] - letters[off[:-1]],
-        "n_symbols": symbols[off[1:]] - symbols[off[:-1]],
+        "word_chars": letters,
+        "n_symbols": symbols,
         "n_dup_lines": dup_lines,
-        "n_repeat_words": _per_row(in_window[: len(row)], first),
+        "n_repeat_words": _per_row(twin[: len(row)], first),
         "n_covered_words": _per_row(covered(np.where(length >= min_repeat, length, 0)), first),
         "longest_repeat": longest,
     }

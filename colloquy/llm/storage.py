@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``. Only a session without that setting (a test) gets a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from colloquy.shared import shared_path
 
 
 def spool(df: DataFrame, label: str) -> DataFrame:

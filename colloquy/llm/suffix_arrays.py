@@ -1,15 +1,19 @@
 """Suffix arrays of byte strings by induced sorting, and their permuted common prefixes.
 
-The scans that induce an array run bucket by bucket: all suffixes of a bucket
-that are in place push their predecessors into later buckets at once, and runs
-of one sign take one round for each repetition.
+Suffixes are classified, the substrings between leftmost-smaller places are
+sorted and named, and the string of names is sorted the same way, until all names
+differ (Nong, Zhang and Chan 2009). Over bytes the scans that induce an array run
+bucket by bucket: all suffixes of a bucket that are in place push their
+predecessors into later buckets at once, and runs of one sign take one round for
+each repetition.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import functools
+import itertools
 
-from colloquy.llm.textscan import RangeHash, mix
+import numpy as np
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -77,76 +81,159 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sorted_lms: np.ndarray) -> np
     return array
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string with a large alphabet; suffixes alone in their rank are left alone."""
-    n, width = len(names), 1
-    order = np.argsort(names, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = names[order][1:] != names[order][:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    open_ = np.arange(n)
-    while True:
-        count = np.bincount(rank[open_], minlength=n)
-        open_ = open_[count[rank[open_]] > 1]
+def _induce_large(size: list[int], larger_before: list[int], smaller_before: list[int], sorted_lms: list[tuple[int, int]]) -> list[int]:
+    """The same for a string of names, most of which stand alone in their bucket: sign by sign.
+
+    For each place, ``larger_before`` has the sign before it if the suffix there
+    is a larger one, else -1, and ``smaller_before`` the other way round; an entry
+    after the last stands for places of the array that are not filled yet.
+    """
+    n = len(larger_before) - 1
+    tail = list(itertools.accumulate(size))
+    head, back = [0, *tail[:-1]], tail.copy()
+    array = [n] * n
+    for i, c in reversed(sorted_lms):
+        p = back[c] = back[c] - 1
+        array[p] = i
+    for i in array:  # entries placed ahead of the scan are read when it gets there
+        c = larger_before[i]
+        if c >= 0:
+            p = head[c]
+            array[p] = i - 1
+            head[c] = p + 1
+    for i in reversed(array):
+        c = smaller_before[i]
+        if c >= 0:
+            p = tail[c] = tail[c] - 1
+            array[p] = i - 1
+    return array
+
+
+def _substring_ranks(text: np.ndarray, start: np.ndarray, size: np.ndarray, signs: int) -> np.ndarray:
+    """Ranks of substrings over a large alphabet, sign by sign; only those with equals so far are looked at again.
+
+    Where a leftmost-smaller substring ends inside a longer one, the longer one
+    goes on with a larger suffix there, which comes first.
+    """
+    rank, open_, depth = np.zeros(len(start), np.int64), np.arange(len(start)), 0
+    while len(open_):
+        inside = size[open_] > depth
+        sign = np.full(len(open_), signs, np.int64)
+        sign[inside] = text[start[open_[inside]] + depth]
+        key = rank[open_] * (signs + 1) + sign
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], np.arange(len(order))
+        head, new = np.ones(len(order), bool), np.ones(len(order), bool)
+        new[1:] = key[1:] != key[:-1]
+        group = key // (signs + 1)
+        head[1:] = group[1:] != group[:-1]
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        rank[open_[order]] = group + first - np.maximum.accumulate(np.where(head, place, 0))
+        alone = new & np.append(new[1:], True)
+        open_ = open_[order[~alone & (size[open_[order]] > depth)]]
+        depth += 1
+    return rank
+
+
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the substrings of ``size`` signs from ``a`` and from ``b`` are equal, for each pair."""
+    out, open_ = np.ones(len(a), bool), np.arange(len(a))
+    for k in range(64):
+        open_ = open_[size[open_] > k]
         if not len(open_):
-            out = np.empty(n, np.int64)
-            out[rank] = np.arange(n)
             return out
-        second = np.where(open_ + width < n, rank[np.minimum(open_ + width, n - 1)], -1)
-        order = np.lexsort((second, rank[open_]))
-        a, b, place = rank[open_][order], second[order], np.arange(len(order))
-        head = np.ones(len(order), bool)
-        head[1:] = a[1:] != a[:-1]
-        new = head.copy()
-        new[1:] |= b[1:] != b[:-1]
-        finer = rank.copy()
-        finer[open_[order]] = a + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(head, place, 0))
-        rank, width = finer, width * 2
-
-
-def suffix_array(text: np.ndarray, smallest_alphabet: int = 4096) -> np.ndarray:
+        equal = text[a[open_] + k] == text[b[open_] + k]
+        out[open_[~equal]] = False
+        open_ = open_[equal]
+    for i in open_.tolist():
+        out[i] = np.array_equal(text[a[i] : a[i] + size[i]], text[b[i] : b[i] + size[i]])
+    return out
+
+
+#: Alphabets up to this size are induced bucket by bucket, larger ones sign by sign; the method is the same.
+SMALL_ALPHABET = 1024
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``text`` in order; the last sign must be the least and unique."""
     n = len(text)
     if n <= 2:
         return np.arange(n)[::-1].copy()
-    if text.max() < 2**15:
+    signs = int(text.max()) + 1
+    if signs <= 2**15:
         text = text.astype(np.int16)  # which numpy sorts by radix
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    if signs <= SMALL_ALPHABET:
+        induced = functools.partial(_induce, text, smaller)
+    else:
+        sizes = np.bincount(text, minlength=signs).tolist()
+        before = [np.concatenate([[-1], np.where(kind[:-1], text[:-1], -1), [-1]]).tolist() for kind in (~smaller, smaller)]
+
+        def induced(order: np.ndarray) -> np.ndarray:
+            return np.array(_induce_large(sizes, *before, list(zip(order.tolist(), text[order].tolist(), strict=True))))
+
     if len(lms) < 2:
-        return _induce(text, smaller, lms)
+        return induced(lms)
     # Sort the substrings between leftmost-smaller places, name them, and sort the string of names.
-    rough = _induce(text, smaller, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    stop = np.full(n, n, np.int64)
-    stop[lms[:-1]] = lms[1:] + 1
-    code = RangeHash(mix(text.astype(np.uint64) + np.uint64(1)))(ordered, stop[ordered])
+    stop = np.append(lms[1:] + 1, n)
+    if signs > SMALL_ALPHABET:
+        name = _substring_ranks(text, lms, stop - lms, signs)
+        if len(np.unique(name)) == len(lms):
+            return induced(lms[np.argsort(name)])
+        name = np.unique(name, return_inverse=True)[1]
+        return induced(lms[suffix_array(name)])
+    rough = induced(lms)
+    number = np.full(n, -1, np.int64)
+    number[lms] = np.arange(len(lms))
+    ordered = number[rough]
+    ordered = ordered[ordered >= 0]
+    size = (stop - lms)[ordered]
     differs = np.ones(len(ordered), bool)
-    differs[1:] = (code[1:] != code[:-1]) | (np.diff(stop[ordered] - ordered) != 0)
-    name = np.zeros(n, np.int64)
-    name[ordered] = np.cumsum(differs) - 1
-    reduced = name[lms]
+    alike = np.flatnonzero(size[1:] == size[:-1])
+    differs[alike + 1] = ~_same(text, lms[ordered[alike + 1]], lms[ordered[alike]], size[alike])
     if differs.all():
-        return _induce(text, smaller, ordered)
-    deeper = suffix_array(reduced, smallest_alphabet) if differs.sum() <= smallest_alphabet else _doubled(reduced)
-    return _induce(text, smaller, lms[deeper])
+        return induced(lms[ordered])
+    name = np.empty(len(lms), np.int64)
+    name[ordered] = np.cumsum(differs) - 1
+    return induced(lms[suffix_array(name)])
 
 
-def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, limit: int) -> np.ndarray:
-    """For each place of ``text``, in text order: what its suffix has in common with the one before it in the array, up to ``limit`` or more."""
+def permuted_common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """For each place of ``text``, in text order: how many signs its suffix has in common with the one before it in the array.
+
+    Where the signs before a suffix and before its neighbour are equal, the
+    common prefix is one less than that of the place before. At all other places
+    signs are compared, and those comparisons are few in all (Kärkkäinen,
+    Manzini and Puglisi 2009).
+    """
     n = len(text)
-    hashing = RangeHash(mix(text.astype(np.uint64) + np.uint64(1)))
-    before = np.full(n, n, np.int64)
+    out = np.zeros(n, array.dtype)
+    if n < 2:
+        return out
+    before = np.empty(n, array.dtype)
     before[array[1:]] = array[:-1]
-    out, at = np.zeros(n, np.int64), np.arange(n)
-    step = 1 << max(0, int(limit).bit_length() - 1)
-    while step:
-        ok = np.flatnonzero((at + out + step <= n) & (before + out + step <= n))
-        a, b = at[ok] + out[ok], before[ok] + out[ok]
-        same = hashing(a, a + step) == hashing(b, b + step)
-        out[ok[same]] += step
-        step //= 2
-    return out
+    before[array[0]] = -1
+    own = np.ones(n, bool)
+    own[1:] = (before[1:] < 1) | (text[before[1:] - 1] != text[:-1])
+    at = np.flatnonzero(own)
+    at = at[before[at] >= 0]
+    open_, other, length = at, before[at], 0
+    while len(open_) > 256:
+        inside = (open_ + length < n) & (other + length < n)
+        inside[inside] = text[open_[inside] + length] == text[other[inside] + length]
+        out[open_[~inside]] = length
+        open_, other, length = open_[inside], other[inside], length + 1
+    for i, j in zip(open_.tolist(), other.tolist(), strict=True):  # few are left, so each is compared in growing stretches
+        k, step, most = length, 64, n - max(i, j)
+        while k < most:
+            a, b = text[i + k : i + min(k + step, most)], text[j + k : j + min(k + step, most)]
+            wrong = np.flatnonzero(a != b)
+            if len(wrong):
+                k += int(wrong[0])
+                break
+            k, step = k + len(a), step * 2
+        out[i] = k
+    place = np.arange(n, dtype=array.dtype)
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return np.where(before < 0, 0, out[last] - (place - last)).astype(array.dtype)

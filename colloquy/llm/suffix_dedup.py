@@ -2,21 +2,24 @@
 
 No task can hold a suffix array of the corpus, and nearly all of its suffixes
 are alone. So each window of ``LENGTH`` bytes is served by an anchor, the
-substring of ``GRAM`` bytes in it with the least hash: equal windows have equal
-anchors, wherever they stand. Anchors that occur once serve no repeats. For the
-others, the stretch of text whose windows an anchor serves is its context:
+substring of ``GRAMS[0]`` bytes in it with the least hash: equal windows have
+equal anchors, wherever they stand. Anchors that occur once serve no repeats. For
+the others, the stretch of text whose windows an anchor serves is its context:
 
-* equal contexts of one anchor are repeats as a whole;
+* equal contexts of one anchor (64 bits each of anchor and context) are repeats
+  as a whole, and one of them stands for all in what follows;
 * different contexts of one anchor go to the same shard, whose suffix array is
   built by induced sorting; permuted common prefixes of ``LENGTH`` or more mark
   the repeated windows;
-* anchors with more than ``MOST_CONTEXTS`` different contexts do not fit a
-  shard; their windows are counted one by one, by hash, in a shuffle.
+* the windows of an anchor with more than ``MOST_CONTEXTS`` different contexts
+  would not fit a shard; they are served anew by longer anchors, the next of
+  ``GRAMS``, which are rarer. The last are whole windows, which have one context.
 
 Edge cases: a null text counts as empty, texts under ``LENGTH`` bytes lose
-nothing, rows are told apart by doc_id and text (64-bit hash), so null and
-repeated doc_ids do no harm and repeated rows are copies of each other, extra
-columns are ignored, an empty table gives no rows.
+nothing, rows are told apart by doc_id and text (128 bits), so null and repeated
+doc_ids do no harm and repeated rows are copies of each other, of equal strings
+all are removed, long texts are served stretch by stretch, extra columns are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.storage import spool
 from colloquy.llm.suffix_arrays import permuted_common_prefixes, suffix_array
-from colloquy.llm.textscan import RangeHash, mix, pieces
+from colloquy.llm.textscan import CHUNK_BYTES, gram_hashes, pieces
 
 LENGTH = 200
-GRAM = 32
+GRAMS = (64, 132, 200)
 MOST_CONTEXTS = 2_000
 SHARD_BYTES = 1_000_000
 
@@ -52,14 +56,12 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def serve(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, anchor hash, context hash, start of the first window served, and number of further windows, for each anchor."""
-    hashing = RangeHash.of_bytes(data)
+    """Row, anchor, context (hashes), start of the first window served, and number of further windows, for each anchor."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < length:
         return none
-    place = np.arange(len(data) - gram + 1)
-    grams = hashing(place, place + gram)
-    least = _least((grams & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64), length - gram + 1)
+    grams = gram_hashes(data, gram)
+    least = _least((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     row_end = np.repeat(off[1:], np.diff(off))
     window = np.flatnonzero(np.arange(len(least)) + length <= row_end[: len(least)])
     if not len(window):
@@ -70,24 +72,30 @@ def serve(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     start, more, anchor = window[first], window[last] - window[first], anchor[first]
-    context = mix(hashing(start, start + more + length) ^ mix((anchor - start).astype(np.uint64)))
+    raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    context = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + more + length).tolist(), strict=True)], np.uint64)
     return np.searchsorted(off, start, "right") - 1, grams[anchor].view(np.int64), context.view(np.int64), start, more
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    """doc_id, row_key (128 bits), base, bytes: the whole text from its first byte on."""
+    sides = [F.lpad(F.hex(F.xxhash64(*c)), 16, "0") for c in (("doc_id", "text"), ("text", "doc_id"))]
+    return docs.select("doc_id", F.unhex(F.concat(*sides)).alias("row_key"), F.lit(0).alias("base"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
 
 
-def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row_key, anchor, context, start, more): one row for each anchor that serves windows."""
+def anchors(stretches: DataFrame, length: int, gram: int, limit: int = CHUNK_BYTES) -> DataFrame:
+    """(row_key, base, anchor, context, start, more): one row for each anchor that serves windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in pieces(batches):
-            row, anchor, context, start, more = serve(data, off, length, gram)
-            columns = [part.column(0).to_numpy()[row], anchor, context, start - off[row], more]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), *(pa.array(c.astype(np.int32)) for c in columns[3:])], ["row_key", "anchor", "context", "start", "more"])
+        for part, data, off in pieces(batches, "bytes", limit):
+            # One long text is served in parts that share no window.
+            for a in range(0, max(1, len(data) - length + 1), limit if len(off) == 2 else len(data) + 1):
+                here = (data[a : a + limit + length - 1], np.array([0, min(limit + length - 1, len(data) - a)])) if len(off) == 2 else (data, off)
+                row, anchor, context, start, more = serve(*here, length, gram)
+                numbers = [pa.array(anchor), pa.array(context), pa.array((start - here[1][row] + a).astype(np.int32)), pa.array(more.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in (0, 1)), *numbers], ["row_key", "base", "anchor", "context", "start", "more"])
 
-    return keyed(docs).select("row_key", "text").mapInArrow(run, "row_key long, anchor long, context long, start int, more int")
+    return stretches.select("row_key", "base", "bytes").mapInArrow(run, "row_key binary, base int, anchor long, context long, start int, more int")
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -103,84 +111,79 @@ def repeated_in_shard(contexts: list[bytes], length: int) -> list[np.ndarray]:
     text[:-1] = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 2
     text[starts[1:] - 1] = 1  # ends a context; the last sign of all, 0, is the least
     array = suffix_array(text)
-    common = permuted_common_prefixes(text, array, length) >= length
+    common = permuted_common_prefixes(text, array) >= length
     after = np.zeros(len(text), bool)
     after[array[:-1]] = common[array[1:]]
     repeated = common | after
     return [repeated[a : a + n - length] for a, n in zip(starts[:-1], sizes, strict=True)]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(row_key, begin, end): bytes of a text that repeats cover; spans may overlap."""
-    found = spool(anchors(docs, length, gram), "found")
-    # A table of its own, so that Spark can split the partition of an anchor that very many rows share.
-    shared = spool(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
-    served = spool(found.join(shared, "anchor"), "anchors")
-    groups = served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start", "more")).alias("lead"))
-    groups = spool(groups, "contexts")
-    whole = served.join(groups.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    spans = whole.select("row_key", F.col("start").alias("begin"), (F.col("start") + F.col("more") + length).alias("end"))
-
-    variety = spool(groups.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "variety")
-    mixed = groups.join(variety, "anchor").select("anchor", "n", "contexts", "lead.*")
-    total = mixed.where(F.col("contexts") <= most_contexts).agg(F.coalesce(F.sum(F.col("more") + length), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_bytes))
-    asked = mixed.select("row_key", F.struct("anchor", F.col("n").alias("copies"), "contexts", "start", "more").alias("ask")).groupBy("row_key").agg(F.collect_list("ask").alias("asks"))
-    texts = keyed(docs).select("row_key", "text").join(asked.hint("merge"), "row_key").dropDuplicates(["row_key"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row_key", "anchor", "copies", "start", "more", "many", "bytes"]
+def _cut(stretches: DataFrame, mixed: DataFrame, length: int, most_contexts: int) -> DataFrame:
+    """row_key, anchor, copies, base, many, bytes: the contexts that ``mixed`` names, base counted in their text."""
+    ask = F.struct("anchor", F.col("n").alias("copies"), F.col("contexts"), "start", "more").alias("ask")
+    asked = mixed.select("row_key", "base", ask).groupBy("row_key", "base").agg(F.collect_list("ask").alias("asks"))
+    texts = stretches.select("row_key", "base", "bytes").join(asked.hint("merge"), ["row_key", "base"]).dropDuplicates(["row_key", "base"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
-            for key, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode()
+            for key, base, raw, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for a in asks:
-                    out.append((key, a["anchor"], a["copies"], a["start"], a["more"], a["contexts"] > most_contexts, raw[a["start"] : a["start"] + a["more"] + length]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    out.append((key, a["anchor"], a["copies"], base + a["start"], a["contexts"] > most_contexts, raw[a["start"] : a["start"] + a["more"] + length]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row_key", "anchor", "copies", "base", "many", "bytes"])
+
+    return texts.mapInArrow(run, "row_key binary, anchor long, copies long, base int, many boolean, bytes binary")
 
-    stretches = spool(texts.mapInArrow(cut, "row_key long, anchor long, copies long, start int, more int, many boolean, bytes binary"), "stretches")
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(row_key, begin, end): bytes of a text that repeats cover; spans may overlap. The last of ``grams`` must be ``length``."""
+    schema = "row_key binary, begin int, end int"
 
     def in_shard(table: pa.Table) -> pa.Table:
-        key, copies, start = (table.column(c).to_pylist() for c in ("row_key", "copies", "start"))
+        key, copies, base = (table.column(c).to_pylist() for c in ("row_key", "copies", "base"))
         out = []
         for i, flags in enumerate(repeated_in_shard(table.column("bytes").to_pylist(), length)):
             if copies[i] == 1:  # contexts that occur more than once are repeats already
-                out += [(key[i], start[i] + a, start[i] + b - 1 + length) for a, b in _runs(flags)]
+                out += [(key[i], base[i] + a, base[i] + b - 1 + length) for a, b in _runs(flags)]
         columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("row_key", "begin", "end"), columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)})
-
-    few = stretches.where("not many").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    spans = spans.union(few.groupBy("shard").applyInArrow(in_shard, "row_key long, begin int, end int"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in pieces(batches, "bytes"):
-            n = np.maximum(np.diff(off) - length + 1, 0)
-            row = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = off[row] + inside
-            codes = RangeHash.of_bytes(data)(at, at + length).view(np.int64)
-            begin = part.column(1).to_numpy()[row] + inside
-            yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(begin.astype(np.int32)), pa.array(codes)], ["row_key", "begin", "code"])
-
-    each = stretches.where("many").select("row_key", "start", "bytes").mapInArrow(windows, "row_key long, begin int, code long")
-    twice = each.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    return spans.union(each.join(twice, "code").select("row_key", "begin", (F.col("begin") + length).cast("int").alias("end")))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("row_key", "begin", "end"), columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)})
+
+    stretches, spans = keyed(docs), None
+    for gram in grams:
+        found = spool(anchors(stretches, length, gram), "found")
+        # Tables of their own, so that Spark can split the partition of an anchor or context that very many rows share.
+        shared = spool(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
+        served = spool(found.join(shared, "anchor"), "anchors")
+        groups = spool(served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "base", "start", "more")).alias("lead")), "contexts")
+        whole = served.join(groups.where("n > 1").select("anchor", "context").hint("merge"), ["anchor", "context"], "left_semi")
+        begin = F.col("base") + F.col("start")
+        settled = whole.select("row_key", begin.alias("begin"), (begin + F.col("more") + length).alias("end"))
+        spans = settled if spans is None else spans.union(settled)
+
+        variety = spool(groups.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "variety")
+        cut = spool(_cut(stretches, groups.join(variety, "anchor").select("anchor", "n", "contexts", "lead.*"), length, most_contexts), "stretches")
+        few, many = cut.where("not many"), cut.where("many")
+        shards = max(1, math.ceil(few.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0] / shard_bytes))
+        spans = spans.union(few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(in_shard, schema))
+        if many.isEmpty():
+            break
+        stretches = many
+    return spans
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most_contexts: int = MOST_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     kind = dict(docs.dtypes)["doc_id"]
-    spans = repeated_spans(docs, length, gram, most_contexts, shard_bytes)
+    spans = repeated_spans(docs, length, grams, most_contexts, shard_bytes)
     lists = spool(spans.groupBy("row_key").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "spans")
-    joined = keyed(docs).join(lists.hint("merge"), "row_key", "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(lists.hint("merge"), "row_key", "left").select("doc_id", "bytes", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
+            for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for begin, end in sorted((s["begin"], s["end"]) for s in found or ()):
                     if runs and begin <= runs[-1][1]:

@@ -4,25 +4,39 @@ import random
 import numpy as np
 import pytest
 
-from colloquy.llm import suffix_dedup
+from colloquy.llm import suffix_arrays, suffix_dedup
 from colloquy.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
 from .helpers import edge_docs, edge_rows, empty_docs, in_order
 
 
-def test_suffix_arrays_and_common_prefixes():
+@pytest.mark.parametrize("small", [1024, 2])
+def test_suffix_arrays_and_common_prefixes(small, monkeypatch):
+    """Bucket by bucket, and sign by sign as for large alphabets."""
+    monkeypatch.setattr(suffix_arrays, "SMALL_ALPHABET", small)
     r = random.Random(2)
     for _ in range(300):
         text = [r.randint(1, r.choice([1, 2, 3, 5])) for _ in range(r.randint(0, 60))] + [0]
         order = sorted(range(len(text)), key=lambda i: text[i:])
         assert suffix_array(np.array(text)).tolist() == order
-        assert suffix_array(np.array(text), 2).tolist() == order  # large alphabets take the other way
-        common = permuted_common_prefixes(np.array(text), np.array(order), 8)
+        common = permuted_common_prefixes(np.array(text), np.array(order))
         for a, b in zip(order, order[1:], strict=False):
             k = 0
             while a + k < len(text) and b + k < len(text) and text[a + k] == text[b + k]:
                 k += 1
-            assert common[b] == k or k > 15 and common[b] >= 8
+            assert common[b] == k
+
+
+def test_suffix_array_of_text(spark, sf_dir):
+    """A long text with deep recursion: neighbours are in order, and their common prefixes are right."""
+    raw = "\n".join(r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()).encode()[:200_000]
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0)
+    array = suffix_array(text)
+    common = permuted_common_prefixes(text, array)
+    assert sorted(array.tolist()) == list(range(len(text)))
+    for a, b in zip(array[:-1].tolist(), array[1:].tolist(), strict=True):
+        k = int(common[b])
+        assert np.array_equal(text[a : a + k], text[b : b + k]) and text[a + k] < text[b + k]
 
 
 def brute(rows, length):
@@ -56,12 +70,12 @@ def planted():
     return out
 
 
-@pytest.mark.parametrize("most_contexts", [2_000, 10])
+@pytest.mark.parametrize("most_contexts", [2_000, 10, 1])
 def test_against_all_windows(spark, most_contexts):
-    """Shards, and the count of windows that takes over where an anchor has too many contexts."""
+    """Shards, and the longer anchors that take over where an anchor has too many contexts."""
     rows = [r[:2] for r in edge_rows() if r[0] != 7] + planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = suffix_dedup.remove_repeats(docs, length=50, gram=12, most_contexts=most_contexts, shard_bytes=5_000)
+    found = suffix_dedup.remove_repeats(docs, length=50, grams=(12, 30, 50), most_contexts=most_contexts, shard_bytes=5_000)
     assert in_order(found.collect()) == in_order(brute(rows, 50))
 
 
@@ -72,3 +86,13 @@ def test_edge_cases(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(empty_docs(spark)).count() == 0
+
+
+def test_long_texts_are_served_in_parts(spark):
+    """The stretches of a long text share no window and leave none out."""
+    r = random.Random(9)
+    text = "".join(r.choice("abcd") for _ in range(5_000))
+    docs = spark.createDataFrame([(1, text), (2, text[1_000:3_000])], "doc_id long, text string")
+    found = suffix_dedup.anchors(suffix_dedup.keyed(docs), 50, 12, 400).collect()
+    assert sum(x.more + 1 for x in found) == 5_000 - 49 + 2_000 - 49
+    assert len({x.anchor for x in found if x.more}) < len(found)

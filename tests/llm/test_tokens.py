@@ -7,7 +7,7 @@ import pyarrow.orc as orc
 import pytest
 from tokenizers import Tokenizer
 
-from colloquy.llm import packing, token_files
+from colloquy.llm import encoding, packing, textscan, token_files
 from colloquy.llm.encoding import Encoder, vocabulary
 
 from .helpers import edge_docs, edge_rows, empty_docs
@@ -15,7 +15,6 @@ from .helpers import edge_docs, edge_rows, empty_docs
 
 def library(name):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +32,35 @@ def test_encoder_gives_the_ids_of_the_library(name, lower):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [plain(t) for t in texts]
 
 
+THUE = ["a", "b"]
+while len(THUE[0]) < 2048:
+    THUE = [THUE[0] + THUE[1], THUE[1] + THUE[0]]
+
+
+@pytest.mark.parametrize(("name", "lower"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_added_tokens_and_equal_codes(name, lower, monkeypatch):
+    """Strings of added tokens are what the library makes of them; pre-tokens with one code are told apart by their bytes."""
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a", "a<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", *THUE]
+    texts += [w[:n] for w in THUE for n in (1024, 257, 256, 255, 64)] + ["abcdefghi jklmnopqrs", "abcdefgh abcdefghi abcdefgh"]
+    plain = library(name)
+    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocabulary(name), lower)(texts)] == [plain(t) for t in texts]
+    real = encoding.range_codes
+    monkeypatch.setattr(encoding, "range_codes", lambda data, start, end: np.where(end - start <= 8, real(data, start, end), np.uint64(77)))
+    encode = Encoder(vocabulary(name), lower)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [plain(t) for t in texts]
+
+
+def test_range_codes():
+    r = random.Random(7)
+    data = np.frombuffer("".join(r.choice("ab") for _ in range(3000)).encode() + b"\0" * 40, np.uint8)
+    start = np.array([r.randrange(len(data)) for _ in range(4000)])
+    end = np.minimum(start + np.array([r.choice([0, 1, 7, 8, 9, 17, 300]) for _ in start]), len(data))
+    codes = textscan.range_codes(data, start, end).tolist()
+    ranges = [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+    assert len(set(zip(codes, ranges, strict=True))) == len(set(codes)) == len(set(ranges))
+
+
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
