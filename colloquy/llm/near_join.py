@@ -1,98 +1,187 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
-Candidates come from a MinHash LSH forest: each of ``TREES`` prefix tries holds
-one label of ``DEPTH`` minimum hashes for every distinct text. Matching begins
-at the full label and shortens the prefix until a pair at the threshold meets in
-some trie with at least ``recall``; texts under one trie node are then linked to
-the least of them. Every set of texts that hangs together this way gets its
-shingles once and is verified exactly, all against all, in blocks of bounded
-size. What leaves a task is one row per text and block, never a pair.
-
-Copies (equal word sequences) stand for one text from the start. Results: one
-row per document with its class (the documents that chains of links join) and
-its number of links, that is, of other texts with similarity at least
+Candidates come from a MinHash LSH forest. Each of ``TREES`` prefix tries holds
+one label of ``DEPTH`` minimum hashes for every distinct text; a node is a tree
+and a prefix. Matching begins at whole labels. Texts under one node are compared
+with its least text by their signatures, and from the similarity of what it met
+each text knows what share of such partners its matches can find. Where that is
+less than ``recall``, its prefix is shortened by one and it matches again, until
+the share is reached; a text that met nobody goes on until a partner right at the
+threshold would have been found with ``recall``.
+
+What meets in a node and looks alike is joined to candidate sets; texts whose
+signatures are too far apart to be at the threshold do not join them. Every set
+gets its shingles once and is verified exactly, all against all in blocks of
+bounded size, but for pairs whose sizes alone rule a link out. What leaves a task
+is one row per text and block, never a pair.
+
+Copies (equal word sequences, by 128 bits) stand for one text from the start.
+Results: one row per document with its class (the documents that chains of links
+join) and its number of links, that is, of other texts with similarity at least
 ``threshold``.
 
 Edge cases: a null or wordless text has no shingles and is a class of its own,
 a text of fewer than ``size`` words has one shingle, documents with null doc_ids
-take part, repeated rows are copies, extra columns are ignored, an empty table
+take part (a class of such documents alone has a null class_id), repeated rows
+are copies, a pair right at the threshold is linked, of several rows that could
+lead a class the least doc_id leads, extra columns are ignored, an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.components import components
+from colloquy.llm.rows import row_key
 from colloquy.llm.storage import spool
-from colloquy.llm.textscan import RangeHash, pieces, shingles, words
+from colloquy.llm.textscan import pieces, range_codes, shingles, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 RECALL = 0.9999
-#: Texts in one block of exact verification, and blocks' worth of small sets in one task.
+#: Texts of a node that one task compares, and nodes' worth of them in one task.
+NODE = 2_048
+#: Texts and shingles in one block of exact verification.
 BLOCK = 512
+BLOCK_SHINGLES = 400_000
+#: A signature's estimate is this many standard errors below the threshold once in a billion pairs at the threshold.
+ERRORS = 6.0
 _SEEDS = np.random.default_rng(20_250_101).integers(1, 2**32, (2, TREES * DEPTH), dtype=np.uint32)
 
 
-def prefix_length(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in some trie with at least ``recall``."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
-        length -= 1
-    return length
+def found_share(similarity: float, length: int, trees: int = TREES) -> float:
+    """Share of the pairs of a similarity that meet under a prefix of ``length`` hashes in some trie."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def least_estimate(threshold: float, hashes: int = TREES * DEPTH) -> float:
+    """What the signatures of a pair at the threshold agree in at least."""
+    return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / hashes)
 
 
-def _scan(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes, their offsets, the key of each text's word sequence, and which rows have words."""
+# -- signatures ----------------------------------------------------------------------------------
+
+
+def _scan(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Shingle codes, their offsets, and the key of each text's word sequence (none without words)."""
     start, end, first = words(data, off)
-    codes = RangeHash.of_bytes(data)(start, end)
-    hashes, at = shingles(codes, first, size)
-    keys = RangeHash(codes)(first[:-1], first[1:]).view(np.int64)
-    return hashes, at, keys, np.diff(first) > 0
+    codes, at = shingles(range_codes(data, start, end), first, size)
+    cuts, raw = off.tolist(), data.tobytes()
+    keys = [xxhash.xxh3_128_digest(b" ".join(raw[a:b].split())) if some else None for a, b, some in zip(cuts[:-1], cuts[1:], (np.diff(first) > 0).tolist(), strict=True)]
+    return codes, at, keys
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the word sequence; null without words), labels (16 bits for each minimum hash)."""
+    """doc_id, row_key, key (of the word sequence; null without words), n (shingles), labels (16 bits for each minimum hash)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, flip = _SEEDS[0] | np.uint32(1), _SEEDS[1]
         for part, data, off in pieces(batches):
-            hashes, at, keys, some = _scan(data, off, size)
+            codes, at, keys = _scan(data, off, size)
+            some = np.diff(at) > 0
             least = np.zeros((len(some), TREES * DEPTH), np.uint16)
             if some.any():
-                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                short = (codes >> np.uint64(32)).astype(np.uint32)
                 for j in range(TREES * DEPTH):
                     least[some, j] = np.minimum.reduceat((short ^ flip[j]) * scale[j], at[:-1][some]).astype(np.uint16)
             # The low bits of the minimum name the shingle that has it; the high bits are small for every text.
             labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(least.shape[1] * 2), len(some), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, mask=~some), labels], ["doc_id", "key", "labels"])
+            columns = [*part.columns[:2], pa.array(keys, pa.binary()), pa.array(np.diff(at)), labels]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "key", "n", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, labels binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key binary, key binary, n long, labels binary")
 
 
-def candidate_sets(texts: DataFrame, length: int) -> DataFrame:
-    """(node, root): texts (key, labels) that meet under a trie node, joined to sets."""
-    trees = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * (2 * DEPTH) + 1, F.lit(2 * length))),
-    )
-    under = texts.select("key", F.explode(trees).alias("trie_node"))
-    least = under.groupBy("trie_node").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("trie_node", "least")
-    least = spool(least, "nodes")  # a table of its own, so that Spark can split a node that very many texts share
-    edges = under.join(least, "trie_node").where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
-    return components(edges)
+# -- the forest ----------------------------------------------------------------------------------
+
+
+def _matches(texts: DataFrame, length: int, seen: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Matches (u, v, similarity) under prefixes of ``length`` where an open text takes part, and the sets of texts under them.
+
+    ``texts`` is id, labels, open. Nodes with the same texts as one of ``seen``, or as one another, count once.
+    """
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("labels", t * (2 * DEPTH) + 1, F.lit(2 * length))))
+    under = texts.select("id", "open", F.explode(nodes).alias("node"))
+    held = F.bit_xor(F.xxhash64("id")).alias("held")
+    sets = under.groupBy("node").agg(F.min("id").alias("lead"), F.count("*").alias("n"), held, F.max("open").alias("open")).where("n > 1 and open")
+    sets = sets.groupBy("lead", "n", "held").agg(F.min("node").alias("node"))
+    if seen is not None:
+        sets = sets.join(seen, ["lead", "n", "held"], "left_anti")
+    sets = spool(sets, "nodes")  # a table of its own, so that Spark can split a node that very many texts share
+
+    # A large node is dealt to several tasks, which all have its least text.
+    members = under.select("id", "node").join(sets, "node").withColumn("parts", F.ceil(F.col("n") / NODE).cast("int"))
+    own = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    members = members.select("id", "node", "lead", "parts", F.explode(own).alias("part"))
+    shares = max(1, -(-sets.where(F.col("n") <= NODE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // NODE))
+    task = F.when(F.col("parts") == 1, F.pmod("node", F.lit(shares))).otherwise(F.xxhash64("node", "part"))
+    least = least_estimate(threshold)
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, ids, lead = (table.column(c).to_numpy() for c in ("node", "id", "lead"))
+        parts = table.column("parts").to_numpy()
+        labels = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint16).reshape(len(node), TREES * DEPTH)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        order = np.argsort(node, kind="stable")
+        for one in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            first = one[ids[one] == lead[one]][0]
+            one = one[one != first]
+            alike = (labels[one] == labels[first]).mean(axis=1)
+            near = alike >= least
+            out.append((ids[one[near]], np.full(near.sum(), ids[first]), alike[near]))
+            for i in one[~near].tolist():  # too far from the least text, but perhaps near another
+                if parts[i] > 1:
+                    out.append((ids[[i]], ids[[first]], np.array([threshold])))
+                    continue
+                beside = one[one != i]
+                alike = (labels[beside] == labels[i]).mean(axis=1)
+                near = alike >= least
+                out.append((np.full(near.sum(), ids[i]), ids[beside[near]], alike[near]))
+        u, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"u": u, "v": v, "similarity": s})
+
+    dealt = members.withColumn("task", task).join(texts.select("id", "labels"), "id")
+    found = dealt.groupBy("task").applyInArrow(compare, "u long, v long, similarity double")
+    return spool(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "similarity").distinct(), "matches"), sets.select("lead", "n", "held")
+
+
+def candidate_sets(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(node, root): texts (id, labels) that meet in the forest, joined to sets."""
+    open_, seen, edges = texts.select("id", "labels", F.lit(True).alias("open")), None, None
+    for length in range(DEPTH, 0, -1):
+        met, sets = _matches(open_, length, seen, threshold)
+        seen = sets if seen is None else seen.union(sets)
+        edges = met if edges is None else edges.union(met)
+        if length == 1:
+            break
+        # A match stands for 1 / share partners of its similarity.
+        share = 1 - F.pow(1 - F.pow(F.greatest("similarity", F.lit(threshold)), length), TREES)
+        both = edges.distinct().select("u", "v", (1 / share).alias("stands_for"))
+        both = both.select(F.col("u").alias("id"), "stands_for").union(both.select("v", "stands_for"))
+        reached = both.groupBy("id").agg((F.count("*") / F.sum("stands_for")).alias("share"))
+        alone = found_share(threshold, length)  # what a text without any match can still have missed
+        if alone >= recall:
+            break
+        done = reached.where(F.col("share") >= recall).select("id", F.lit(False).alias("closed"))
+        open_ = spool(texts.select("id", "labels").join(done, "id", "left").select("id", "labels", F.coalesce("closed", F.lit(True)).alias("open")), "open")
+    return components(edges.select("u", "v"))
+
 
+# -- exact verification --------------------------------------------------------------------------
 
-def _verify(key: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+
+def _verify(key: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each text and the least text that it hangs together with, over pairs within a block or across two."""
     n = len(key)
     sizes = np.array([len(s) for s in sets])
@@ -112,7 +201,7 @@ def _verify(key: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold
         common += here @ here.T
     linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
     np.fill_diagonal(linked, False)
-    if side.any() and not side.all():
+    if across:
         linked &= side[:, None] != side[None, :]
     root = np.arange(n)
     while True:  # the least index over neighbours, followed to its end
@@ -123,58 +212,102 @@ def _verify(key: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold
         root = to
 
 
-def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), n_links, class_rows for every row of ``docs``."""
+def _blocks(sets: DataFrame, texts: DataFrame, threshold: float, block: int, block_shingles: int) -> DataFrame:
+    """id, task, unit, second, across: every pair of a set that can be linked meets in one unit.
+
+    A set that fits a block is a unit. A larger one is dealt into classes of size
+    (number of shingles) whose ends differ by the threshold, so that links lead
+    to the same or the next class only, and each class into blocks.
+    """
+    members = sets.select(F.col("node").alias("id"), "root").join(texts.select("id", "n"), "id")
+    members = members.withColumn("band", F.floor(F.log("n") / (-math.log(threshold) * (1 + 1e-9))).cast("int"))
+
+    def parts(n: Column, m: Column) -> Column:
+        return F.least(n, F.greatest(F.ceil(n / block), F.ceil(m / block_shingles))).cast("int")
+
+    bands = members.groupBy("root", "band").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    bands = bands.withColumn("entry", F.struct("band", parts(F.col("texts"), F.col("shingles")).alias("parts")))
+    plan = bands.groupBy("root").agg(F.map_from_entries(F.collect_list("entry")).alias("parts"), parts(F.sum("texts"), F.sum("shingles")).alias("whole"), F.sum("texts").alias("texts"))
+    plan = spool(plan, "plan")
+    shares = max(1, -(-plan.where("whole = 1").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0] // block))
+
+    dealt = members.join(plan.select("root", "parts", "whole"), "root")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")[F.col("band")]).cast("int"))
+    own, band = F.col("own"), F.col("band")
+
+    def units(other: Column, low: Column, first, second, is_second, across) -> Column:
+        some = F.when(other > 0, F.sequence(F.lit(0), other - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(some, lambda o: F.struct(F.xxhash64("root", low, first(o), second(o)).alias("unit"), is_second(o).alias("second"), across(o).alias("across")))
+
+    yes, no = F.lit(True), F.lit(False)
+    within = units(F.col("parts")[band], 2 * band, lambda o: F.least(own, o), lambda o: F.greatest(own, o), lambda o: own > o, lambda o: own != o)
+    above = units(F.coalesce(F.col("parts")[band + 1], F.lit(0)), 2 * band + 1, lambda o: own, lambda o: o, lambda o: no, lambda o: yes)
+    below = units(F.coalesce(F.col("parts")[band - 1], F.lit(0)), 2 * band - 1, lambda o: o, lambda o: own, lambda o: yes, lambda o: yes)
+    whole = F.array(F.struct(F.col("root").alias("unit"), no.alias("second"), no.alias("across")))
+    chosen = F.when(F.col("whole") == 1, whole).otherwise(F.concat(within, above, below))
+    spread = dealt.select("id", "whole", F.explode(chosen).alias("u")).select("id", "whole", "u.*")
+    return spread.withColumn("task", F.when(F.col("whole") == 1, F.pmod("unit", F.lit(shares))).otherwise(F.col("unit"))).drop("whole")
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, row_key, class_id, n_links, class_rows, lead (the row_key that leads the class) for every row of ``docs``."""
     signed = spool(signatures(docs, size), "signatures")
-    texts = signed.where("key is not null").groupBy("key").agg(F.first("labels").alias("labels"), F.min("doc_id").alias("lead"))
-    sets = spool(candidate_sets(texts.select("key", "labels"), prefix_length(threshold, recall)), "sets")
-
-    # Blocks of a set, every pair of them once; sets of one block share tasks.
-    counts = spool(sets.groupBy("root").agg(F.count("*").alias("texts")), "counts")
-    leads = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("lead"))
-    dealt = sets.join(counts, "root").join(leads, sets.node == leads.key).select("key", "root", "lead", F.ceil(F.col("texts") / block).cast("int").alias("blocks"))
-    dealt = spool(dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "blocks")
-    shares = max(1, -(-dealt.where("blocks = 1").count() // block))
-    pairs = dealt.select("key", "root", "lead", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = F.when(F.col("blocks") == 1, F.pmod("root", F.lit(shares))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
-    wanted = pairs.select("key", "root", "lead", task.alias("task"), (F.col("own") > F.col("other")).alias("second"))
+    texts = signed.where("key is not null").groupBy("key").agg(F.first("labels").alias("labels"), F.first("n").alias("n"), F.min("row_key").alias("row_key"))
+    texts = spool(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    sets = spool(candidate_sets(texts.select("id", "labels"), threshold, recall), "sets")
+    wanted = spool(_blocks(sets, texts, threshold, block, block_shingles), "blocks")
 
     # Candidates grow with the corpus, so they are shuffled at every size and never broadcast.
-    texts_of = docs.select(F.col("doc_id").alias("d"), "text").join(dealt.select("key", "lead").hint("merge"), F.col("d").eqNullSafe(F.col("lead"))).select("key", "text")
+    members = texts.join(sets.select(F.col("node").alias("id")), "id", "left_semi").select("id", "key", "row_key")
+    texts_of = docs.select(row_key().alias("row_key"), "text").join(members.hint("merge"), "row_key").select("id", "key", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
-            hashes, at, keys, _ = _scan(data, off, size)
-            own = keys == part.column(0).to_numpy()  # another row may bear the same doc_id
-            raw = [np.unique(hashes[a:b]).tobytes() if ok else b"" for a, b, ok in zip(at[:-1], at[1:], own, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["key", "shingles"]).filter(pa.array(own))
+            codes, at, keys = _scan(data, off, size)
+            own = [k == m for k, m in zip(keys, part.column(1).to_pylist(), strict=True)]
+            raw = [np.unique(codes[a:b]).tobytes() if ok else b"" for a, b, ok in zip(at[:-1], at[1:], own, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    found = texts_of.mapInArrow(shingled, "key long, shingles binary").dropDuplicates(["key"])
+    found = texts_of.mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"])
 
     def verify(table: pa.Table) -> pa.Table:
-        roots, keys = table.column("root").to_numpy(), table.column("key").to_numpy()
-        second = table.column("second").to_numpy(zero_copy_only=False)
+        units, ids = table.column("unit").to_numpy(), table.column("id").to_numpy()
+        second, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("second", "across"))
         raw = table.column("shingles").to_pylist()
-        links, to = np.zeros(len(keys), np.int64), keys.copy()
-        order = np.argsort(roots, kind="stable")
-        cuts = np.flatnonzero(np.diff(roots[order])) + 1
-        for one in np.split(order, cuts):
-            links[one], to[one] = _verify(keys[one], second[one], [np.frombuffer(raw[i], np.uint64) for i in one], threshold)
-        return pa.table({"key": keys, "links": links, "to": to})
-
-    checked = spool(wanted.join(found, "key").groupBy("task").applyInArrow(verify, "key long, links long, to long"), "links")
-    joined = components(checked.where("key <> to").select(F.col("key").alias("u"), F.col("to").alias("v")))
-    links = checked.groupBy("key").agg(F.sum("links").alias("n_links")).where("n_links > 0")
+        links, to = np.zeros(len(ids), np.int64), ids.copy()
+        order = np.argsort(units, kind="stable")
+        for one in np.split(order, np.flatnonzero(np.diff(units[order])) + 1):
+            links[one], to[one] = _verify(ids[one], second[one], bool(across[one[0]]), [np.frombuffer(raw[i], np.uint64) for i in one], threshold)
+        return pa.table({"id": ids, "links": links, "to": to})
+
+    checked = spool(wanted.join(found, "id").groupBy("task").applyInArrow(verify, "id long, links long, to long"), "links")
+    joined = components(checked.where("id <> to").select(F.col("id").alias("u"), F.col("to").alias("v")))
+    links = checked.groupBy("id").agg(F.sum("links").alias("n_links")).where("n_links > 0")
     # Tables of their own, so that Spark can split the partition of a text or class that very many rows share.
-    known = spool(links.join(joined, links.key == joined.node).select("key", "n_links", "root"), "known")
-    rows = signed.select("doc_id", "key").join(known, "key", "left")
-    rows = spool(rows.select("doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
-    classes = spool(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows")), "classes")
-    return rows.join(classes, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+    name = texts.select(F.col("id").alias("root"), F.col("key").alias("root_key"))
+    known = links.join(joined, links.id == joined.node).select("id", "n_links", "root").join(name, "root").join(texts.select("id", "key"), "id")
+    known = spool(known.select("key", "n_links", "root_key"), "known")
+    rows = signed.select("doc_id", "row_key", "key").join(known.hint("merge"), "key", "left")
+    rows = spool(rows.select("doc_id", "row_key", F.coalesce("root_key", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
+    ends = spool(rows.where("root is not null").groupBy("root").agg(first.alias("lead"), F.count("*").alias("class_rows")), "classes")
+    return rows.join(ends.hint("merge"), "root", "left").select(
+        "doc_id",
+        "row_key",
+        F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"),
+        "n_links",
+        F.coalesce("class_rows", F.lit(1)).alias("class_rows"),
+        F.coalesce("lead.row_key", "row_key").alias("lead"),
+    )
+
+
+def near_classes(docs: DataFrame, **options: float) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), n_links, class_rows for every row of ``docs``."""
+    return classes(docs, **options).select("doc_id", "class_id", "n_links", "class_rows")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their class, with their own columns; of equal rows one stays."""
-    leads = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("lead")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"))
-    return keyed.join(leads, F.col("id").eqNullSafe(F.col("lead")), "left_semi").dropDuplicates(["id", "same"]).select("row.*")
+    leads = classes(docs).where(F.col("row_key") == F.col("lead")).select("lead").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), row_key().alias("id"))
+    return keyed.join(leads.hint("merge"), F.col("id") == F.col("lead"), "left_semi").dropDuplicates(["id"]).select("row.*")

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.rows import row_key
 from colloquy.llm.storage import spool
 from colloquy.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 from colloquy.llm.textscan import CHUNK_BYTES, gram_hashes, pieces
@@ -79,8 +80,7 @@ def serve(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (128 bits), base, bytes: the whole text from its first byte on."""
-    sides = [F.lpad(F.hex(F.xxhash64(*c)), 16, "0") for c in (("doc_id", "text"), ("text", "doc_id"))]
-    return docs.select("doc_id", F.unhex(F.concat(*sides)).alias("row_key"), F.lit(0).alias("base"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+    return docs.select("doc_id", row_key().alias("row_key"), F.lit(0).alias("base"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
 
 
 def anchors(stretches: DataFrame, length: int, gram: int, limit: int = CHUNK_BYTES) -> DataFrame:

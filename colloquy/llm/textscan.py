@@ -90,24 +90,6 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mix((prefix[gram:] - prefix[:-gram]) * inverse[: len(data) - gram + 1])
 
 
-class RangeHash:
-    """64-bit hashes of arbitrary ranges of a sequence, after one linear pass."""
-
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        power, self.inverse = powers(n + 1)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * power[:n], out=self.prefix[1:])
-
-    @classmethod
-    def of_bytes(cls, data: np.ndarray) -> RangeHash:
-        return cls(_BYTE_CODE[data])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows, and where each row starts (one more entry at the end). Null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from colloquy.llm import near_join
 from colloquy.llm.components import components
 
@@ -18,10 +20,29 @@ def planted(n=400):
     return out
 
 
-def test_prefix_shortens_until_the_recall_is_reached():
-    assert near_join.prefix_length(0.8, 0.9999) == 6
-    assert near_join.prefix_length(0.95, 0.5) == near_join.DEPTH
-    assert near_join.prefix_length(0.1, 0.9999999) == 1
+def test_share_that_is_found():
+    assert near_join.found_share(0.8, 8) < near_join.found_share(0.8, 6) and near_join.found_share(0.8, 6) >= near_join.RECALL
+    assert near_join.least_estimate(0.8) < 0.66
+
+
+def lengths(spark, monkeypatch, rows, recall):
+    """The prefix lengths that the forest matches at, and how many texts are open at each."""
+    seen, real = [], near_join._matches
+    monkeypatch.setattr(near_join, "_matches", lambda texts, length, *rest: seen.append((length, texts.where("open").count())) or real(texts, length, *rest))
+    near_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=recall).count()
+    return seen
+
+
+def test_prefixes_shorten_text_by_text(spark, monkeypatch):
+    """Close copies are done with whole labels; texts that met nobody go on until the recall is reached."""
+    r = random.Random(3)
+    alone = [(i, " ".join(f"{r.randint(0, 10**6)}" for _ in range(60))) for i in range(30)]
+    base = [f"{r.randint(0, 10**6)}" for _ in range(400)]
+    close = [(100 + i, " ".join(base[:-1] + [f"x{i}"])) for i in range(20)]
+    with monkeypatch.context() as m:
+        assert lengths(spark, m, alone + close, near_join.RECALL) == [(8, 50), (7, 30), (6, 30)]
+    with monkeypatch.context() as m:
+        assert lengths(spark, m, alone + close, 0.99) == [(8, 50)]
 
 
 def test_edge_cases(spark):
@@ -41,6 +62,16 @@ def test_large_set_in_blocks(spark, sf_dir):
     assert in_order(near_join.near_classes(docs, block=64).collect()) == in_order(near_classes(rows))
 
 
+def test_blocks_of_few_shingles(spark, monkeypatch):
+    """Blocks bounded by shingles, nodes dealt to several tasks, and texts of very different sizes in one set."""
+    monkeypatch.setattr(near_join, "NODE", 16)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[: r.randint(150, 400)])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert in_order(near_join.near_classes(docs, block_shingles=1_500).collect()) == in_order(near_classes(rows))
+
+
 def test_one_of_each(spark):
     docs = edge_docs(spark)
     kept = near_join.one_of_each(docs)
@@ -56,3 +87,5 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted(map(tuple, found)) == [(i, 1) for i in range(1, 41)] + [(100, 100), (101, 100)]
+    with pytest.raises(RuntimeError, match="settle"):
+        components(spark.createDataFrame(edges, "u long, v long"), most_rounds=2)
