@@ -70,3 +70,30 @@ def test_equal_digests_of_different_texts_stay_apart(spark, monkeypatch):
     rows = [(1, "a"), (2, "b"), (3, "a "), (4, "c"), (5, "b")]
     found = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), half()).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in found) == [(1, 3, 2), (2, 2, 2), (3, 3, 2), (4, 4, 1), (5, 2, 2)]
+
+
+def test_result_passes_through_the_filters(spark, monkeypatch):
+    """A filter that answers "no" to everything tears classes of snapshot and batch apart."""
+    rows = [(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = F.col("doc_id").isin(1, 3, 4)
+    right = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.deduplicate(docs, old).collect())
+    assert right == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (5, 5, 1)]
+    monkeypatch.setattr(exact_dedup, "probe_filter", lambda data, keys: np.zeros(len(keys), bool))
+    wrong = sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.deduplicate(docs, old).collect())
+    assert wrong == [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 2), (5, 5, 1)]
+
+
+def test_snapshot_is_written_once_and_read_by_many_batches(spark, tmp_path):
+    def rows(*texts):
+        docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
+        return exact_dedup.digests(docs).withColumn("rid", F.monotonically_increasing_id())
+
+    path = f"{tmp_path}/snapshot"
+    exact_dedup.write_snapshot(rows((1, "a"), (2, "b"), (3, "b ")), path, 2)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "snapshot").rglob("*")}
+    for batch, want in ((((10, "a  "), (11, "x"), (12, "x")), {(10, 2), (11, 2), (1, 1)}), (((20, "b"),), {(3, 3), (1, 1)})):
+        found = exact_dedup.match_batch(rows(*batch), spark, path)
+        sizes = {(r.keep.doc_id, r["size"]) for r in found.collect()}
+        assert {w for w in want if w != (1, 1)} <= sizes
+    assert files == {p: p.stat().st_mtime_ns for p in (tmp_path / "snapshot").rglob("*")}
