@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from colloquy.llm import pii
 
@@ -68,3 +69,18 @@ def test_edge_cases(spark):
     docs = edge_docs(spark)
     assert pii.pii_digest(docs).count() == docs.count()
     assert pii.pii_digest(empty_docs(spark)).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Places and context across blocks of matches; the work does not grow with their square."""
+    r = random.Random(6)
+    text = "é ".join(f"{'ssn ' if i % 50 == 0 else ''}123-45-{i % 10000:04d} a{i}@b.cc" for i in range(3000))
+    found = pii.pii_digest(spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")).collect()
+    for row, shift in zip(sorted(found), (0, 1), strict=True):
+        spans = [s.split(":") for s in row.spans.split(",")]
+        assert [s for s in row.spans.split(",") if s[:3] != "ssn"] == base("x" * shift + text)
+        assert [int(a) for k, a, _ in spans if k == "ssn"] == [m.start() + shift for m in re.finditer(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", text) if "ssn" in text[max(0, m.start() - 40) : m.start()] or "ssn" in text[m.end() : m.end() + 40].split("-45-")[0]]
+    many = " ".join(f"user{r.randint(0, 10**6)}@mail{i}.example.org" for i in range(100_000))
+    began = time.perf_counter()
+    assert pii.pii_digest(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().n_email == 100_000
+    assert time.perf_counter() - began < 60
