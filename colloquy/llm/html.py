@@ -6,8 +6,9 @@ share of its text that is links. The best container and those of its siblings
 that score well are kept, without menus, forms, notices and the like in them.
 
 Edge cases: a null or empty page gives an empty text, a page that is cut off is
-read as if its open elements ended there, what precedes any markup is text,
-extra columns are kept beside the result, repeated pages are rows of their own.
+read as if its open elements ended there, what precedes any markup is text, of
+containers with one score the innermost is the best, extra columns are ignored,
+also those named like the result's, repeated pages are rows of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select|math|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.S | re.I,
@@ -30,7 +30,13 @@ TOKEN = re.compile(
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head nav footer aside button dialog menu input label".split())
+DROPPED = frozenset("head nav footer aside button dialog menu input label svg object select option optgroup noscript template annotation annotation-xml".split())
+#: What they hold is no markup.
+RAW = frozenset("script style textarea title iframe xmp".split())
+#: They end in the tag itself if it says so, or if the page never closes them.
+HOLLOW = RAW | frozenset("svg math object select noscript template".split())
+#: A block ends them, unless they hold a document of their own.
+BROKEN_BY_BLOCKS = frozenset(("svg", "math", "select"))
 #: Dropped unless they hold most of the page's points, or its article.
 FORMS = frozenset(("form", "fieldset"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -49,11 +55,15 @@ FIRM = frozenset("ad ads adv advert advertisement advertising breadcrumb breadcr
 CERTAIN = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie footer menu nav navigation newsletter promo related share sharing sidebar social sponsor sponsored subscribe".split())
 REPLIES = frozenset("comment comments commentlist reply replies respond".split())
 LISTS = frozenset("also contents latest links more next pages popular recent toc trending".split())
+#: What can hold an article; lists, tables and quotations are parts of one.
+CONTAINERS = frozenset("article body center dd details div fieldset form html main section td".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Characters from which a line is a paragraph, and entries of a list are no menu.
 PROSE, ENTRY = 80, 40
 #: "with-sidebar" says something of an element that is no sidebar.
 BESIDE = frozenset("has with no without".split())
+#: What stands at the foot of a page.
+IMPRINT = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
@@ -76,7 +86,9 @@ def _named(attrs: str) -> tuple[set[str], bool]:
     for key, a, b, c in ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role"):
-            names.update(w.lower() for w in WORDS.findall(value))
+            for one in value.split():
+                words = {w.lower() for w in WORDS.findall(one)}
+                names.update(words if not words & BESIDE else ())
             hidden |= key == "class" and "hidden" in value.split()
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
@@ -99,7 +111,9 @@ def _drops(node: Node) -> bool:
     if not node.attrs:
         return False
     names, hidden = _named(node.attrs)
-    if hidden or node.tag in ("article", "main", "h1", "h2", "h3", "h4", "h5", "h6") or names & BESIDE:
+    if node.tag == "article" and names & REPLIES and not names & LIKELY:
+        return True
+    if hidden or node.tag in ("article", "main", *HEADINGS) or node.tag not in BLOCK:
         return hidden
     found = names & (CERTAIN if names & LIKELY else UNLIKELY)
     node.doubtful = bool(found) and not found & FIRM
@@ -129,17 +143,32 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
         links -= here.tag == "a"
         here = node.parent or root
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    last: dict[str, int] = {}
+
+    def closed_after(tag: str, at: int) -> bool:
+        """Whether a closing tag follows; each name is looked for once."""
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last[tag] >= at
+
+    at, m = 0, TOKEN.search(page)
+    while m is not None:
+        if m.start() > at and not here.dropped:
             pieces.append((page[at : m.start()], links > 0))
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag, close, attrs = (m["tag"] or "").lower(), m["close"], m["attrs"] or ""
+        if tag in HOLLOW and not close:
+            if attrs.endswith("/") or (tag not in ("script", "style") and not closed_after(tag, at)):
+                tag = ""
+            elif tag in RAW:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if closed_after(tag, at) else None
+                at, tag = end.end() if end else len(page), ""
+        m = TOKEN.search(page, at)
         if not tag:
             continue
         if tag in BLOCK:
             end_block()
-        if m["close"]:
+        if close:
             up: Node | None = here
             while up is not None and up.tag != tag:
                 up = None if tag not in BLOCK and up.tag in BLOCK else up.parent
@@ -152,6 +181,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
             continue
         if tag in BLOCK:  # an open paragraph ends here, with the inline elements left open in it
             up = here
+            while up is not None and up.tag not in BROKEN_BY_BLOCKS and up.tag != "foreignobject":
+                up = up.parent
+            if up is not None and up.tag != "foreignobject":
+                leave(up)
+            up = here if up is None or up.tag != "foreignobject" else None
             while up is not None and up.tag != "p" and up.tag not in SCOPE:
                 up = up.parent
             if up is not None and up.tag == "p":
@@ -164,12 +198,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
                 leave(up)
         if tag == "html":
             continue
-        node = Node(tag, here, m["attrs"], len(nodes))
+        node = Node(tag, here, attrs, len(nodes))
         node.dropped = node.dropped or _drops(node)
         nodes.append(node)
         here.children.append(node)
         here, links = node, links + (tag == "a")
-    if at < len(page):
+    if at < len(page) and not here.dropped:
         pieces.append((page[at:], links > 0))
     end_block()
     return nodes, blocks
@@ -226,10 +260,25 @@ def _is_menu(node: Node, text: dict[int, str]) -> bool:
         return False
     beside = node.parent.children if node.parent is not None else []
     at = next((i for i, n in enumerate(beside) if n is node), 0)
-    title = text.get(beside[at - 1].number, "") if at and beside[at - 1].tag in HEADINGS else ""
+    title = text.get(beside[at - 1].number, "") if at else ""
+    if not at or beside[at - 1].tag not in HEADINGS:
+        ordered = node.tag == "ol" and node.size >= 8 * len(node.children)
+        return not (title.endswith(":") or ordered)
     return not title or bool({w.lower() for w in WORDS.findall(title)} & (UNLIKELY | LISTS))
 
 
+def _plain_blocks(nodes: list[Node], lines: list[tuple[Node, str]]) -> set[int]:
+    """Those divisions among ``nodes`` that hold paragraphs and headings alone, and no imprint."""
+    found = {n.number for n in nodes if n.tag in ("div", "section") and not n.doubtful}
+    for owner, line in lines if found else ():
+        fits, up = owner.tag in ("p", "blockquote", *HEADINGS) and not IMPRINT.search(line), owner
+        while up is not None:
+            if not fits:
+                found.discard(up.number)
+            up = up.parent
+    return found
+
+
 def main_text(page: str) -> str:
     nodes, blocks = parse(page)
     found = []
@@ -245,7 +294,9 @@ def main_text(page: str) -> str:
         if owner.dropped:
             continue
         lines.append((owner, line))
-        up, level = owner if owner.tag in ("div", "section", "article", "main", "td", "body", "html") else owner.parent or owner, 1
+        up, level = owner, 1
+        while up.tag not in CONTAINERS and up.parent is not None:
+            up = up.parent
         while up is not None:
             up.points += points / level
             points *= 0.25 if up.doubtful else 1
@@ -258,7 +309,7 @@ def main_text(page: str) -> str:
     if not lines:
         return ""
     score = {n.number: n.points * (1 - n.links / n.size) * (0.25 if n.doubtful else 1) for n in nodes if n.size}
-    best = max((n for n in nodes if n.number in score), key=lambda n: (score[n.number], n.number))
+    best = max((n for n in nodes if n.number in score and n.tag in CONTAINERS), key=lambda n: (score[n.number], n.number))
     up, whole = best, None
     while up is not None:  # an element that says it is the article holds all of it
         if up.tag in ("article", "main"):
@@ -274,10 +325,11 @@ def main_text(page: str) -> str:
             kept.add(near.number)
     beside = [n for n in best.parent.children if n.number in score or n is best] if best.parent is not None and not whole else [best]
     at = beside.index(best)
+    plain = _plain_blocks(beside, lines)
     for step in (-1, 1):  # headings and paragraphs next to it, however short; no heading of what is not kept
         waiting: list[int] = []
         for near in beside[at + step :: step] if at + step >= 0 else ():
-            if near.number in kept or near.tag == "p" and near.links <= 0.25 * near.size:
+            if near.number in kept or near.links <= 0.25 * near.size and (near.tag == "p" or near.number in plain):
                 kept.update((near.number, *waiting))
                 waiting = []
             elif near.tag in HEADINGS and near.links <= 0.25 * near.size:

@@ -10,7 +10,9 @@ stand to a second-person word, capitals, punctuation and disguise rates.
 Edge cases: a null text counts as empty and gets a score too, labels without a
 text or value are left out, a doc_id labelled more than once has its highest
 label, with too few labels for trees the score follows the lexicon density
-alone (0 for all without a lexicon), repeated rows are rows of their own, extra columns are ignored.
+alone (0 for all without a lexicon), terms with the same evidence are taken in
+alphabetical order, repeated rows are rows of their own, extra columns are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.storage import spool
-from colloquy.llm.textscan import RangeHash, pieces, shingles, words
+from colloquy.llm.textscan import pieces, range_codes, shingles, words
 
 SAMPLE_ROWS = 20_000
 MOST_TERMS = 2_000
@@ -40,8 +42,7 @@ TOXIC_FROM = 0.3
 NEAR_WORDS = 5
 STEMS = (4, 5, 6)
 
-# Second-person words, and insults for a lexicon without labels. No fit reads the insults.
-INSULTS = "idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb bastard jerk idiota estupido estúpido imbécil basura connard idiote imbécile minable trottel dummkopf abschaum versager".split()
+# Second-person words.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 
 _LETTER = np.zeros(256, bool)
@@ -86,10 +87,10 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _codes(texts: list[str]) -> np.ndarray:
-    """The hashes that ``RangeHash`` gives these strings."""
+    """The codes of these strings."""
     raw = [t.encode() for t in texts]
     off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    return RangeHash.of_bytes(np.frombuffer(b"".join(raw), np.uint8))(off[:-1], off[1:])
+    return range_codes(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:])
 
 
 class Lexicon:
@@ -109,14 +110,14 @@ class Lexicon:
         order = np.argsort(codes)
         return codes[order], np.array(weights, float)[order]
 
-    def weights(self, hashing: RangeHash, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def weights(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The weight of the heaviest term for each word, or 0."""
         out = np.zeros(len(start))
         for size, codes, weight in self.tables:
             if not len(codes):
                 continue
             at = np.arange(len(start)) if size == 0 else np.flatnonzero(end - start >= size)
-            code = hashing(start[at], end[at] if size == 0 else start[at] + size)
+            code = range_codes(data, start[at], end[at] if size == 0 else start[at] + size)
             found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             hit = codes[found] == code
             out[at[hit]] = np.maximum(out[at[hit]], weight[found[hit]])
@@ -133,9 +134,8 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.nda
     low = _lowered(data)
     start, end, first = _runs(_LETTER[data], off)
     row = np.repeat(np.arange(n), np.diff(first))
-    hashing = RangeHash.of_bytes(low)
-    weight = lexicon.weights(hashing, start, end)
-    code = hashing(start, end)
+    weight = lexicon.weights(low, start, end)
+    code = range_codes(low, start, end)
     you = second[np.minimum(np.searchsorted(second, code), len(second) - 1)] == code
     near = np.zeros(len(row), bool)
     hit = np.flatnonzero(weight > 0)
@@ -152,7 +152,7 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.nda
     mixed = (signs[e] > signs[s]) & (letters[e] - letters[s] >= 2)
     inner = mixed & ~(_SIGN[data[e - 1]] & (signs[e] - signs[s] == 1)) if len(e) else mixed  # "word!" is no disguise
     ds, de, drow = s[inner], e[inner], np.repeat(np.arange(n), np.diff(f))[inner]
-    disguised = lexicon.weights(RangeHash.of_bytes(_DISGUISE[low]), ds, de) > 0
+    disguised = lexicon.weights(_DISGUISE[low], ds, de) > 0
 
     def per_row(rows: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(rows, weights=values, minlength=n)[:n]
@@ -190,12 +190,13 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: Lexicon, second: np.nda
 def features_of(text: Column, lexicon: dict[str, float]) -> Column:
     """An array of ``FEATURES``; only the text goes to Python."""
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         terms, second = Lexicon(lexicon), np.sort(_codes(SECOND_PERSON))
-        batch = pa.RecordBatch.from_arrays([column], ["text"])
-        parts = [features(data, off, terms, second) for _, data, off in pieces([batch])]
-        x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = [features(data, off, terms, second) for _, data, off in pieces([batch])]
+            x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
 
     return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(text)
 
@@ -219,7 +220,7 @@ def sample_terms(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches):
             start, end, first = words(data, off)
-            hashes, at = shingles(RangeHash.of_bytes(data)(start, end), first, 5)
+            hashes, at = shingles(range_codes(data, start, end), first, 5)
             some = np.diff(at) > 0
             sketch = np.zeros(len(some), np.uint64)
             if some.any():

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from colloquy.llm import html
@@ -90,3 +92,82 @@ def test_a_title_and_a_short_paragraph_beside_the_best_div_stay():
     body = "".join(f"<p>{LONG}</p>" for _ in range(4))
     page = f"<body><div><a href='/'>Home</a></div><h1>A title</h1><p>By a writer.</p><div>{body}</div><p>The end.</p><h3>More</h3><div><a href='/x'>About</a></div></body>"
     assert html.main_text(page) == "\n".join(["A title", "By a writer.", *[LONG] * 4, "The end."])
+
+
+@pytest.mark.parametrize("part", ["<svg/>", "<svg viewBox='0 0 1 1' />", "<iframe src='x'/>", "<iframe src=x>", "<select><option>a<option>b", "<svg><path d='x'>", "<object data='x'>", "<script src='x'/>", "<svg><text>label</text></svg>", "<select><option>a</select>", "<svg><foreignObject><div>label</div></foreignObject></svg>", "<label>label</label>", "<span hidden>label</span>"])
+def test_foreign_elements_end_where_they_should(part):
+    assert html.main_text(ARTICLE.replace("<p>Second", f"{part}<p>Second")) == TEXT
+    assert html.main_text(ARTICLE.replace("in it.", f"in it.{part}")) == TEXT
+
+
+def test_formulas_stay():
+    page = ARTICLE.replace("in it.", "in it, <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> here.")
+    assert html.main_text(page) == TEXT.replace("in it.", "in it, E=m here.")
+
+
+def test_comments_that_are_articles_go_and_names_that_deny_stay():
+    assert html.main_text(ARTICLE.replace("</article>", f"<article class='comment'><p>{LONG}</p></article></article>")) == TEXT
+    assert html.main_text(f"<body>{ARTICLE}<div class='no-print sidebar'><p>{LONG}</p></div></body>") == TEXT
+    assert html.main_text(ARTICLE.replace("</article>", f"<div class='no-sidebar'><p>{LONG}</p></div></article>")) == f"{TEXT}\n{LONG}"
+
+
+def test_short_divisions_beside_the_best_one():
+    body = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    page = f"<body><h1>A title</h1><div>{body}</div><div><p>The end.</p></div><div><p>© A company</p></div></body>"
+    assert html.main_text(page) == "\n".join(["A title", *[LONG] * 4, "The end."])
+
+
+def test_lists_of_links_that_a_text_introduces():
+    entries = "".join(f"<li><a href='{i}'>Paper {i}</a></li>" for i in range(3))
+    want = "Paper 0\nPaper 1\nPaper 2"
+    assert html.main_text(ARTICLE.replace("</article>", f"<p>As in:</p><ul>{entries}</ul></article>")) == f"{TEXT}\nAs in:\n{want}"
+    assert html.main_text(ARTICLE.replace("</article>", f"<ol>{entries.replace('Paper', 'The paper')}</ol></article>")) == f"{TEXT}\n{want.replace('Paper', 'The paper')}"
+
+
+def random_page(r):
+    """A page and its main text."""
+
+    def sentence():
+        return " ".join(r.choice(["alpha", "beta,", "gamma", "delta", "&eacute;psilon", "a &lt; b", "<b>zeta</b>", "<a href='x'>eta</a>", "iota"]) for _ in range(r.randint(12, 40))) + "."
+
+    def plain(text):
+        for tag in ("<b>", "</b>", "<a href='x'>", "</a>"):
+            text = text.replace(tag, "")
+        return " ".join(text.replace("&eacute;", "é").replace("&lt;", "<").split())
+
+    chrome = [
+        "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li><li>Third</li></ul></nav>",
+        "<aside><p>Read this, too, and that.</p></aside>",
+        "<div class='ad'>Buy it, now.</div>",
+        "<form><label>Mail</label><input name='m'><button>Send</button></form>",
+        "<script>var x = '<p>no</p>';</script>",
+        "<style>p > a { color: red }</style>",
+        "<section id='comments'><div class='comment'><p>I think, therefore.</p></div></section>",
+        "<!-- <p>not this</p> -->",
+        "<div class='cookie-banner'><p>We use, of course, cookies.</p></div>",
+        "<svg><text>x</text></svg>",
+    ]
+    inside, want = [], []
+    for _ in range(r.randint(3, 9)):
+        kind = r.choice(["p", "p", "p", "h2", "ul", "pre", "blockquote"])
+        texts = [sentence() for _ in range(r.randint(1, 3) if kind == "ul" else 1)]
+        want += [plain(t) for t in texts]
+        inside.append("<ul>" + "".join(f"<li>{t}</li>" for t in texts) + "</ul>" if kind == "ul" else f"<{kind}>{texts[0]}" + (f"</{kind}>" if kind != "p" or r.random() < 0.7 else ""))
+        if r.random() < 0.3:
+            inside.append(r.choice(chrome))
+    tag = r.choice(["article", "main", "div"])
+    sides = ["".join(r.choice(chrome) for _ in range(r.randint(0, 3))) for _ in range(2)]
+    return f"<html><head><title>t</title></head><body>{sides[0]}<{tag}>{''.join(inside)}</{tag}>{sides[1]}<footer><p>&copy; me, all rights.</p></footer></body></html>", "\n".join(want)
+
+
+def test_random_pages_give_the_text_they_were_made_of():
+    r = random.Random(11)
+    for _ in range(400):
+        page, want = random_page(r)
+        assert html.main_text(page) == want, page
+
+
+def test_columns_that_clash_are_ignored(spark):
+    rows = [(1, "u", "<p>one</p>", 7, "x")]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string"))
+    assert found.columns == ["page_id", "url", "text", "n_chars"] and tuple(found.first()) == (1, "u", "one", 3)

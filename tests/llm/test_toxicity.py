@@ -7,6 +7,7 @@ from colloquy.llm import toxicity
 
 from .helpers import edge_docs, empty_docs
 
+INSULTS = "idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb bastard jerk idiota estupido estúpido imbécil basura connard idiote imbécile minable trottel dummkopf abschaum versager".split()
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -35,7 +36,7 @@ def test_held_out_accuracy(scored):
 
 def test_only_the_text_counts(spark, scored):
     docs, rows = scored
-    model = toxicity.Model(dict.fromkeys(toxicity.INSULTS, 3.0), None, ())
+    model = toxicity.Model(dict.fromkeys(INSULTS, 3.0), None, ())
     plain = toxicity.score(docs, model)
     changed = docs.withColumns({"lang": F.lit("xx"), "source": F.lit("y"), "n_chars": F.lit(0)})
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, toxicity.score(changed, model).collect()))
@@ -43,7 +44,7 @@ def test_only_the_text_counts(spark, scored):
 
 @pytest.mark.parametrize("text", ["You are an idiot", "you are an 1d10t", "YOU ARE AN IDIOT!", "IDIOT", "Espèce d'idiote, tu es minable"])
 def test_lexicon_words_are_found(spark, text):
-    model = toxicity.Model(dict.fromkeys(toxicity.INSULTS, 3.0), None, ())
+    model = toxicity.Model(dict.fromkeys(INSULTS, 3.0), None, ())
     rows = toxicity.score(spark.createDataFrame([(1, text), (2, "What a fine day!")], "doc_id long, text string"), model).collect()
     by = {r.doc_id: r.score for r in rows}
     assert by[1] > 0.3 > by[2]
