@@ -8,7 +8,9 @@ cut at the exact word that fills the target.
 
 Edge cases: a null text has size 0, a null source is a source of its own (last
 in the order), a source without words has target 0, rows repeated in full are
-rows of their own, extra columns are ignored, an empty table gives no rows.
+rows of their own, of rows with one key the least doc_id and then the smaller one
+comes first (null doc_ids share a key), extra columns are ignored, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,33 +32,40 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _placed(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``place``, the number of sources before each in their order; the ranges of a sort are counted one by one."""
+    ordered = spool(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sources")
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
+    # One row for each range of the sort.
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return ordered.join(sizes, "part").select("source", "total", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
 def targets(totals: DataFrame) -> DataFrame:
     """(source, total) to (source, total, target).
 
     Weights are 1, 2, 3, repeating, in the order of sources. The shares of the
-    grand total stop at ``MOST_EPOCHS`` times a source; sharing the excess again
-    and again ends where every open source gets the same level for each unit of
-    weight. Sorted by cap over weight, the closed sources are a prefix, so the
-    level follows from prefix sums. One row per source is all that this holds.
+    grand total stop at ``MOST_EPOCHS`` times a source; what is shared again gives
+    every open source the same level for each unit of weight. A source is closed
+    where its cap is below that level, which raises the level for the others,
+    until no more sources close. Only sums over the sources reach the driver.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = W.orderBy("ratio", "place")
-    everything = W.orderBy("place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    t = totals.withColumn("place", F.row_number().over(by_name))
-    t = t.withColumn("weight", ((F.col("place") - 1) % 3 + 1).cast("double")).withColumn("cap", (F.col("total") * MOST_EPOCHS).cast("double"))
-    t = t.withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumns(
-        {
-            "closed_cap": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-            "open_weight": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-            "all_words": F.sum("total").over(everything).cast("double"),
-        }
-    )
-    t = t.withColumn("level", F.try_divide(F.col("all_words") - F.col("closed_cap"), F.col("open_weight")))
-    # The first source, in order of ratio, that the level does not fill is where the level holds.
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(everything)["level"])
-    return t.select("source", "total", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
+    t = _placed(totals).withColumn("weight", (F.col("place") % 3 + 1).cast("double")).withColumn("cap", (F.col("total") * MOST_EPOCHS).cast("double"))
+    t = spool(t.withColumn("ratio", F.col("cap") / F.col("weight")), "targets")
+    level, closed = 0.0, -1
+    while True:
+        is_closed = F.col("ratio") < level
+        sums = t.agg(
+            F.coalesce(F.sum("total"), F.lit(0)).cast("double").alias("words"),
+            F.coalesce(F.sum(F.when(is_closed, F.col("cap"))), F.lit(0.0)).alias("cap"),
+            F.coalesce(F.sum(F.when(~is_closed, F.col("weight"))), F.lit(0.0)).alias("weight"),
+            F.count(F.when(is_closed, 1)).alias("closed"),
+        ).first()
+        if sums.closed == closed or not sums.weight:
+            break
+        level, closed = (sums.words - sums.cap) / sums.weight, sums.closed
+    return t.select("source", "total", F.least("cap", level * F.col("weight")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -67,9 +76,16 @@ def mix_sources(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_R
     rows = rows.withColumn("range", F.substring("key", 1, digits))
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("total")))
 
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ahead = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
+    # Sums of the ranges before, in two steps, so that no task holds all ranges of a source.
+    wide = F.substring("range", 1, (digits + 1) // 2).alias("wide")
+    sums = spool(rows.groupBy("source", "range").agg(F.sum("size").alias("words")).select("source", "range", wide, "words"), "ranges")
+    in_wide = W.partitionBy("source", "wide").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    of_wide = W.partitionBy("source").orderBy("wide").rowsBetween(W.unboundedPreceding, -1)
+    near = sums.select("source", "range", "wide", F.coalesce(F.sum("words").over(in_wide), F.lit(0)).alias("near"))
+    far = sums.groupBy("source", "wide").agg(F.sum("words").alias("words"))
+    far = far.select("source", "wide", F.coalesce(F.sum("words").over(of_wide), F.lit(0)).alias("far"))
+    offsets = near.alias("n").join(far.alias("f"), F.col("n.source").eqNullSafe(F.col("f.source")) & (F.col("n.wide") == F.col("f.wide")))
+    offsets = offsets.select("n.source", "n.range", (F.col("near") + F.col("far")).alias("offset"))
     inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
 

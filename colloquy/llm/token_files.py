@@ -6,8 +6,8 @@ filter on doc_id, so that readers take stripes in parallel and skip those that
 cannot hold the documents they ask for.
 
 Edge cases: a null text counts as empty and holds only the end id, null doc_ids
-come first, rows repeated keep a place each, extra columns are ignored, an empty
-table gives files without rows.
+come first, rows with one doc_id are ordered by text, rows repeated keep a place
+each, extra columns are ignored, an empty table gives files without rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SLICE = 256
 STRIPE_BYTES = 16 << 20
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str | None = None) -> str:
+def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str | None = None, stripe_bytes: int = STRIPE_BYTES) -> str:
     """Write doc_id, shard, place, n_tokens, ids; returns the path."""
     path = path or shared_path(docs.sparkSession, "tokens")
     vocabulary_path = vocabulary_path or vocabulary(VOCABULARY)
@@ -56,7 +56,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     coded = ordered.mapInArrow(run, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>")
-    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": "1000"}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000"}
     coded.write.options(**options).orc(path)
     return path
 
@@ -82,3 +82,10 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     inside = W.partitionBy("shard").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return placed.join(ahead, "shard").select("doc_id", (F.col("ahead") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the documents asked for, by the metadata of the files: ranges of doc_id skip whole files,
+    stripes and groups of rows, and Bloom filters those in range that do not hold an id. ``doc_ids`` is a stated list."""
+    files = spark.read.orc(path)
+    return files.where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")

@@ -93,6 +93,31 @@ def test_files_of_edge_cases(spark):
     assert token_files.read_digest(spark, token_files.write_tokens(empty_docs(spark))).count() == 0
 
 
+def rows_read(df):
+    """Rows that the scan hands on, after what the files' metadata rules out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName().startswith("AdaptiveSparkPlan") else plan
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_files_stripes_and_rows(spark, tmp_path):
+    """The doc_ids of a range of rows alternate, so only the Bloom filter can tell that one is missing."""
+    rows = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat('document ', id) as text")
+    path = token_files.write_tokens(rows, f"{tmp_path}/tokens", stripe_bytes=1 << 14)
+    one = orc.ORCFile(sorted(f.removeprefix("file://") for f in spark.read.orc(path).inputFiles())[0])
+    assert one.nstripes > 1 and one.row_index_stride == 1000
+    assert rows_read(spark.read.orc(path)) == 20_000
+    found = token_files.read_documents(spark, path, [10_000, 30_002])
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == sorted((i, len(library("byte_bpe_50k.json")(f"document {i}")) + 1) for i in (10_000, 30_002))
+    assert 0 < rows_read(found) <= 4_000
+    assert rows_read(token_files.read_documents(spark, path, [50_000])) == 0
+    missing = token_files.read_documents(spark, path, [10_001])
+    assert missing.count() == 0 and rows_read(missing) <= 1_000
+
+
 def test_first_fit_takes_the_first_bin_with_room():
     r = random.Random(5)
     for _ in range(50):
