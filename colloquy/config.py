@@ -33,10 +33,11 @@ NULL_WORDS = ("", "NaN", "nan", "None", "none", "null", "NULL")
 EMPTY_CODES = ("[empty]", "empty", "none", "")
 FILLER_PHRASES = ("thanks", "thank you", "lol", "lmao", "rofl", "bump", "agree", "disagree", "this", "same", "same here", "me too", "so true", "true", "yes", "no", "exactly", "interesting", "cool", "nice", "wow", "following", "upvoted", "upvote")
 SAFE_ENTITIES = (
-    "modafinil adderall vyvanse ritalin valium strattera sertraline pregabalin phenibut l-theanine theanine sulforaphane cdp nac alcar sam-e "
-    "selegiline armodafinil lion mango gi ect legit datablood kratom kw alphagpc ashwagandha rhodiola boswellia frankincense sulbutiamine "
-    "pyridoxine ldx adaptogens invicorp fda nih"
-).split() + ["alpha gpc"]
+    "modafinil", "adderall", "vyvanse", "ritalin", "valium", "strattera", "sertraline", "pregabalin", "phenibut", "l-theanine", "theanine",
+    "sulforaphane", "cdp", "nac", "alcar", "sam-e", "selegiline", "armodafinil", "lion", "mango", "gi", "ect", "legit", "datablood", "kratom", "kw",
+    "alphagpc", "ashwagandha", "rhodiola", "boswellia", "frankincense", "sulbutiamine", "pyridoxine", "ldx", "adaptogens", "invicorp", "fda", "nih",
+    "alpha gpc",
+)
 FORBIDDEN_COLUMNS = ("raw_prompt", "raw_response", "text", "title", "selftext", "author", "author_id", "username", "body")
 COLLECTION_META = ("id", "session_id", "collected_at", "extra_metadata")
 OLD_SOURCES = ("PRAW", "JSON_endpoint", "praw", "json_endpoint")

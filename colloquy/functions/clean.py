@@ -113,14 +113,27 @@ def percent(n: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(n * 100.0, total), F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A number from 0 to 1000 rounded to 0 to 2 digits by its binary value: the nearer one, and the even one only of exact ties.
+
+    The value is a whole number over a power of two, so integers decide.
+    """
+    bits = F.greatest(F.least(F.lit(52) - F.floor(F.log2(F.greatest(x, F.lit(1e-9)))), F.lit(62)), F.lit(1)).cast("int")
+    scaled = (x * F.pow(F.lit(2.0), bits)).cast("long") * 10**digits
+    low = F.call_function("shiftright", scaled, bits)
+    rest = scaled - F.call_function("shiftleft", low, bits)
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), bits - 1)
+    return (low + F.when((rest > half) | ((rest == half) & (low % 2 == 1)), 1).otherwise(0)) / 10**digits
+
+
 def cell(n: Column, total: Column, suppress_below: int = 10) -> Column:
     """Count and percentage for display, starred when the count is small."""
-    shown = F.format_string("%d (%.1f%%)", n, F.bround(percent(n, total), 1))
+    shown = F.format_string("%d (%.1f%%)", n, rounded(percent(n, total), 1))
     return F.concat(shown, F.when(n < suppress_below, "*").otherwise(""))
 
 
 def percent_text(n: Column, total: Column) -> Column:
-    return F.format_string("%.2f%%", F.bround(percent(n, total), 2))
+    return F.format_string("%.2f%%", rounded(percent(n, total), 2))
 
 
 def filled_codes(codes: Column) -> Column:

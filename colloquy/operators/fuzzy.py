@@ -24,13 +24,16 @@ def _tidy(label: Column) -> Column:
 def similar_pairs(labels: DataFrame, threshold: float = 85.0, metric: str = "indel") -> DataFrame:
     """(a, b, score) of distinct labels that reach the threshold, both ways.
 
-    Labels meet on shared character bigrams. A score at 85 or more means at
-    least 0.4 * L - 1 shared bigrams of the longer label, so of its bigrams,
-    rarest first, a label needs to offer only those up to the first that such a
-    partner must share; labels of three characters or more cannot miss each
-    other, shorter ones meet on their length. Very common bigrams hardly ever
-    bring labels together.
+    Labels meet on shared character bigrams. A score at ``t`` percent means at
+    least (4 t - 3) L - 1 shared bigrams of the longer label of length L, so of its
+    bigrams, rarest first, a label needs to offer only those up to the first that
+    such a partner must share. Labels so short that nothing must be shared meet on
+    that instead. Very common bigrams hardly ever bring labels together. Below 80
+    the bound says little of ordinary labels, so such thresholds are refused.
     """
+    if threshold < 80:
+        raise ValueError("similar_pairs needs a threshold of 80 or more")
+    shares = 4 * threshold / 100 - 3
     tidy = labels.select("label").distinct().withColumn("tidy", _tidy(F.col("label"))).withColumn("size", F.length("tidy"))
     bigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), lambda i: F.substring("tidy", i, F.lit(2))))
     rows = tidy.withColumn("bigrams", bigrams)
@@ -38,13 +41,14 @@ def similar_pairs(labels: DataFrame, threshold: float = 85.0, metric: str = "ind
     common = each.groupBy("bigram").agg(F.count("*").alias("uses"))
     ranked = each.join(common, "bigram").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("uses", "bigram"))).alias("ranked"))
     repeats = F.col("size") - 1 - F.size("bigrams")
-    must = F.greatest(F.ceil((4 * threshold / 100 - 3) * F.col("size") - 1 - 1e-9) - repeats, F.lit(1))
+    must = F.greatest(F.ceil(shares * F.col("size") - 1 - 1e-9) - repeats, F.lit(1))
     offered = F.transform(F.slice("ranked", 1, F.greatest(F.size("bigrams") - must + 1, F.lit(1)).cast("int")), lambda b: b["bigram"])
-    blocks = F.when(F.col("size") >= 3, offered).otherwise(F.array_distinct(F.concat("bigrams", F.array(F.lit("short")))))
+    blocks = F.when(shares * F.col("size") > 1 + 1e-9, offered).otherwise(F.array_distinct(F.concat("bigrams", F.array(F.lit("short")))))
     keyed = rows.join(ranked, "label").select("label", "tidy", "size", F.explode(blocks).alias("block"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    window = (F.col("a.size") * 100 >= F.col("b.size") * 74) & (F.col("b.size") * 100 >= F.col("a.size") * 74)
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.label") < F.col("b.label")) & (window | (F.least("a.size", "b.size") <= 3)))
+    # A common subsequence is no longer than the shorter label.
+    window = F.least("a.size", "b.size") * (200 - threshold) >= F.greatest("a.size", "b.size") * threshold - 1e-6
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.label") < F.col("b.label")) & window)
     pairs = pairs.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), F.col("a.tidy").alias("ta"), F.col("b.tidy").alias("tb")).distinct()
     if metric == "levenshtein":
         longest = F.greatest(F.length("ta"), F.length("tb"))

@@ -30,12 +30,13 @@ def matched_groups(title: Column, body: Column, groups: dict[str, str] | None =
     return F.array_compact(F.array(*(F.when(both.rlike(p), F.lit(name)) for name, p in groups.items())))
 
 
-def thirds(df: DataFrame, community: str, order: list[Column], into: str = "tertile", buckets: int = 3) -> DataFrame:
-    """``ntile`` for communities of any size that a task can sort."""
-    return df.withColumn(into, F.ntile(buckets).over(W.partitionBy(community).orderBy(*order)))
+def steered(value: Column, kind: str) -> Column:
+    """A number that grows with ``value``: of a text, its first six bytes. Null is the least."""
+    number = F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10) if kind == "string" else value
+    return F.coalesce(number.cast("double"), F.lit(float("-inf")))
 
 
-def thirds_at_scale(df: DataFrame, community: str, value: str, key: str, into: str = "tertile", buckets: int = 3, ranges: int = 64) -> DataFrame:
+def thirds(df: DataFrame, community: str, value: str, key: str, into: str = "tertile", buckets: int = 3, ranges: int = 64) -> DataFrame:
     """``ntile`` by falling ``value``, then ``key``, without a task that holds a whole community.
 
     Values are dealt into ranges by approximate quantiles, the values on a cut
@@ -43,20 +44,21 @@ def thirds_at_scale(df: DataFrame, community: str, value: str, key: str, into: s
     the sizes of the ranges ahead complete the number. The bounds only steer the
     dealing, so approximate ones leave the numbers exact.
     """
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.groupBy(community).agg(F.percentile_approx(F.col(value).cast("double"), F.array(*map(F.lit, steps)), 10_000).alias("_cuts"), F.count("*").alias("_n"))
-    key_cuts = df.groupBy(community).agg(F.percentile_approx(F.col(key).cast("double"), F.array(*map(F.lit, steps)), 10_000).alias("_key_cuts"))
-    rows = df.join(cuts, community).join(key_cuts, community)
-    above = F.size(F.filter("_cuts", lambda c: c > F.col(value).cast("double")))
-    below = F.size(F.filter("_key_cuts", lambda c: c < F.col(key).cast("double")))
-    on_cut = F.exists("_cuts", lambda c: c == F.col(value).cast("double"))
+    kinds = dict(df.dtypes)
+    v, k = steered(F.col(value), kinds[value]), steered(F.col(key), kinds[key])
+    steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    cuts = df.groupBy(F.col(community).alias("_community")).agg(F.percentile_approx(v, steps, 10_000).alias("_cuts"), F.percentile_approx(k, steps, 10_000).alias("_key_cuts"), F.count("*").alias("_n"))
+    rows = df.withColumns({"_v": v, "_k": k}).join(cuts, F.col(community).eqNullSafe(F.col("_community")))
+    above = F.size(F.filter("_cuts", lambda c: c > F.col("_v")))
+    below = F.size(F.filter("_key_cuts", lambda c: c < F.col("_k")))
+    on_cut = F.array_contains("_cuts", F.col("_v"))
     # Rows on a cut may be very many: they follow the rows above it in ranges of their own, by key.
     rows = rows.withColumn("_range", F.struct(above.alias("a"), F.when(on_cut, 1).otherwise(0).alias("b"), F.when(on_cut, below).otherwise(0).alias("c")))
-    sizes = rows.groupBy(community, "_range").agg(F.count("*").alias("_k"))
-    ahead = W.partitionBy(community).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(community, "_range", F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(W.partitionBy(community, "_range").orderBy(F.desc(value), key))
-    placed = rows.withColumn("_inside", inside).join(offsets, [community, "_range"])
+    sizes = rows.groupBy("_community", "_range").agg(F.count("*").alias("_rows"))
+    ahead = W.partitionBy("_community").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_community").alias("_c"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(W.partitionBy("_community", "_range").orderBy(F.desc(value), key))
+    placed = rows.withColumn("_inside", inside).join(offsets, F.col("_community").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
     number = F.col("_inside") + F.col("_ahead")
     q, r = F.floor(F.col("_n") / buckets), F.col("_n") % buckets
     long = r * (q + 1)
@@ -80,9 +82,9 @@ def layered_sample(posts: DataFrame, community: str, key: str, score: str, eligi
     """Layer A from eligible posts with a keyword; layer B from eligible posts that are not in layer A, ranked after they are taken out."""
     caps, order = caps or Caps(), [F.desc(score), F.asc(key)]
     gated = posts.where(eligible)
-    a = capped(thirds(gated.where(keyword), community, order), community, caps.layer_a, order).withColumn("corpus_layer", F.lit("A_keyword"))
+    a = capped(thirds(gated.where(keyword), community, score, key), community, caps.layer_a, order).withColumn("corpus_layer", F.lit("A_keyword"))
     rest = gated.join(a.select(key), key, "left_anti")
-    b = capped(thirds(rest, community, order), community, caps.layer_b, order).withColumn("corpus_layer", F.lit("B_emergent"))
+    b = capped(thirds(rest, community, score, key), community, caps.layer_b, order).withColumn("corpus_layer", F.lit("B_emergent"))
     return a.unionByName(b)
 
 

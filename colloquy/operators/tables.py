@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.shared import shared_path
+
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(Column.__and__, (left[k].eqNullSafe(right[k]) for k in keys))
@@ -107,13 +109,23 @@ def remap_source(df: DataFrame, old: tuple[str, ...], new: str, column: str = "d
     return df.withColumn(column, F.when(c.isNull() | c.isin(*old), new).otherwise(c))
 
 
+def numbered(df: DataFrame, order: str, into: str) -> DataFrame:
+    """``df`` with ``into``: 1, 2, 3, ... by ``order``. The ranges of a sort are counted, so no task holds all rows."""
+    path = shared_path(df.sparkSession, "sorted")
+    df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    # One row for each range.
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", before.alias("_before"))
+    return rows.join(sizes, "_range").withColumn(into, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_at", "_before")
+
+
 def next_codes(current: DataFrame, new: DataFrame, order: str, prefix: str = "EMER-") -> DataFrame:
     """``new`` with ``code``: the next free numbers after the highest of the codebook; a code that cannot be read is passed over."""
     number = F.regexp_extract("code", f"^{prefix}([0-9]+)$", 1).try_cast("int")
-    top = current.agg(F.coalesce(F.max(number), F.lit(0)).alias("top"))
-    # New codes are approved by hand, so one task numbers them.
-    placed = new.withColumn("_n", F.row_number().over(W.orderBy(order))).crossJoin(top)
-    return placed.withColumn("code", F.concat(F.lit(prefix), F.lpad((F.col("_n") + F.col("top")).cast("string"), F.greatest(F.lit(2), F.length((F.col("_n") + F.col("top")).cast("string"))), F.lit("0")))).drop("_n", "top")
+    top = current.agg(F.max(number)).first()[0] or 0
+    digits = (F.col("_n") + top).cast("string")
+    return numbered(new, order, "_n").withColumn("code", F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(2), F.length(digits)), F.lit("0")))).drop("_n")
 
 
 def approve_candidates(codebook: DataFrame, candidates: DataFrame, order: str) -> DataFrame:
@@ -139,14 +151,14 @@ def run_states(changes: DataFrame, terminal: tuple[str, ...] = ("completed", "fa
 
 def update_latest_run(runs: DataFrame, session: str, tie: str, label: str | None = None, is_test: bool | None = None) -> DataFrame:
     """Label and test mark of a session's newest run; what is not given stays. ``extra`` is a struct with both."""
-    newest = F.row_number().over(W.partitionBy("session_id").orderBy(F.col("started_at").desc_nulls_last(), F.desc(tie)))
-    hit = (F.col("session_id") == session) & (F.col("_place") == 1)
+    mine = F.col("session_id") == session
+    newest = runs.where(mine).agg(F.max(F.struct("started_at", tie))[tie]).first()[0]  # of this session alone
     changed = F.col("extra")
     if label is not None:
         changed = changed.withField("label", F.lit(label))
     if is_test is not None:
         changed = changed.withField("is_test", F.lit(is_test))
-    return runs.withColumn("_place", newest).withColumn("extra", F.when(hit, changed).otherwise(F.col("extra"))).drop("_place")
+    return runs.withColumn("extra", F.when(mine & (F.col(tie) == F.lit(newest)), changed).otherwise(F.col("extra")))
 
 
 def newest(df: DataFrame, n: int, order: str, tie: str, where: Column | None = None) -> DataFrame:

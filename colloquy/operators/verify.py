@@ -43,10 +43,10 @@ def score_parts(pairs: DataFrame, part: str = "part", body: str = "body_norm", t
 
 def verify_quotes(rows: DataFrame, key: str, quote: str, body: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, quote, verified): an empty quote holds, an empty body holds no quote, every part must reach the threshold."""
-    base = rows.select(key, quote, F.coalesce(body, F.lit("")).alias("_body")).distinct()
-    free = base.where(F.coalesce(quote, F.lit("")) == "").select(key, quote, F.lit(True).alias("verified"))
+    base = rows.select(key, quote, F.coalesce(body, F.lit("")).alias("_body"))
+    free = base.where(F.coalesce(quote, F.lit("")) == "").select(key, quote, F.lit(True).alias("verified")).distinct()
     asked = base.where(F.coalesce(quote, F.lit("")) != "").withColumn("_parts", quote_parts(F.col(quote)))
-    blank = asked.where("_body = '' or size(_parts) = 0").select(key, quote, (F.col("_body") != "").alias("verified"))
+    blank = asked.where("_body = '' or size(_parts) = 0").select(key, quote, (F.col("_body") != "").alias("verified")).distinct()
     parts = asked.where("_body <> '' and size(_parts) > 0").select(key, quote, clean.normalised_text(F.col("_body")).alias("body_norm"), F.explode("_parts").alias("part"))
     scored = score_parts(parts, threshold=threshold).groupBy(key, quote).agg(F.bool_and(F.col("score") >= threshold).alias("verified"))
     return free.unionByName(blank).unionByName(scored)

@@ -28,7 +28,7 @@ def coded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_thirds(rows: DataFrame) -> DataFrame:
     """Posts with their third by length; texts are left behind before rows are dealt out."""
-    return sampling.thirds_at_scale(rows.drop("text"), "source", "n_chars", "doc_id")
+    return sampling.thirds(rows.drop("text"), "source", "n_chars", "doc_id")
 
 
 def _hits(code: str) -> str:

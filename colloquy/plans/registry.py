@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A text as ``functions.clean.normalised_text`` leaves it.
+SQL_NORM = (
+    "trim(regexp_replace(regexp_replace(replace(replace(replace(translate(lower({0}), '’‘“”—–é' || chr(160), '''''\"\"--e '), '…', '...'), 'æ', 'ae'), 'œ', 'oe'), "
+    "'[^a-z0-9\\s''.-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -287,14 +287,14 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, tertile::INT AS tertile, min(o_totalprice) AS least_score, max(o_totalprice) AS most_score, count(*) AS pool FROM (SELECT *, ntile(3) OVER (PARTITION BY o_orderpriority ORDER BY " + _ORDER + ") AS tertile FROM orders) GROUP BY 1, 2")
 def tertile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.thirds(table(spark, sf_dir, "orders"), "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    rows = sampling.thirds(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey")
     return sampling.tertile_ranges(rows, "o_orderpriority", "o_totalprice")
 
 
 @query("SELECT event_id, ntile(3) OVER (PARTITION BY event_type ORDER BY user_id DESC, event_id)::INT AS tertile FROM events")
 def tertiles_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few communities with few distinct values: exact thirds without a task that holds a community."""
-    return sampling.thirds_at_scale(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id").select("event_id", "tertile")
+    return sampling.thirds(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id").select("event_id", "tertile")
 
 
 @query("SELECT 0::INT AS step, 'raw' AS stage, count(*) AS n_rows, NULL::BIGINT AS change FROM orders UNION ALL SELECT 1, 'gated', count(*) FILTER (o_totalprice > 100000), count(*) FILTER (o_totalprice > 100000) - count(*) FROM orders UNION ALL SELECT 2, 'final', count(*) FILTER (o_totalprice > 300000), count(*) FILTER (o_totalprice > 300000) - count(*) FILTER (o_totalprice > 100000) FROM orders")

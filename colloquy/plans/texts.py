@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.config import CODES
+from colloquy.config import CODES, DIMENSIONS
+from colloquy.functions import jsonx
 from colloquy.operators import agreement, audit, emergent, fuzzy, verify
-from colloquy.plans.registry import query, table
+from colloquy.plans.registry import SQL_NORM, query, table
 from colloquy.shared import shared_path as scratch
 from colloquy.sources import readers, writers
 from colloquy.streaming import jobs
@@ -23,19 +24,16 @@ def dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
 # -- quotes --------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE true END AS verified FROM documents WHERE length(text) > 150 AND regexp_matches(text, '^[A-Za-z .,]{150}')")
-def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes made of a document's own words: whole, with an ellipsis, foreign, empty, in capitals."""
-    docs = table(spark, sf_dir, "documents").where("length(text) > 150").where(F.col("text").rlike("^[A-Za-z .,]{150}"))
-    n = F.col("doc_id") % 5
-    whole, parts = F.substring("text", 11, 60), F.concat(F.substring("text", 1, 40), F.lit("…"), F.substring("text", 101, 40))
-    quote = F.when(n == 0, whole).when(n == 1, parts).when(n == 2, "0123456789 9876543210 zzqqzz 4455").when(n == 3, "").otherwise(F.upper(whole))
-    return verify.verify_quotes(docs.withColumn("quote", quote), "doc_id", "quote", "text").select("doc_id", "verified")
+_FOREIGN, _NEVER = "0123456789 9876543210 zzqqzz 4455", "zzqq 0123456789 never said"
+_AT = "((doc_id * 7919) % (greatest(length(text) - 130, 0) + 1) + 1)"
+#: Parts of a quote as they are compared, and whether a text holds all of them (or, if it is shorter, is held by them).
+_SQL_PARTS = "list_filter(list_transform(string_split(" + SQL_NORM.format("quote") + ", '...'), lambda p: trim(p)), lambda p: p <> '')"
+_SQL_HELD = "CASE WHEN coalesce(quote, '') = '' THEN true WHEN coalesce(text, '') = '' THEN false ELSE coalesce(list_bool_and(list_transform(parts, lambda p: contains(norm, p) OR (norm <> '' AND length(norm) < length(p) AND contains(p, norm)))), true) END"
 
 
 def _place(size: int) -> Column:
     """A place in the text from which ``size`` characters can be quoted, anywhere in it."""
-    return (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1).cast("int")
+    return (F.pmod(F.col("doc_id") * 7919, F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1).cast("int")
 
 
 def quoted(docs: DataFrame) -> DataFrame:
@@ -43,27 +41,54 @@ def quoted(docs: DataFrame) -> DataFrame:
     n, at = F.pmod("doc_id", F.lit(5)), _place(130)
     whole = F.substring("text", at, F.lit(60))
     parts = F.concat(F.substring("text", at, F.lit(40)), F.lit("…"), F.substring("text", at + 90, F.lit(40)))
-    return docs.withColumn("quote", F.when(n == 0, whole).when(n == 1, parts).when(n == 2, "0123456789 9876543210 zzqqzz 4455").when(n == 3, "").otherwise(F.upper(whole)))
+    return docs.withColumn("quote", F.when(n == 0, whole).when(n == 1, parts).when(n == 2, _FOREIGN).when(n == 3, "").otherwise(F.upper(whole)))
+
+
+@query(
+    f"WITH q AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN substring(text, {_AT}, 60) WHEN 1 THEN substring(text, {_AT}, 40) || '…' || substring(text, {_AT} + 90, 40) WHEN 2 THEN '{_FOREIGN}' WHEN 3 THEN '' ELSE upper(substring(text, {_AT}, 60)) END AS quote FROM documents), "
+    f"n AS (SELECT *, {SQL_NORM.format('text')} AS norm, {_SQL_PARTS} AS parts FROM q) SELECT doc_id, {_SQL_HELD} AS verified FROM n"
+)
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from every document: whole, with an ellipsis, foreign, empty, in capitals. The SQL looks for exact parts, which decides for these quotes."""
+    return verify.verify_quotes(quoted(table(spark, sf_dir, "documents")), "doc_id", "quote", "text").select("doc_id", "verified")
+
+
+def _changed() -> Column:
+    """60 characters from anywhere in a text, one of them another."""
+    at = _place(60)
+    return F.concat(F.substring("text", at, F.lit(28)), F.lit("x"), F.substring("text", at + 29, F.lit(31)))
 
 
 @query()
 def quotes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``quote_verification`` over every document, short ones and those with line breaks, digits or accents too."""
-    return verify.verify_quotes(quoted(table(spark, sf_dir, "documents")), "doc_id", "quote", "text").select("doc_id", "verified")
+    """Quotes with a changed character, which only the similarity of texts can find."""
+    return verify.verify_quotes(table(spark, sf_dir, "documents").withColumn("quote", _changed()), "doc_id", "quote", "text").select("doc_id", "verified")
 
 
-def coded_quotes(docs: DataFrame) -> DataFrame:
-    """``docs`` with JSON lists of codes and quotes as in ``quarantine``, the own quote from anywhere in the text."""
+def coded_quotes(docs: DataFrame, own: Column | None = None) -> DataFrame:
+    """``docs`` with JSON lists of codes and quotes: a verified code beside an unverified one, an unknown code, a foreign quote, an abstention."""
     n = F.pmod("doc_id", F.lit(4))
     codes = F.when(n == 0, '["push-01", "PULL-02"]').when(n == 1, '["PUSH-99"]').when(n == 2, '["PUSH-02"]').otherwise('["[EMPTY]"]')
-    own = F.to_json(F.array(F.substring("text", _place(50), F.lit(50)), F.lit("zzqq 0123456789 never said")))
-    return docs.withColumns({"codes": codes, "quotes": F.when(n == 0, own).when(n == 2, '["zzqq 0123456789 never said"]').otherwise("[]")})
+    own = F.coalesce(F.substring("text", _place(50), F.lit(50)) if own is None else own, F.lit(""))
+    own = F.to_json(F.array(own, F.lit(_NEVER)))
+    return docs.withColumns({"codes": codes, "quotes": F.when(n == 0, own).when(n == 2, f'["{_NEVER}"]').otherwise("[]")})
+
+
+@query(
+    f"WITH n AS (SELECT doc_id, doc_id % 4 AS k, coalesce(text, '') AS text, {SQL_NORM.format('text')} AS norm, '{_NEVER}' AS foreign_quote FROM documents), "
+    "f AS (SELECT doc_id, k, text <> '' AND norm <> '' AND (contains(norm, foreign_quote) OR (length(norm) < length(foreign_quote) AND contains(foreign_quote, norm))) AS said FROM n) "
+    "SELECT doc_id, CASE WHEN k = 0 AND said THEN 'PULL-02,PUSH-01' WHEN k = 0 THEN 'PUSH-01' WHEN k = 2 AND said THEN 'PUSH-02' ELSE '' END AS codes_clean, CASE WHEN k = 1 THEN 'hallucinated_label' WHEN k = 2 AND NOT said THEN 'unverifiable_quote' END AS quarantine_reason FROM f"
+)
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes with quotes, own ones from anywhere in the text, over every document."""
+    out = verify.clean_rows(coded_quotes(table(spark, sf_dir, "documents")), "doc_id", "codes", "quotes", "text")
+    return out.select("doc_id", F.array_join("codes_clean", ",").alias("codes_clean"), "quarantine_reason")
 
 
 @query()
 def quarantine_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``quarantine`` over every document."""
-    out = verify.clean_rows(coded_quotes(table(spark, sf_dir, "documents")), "doc_id", "codes", "quotes", "text")
+    """The same with a changed character in each own quote."""
+    out = verify.clean_rows(coded_quotes(table(spark, sf_dir, "documents"), _changed()), "doc_id", "codes", "quotes", "text")
     return out.select("doc_id", F.array_join("codes_clean", ",").alias("codes_clean"), "quarantine_reason")
 
 
@@ -80,21 +105,6 @@ def fuzzy_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.score_parts(held).select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 
-_REASON = "CASE doc_id % 4 WHEN 1 THEN 'hallucinated_label' WHEN 2 THEN 'unverifiable_quote' END"
-
-
-@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'PUSH-01' ELSE '' END AS codes_clean, {_REASON} AS quarantine_reason FROM documents WHERE regexp_matches(text, '^[a-zA-Z .,]{{80}}')")
-def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verified code beside an unverified one, an unknown code, a foreign quote, an abstention."""
-    n = F.col("doc_id") % 4
-    codes = F.when(n == 0, '["push-01", "PULL-02"]').when(n == 1, '["PUSH-99"]').when(n == 2, '["PUSH-02"]').otherwise('["[EMPTY]"]')
-    own = F.to_json(F.array(F.substring("text", 5, 50), F.lit("zzqq 0123456789 never said")))
-    quotes = F.when(n == 0, own).when(n == 2, '["zzqq 0123456789 never said"]').otherwise("[]")
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("^[a-zA-Z .,]{80}")).withColumns({"codes": codes, "quotes": quotes})
-    out = verify.clean_rows(docs, "doc_id", "codes", "quotes", "text")
-    return out.select("doc_id", F.array_join("codes_clean", ",").alias("codes_clean"), "quarantine_reason")
-
-
 # -- raters --------------------------------------------------------------------------------------
 
 
@@ -131,6 +141,21 @@ def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"agreement": F.round("agreement", 9), "kappa": F.round("kappa", 9)})
 
 
+@query(
+    _COUNTS.replace("< 5 THEN 'low presence (<5)'", "< 10 THEN 'low presence (<10)'").replace("unnest(['GOOD', 'TOXIC', 'NONE']) AS code", "unnest(['PUSH', 'PULL', 'NONE']) AS code")
+    + 'SELECT "left", "right", code, n, pos1, pos2, status, round(kappa, 9) AS kappa FROM f'
+)
+def dimension_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kappa by dimension, with at least 10 positive judgements of each rater."""
+    named = F.transform("codes", lambda c: F.when(c == "GOOD", "PUSH-01").otherwise("PULL-02"))
+    ratings = _ratings(spark, sf_dir).withColumn("codes", jsonx.with_dimensions(named, CODES, DIMENSIONS))
+    pairs, _ = _pairs(spark)
+    codes = spark.createDataFrame([("PUSH",), ("PULL",)], "code string")
+    out = agreement.kappa(agreement.pair_counts(ratings, pairs, codes), 10)
+    none = agreement.kappa(agreement.pair_counts(ratings, pairs, spark.createDataFrame([("MOOR-F",)], "code string")), 10).withColumn("code", F.lit("NONE"))
+    return out.unionByName(none).select("left", "right", "code", "n", "pos1", "pos2", "status", F.round("kappa", 9).alias("kappa"))
+
+
 @query(_COUNTS + "SELECT p.\"left\", p.\"right\", round(avg(kappa), 9) AS mean_kappa, count(kappa) AS n_codes FROM p LEFT JOIN f ON p.\"left\" = f.\"left\" AND p.\"right\" = f.\"right\" AND code <> 'NONE' GROUP BY 1, 2")
 def mean_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.mean_kappa(agreement.kappa(agreement.pair_counts(_ratings(spark, sf_dir), *_pairs(spark)))).withColumn("mean_kappa", F.round("mean_kappa", 9))
@@ -183,6 +208,27 @@ def emergent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emergent.emergent_rows(rows).select("p_partkey", "label", "definition")
 
 
+@query("SELECT 't3_' || p_partkey AS source_post_id, p_name AS label, p_brand AS definition FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0")
+def emergent_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes of layer B posts written as the export of candidates and read back; no forbidden column is in the files."""
+    theme = F.to_json(F.array(F.struct(F.col("p_name").alias("label"), F.col("p_brand").alias("definition"))))
+    n = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("t3_"), n).alias("source_post_id"), F.col("p_type").alias("text"), F.when(n % 2 == 0, "B_emergent").otherwise("A_keyword").alias("corpus_layer"), F.when(n % 3 != 0, theme).otherwise("[]").alias("themes"))
+    path = scratch(spark, "emergent")
+    writers.write_csv(writers.emergent_candidates(emergent.emergent_rows(rows)), path)
+    return readers.read_csv(spark, path).select("source_post_id", "label", "definition")
+
+
+@query("SELECT count(*) AS n_rows, 'label' AS first_column FROM part WHERE false")
+def emergent_export_of_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without any theme the export is a file with its header."""
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("t3_"), "p_partkey").alias("source_post_id"), F.lit("A_keyword").alias("corpus_layer"), F.lit("[]").alias("themes"))
+    path = scratch(spark, "emergent")
+    writers.write_csv(writers.emergent_candidates(emergent.emergent_rows(rows)), path)
+    found = readers.read_csv(spark, path)
+    return found.agg(F.count("*").alias("n_rows"), F.lit(found.columns[0]).alias("first_column"))
+
+
 # -- exports and files ---------------------------------------------------------------------------
 
 
@@ -218,13 +264,13 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 't3_' || doc_id AS reddit_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, n_chars::INT AS score, 86400.0::DOUBLE * (19723 + doc_id % 300) AS created_utc FROM documents")
 def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as an exported CSV of posts (line breaks and quotes inside fields), read and cleaned; each comes twice and the last row stays."""
+    """Documents as an exported CSV of posts (line breaks and quotes inside fields), read and cleaned; each comes twice, in files whose names give their order, and the last row stays."""
     docs = table(spark, sf_dir, "documents")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd")
     raw = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("x").alias("subreddit_name"), F.lit("t").alias("title"), F.col("text").alias("body"), F.concat("n_chars", F.lit(".7")).alias("score"), day.alias("post_date"))
     path = scratch(spark, "posts")
-    twice = raw.withColumns({"score": F.lit("1"), "copy": F.lit("0")}).unionByName(raw.withColumn("copy", F.lit("1")))
-    twice.coalesce(1).sortWithinPartitions("copy").write.option("header", True).option("escape", '"').csv(path)
+    twice = raw.withColumns({"score": F.lit("1"), "copy": F.lit(0)}).unionByName(raw.withColumn("copy", F.lit(1)))
+    twice.write.partitionBy("copy").option("header", True).option("escape", '"').csv(path)
     return readers.read_posts(spark, path).select("reddit_id", "text", "score", "created_utc")
 
 
@@ -333,8 +379,7 @@ def stream_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by day and type, as complete output of a stream kept in a table of its own."""
-    name = f"progress_{uuid.uuid4().hex}"
-    counts = jobs.progress_counts(_stream(spark, sf_dir), "ts", "event_type")
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    """Counts by day and type of a stream, added up over its batches."""
+    out = scratch(spark, "progress")
+    jobs.count_stream(_stream(spark, sf_dir), "ts", "event_type", out, scratch(spark, "offsets")).awaitTermination()
+    return jobs.progress(spark, out, "event_type").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

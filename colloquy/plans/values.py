@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.config import CODES, DIMENSIONS
 from colloquy.functions import clean, jsonx
 from colloquy.operators import audit, coding
-from colloquy.plans.registry import query, table
+from colloquy.plans.registry import SQL_NORM, query, table
 
 
 def _pick(n: Column, *texts: str | None) -> Column:
@@ -112,13 +112,7 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(n, clean.pseudonymous(author).alias("stored"), clean.pseudonym(F.col("c_name"), "hash").alias("pseudonym"), clean.row_fingerprint("c_custkey", "c_name", "c_nationkey").alias("fingerprint"))
 
 
-_SQL_NORM = (
-    "trim(regexp_replace(regexp_replace(replace(replace(replace(translate(lower({0}), '’‘“”—–é' || chr(160), '''''\"\"--e '), '…', '...'), 'æ', 'ae'), 'œ', 'oe'), "
-    "'[^a-z0-9\\s''.-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-)
-
-
-@query("SELECT doc_id, sha256(" + _SQL_NORM.format("text") + ") AS norm_hash, length(" + _SQL_NORM.format("text") + ")::INT AS norm_length FROM documents")
+@query("SELECT doc_id, sha256(" + SQL_NORM.format("text") + ") AS norm_hash, length(" + SQL_NORM.format("text") + ")::INT AS norm_length FROM documents")
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = clean.normalised_text(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(norm, 256).alias("norm_hash"), F.length(norm).alias("norm_length"))
@@ -136,12 +130,10 @@ def turn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", coding.identifying(F.col("text")).alias("identifying"), clean.ascii_share(F.col("text")).alias("ascii_share"))
 
 
-@query("SELECT event_id, format('{:d} ({:.1f}%)', (event_id % 40)::INT, (event_id % 40) * 100.0 / 64) || CASE WHEN event_id % 40 < 10 THEN '*' ELSE '' END AS cell FROM events WHERE round((event_id % 40) * 1000.0 / 64, 6) * 2 % 2 <> 1")
+@query("SELECT event_id, format('{:d} ({:.1f}%)', (event_id % 40)::INT, (event_id % 40) * 100.0 / 64) || CASE WHEN event_id % 40 < 10 THEN '*' ELSE '' END AS cell FROM events")
 def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose percentage is no tie at the shown digit, where roundings differ."""
-    n = F.col("event_id") % 40
-    rows = table(spark, sf_dir, "events").where(F.round(n * 1000.0 / 64, 6) * 2 % 2 != 1)
-    return rows.select("event_id", clean.cell(n, F.lit(64)).alias("cell"))
+    """Cells of counts of 64; an eighth of the percentages are ties at the shown digit, which go to the even one."""
+    return table(spark, sf_dir, "events").select("event_id", clean.cell(F.col("event_id") % 40, F.lit(64)).alias("cell"))
 
 
 # -- JSON ----------------------------------------------------------------------------------------
@@ -175,12 +167,14 @@ def json_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of codes in every shape they are found in, dealt over the events."""
     n = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(n, _pick(n, *_LISTS).alias("raw"))
-    parsed, names = jsonx.parse_codes(F.col("raw")), jsonx.code_set(F.col("raw"))
+    # Columns of their own, so that no list is parsed again for every column made of it.
+    rows = rows.withColumns({"parsed": jsonx.parse_codes(F.col("raw")), "names": F.array_sort(jsonx.code_set(F.col("raw")))})
+    parsed, names = F.col("parsed"), F.col("names")
     return rows.select(
         n,
         F.size(parsed).alias("n_codes"),
         jsonx.all_low(parsed).alias("all_low"),
-        F.array_join(F.array_sort(names), ",").alias("codes"),
+        F.array_join("names", ",").alias("codes"),
         jsonx.in_dimension(names, tuple(c for c in CODES if c.startswith("PUSH"))).alias("push"),
         F.array_join(F.array_sort(jsonx.with_dimensions(names, CODES, DIMENSIONS)), ",").alias("with_none"),
         jsonx.json_list_or_empty(F.col("raw")).alias("list"),

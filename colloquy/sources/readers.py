@@ -19,6 +19,11 @@ def _csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return rows.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """An export as it was written, all columns as texts."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def _get(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 

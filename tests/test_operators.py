@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.config import ARCHETYPES, CODES, DIMENSIONS
@@ -260,13 +261,23 @@ def test_profile_reads_only_what_it_needs(spark, tmp_path):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_thirds_at_scale_equal_ntile(spark, seed):
+def test_thirds_equal_ntile(spark, seed):
+    """Ties, nulls, a community without a name, and keys that are texts."""
     r = random.Random(seed)
-    rows = [(i, r.choice("ab"), r.choice([0, 0, 0, 5, r.randint(0, 1000)])) for i in range(r.choice([5, 400, 3000]))]
-    df = spark.createDataFrame(rows, "k long, c string, v long")
-    want = sampling.thirds(df, "c", [F.desc("v"), F.asc("k")]).select("k", "tertile").collect()
-    found = sampling.thirds_at_scale(df, "c", "v", "k").select("k", "tertile").collect()
-    assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+    rows = [(i, f"t3_{r.choice('xyz')}{i}", r.choice(["a", "b", None]), r.choice([0, 0, 0, 5, None, r.randint(0, 1000)])) for i in range(r.choice([5, 400, 3000]))]
+    df = spark.createDataFrame(rows, "k long, name string, c string, v long")
+    for key in ("k", "name"):
+        want = df.withColumn("tertile", F.ntile(3).over(Window.partitionBy("c").orderBy(F.desc("v"), key))).select("k", "tertile").collect()
+        assert sorted(map(tuple, sampling.thirds(df, "c", "v", key).select("k", "tertile").collect())) == sorted(map(tuple, want))
+
+
+def test_cells_round_like_python(spark):
+    r = random.Random(5)
+    rows = [(n, total) for total in (64, 200, 400, 2000, 4000, *(r.randint(1, 5000) for _ in range(200))) for n in {0, 1, 5, 25, 107, total, *(r.randint(0, total) for _ in range(30))} if n <= total]
+    found = spark.createDataFrame(rows, "n long, total long").select("n", "total", clean.cell(F.col("n"), F.col("total")).alias("cell"), clean.percent_text(F.col("n"), F.col("total")).alias("pct")).collect()
+    for x in found:
+        share = x.n * 100.0 / x.total
+        assert (x.cell, x.pct) == (f"{x.n} ({share:.1f}%)" + "*" * (x.n < 10), f"{share:.2f}%")
 
 
 def test_constant_caps_limit_groups_early(spark):
