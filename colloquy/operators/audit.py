@@ -117,6 +117,20 @@ def require_rows(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: no rows")
 
 
+def gates(df: DataFrame, leaked: Column) -> DataFrame:
+    """(gate, value, passed): no row fell back to raw values, and there are rows. One pass over the rows."""
+    sums = df.agg(F.count_if(leaked).alias("leaks"), F.count("*").alias("rows"))
+    line = lambda name, value, ok: F.struct(F.lit(name).alias("gate"), F.col(value).alias("value"), ok.alias("passed"))
+    return sums.select(F.inline(F.array(line("fallback_leaks", "leaks", F.col("leaks") == 0), line("rows", "rows", F.col("rows") > 0))))
+
+
+def require_gates(df: DataFrame, leaked: Column, what: str) -> None:
+    """An error that names the gates that ``df`` does not pass."""
+    closed = [r.gate for r in gates(df, leaked).collect() if not r.passed]
+    if closed:
+        raise ValueError(f"{what}: {', '.join(closed)}")
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n): rows that break each rule."""
     sums = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))

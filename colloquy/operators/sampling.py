@@ -101,6 +101,11 @@ def review_sample(df: DataFrame, batch: str, key: str, flagged: str, seed: int =
     return df.withColumns({"place": F.row_number().over(order), "take": take}).where("place <= take").drop("take")
 
 
+def head(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``; each task keeps its own first ones, so no task sorts all."""
+    return df.orderBy(order).limit(n)
+
+
 def coverage(replies: DataFrame, posts: DataFrame, post_key: str) -> DataFrame:
     """Replies, posts with a reply, and their share of all posts."""
     total = posts.agg(F.count("*").alias("n_posts"))

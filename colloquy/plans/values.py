@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.config import CODES, DIMENSIONS
+from colloquy.config import CODES, DIMENSIONS, FILLER_PHRASES
 from colloquy.functions import clean, jsonx
 from colloquy.operators import audit, coding
 from colloquy.plans.registry import SQL_NORM, query, table
@@ -95,11 +95,14 @@ def code_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(n, clean.valid_code(F.col("c")).alias("valid"), (F.size(clean.filled_codes(F.array("c"))) == 1).alias("filled"), clean.marked(F.col("m")).alias("marked"))
 
 
-@query("SELECT event_id, CASE WHEN k IS NULL THEN 'N/A' WHEN k < 0 THEN 'Poor' WHEN k < 0.2 THEN 'Slight' WHEN k <= 0.4 THEN 'Fair' WHEN k <= 0.6 THEN 'Moderate' WHEN k <= 0.8 THEN 'Substantial' ELSE 'Almost perfect' END AS band FROM (SELECT event_id, CASE WHEN event_id % 13 > 0 THEN ((event_id % 13) - 3)::DOUBLE / 10 END AS k FROM events)")
+@query(
+    "SELECT event_id, CASE WHEN k IS NULL THEN 'N/A' WHEN k < 0 THEN 'Poor' WHEN k < 0.2::DOUBLE THEN 'Slight' WHEN k <= 0.4::DOUBLE THEN 'Fair' WHEN k <= 0.6::DOUBLE THEN 'Moderate' WHEN k <= 0.8::DOUBLE THEN 'Substantial' ELSE 'Almost perfect' END AS band "
+    "FROM (SELECT event_id, CASE WHEN user_id % 13 > 0 THEN (((value * 100)::BIGINT % 131) - 30)::DOUBLE / 100 END AS k FROM events)"
+)
 def agreement_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    k = F.when(n % 13 > 0, ((n % 13) - 3).cast("double") / 10).otherwise(F.lit(float("nan")))
-    return table(spark, sf_dir, "events").select(n, clean.agreement_band(k).alias("band"))
+    """Values of events, brought between -0.3 and 1, as kappas; some have none."""
+    k = F.when(F.col("user_id") % 13 > 0, (F.round(F.col("value") * 100).cast("long") % 131 - 30).cast("double") / 100).otherwise(F.lit(float("nan")))
+    return table(spark, sf_dir, "events").select("event_id", clean.agreement_band(k).alias("band"))
 
 
 @query(
@@ -118,11 +121,23 @@ def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(norm, 256).alias("norm_hash"), F.length(norm).alias("norm_length"))
 
 
+_FILLERS = ", ".join(f"'{p}'" for p in FILLER_PHRASES)
+
+
 @query(
-    r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 40 THEN 'skipped_short_form' WHEN length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::DOUBLE / length(' ' || text) < 0.7 THEN 'skipped_non_latin' ELSE 'code' END AS route FROM documents"
+    r"WITH d AS (SELECT doc_id, doc_id % 8 = 5 AS filler, ['thanks', 'Me too', 'so true', 'no comment'][doc_id // 8 % 4 + 1] AS phrase, text FROM documents), "
+    r"t AS (SELECT doc_id, CASE WHEN filler THEN repeat(phrase || '! ', CASE WHEN phrase = 'no comment' THEN 8 ELSE 1 END) || repeat('!?', 30) ELSE text END AS text FROM d) "
+    r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) < 40 THEN 'skipped_short_form' "
+    rf"WHEN trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) IN ('', {_FILLERS}) THEN 'skipped_filler_content' "
+    r"WHEN length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::DOUBLE / length(' ' || text) < 0.7 THEN 'skipped_non_latin' ELSE 'code' END AS route FROM t"
 )
 def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coding.route(table(spark, sf_dir, "documents"), None, "text").select("doc_id", "route")
+    """Documents, every eighth with a stock phrase and a run of marks in place of its text."""
+    n = F.col("doc_id")
+    phrase = F.get(F.array(*(F.lit(p) for p in ("thanks", "Me too", "so true", "no comment"))), F.floor(n / 8) % 4)
+    filler = F.concat(F.expr("repeat(concat(phrase, '! '), case when phrase = 'no comment' then 8 else 1 end)"), F.lit("!?" * 30))
+    docs = table(spark, sf_dir, "documents").withColumn("phrase", phrase).withColumn("text", F.when(n % 8 == 5, filler).otherwise(F.col("text")))
+    return coding.route(docs, None, "text").select("doc_id", "route")
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, 'https?://|www\.') AS identifying, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))::DOUBLE / nullif(length(text), 0) AS ascii_share FROM conversations")
@@ -138,40 +153,38 @@ def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- JSON ----------------------------------------------------------------------------------------
 
-_LISTS = (
-    None,
-    "[]",
-    "bad json",
-    "{}",
-    '[{"code":"PUSH-01","evidence_quote":"a","confidence":"LOW"},"x",null]',
-    '[{"code":"PUSH-01","confidence":"LOW"},{"code":"PULL-02","confidence":"HIGH"}]',
-    '["PUSH-01"," pull-02 ","PUSH-01"]',
+_SQL_CODES = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
+_SQL_LISTS = (
+    f"WITH c AS (SELECT *, {_SQL_CODES}[user_id % 24 + 1] AS c1, {_SQL_CODES}[event_id % 24 + 1] AS c2, ['LOW', 'MED', 'HIGH'][user_id % 3 + 1] AS conf FROM events), "
+    "r AS (SELECT event_id, CASE event_id % 7 WHEN 1 THEN '[]' WHEN 2 THEN 'bad ' || event_type WHEN 3 THEN props WHEN 4 THEN '[{\"code\":\"' || c1 || '\",\"evidence_quote\":\"' || event_type || '\",\"confidence\":\"' || conf || '\"},\"x\",null]' "
+    "WHEN 5 THEN '[{\"code\":\"' || c1 || '\",\"confidence\":\"' || conf || '\"},{\"code\":\"' || c2 || '\",\"confidence\":\"LOW\"}]' WHEN 6 THEN '[\"' || c1 || '\",\" ' || lower(c2) || ' \",\"' || c1 || '\"]' END AS raw FROM c), "
+    "j AS (SELECT event_id, raw, CASE WHEN json_valid(raw) THEN json_type(raw) END AS kind FROM r), "
+    "i AS (SELECT event_id, unnest(json_extract(raw, '$[*]')) AS item FROM j WHERE kind = 'ARRAY'), "
+    "g AS (SELECT event_id, count(*) FILTER (json_type(item) = 'OBJECT') AS n_codes, coalesce(bool_and(item->>'$.confidence' = 'LOW') FILTER (json_type(item) = 'OBJECT'), false) AS all_low, "
+    "list_sort(list_distinct(list(upper(trim(CASE json_type(item) WHEN 'OBJECT' THEN item->>'$.code' ELSE item->>'$' END))) FILTER (json_type(item) <> 'NULL'))) AS names FROM i GROUP BY event_id), "
+    "f AS (SELECT event_id, coalesce(n_codes, 0)::INT AS n_codes, coalesce(all_low, false) AS all_low, coalesce(names, []) AS names, CASE WHEN kind IS NULL THEN '[]' ELSE raw END AS list FROM j LEFT JOIN g USING (event_id)) "
 )
-_FACTS = {
-    "n_codes": (0, 0, 0, 0, 1, 2, 0),
-    "all_low": (False, False, False, False, True, False, False),
-    "codes": ("", "", "", "", "PUSH-01,X", "PULL-02,PUSH-01", "PULL-02,PUSH-01"),
-    "push": (False, False, False, False, True, True, True),
-    "with_none": ("NONE", "NONE", "NONE", "NONE", "PUSH,PUSH-01,X", "PULL,PULL-02,PUSH,PUSH-01", "PULL,PULL-02,PUSH,PUSH-01"),
-    "list": ("[]", "[]", "[]", "{}", _LISTS[4], _LISTS[5], _LISTS[6]),
-}
-
-
-def _fact(name: str) -> str:
-    values = _FACTS[name]
-    return _sql_pick("event_id", *values) if isinstance(values[0], str) else f"CASE event_id % 7 {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END"
+_SQL_NAMED = "list_filter(['PUSH', 'PULL', 'MOOR-F', 'MOOR-I'], lambda d: len(list_filter(names, lambda c: starts_with(c, d))) > 0)"
 
 
-@query(f"SELECT event_id, {', '.join(f'{_fact(n)} AS {n}' for n in _FACTS)} FROM events")
+@query(
+    _SQL_LISTS
+    + f"SELECT event_id, n_codes, all_low, array_to_string(names, ',') AS codes, list_has_any(names, list_filter({_SQL_CODES}, lambda c: starts_with(c, 'PUSH'))) AS push, "
+    + f"array_to_string(list_sort(list_concat(names, {_SQL_NAMED}, CASE WHEN list_has_any(names, {_SQL_CODES}) THEN [] ELSE ['NONE'] END)), ',') AS with_none, list FROM f"
+)
 def json_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of codes in every shape they are found in, dealt over the events."""
-    n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(n, _pick(n, *_LISTS).alias("raw"))
+    """Lists of codes in every shape they are found in, made of the events' own values."""
+    n, book = F.col("event_id"), F.array(*(F.lit(c) for c in CODES))
+    rows = table(spark, sf_dir, "events").withColumns({"c1": F.get(book, F.col("user_id") % 24), "c2": F.get(book, n % 24), "conf": F.get(F.array(F.lit("LOW"), F.lit("MED"), F.lit("HIGH")), F.col("user_id") % 3)})
+    one, two, plain = '[{"code":"%s","evidence_quote":"%s","confidence":"%s"},"x",null]', '[{"code":"%s","confidence":"%s"},{"code":"%s","confidence":"LOW"}]', '["%s"," %s ","%s"]'
+    raw = F.when(n % 7 == 1, "[]").when(n % 7 == 2, F.concat(F.lit("bad "), "event_type")).when(n % 7 == 3, F.col("props")).when(n % 7 == 4, F.format_string(one, "c1", "event_type", "conf"))
+    raw = raw.when(n % 7 == 5, F.format_string(two, "c1", "conf", "c2")).when(n % 7 == 6, F.format_string(plain, "c1", F.lower("c2"), "c1"))
+    rows = rows.select("event_id", raw.alias("raw"))
     # Columns of their own, so that no list is parsed again for every column made of it.
     rows = rows.withColumns({"parsed": jsonx.parse_codes(F.col("raw")), "names": F.array_sort(jsonx.code_set(F.col("raw")))})
     parsed, names = F.col("parsed"), F.col("names")
     return rows.select(
-        n,
+        "event_id",
         F.size(parsed).alias("n_codes"),
         jsonx.all_low(parsed).alias("all_low"),
         F.array_join("names", ",").alias("codes"),
@@ -186,24 +199,37 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), jsonx.json_is(F.col("props"), "$.k", "7").alias("is_seven"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a=x,b=' WHEN 1 THEN 'a=x,b=y' ELSE '' END AS pairs, CASE event_id % 2 WHEN 0 THEN 'LOW' ELSE 'HIGH' END AS confidence FROM events")
+@query(
+    "WITH c AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS codes, CASE WHEN p_size % 3 > 0 THEN list_slice(string_split(p_brand || ' ' || p_type || ' spare more', ' '), 1, p_size % 5) ELSE [] END AS quotes, "
+    "CASE p_size % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MED' ELSE 'LOW' END AS confidence FROM part) "
+    "SELECT p_partkey, array_to_string(list_transform(range(1, len(codes) + 1), lambda i: codes[i] || '=' || coalesce(quotes[i], '')), ',') AS pairs, confidence FROM c"
+)
 def paired_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    codes = jsonx.json_items(_pick(n, '["a","b"]', '["a","b"]', "[]"))
-    quotes = jsonx.json_items(_pick(n, '["x"]', '["x","y","z"]', None))
-    given = jsonx.parse_codes(_pick(n, '[{"code":"a","confidence":"MED"},{"code":"a","confidence":"LOW"}]', '[{"code":"b","confidence":"LOW"}]'))
-    pairs = F.array_join(F.transform(jsonx.paired(codes, quotes), lambda p: F.concat_ws("=", p["code"], p["quote"])), ",")
-    return table(spark, sf_dir, "events").select(n, pairs.alias("pairs"), jsonx.confidence_of(F.lit("a"), given).alias("confidence"))
+    """Words of a part's name as codes with up to four words as quotes, both as JSON; the last of its confidences counts."""
+    size = F.col("p_size")
+    words = F.split(F.concat_ws(" ", "p_brand", "p_type", F.lit("spare more")), " ")
+    quotes = F.when(size % 3 > 0, F.to_json(F.slice(words, F.lit(1), (size % 5).cast("int"))))
+    first = F.split("p_name", " ")[0]
+    given = F.when(size % 4 == 1, F.format_string('[{"code":"%s","confidence":"HIGH"},{"code":"%s","confidence":"LOW"}]', first, first)).when(size % 4 == 2, F.format_string('[{"code":"%s","confidence":"MED"},{"code":"other","confidence":"LOW"}]', first))
+    given = given.when(size % 4 == 3, F.format_string('[7,{"code":"%s","confidence":"LOW"}]', first)).otherwise("no list")
+    rows = table(spark, sf_dir, "part").select("p_partkey", first.alias("first"), F.to_json(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("codes"), quotes.alias("quotes"), given.alias("given"))
+    pairs = F.transform(jsonx.paired(jsonx.json_items(F.col("codes")), jsonx.json_items(F.col("quotes"))), lambda p: F.concat_ws("=", p["code"], p["quote"]))
+    return rows.select("p_partkey", F.array_join(pairs, ",").alias("pairs"), jsonx.confidence_of(F.col("first"), jsonx.parse_codes(F.col("given"))).alias("confidence"))
 
 
-@query("SELECT event_id, 'theme ' || (event_id % 9) AS label, CASE WHEN event_id % 2 = 0 THEN 'd' ELSE '' END AS definition FROM events WHERE event_id % 3 = 0")
+_THEMES = '[{"label":" %s ","definition":"%s"},{"label":"  "},"bare",{"definition":"%s"},{"label":"%s"}]'
+
+
+@query(
+    "WITH t AS (SELECT p_partkey, '[{\"label\":\" ' || p_name || ' \",\"definition\":\"' || p_brand || '\"},{\"label\":\"  \"},\"bare\",{\"definition\":\"' || p_type || '\"},{\"label\":\"' || p_type || '\"}]' AS raw FROM part WHERE p_size % 3 <> 1), "
+    "i AS (SELECT p_partkey, unnest(json_extract(raw, '$[*]')) AS item FROM t) "
+    "SELECT p_partkey, trim(item->>'$.label') AS label, coalesce(trim(item->>'$.definition'), '') AS definition FROM i WHERE json_type(item) = 'OBJECT' AND trim(coalesce(item->>'$.label', '')) <> ''"
+)
 def exploded_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A labelled theme, a blank one and a bare text on every third event."""
-    n = F.col("event_id")
-    theme = F.to_json(F.struct(F.concat(F.lit(" theme "), n % 9).alias("label"), F.when(n % 2 == 0, "d").alias("definition")))
-    raw = F.when(n % 3 == 0, F.concat(F.lit("["), theme, F.lit(',{"label":"  "},"bare"]'))).when(n % 3 == 1, "null")
-    rows = table(spark, sf_dir, "events").select(n, raw.alias("raw")).withColumn("themes", jsonx.parse_themes(F.col("raw"))).select("event_id", "themes")
-    return jsonx.explode_themes(rows).select("event_id", "label", "definition")
+    """Lists of themes of a part's own words: labelled, blank, without a label, and a bare text."""
+    raw = F.when(F.col("p_size") % 3 != 1, F.format_string(_THEMES, "p_name", "p_brand", "p_type", "p_type")).when(F.col("p_size") % 2 == 0, "null")
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).withColumn("themes", jsonx.parse_themes(F.col("raw"))).select("p_partkey", "themes")
+    return jsonx.explode_themes(rows).select("p_partkey", "label", "definition")
 
 
 @query(
@@ -221,10 +247,17 @@ def sorted_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonx.sorted_keywords(table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("keywords")))
 
 
-@query("SELECT event_id, event_id % 4 IN (1, 2) AS forbidden FROM events")
+@query(
+    "WITH d AS (SELECT event_id, '{\"' || ['note', 'author_id', 'k', 'Body'][user_id % 4 + 1] || '\":' || CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{\"' || event_type || '\":{\"text\":1}}' ELSE '\"the text of it\"' END || '}' AS details FROM events) "
+    "SELECT event_id, list_has_any(list_transform(list_concat(json_keys(details), coalesce(json_keys(details->json_keys(details)[1]), []), coalesce(flatten(list_transform(json_keys(details->json_keys(details)[1]), lambda k: coalesce(json_keys(details->json_keys(details)[1]->k), []))), [])), lambda k: lower(k)), "
+    "['body', 'text', 'author', 'author_id', 'username', 'selftext']) AS forbidden FROM d"
+)
 def forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details with a key named by the user, and the event's own object, a deeper one or a text under it."""
     n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(n, "event_type", _pick(n, '{"k":1}', '{"author_id":"x"}', '{"a":{"body":1}}', '{"note":"the body of it"}').alias("details"))
+    key = F.get(F.array(*(F.lit(k) for k in ("note", "author_id", "k", "Body"))), F.col("user_id") % 4)
+    inner = F.when(n % 3 == 0, F.col("props")).when(n % 3 == 1, F.format_string('{"%s":{"text":1}}', "event_type")).otherwise('"the text of it"')
+    rows = table(spark, sf_dir, "events").select(n, "event_type", F.format_string('{"%s":%s}', key, inner).alias("details"))
     return rows.select(n, jsonx.forbidden_in_json(rows).alias("forbidden"))
 
 
@@ -239,10 +272,17 @@ def flattened_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("vec_id", F.json_array_length("embedding").alias("n"), "label")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"a\":1}' WHEN 1 THEN '{\"b\":2}' ELSE '{}' END AS parsed FROM events")
+@query(
+    "WITH m AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'so:\n```json\n' || props || '\n```' WHEN 1 THEN ' ' || props WHEN 2 THEN 'the ' || event_type ELSE '```\n' || left(props, length(props) - 1) || '\n```' END AS answer FROM events), "
+    "i AS (SELECT event_id, trim(CASE WHEN contains(answer, '```') THEN regexp_extract(answer, '```(?:json)?([^`]*)```', 1) ELSE answer END, ' ' || chr(10)) AS inner_text FROM m) "
+    "SELECT event_id, CASE WHEN json_valid(inner_text) THEN inner_text ELSE '{}' END AS parsed FROM i"
+)
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(n, clean.fenced_json(_pick(n, 'so:\n```json\n{"a":1}\n```', '{"b":2}', "no json", "```json\n{broken\n```")).alias("parsed"))
+    """Answers that hold the event's own object in a block, bare, not at all, or cut off."""
+    n = F.col("user_id") % 4
+    answer = F.when(n == 0, F.concat(F.lit("so:\n```json\n"), "props", F.lit("\n```"))).when(n == 1, F.concat(F.lit(" "), "props")).when(n == 2, F.concat(F.lit("the "), "event_type"))
+    answer = answer.otherwise(F.concat(F.lit("```\n"), F.substring("props", F.lit(1), F.length("props") - 1), F.lit("\n```")))
+    return table(spark, sf_dir, "events").select("event_id", clean.fenced_json(answer).alias("parsed"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"corpus_layer\":\"A_keyword\",\"tertile\":2,\"nsfw\":false}' ELSE '{\"corpus_layer\":\"A_keyword\",\"tertile\":2,\"parent_id\":\"' || source || '\"}' END AS meta FROM documents")
@@ -264,10 +304,16 @@ def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.privacy_scan(docs.select("doc_id", "text", F.when(F.col("doc_id") % 50 == 7, "as u/some_name says").otherwise("plain").alias("note")), "doc_id")
 
 
-@query("SELECT count(*) FILTER (event_id % 5 > 1) AS n_written, count(*) FILTER (event_id % 5 <= 1) AS n_failed FROM events")
+@query(
+    "WITH r AS (SELECT CASE WHEN turn % 5 = 1 THEN 'see u/' || role || turn || ' there' ELSE text END AS quote, '{\"' || CASE WHEN length(text) % 7 = 0 THEN 'author_id' ELSE role END || '\":' || turn || '}' AS details FROM conversations), "
+    "v AS (SELECT regexp_matches(quote, '\\bu/[A-Za-z0-9_]{3,20}\\b') OR list_has_any(json_keys(details), ['body', 'text', 'author', 'author_id', 'username', 'selftext']) OR contains(quote, 'author_id') AS bad FROM r) "
+    "SELECT count(*) FILTER (NOT bad) AS n_written, count(*) FILTER (bad) AS n_failed FROM v"
+)
 def privacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(n, F.array(_pick(n, "see u/some_name", "fine", "fine", "fine", "fine")).alias("evidence_quotes"), _pick(n, "{}", '{"author_id":1}', "{}", "{}", "{}").alias("details"))
+    """Turns of conversations as evidence; some name a user, some details an author."""
+    quote = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("see u/"), "role", "turn", F.lit(" there"))).otherwise(F.col("text"))
+    details = F.format_string('{"%s":%d}', F.when(F.length("text") % 7 == 0, "author_id").otherwise(F.col("role")), "turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(quote).alias("evidence_quotes"), details.alias("details"))
     return audit.write_summary(audit.privacy_verdict(rows, "evidence_quotes"))
 
 

@@ -51,6 +51,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     jsonx.flattened(without_forbidden(df)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def append_coded(df: DataFrame, path: str) -> None:
+    """Coded rows added to a table as they are; who appends has taken out what is there (``linking.uncoded``)."""
+    without_forbidden(df).write.mode("append").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     without_forbidden(df).write.mode("overwrite").json(path)
 
