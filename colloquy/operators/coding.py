@@ -15,21 +15,27 @@ URL = r"(?i)https?://\S+|\bwww\.\S+"
 USERNAME = r"\bu/[A-Za-z0-9_]{3,20}\b"
 
 
-def code_by_rules(posts: DataFrame, rules: dict[str, tuple[str, ...]], text: str = "text") -> DataFrame:
+def code_by_rules(posts: DataFrame, rules: dict[str, tuple[str, ...]], text: str = "text", evidence: bool = True) -> DataFrame:
     """``posts`` with ``deductive_codes``: a code for each rule with a phrase in the text.
 
     Three distinct phrases or more make the confidence HIGH, two MED, one LOW;
-    the evidence is the text from the first phrase of the rule on. The phrases
-    are constants of the plan, so a post is read once by the scan that holds it.
+    the evidence is the text from the first phrase of the rule on (null for those
+    who only count, with ``evidence`` off). The phrases are constants of the plan,
+    so a post is read once by the scan that holds it, and once for each phrase.
     """
-    posts, low, codes = posts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))), F.col("_low"), []
-    for code, phrases in rules.items():
-        hits = reduce(Column.__add__, (F.contains(low, F.lit(p)).cast("int") for p in phrases))
-        place = F.least(*(F.nullif(F.instr(low, F.lit(p)), F.lit(0)) for p in phrases)) if len(phrases) > 1 else F.instr(low, F.lit(phrases[0]))
+    phrases = list(dict.fromkeys(p for of in rules.values() for p in of))
+    held = {p: f"_held_{i}" for i, p in enumerate(phrases)}
+    low, codes = F.col("_low"), []
+    rows = posts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns({c: F.contains(low, F.lit(p)) for p, c in held.items()})
+    for code, of in rules.items():
+        hits = reduce(Column.__add__, (F.col(held[p]).cast("int") for p in of))
+        places = [F.when(F.col(held[p]), F.instr(low, F.lit(p))) for p in of]
+        place = F.least(*places) if len(places) > 1 else places[0]
+        quote = F.substring(F.col(text), place, F.lit(QUOTE_CHARS)) if evidence else F.lit(None).cast("string")
         level = F.when(hits >= 3, "HIGH").when(hits == 2, "MED").otherwise("LOW")
-        one = F.struct(F.lit(code).alias("code"), F.substring(F.col(text), place, F.lit(QUOTE_CHARS)).alias("evidence_quote"), level.alias("confidence"))
+        one = F.struct(F.lit(code).alias("code"), quote.alias("evidence_quote"), level.alias("confidence"))
         codes.append(F.when(hits > 0, one))
-    return posts.withColumn("deductive_codes", F.array_compact(F.array(*codes))).drop("_low")
+    return rows.withColumn("deductive_codes", F.array_compact(F.array(*codes))).drop("_low", *held.values())
 
 
 def emergent_phrases(posts: DataFrame, known: list[str], key: str, text: str = "text", codes: str = "deductive_codes", size: int = 2, least_posts: int = 3, most_codes: int = 1) -> DataFrame:

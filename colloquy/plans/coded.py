@@ -21,9 +21,9 @@ RULES = {
 }
 
 
-def coded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with deductive_codes."""
-    return coding.code_by_rules(table(spark, sf_dir, "documents"), RULES)
+def coded_documents(spark: SparkSession, sf_dir: str, evidence: bool = True) -> DataFrame:
+    """The documents with deductive_codes; queries that only count codes need no evidence."""
+    return coding.code_by_rules(table(spark, sf_dir, "documents"), RULES, evidence=evidence)
 
 
 def with_thirds(rows: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ _DOMINANT = (
 
 @query(CODED + f"SELECT source, count(*) AS total, {_COUNTS}, {_PCTS}, {', '.join(f'sum({_name(c)})::BIGINT AS {_name(c)}' for c in CODES)}, {_DOMINANT} FROM posts GROUP BY source")
 def community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.community_profile(profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source"), "source")
+    return profile.community_profile(profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source"), "source")
 
 
 @query(
@@ -73,7 +73,7 @@ def community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "low / total > 0.3::DOUBLE AS flag_low_confidence, low / total > 0.3::DOUBLE AND mean_length < 150 AS flag_body_length FROM r"
 )
 def tertile_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = with_thirds(profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source", extra=("n_chars",)))
+    flags = with_thirds(profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source", extra=("n_chars",)))
     return profile.tertile_sensitivity(flags, "source", "tertile", "n_chars")
 
 
@@ -87,17 +87,17 @@ _COMBO = "coalesce(nullif(concat_ws('+', " + ", ".join(f"CASE WHEN {_name(d)}_an
     + f"SELECT f.place::INT AS place, f.combination, {', '.join(f'''count(*) FILTER (source = '{s}') AS {s}''' for s in _SOURCES)}, count(*) FILTER (source IN ({', '.join(repr(s) for s in _SOURCES)})) AS total FROM f LEFT JOIN c USING (combination) GROUP BY ALL"
 )
 def dimension_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.cooccurrence(coded_documents(spark, sf_dir), "source", _SOURCES)
+    return profile.cooccurrence(coded_documents(spark, sf_dir, False), "source", _SOURCES)
 
 
 @query(CODED + " UNION ALL ".join(f"SELECT '{c}' AS code, coalesce(sum({_name(c)}), 0)::BIGINT AS n_posts, coalesce(sum({_name(c)}) * 100.0::DOUBLE / nullif(count(*), 0), 0.0) AS pct FROM posts" for c in CODES))
 def subcode_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.subcode_frequency(profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source"))
+    return profile.subcode_frequency(profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source"))
 
 
 @query(CODED + f"SELECT source, {', '.join(f'sum({_name(c)})::BIGINT AS {_name(c)}' for c in CODES)} FROM posts GROUP BY source")
 def code_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = coded_documents(spark, sf_dir)
+    coded = coded_documents(spark, sf_dir, False)
     return profile.code_heatmap(profile.post_flags(coded, "doc_id", "source"), "source", coded.select("source").distinct())
 
 
@@ -112,7 +112,7 @@ def _dimension_table(spark: SparkSession) -> DataFrame:
     + "SELECT code, dimension, count(*) AS n_rows, count(*) FILTER (h >= 3) AS n_high FROM long GROUP BY code, dimension"
 )
 def exploded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = coded_documents(spark, sf_dir).withColumn("codes", F.transform("deductive_codes", lambda c: c["code"]))
+    coded = coded_documents(spark, sf_dir, False).withColumn("codes", F.transform("deductive_codes", lambda c: c["code"]))
     rows = jsonx.explode_codes(coded, _dimension_table(spark))
     level = F.filter("deductive_codes", lambda c: c["code"] == F.col("code"))[0]["confidence"]
     return rows.groupBy("code", "dimension").agg(F.count("*").alias("n_rows"), F.count_if(F.when(F.col("code").isNotNull(), level == "HIGH")).alias("n_high"))
@@ -162,7 +162,7 @@ def eligible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CODED + "SELECT source, count(*) AS n, sum(PUSH_any)::BIGINT AS push, sum(PULL_any)::BIGINT AS pull, sum(MOOR_any)::BIGINT AS mooring, (sum(PULL_any) - sum(PUSH_any))::DOUBLE / nullif(sum(PULL_any) + sum(PUSH_any), 0) AS x, 100.0::DOUBLE * sum(MOOR_any) / count(*) AS y FROM posts GROUP BY source")
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = profile.post_flags(coded_documents(spark, sf_dir), "doc_id", "source")
+    flags = profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source")
     counts = flags.groupBy("source").agg(F.count("*").alias("n"), *(F.sum(f"{d}_any").cast("long").alias(n) for d, n in (("PUSH", "push"), ("PULL", "pull"), ("MOOR", "mooring"))))
     return profile.coordinates(counts)
 
@@ -185,7 +185,7 @@ def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def emergent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coding.emergent_phrases(coded_documents(spark, sf_dir), [p for r in RULES.values() for p in r], "doc_id")
+    return coding.emergent_phrases(coded_documents(spark, sf_dir, False), [p for r in RULES.values() for p in r], "doc_id")
 
 
 @query()

@@ -35,7 +35,7 @@ _SQL_PUSH = " + ".join(f"sum({c.replace('-', '_')})" for c in CODES)
 )
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All report tables written as CSV; rows and sums of two columns from the files. Each source brings up one theme, named too unlike the others to merge."""
-    posts = with_thirds(coded_documents(spark, sf_dir))
+    posts = with_thirds(coded_documents(spark, sf_dir, False))
     themes = posts.select(
         F.sha2("source", 256).alias("label"), F.col("source").alias("community"), F.col("doc_id").alias("post"), F.col("doc_id").alias("seq"), F.lit("d").alias("definition"), F.lit("q").alias("evidence_quote"), F.lit("").alias("partial_overlap_with"), F.lit("PUSH").alias("distinct_dimension")
     )
@@ -131,7 +131,7 @@ def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coded_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded rows appended to their table in two runs; nothing looks whether they are there."""
     path = scratch(spark, "coded")
-    coded = coded_documents(spark, sf_dir).select("doc_id", F.transform("deductive_codes", lambda c: c["code"]).alias("ppm_subcodes"))
+    coded = coded_documents(spark, sf_dir, False).select("doc_id", F.transform("deductive_codes", lambda c: c["code"]).alias("ppm_subcodes"))
     writers.append_coded(coded, path)
     writers.append_coded(coded.where("doc_id % 3 = 0"), path)
     return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n"))
