@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.operators.agreement import percent_agreement
+from colloquy.operators.sampling import head
+
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of each value."""
@@ -106,3 +109,21 @@ def literature_counts(references: DataFrame, links: DataFrame, keywords: str) ->
     linked = links.agg(F.count("*").alias("n_links"), F.count_distinct("collection_hash").alias("n_collections"))
     words = references.select(F.explode(keywords).alias("k")).agg(F.count_distinct("k").alias("n_keywords"))
     return refs.crossJoin(linked).crossJoin(words)  # one row each
+
+
+def appendix_tables(collected: DataFrame, coded: DataFrame, counts: DataFrame, references: DataFrame, links: DataFrame, kind: str, community: str, at: str, codes: str, key: str, conditions: dict[str, Column], n_sample: int = 20, n_top: int = 15) -> dict[str, DataFrame]:
+    """The data of a report's appendices, by name: collection (A), codes (C), a sample of coded rows (D), agreement (E), quality (F), literature (G).
+
+    ``coded`` has category, confidence and the array ``codes``; ``counts`` are the pair counts of raters.
+    """
+    return {
+        "A_periods": date_range(collected, kind, at),
+        "A_communities": distribution(collected, community),
+        "C_categories": distribution(coded, "category"),
+        "C_confidences": distribution(coded, "confidence"),
+        "C_top_codes": top_of_array(coded, codes, n_top),
+        "D_sample": head(coded.select(key, "category", "confidence"), n_sample, key),
+        "E_agreement": percent_agreement(counts),
+        "F_quality": quality_appendix(collected, conditions),
+        "G_literature": literature_counts(references, links, "keywords"),
+    }

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import CODES, DIMENSIONS
-from colloquy.operators import agreement, audit, coding, linking, sampling, tables
+from colloquy.operators import agreement, audit, coding, linking, reports, sampling, tables
 from colloquy.operators.report_tables import report_tables
-from colloquy.plans.coded import _SOURCES, CODED, coded_documents, with_thirds
+from colloquy.plans.coded import _SOURCES, CODED, RULES, coded_documents, with_thirds
 from colloquy.plans.registry import query, table
 from colloquy.plans.texts import _ratings, dealt, scratch
 from colloquy.sources import readers, writers
@@ -158,3 +158,38 @@ def export_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of a table in its order."""
     return sampling.head(table(spark, sf_dir, "documents"), 75, "doc_id").select("doc_id", "source")
+
+
+_CATEGORY = "CASE WHEN h_PUSH_01 > 0 THEN 'Push' WHEN h_PULL_01 > 0 THEN 'Pull' ELSE 'NONE' END"
+_LEVEL = "CASE WHEN greatest(h_PUSH_01, h_PULL_01) >= 3 THEN 'HIGH' WHEN greatest(h_PUSH_01, h_PULL_01) = 2 THEN 'MED' ELSE 'LOW' END"
+
+
+@query(
+    CODED + ", l AS (SELECT * FROM labels JOIN documents USING (doc_id)) "
+    "SELECT 'A_periods' AS name, count(DISTINCT lang) AS n, count(*)::DOUBLE AS total FROM documents UNION ALL SELECT 'A_communities', count(DISTINCT source), count(*) FROM documents "
+    f"UNION ALL SELECT 'C_categories', count(DISTINCT {_CATEGORY}), count(*) FROM posts UNION ALL SELECT 'C_confidences', count(DISTINCT {_LEVEL}), count(*) FROM posts "
+    "UNION ALL SELECT 'C_top_codes', (sum(PUSH_01) > 0)::INT + (sum(PULL_01) > 0)::INT, sum(PUSH_01) + sum(PULL_01) FROM posts UNION ALL SELECT 'D_sample', 20, sum(doc_id) FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) "
+    "UNION ALL SELECT 'E_agreement', 3, round((avg(((quality = 1) = (n_chars > 400))::INT) + avg(((toxic = 1) = (lang = 'de'))::INT)) * 1.5, 6) FROM l "
+    "UNION ALL SELECT 'F_quality', 2, count(*) FILTER (n_chars < 200) + count(*) FILTER (lang = 'en') FROM documents UNION ALL SELECT 'G_literature', 1, count(*) FROM part"
+)
+def appendix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data of all appendices written as CSV; rows and the sum of a column from the files."""
+    docs = table(spark, sf_dir, "documents")
+    rules = {c: r for c, r in RULES.items() if c in ("PUSH-01", "PULL-01")}
+    codes = coding.code_by_rules(docs, rules, evidence=False).select("doc_id", F.transform("deductive_codes", lambda c: c["code"]).alias("codes"), F.transform("deductive_codes", lambda c: c["confidence"]).alias("levels"))
+    category = F.when(F.array_contains("codes", "PUSH-01"), "Push").when(F.array_contains("codes", "PULL-01"), "Pull").otherwise("NONE")
+    level = F.when(F.array_contains("levels", "HIGH"), "HIGH").when(F.array_contains("levels", "MED"), "MED").otherwise("LOW")
+    coded = codes.select("doc_id", "codes", category.alias("category"), level.alias("confidence"))
+    pairs, names = spark.createDataFrame([("people", "rule")], "left string, right string"), spark.createDataFrame([("GOOD",), ("TOXIC",)], "code string")
+    parts = table(spark, sf_dir, "part")
+    references = parts.select(F.col("p_partkey").alias("zotero_key"), F.split("p_name", " ").alias("keywords"))
+    links = parts.select((F.col("p_partkey") % 10).alias("collection_hash"), F.col("p_partkey").alias("zotero_key"))
+    made = reports.appendix_tables(docs, coded, agreement.pair_counts(_ratings(spark, sf_dir), pairs, names), references, links, "lang", "source", "doc_id", "codes", "doc_id", {"short": F.col("n_chars") < 200, "english": F.col("lang") == "en"})
+    path = scratch(spark, "appendices")
+    writers.write_tables(made, path)
+    sums = {"D_sample": "doc_id", "E_agreement": "agreement", "G_literature": "n_links"}
+    files = [readers.read_csv(spark, f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(F.col(sums.get(name, "n")).cast("double")), 6).alias("total")) for name in made]
+    out = files[0]
+    for f in files[1:]:
+        out = out.unionByName(f)
+    return out

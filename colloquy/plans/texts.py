@@ -377,6 +377,16 @@ def stream_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "code")
 
 
+@query("SELECT event_id, event_type = 'error' AS flagged FROM events WHERE event_type = 'error' OR user_id % 10 = 0")
+def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for review that every batch of a coding stream leaves: all flagged ones and those of some users."""
+    out, reviews = scratch(spark, "coded"), scratch(spark, "reviews")
+    code = lambda df: df.select("event_id", "user_id", (F.col("event_type") == "error").alias("flagged"))
+    pick = lambda df: df.where("flagged or user_id % 10 = 0").select("event_id", "flagged")
+    jobs.code_stream(_stream(spark, sf_dir), code, out, scratch(spark, "offsets"), pick, reviews).awaitTermination()
+    return spark.read.parquet(reviews).select("event_id", "flagged")
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by day and type of a stream, added up over its batches."""
