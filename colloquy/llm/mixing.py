@@ -8,8 +8,8 @@ cut at the exact word that fills the target.
 
 Edge cases: a null text has size 0, a null source is a source of its own (last
 in the order), a source without words has target 0, rows repeated in full are
-rows of their own, of rows with one key the least doc_id and then the smaller one
-comes first (null doc_ids share a key), extra columns are ignored, an empty table
+rows of their own, a row without a doc_id has a key made of its text, of rows with
+one key the smaller one comes first, extra columns are ignored, an empty table
 gives no rows.
 """
 
@@ -70,7 +70,8 @@ def targets(totals: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     rows = spool(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix")
     digits = max(1, math.ceil(math.log(max(1, rows.count() / rows_per_range), 16)))
     rows = rows.withColumn("range", F.substring("key", 1, digits))

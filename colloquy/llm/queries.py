@@ -96,7 +96,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, g AS text_sha256 F
 _OP4 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('0:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents
+         md5('0:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS total,
          ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source
