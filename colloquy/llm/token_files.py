@@ -54,7 +54,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary_path: str
                 place += len(coded)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(coded), shard, np.int32)), pa.array(places), pa.array(sizes), ids], ["doc_id", "shard", "place", "n_tokens", "ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The beginning of the text deals out rows that share a doc_id, or have none.
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select("doc_id", "text").repartitionByRange(by_id, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     coded = ordered.mapInArrow(run, f"doc_id {kind}, shard int, place long, n_tokens long, ids array<int>")
     options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": "1000"}
     coded.write.options(**options).orc(path)
