@@ -3,11 +3,12 @@
 Candidates come from a MinHash LSH forest. Each of ``TREES`` prefix tries holds
 one label of ``DEPTH`` minimum hashes for every distinct text; a node is a tree
 and a prefix. Matching begins at whole labels. Texts under one node are compared
-with its least text by their signatures, and from the similarity of what it met
-each text knows what share of such partners its matches can find. Where that is
-less than ``recall``, its prefix is shortened by one and it matches again, until
-the share is reached; a text that met nobody goes on until a partner right at the
-threshold would have been found with ``recall``.
+by sketches of their signatures, and from the similarity of what it met each text
+knows what share of such partners its matches can find. Where that is less than
+``recall``, its prefix is shortened by one and it matches again, until the share
+is reached; a text that met nobody goes on until a partner right at the threshold
+would have been found with ``recall``. What is alone under that shortest prefix
+is set aside before all this.
 
 What meets in a node and looks alike is joined to candidate sets; texts whose
 signatures are too far apart to be at the threshold do not join them. Every set
@@ -54,7 +55,9 @@ NODE = 2_048
 #: Texts and shingles in one block of exact verification.
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
-#: A signature's estimate is this many standard errors below the threshold once in a billion pairs at the threshold.
+#: Hashes of each tree, by their low byte, with which signatures are compared.
+SKETCH = 4
+#: A sketch's estimate is this many standard errors below the threshold once in a billion pairs at the threshold.
 ERRORS = 6.0
 _SEEDS = np.random.default_rng(20_250_101).integers(1, 2**32, (2, TREES * DEPTH), dtype=np.uint32)
 
@@ -64,8 +67,13 @@ def found_share(similarity: float, length: int, trees: int = TREES) -> float:
     return 1 - (1 - similarity**length) ** trees
 
 
-def least_estimate(threshold: float, hashes: int = TREES * DEPTH) -> float:
-    """What the signatures of a pair at the threshold agree in at least."""
+def shortest_prefix(threshold: float, recall: float) -> int:
+    """The longest prefix with which a text that met nobody has found a partner at the threshold with ``recall``."""
+    return next((n for n in range(DEPTH, 1, -1) if found_share(threshold, n) >= recall), 1)
+
+
+def least_estimate(threshold: float, hashes: int = TREES * SKETCH) -> float:
+    """What the sketches of a pair at the threshold agree in at least."""
     return threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / hashes)
 
 
@@ -82,7 +90,7 @@ def _scan(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, row_key, key (of the word sequence; null without words), n (shingles), labels (16 bits for each minimum hash)."""
+    """doc_id, row_key, key (of the word sequence; null without words), n (shingles), labels (16 bits for each minimum hash), sketch."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,85 +105,118 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     least[some, j] = np.minimum.reduceat((short ^ flip[j]) * scale[j], at[:-1][some]).astype(np.uint16)
             # The low bits of the minimum name the shingle that has it; the high bits are small for every text.
             labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(least.shape[1] * 2), len(some), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
-            columns = [*part.columns[:2], pa.array(keys, pa.binary()), pa.array(np.diff(at)), labels]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "key", "n", "labels"])
+            low = np.ascontiguousarray(least.reshape(len(some), TREES, DEPTH)[:, :, :SKETCH]).astype(np.uint8).reshape(len(some), -1)
+            sketch = pa.array([x.tobytes() for x in low], pa.binary())
+            columns = [*part.columns[:2], pa.array(keys, pa.binary()), pa.array(np.diff(at)), labels, sketch]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "key", "n", "labels", "sketch"])
 
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key binary, key binary, n long, labels binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key binary, key binary, n long, labels binary, sketch binary")
 
 
 # -- the forest ----------------------------------------------------------------------------------
 
 
-def _matches(texts: DataFrame, length: int, seen: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Matches (u, v, similarity) under prefixes of ``length`` where an open text takes part, and the sets of texts under them.
+def _members(texts: DataFrame, length: int) -> DataFrame:
+    """(id, node, tail): the nodes at ``length`` that several texts share, with what is left of the label. Texts that are alone there meet nobody at any length."""
+    label = lambda t, a, b: F.substring("labels", t * (2 * DEPTH) + 2 * a + 1, F.lit(2 * (b - a)))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.xxhash64(t, label(t, 0, length)).alias("node"), label(t, length, DEPTH).alias("tail")))
+    under = texts.select("id", F.explode(nodes).alias("t")).select("id", "t.*")
+    # A table of its own, so that Spark can split a node that very many texts share.
+    shared = spool(under.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "nodes")
+    return spool(under.join(shared, "node"), "members")
+
 
-    ``texts`` is id, labels, open. Nodes with the same texts as one of ``seen``, or as one another, count once.
+def _matches(members: DataFrame, sketches: DataFrame, seen: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Matches (u, v, similarity) under nodes where an open text takes part, and the sets of texts under them.
+
+    ``members`` is id, node, open. Nodes with the same texts as one of ``seen``,
+    or as one another, count once. A node's texts are compared with its least one
+    (v); a text that is too far from it matches the nearest text close enough to
+    it, and the least of those that hang together without it.
     """
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("labels", t * (2 * DEPTH) + 1, F.lit(2 * length))))
-    under = texts.select("id", "open", F.explode(nodes).alias("node"))
     held = F.bit_xor(F.xxhash64("id")).alias("held")
-    sets = under.groupBy("node").agg(F.min("id").alias("lead"), F.count("*").alias("n"), held, F.max("open").alias("open")).where("n > 1 and open")
+    sets = members.groupBy("node").agg(F.min("id").alias("lead"), F.count("*").alias("n"), held, F.max("open").alias("open")).where("n > 1 and open")
     sets = sets.groupBy("lead", "n", "held").agg(F.min("node").alias("node"))
     if seen is not None:
         sets = sets.join(seen, ["lead", "n", "held"], "left_anti")
-    sets = spool(sets, "nodes")  # a table of its own, so that Spark can split a node that very many texts share
+    sets = spool(sets, "sets")
 
     # A large node is dealt to several tasks, which all have its least text.
-    members = under.select("id", "node").join(sets, "node").withColumn("parts", F.ceil(F.col("n") / NODE).cast("int"))
+    inside = members.join(sets, "node").withColumn("parts", F.ceil(F.col("n") / NODE).cast("int"))
     own = F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    members = members.select("id", "node", "lead", "parts", F.explode(own).alias("part"))
+    inside = inside.select("id", "node", "open", "lead", "parts", F.explode(own).alias("part"))
     shares = max(1, -(-sets.where(F.col("n") <= NODE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // NODE))
     task = F.when(F.col("parts") == 1, F.pmod("node", F.lit(shares))).otherwise(F.xxhash64("node", "part"))
     least = least_estimate(threshold)
 
     def compare(table: pa.Table) -> pa.Table:
-        node, ids, lead = (table.column(c).to_numpy() for c in ("node", "id", "lead"))
-        parts = table.column("parts").to_numpy()
-        labels = np.frombuffer(b"".join(table.column("labels").to_pylist()), np.uint16).reshape(len(node), TREES * DEPTH)
+        node, ids, lead, parts = (table.column(c).to_numpy() for c in ("node", "id", "lead", "parts"))
+        active = table.column("open").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), TREES * SKETCH)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def alike(i: int, others: np.ndarray) -> np.ndarray:
+            return ((sketch[others] == sketch[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # low bytes agree by chance too
+
         order = np.argsort(node, kind="stable")
         for one in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
             first = one[ids[one] == lead[one]][0]
             one = one[one != first]
-            alike = (labels[one] == labels[first]).mean(axis=1)
-            near = alike >= least
-            out.append((ids[one[near]], np.full(near.sum(), ids[first]), alike[near]))
-            for i in one[~near].tolist():  # too far from the least text, but perhaps near another
-                if parts[i] > 1:
-                    out.append((ids[[i]], ids[[first]], np.array([threshold])))
-                    continue
-                beside = one[one != i]
-                alike = (labels[beside] == labels[i]).mean(axis=1)
-                near = alike >= least
-                out.append((np.full(near.sum(), ids[i]), ids[beside[near]], alike[near]))
+            share = alike(first, one)
+            near = share >= least
+            told = near & (active[one] | active[first])  # of two texts that are done nothing new is learnt
+            out.append((ids[one[told]], np.full(told.sum(), ids[first]), share[told]))
+            far = one[~near]
+            if not len(far):
+                continue
+            if parts[first] > 1:  # what else is near it may be in another task, so it stays a candidate
+                out.append((ids[far], np.full(len(far), ids[first]), np.full(len(far), threshold)))
+                continue
+            root = np.arange(len(far))
+            best = np.zeros(len(far))
+            for k, i in enumerate(far.tolist()):
+                share = alike(i, one[near])
+                if not active[i]:
+                    share = np.where(active[one[near]], share, 0)
+                if len(share) and share.max() >= least:
+                    out.append((ids[[i]], ids[one[near][[share.argmax()]]], share[[share.argmax()]]))
+                share = alike(i, far[:k])
+                share[~(active[i] | active[far[:k]]) | (share < least)] = 0
+                if share.any():
+                    best[k] = share.max()
+                    joined = np.unique(root[np.flatnonzero(share)])
+                    root[np.isin(root, joined) | (np.arange(len(far)) == k)] = joined[0]
+            apart = np.flatnonzero(root != np.arange(len(far)))
+            out.append((ids[far[apart]], ids[far[root[apart]]], np.where(best[apart] > 0, best[apart], threshold)))
         u, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"u": u, "v": v, "similarity": s})
 
-    dealt = members.withColumn("task", task).join(texts.select("id", "labels"), "id")
+    dealt = inside.withColumn("task", task).join(sketches, "id")
     found = dealt.groupBy("task").applyInArrow(compare, "u long, v long, similarity double")
-    return spool(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "similarity").distinct(), "matches"), sets.select("lead", "n", "held")
+    return spool(found.groupBy("u", "v").agg(F.max("similarity").alias("similarity")), "matches"), sets.select("lead", "n", "held")
 
 
 def candidate_sets(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(node, root): texts (id, labels) that meet in the forest, joined to sets."""
-    open_, seen, edges = texts.select("id", "labels", F.lit(True).alias("open")), None, None
-    for length in range(DEPTH, 0, -1):
-        met, sets = _matches(open_, length, seen, threshold)
-        seen = sets if seen is None else seen.union(sets)
-        edges = met if edges is None else edges.union(met)
-        if length == 1:
-            break
-        # A match stands for 1 / share partners of its similarity.
-        share = 1 - F.pow(1 - F.pow(F.greatest("similarity", F.lit(threshold)), length), TREES)
-        both = edges.distinct().select("u", "v", (1 / share).alias("stands_for"))
-        both = both.select(F.col("u").alias("id"), "stands_for").union(both.select("v", "stands_for"))
-        reached = both.groupBy("id").agg((F.count("*") / F.sum("stands_for")).alias("share"))
-        alone = found_share(threshold, length)  # what a text without any match can still have missed
-        if alone >= recall:
-            break
-        done = reached.where(F.col("share") >= recall).select("id", F.lit(False).alias("closed"))
-        open_ = spool(texts.select("id", "labels").join(done, "id", "left").select("id", "labels", F.coalesce("closed", F.lit(True)).alias("open")), "open")
-    return components(edges.select("u", "v"))
+    """(node, root): texts (id, labels, sketch) that meet in the forest, joined to sets."""
+    shortest = shortest_prefix(threshold, recall)
+    members, sketches = _members(texts, shortest), texts.select("id", "sketch")
+    closed, seen, matches = None, None, None
+    for length in range(DEPTH, shortest - 1, -1):
+        here = members.select("id", F.xxhash64("node", F.substring("tail", 1, 2 * (length - shortest))).alias("node"))
+        here = here.withColumn("open", F.lit(True)) if closed is None else here.join(closed, "id", "left").select("id", "node", F.coalesce("open", F.lit(True)).alias("open"))
+        met, sets = _matches(here, sketches, seen, threshold)
+        seen, matches = (sets, met) if seen is None else (seen.union(sets), matches.union(met))
+        if length > shortest:
+            # A match stands for 1 / share partners of its similarity.
+            share = 1 - F.pow(1 - F.pow(F.greatest("similarity", F.lit(threshold)), length), TREES)
+            pairs = matches.groupBy("u", "v").agg(F.max("similarity").alias("similarity")).withColumn("stands_for", 1 / share)
+            both = pairs.select(F.col("u").alias("id"), "stands_for").union(pairs.select("v", "stands_for"))
+            reached = both.groupBy("id").agg((F.count("*") / F.sum("stands_for")).alias("share")).where(F.col("share") >= recall)
+            closed = spool(reached.select("id", F.lit(False).alias("open")), "closed")
+    # A text hangs together with all it matched; one link each and those between what it matched say the same with fewer rows.
+    met = matches.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("all"))  # at most a few for each trie
+    edges = met.select("u", F.col("least").alias("v")).union(met.select(F.explode("all").alias("u"), "least").where("u <> least").distinct())
+    return components(edges)
 
 
 # -- exact verification --------------------------------------------------------------------------
@@ -252,9 +293,9 @@ def _blocks(sets: DataFrame, texts: DataFrame, threshold: float, block: int, blo
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, row_key, class_id, n_links, class_rows, lead (the row_key that leads the class) for every row of ``docs``."""
     signed = spool(signatures(docs, size), "signatures")
-    texts = signed.where("key is not null").groupBy("key").agg(F.first("labels").alias("labels"), F.first("n").alias("n"), F.min("row_key").alias("row_key"))
+    texts = signed.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("labels", "sketch", "n")), F.min("row_key").alias("row_key"))
     texts = spool(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    sets = spool(candidate_sets(texts.select("id", "labels"), threshold, recall), "sets")
+    sets = spool(candidate_sets(texts.select("id", "labels", "sketch"), threshold, recall), "sets")
     wanted = spool(_blocks(sets, texts, threshold, block, block_shingles), "blocks")
 
     # Candidates grow with the corpus, so they are shuffled at every size and never broadcast.

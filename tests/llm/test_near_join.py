@@ -22,27 +22,30 @@ def planted(n=400):
 
 def test_share_that_is_found():
     assert near_join.found_share(0.8, 8) < near_join.found_share(0.8, 6) and near_join.found_share(0.8, 6) >= near_join.RECALL
-    assert near_join.least_estimate(0.8) < 0.66
+    assert near_join.shortest_prefix(0.8, near_join.RECALL) == 6 and near_join.shortest_prefix(0.8, 0.99) == 8 and near_join.shortest_prefix(0.01, 0.99) == 1
+    assert 0.5 < near_join.least_estimate(0.8) < 0.6
 
 
-def lengths(spark, monkeypatch, rows, recall):
-    """The prefix lengths that the forest matches at, and how many texts are open at each."""
+def open_texts(spark, monkeypatch, rows, recall):
+    """How many texts are open at each prefix length, among those that share a node of the shortest one."""
     seen, real = [], near_join._matches
-    monkeypatch.setattr(near_join, "_matches", lambda texts, length, *rest: seen.append((length, texts.where("open").count())) or real(texts, length, *rest))
+    monkeypatch.setattr(near_join, "_matches", lambda members, *rest: seen.append(members.where("open").select("id").distinct().count()) or real(members, *rest))
     near_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=recall).count()
     return seen
 
 
 def test_prefixes_shorten_text_by_text(spark, monkeypatch):
-    """Close copies are done with whole labels; texts that met nobody go on until the recall is reached."""
+    """Close copies are done with whole labels; texts with partners near the threshold go on until the recall is reached."""
     r = random.Random(3)
     alone = [(i, " ".join(f"{r.randint(0, 10**6)}" for _ in range(60))) for i in range(30)]
     base = [f"{r.randint(0, 10**6)}" for _ in range(400)]
     close = [(100 + i, " ".join(base[:-1] + [f"x{i}"])) for i in range(20)]
+    far = [f"{r.randint(0, 10**6)}" for _ in range(400)]
+    border = [(200, " ".join(far)), (201, " ".join(far[:355] + [f"y{i}" for i in range(45)]))]
     with monkeypatch.context() as m:
-        assert lengths(spark, m, alone + close, near_join.RECALL) == [(8, 50), (7, 30), (6, 30)]
+        assert open_texts(spark, m, alone + close + border, near_join.RECALL) == [22, 2, 2]
     with monkeypatch.context() as m:
-        assert lengths(spark, m, alone + close, 0.99) == [(8, 50)]
+        assert open_texts(spark, m, alone + close, 0.99) == [20]
 
 
 def test_edge_cases(spark):
