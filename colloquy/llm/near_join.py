@@ -90,7 +90,7 @@ def _scan(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, row_key, key (of the word sequence; null without words), n (shingles), labels (16 bits for each minimum hash), sketch."""
+    """doc_id, row_key, key (of the word sequence; null without words), labels (16 bits for each minimum hash), sketch."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +107,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(least.shape[1] * 2), len(some), [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
             low = np.ascontiguousarray(least.reshape(len(some), TREES, DEPTH)[:, :, :SKETCH]).astype(np.uint8).reshape(len(some), -1)
             sketch = pa.array([x.tobytes() for x in low], pa.binary())
-            columns = [*part.columns[:2], pa.array(keys, pa.binary()), pa.array(np.diff(at)), labels, sketch]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "key", "n", "labels", "sketch"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(keys, pa.binary()), labels, sketch], ["doc_id", "row_key", "key", "labels", "sketch"])
 
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key binary, key binary, n long, labels binary, sketch binary")
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, f"doc_id {kind}, row_key binary, key binary, labels binary, sketch binary")
 
 
 # -- the forest ----------------------------------------------------------------------------------
@@ -253,14 +252,14 @@ def _verify(key: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarr
         root = to
 
 
-def _blocks(sets: DataFrame, texts: DataFrame, threshold: float, block: int, block_shingles: int) -> DataFrame:
-    """id, task, unit, second, across: every pair of a set that can be linked meets in one unit.
+def _blocks(sets: DataFrame, sizes: DataFrame, threshold: float, block: int, block_shingles: int) -> DataFrame:
+    """id, task, unit, second, across: every pair of a set that can be linked meets in one unit. ``sizes`` is id, n (different shingles).
 
     A set that fits a block is a unit. A larger one is dealt into classes of size
     (number of shingles) whose ends differ by the threshold, so that links lead
     to the same or the next class only, and each class into blocks.
     """
-    members = sets.select(F.col("node").alias("id"), "root").join(texts.select("id", "n"), "id")
+    members = sets.select(F.col("node").alias("id"), "root").join(sizes, "id")
     members = members.withColumn("band", F.floor(F.log("n") / (-math.log(threshold) * (1 + 1e-9))).cast("int"))
 
     def parts(n: Column, m: Column) -> Column:
@@ -293,10 +292,9 @@ def _blocks(sets: DataFrame, texts: DataFrame, threshold: float, block: int, blo
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, row_key, class_id, n_links, class_rows, lead (the row_key that leads the class) for every row of ``docs``."""
     signed = spool(signatures(docs, size), "signatures")
-    texts = signed.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("labels", "sketch", "n")), F.min("row_key").alias("row_key"))
+    texts = signed.where("key is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("labels", "sketch")), F.min("row_key").alias("row_key"))
     texts = spool(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     sets = spool(candidate_sets(texts.select("id", "labels", "sketch"), threshold, recall), "sets")
-    wanted = spool(_blocks(sets, texts, threshold, block, block_shingles), "blocks")
 
     # Candidates grow with the corpus, so they are shuffled at every size and never broadcast.
     members = texts.join(sets.select(F.col("node").alias("id")), "id", "left_semi").select("id", "key", "row_key")
@@ -309,7 +307,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
             raw = [np.unique(codes[a:b]).tobytes() if ok else b"" for a, b, ok in zip(at[:-1], at[1:], own, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    found = texts_of.mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"])
+    found = spool(texts_of.mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    sizes = found.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    wanted = spool(_blocks(sets, sizes, threshold, block, block_shingles), "blocks")
 
     def verify(table: pa.Table) -> pa.Table:
         units, ids = table.column("unit").to_numpy(), table.column("id").to_numpy()

@@ -71,6 +71,7 @@ def test_blocks_of_few_shingles(spark, monkeypatch):
     r = random.Random(8)
     base = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base[: r.randint(150, 400)])) for i in range(120)]
+    rows += [(200 + i, " ".join(base[: 150 + 20 * i] * 3)) for i in range(10)]  # a shingle that repeats counts once
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert in_order(near_join.near_classes(docs, block_shingles=1_500).collect()) == in_order(near_classes(rows))
 

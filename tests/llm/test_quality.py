@@ -1,6 +1,9 @@
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -62,3 +65,15 @@ def test_repeats_are_limited(spark):
     assert found[2].kept and found[2].n_covered_words == 120 and found[2].longest_repeat == 60
     assert not found[3].base_failed and not found[3].kept
     assert not found[4].kept and found[4].longest_repeat == 300
+
+
+def test_a_long_text_stays_within_memory():
+    """16 MB of one text, measured in a process of its own: what is held beside it is bounded by its words."""
+    code = (
+        "import resource, numpy as np; from colloquy.llm import quality; r = np.random.default_rng(1); "
+        "data = np.frombuffer(b' '.join(b'w%d' % i for i in r.integers(0, 50000, 2_700_000).tolist()), np.uint8); "
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; m = quality.measure(data, np.array([0, len(data)])); "
+        "assert m['n_words'][0] == 2_700_000; print(len(data) / 1e6, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1e3)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2]).stdout.split()
+    assert float(out[0]) > 15 and float(out[1]) < 450
