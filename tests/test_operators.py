@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Window
@@ -12,6 +13,7 @@ from colloquy.functions import clean, jsonx
 from colloquy.functions.similarity import common_subsequence, indel_ratio, partial_score
 from colloquy.operators import agreement, audit, coding, emergent, fuzzy, linking, profile, sampling, tables, verify
 from colloquy.plans import coded as coded_plans
+from colloquy.shared import shared_folder
 
 
 def values(spark, expression, rows, kind="string"):
@@ -360,3 +362,59 @@ def test_theme_catalogue(spark):
 def test_dimensions():
     assert len(CODES) == 24 and DIMENSIONS == ("PUSH", "PULL", "MOOR-F", "MOOR-I")
     assert math.isclose(indel_ratio("", ""), 100.0)
+
+
+# -- numbers, gates, labels near the threshold, the shared folder --------------------------------
+
+
+def test_numbers_follow_the_order(spark):
+    r = random.Random(3)
+    rows = r.sample(range(10**6), 5000)
+    found = tables.numbered(spark.createDataFrame([(x,) for x in rows], "x long").repartition(7), "x", "place").collect()
+    assert {(f.x, f.place) for f in found} == {(x, i + 1) for i, x in enumerate(sorted(rows))}
+    assert tables.numbered(spark.createDataFrame([], "x long"), "x", "place").count() == 0
+
+
+def test_gates(spark):
+    df = spark.createDataFrame([(1, None), (2, "a")], "k long, x string")
+    assert {(g.gate, g.value, g.passed) for g in audit.gates(df, F.col("x").isNull()).collect()} == {("fallback_leaks", 1, False), ("rows", 2, True)}
+    with pytest.raises(ValueError, match="export: fallback_leaks$"):
+        audit.require_gates(df, F.col("x").isNull(), "export")
+    with pytest.raises(ValueError, match="rows$"):
+        audit.require_gates(df.where("false"), F.lit(False), "export")
+    audit.require_gates(df, F.lit(False), "export")
+
+
+@pytest.mark.parametrize("threshold", [80.0, 85.0, 92.0])
+def test_no_similar_pair_is_missed(spark, threshold):
+    r = random.Random(int(threshold))
+    words = ["a", "ab", "cue", "loss", "of", "focus", "energy", "crash", "cost", "costs"]
+    labels = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(120)} | {"a", "b", "ab", "abc", "abcd", "abcde", "abcdf"})
+    tidy = {x: " ".join(sorted(x.split())) for x in labels}
+    want = {(a, b) for a in labels for b in labels if a != b and indel_ratio(tidy[a], tidy[b]) >= threshold}
+    found = fuzzy.similar_pairs(spark.createDataFrame([(x,) for x in labels], "label string"), threshold).collect()
+    assert {(f.a, f.b) for f in found} == want
+    with pytest.raises(ValueError, match="80"):
+        fuzzy.similar_pairs(spark.createDataFrame([("a",)], "label string"), 70.0)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.folder
+
+        def setCheckpointDir(self, folder):  # noqa: N802
+            self.folder = folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(sparkContext=Context(master), conf=SimpleNamespace(get=lambda key, default: folder))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "hdfs:///x/")) == "hdfs:///x"
+    local = session("local[4]")
+    assert shared_folder(local) == shared_folder(local)
