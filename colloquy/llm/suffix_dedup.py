@@ -4,7 +4,8 @@ No task can hold a suffix array of the corpus, and nearly all of its suffixes
 are alone. So each window of ``LENGTH`` bytes is served by an anchor, the
 substring of ``GRAMS[0]`` bytes in it with the least hash: equal windows have
 equal anchors, wherever they stand. Anchors that occur once serve no repeats. For
-the others, the stretch of text whose windows an anchor serves is its context:
+the others, the stretch of text whose windows an anchor serves is its context (a
+run or a short pattern that goes on is one context, of ``LONGEST`` windows at most):
 
 * equal contexts of one anchor (64 bits each of anchor and context) are repeats
   as a whole, and one of them stands for all in what follows;
@@ -13,7 +14,8 @@ the others, the stretch of text whose windows an anchor serves is its context:
   the repeated windows;
 * the windows of an anchor with more than ``MOST_CONTEXTS`` different contexts
   would not fit a shard; they are served anew by longer anchors, the next of
-  ``GRAMS``, which are rarer. The last are whole windows, which have one context.
+  ``GRAMS``, which are rarer. The last are whole windows, whose contexts differ in
+  nothing but the length of a run, so there are ``LONGEST`` at most.
 
 Edge cases: a null text counts as empty, texts under ``LENGTH`` bytes lose
 nothing, rows are told apart by doc_id and text (128 bits), so null and repeated
@@ -43,6 +45,8 @@ LENGTH = 200
 GRAMS = (64, 132, 200)
 MOST_CONTEXTS = 2_000
 SHARD_BYTES = 1_000_000
+#: Windows of one context: a passage that repeats a short pattern has one least hash all along.
+LONGEST = 4_096
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -57,25 +61,30 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def serve(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, anchor, context (hashes), start of the first window served, and number of further windows, for each anchor."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    """For each anchor: row, anchor and context (hashes), start of the first window served, number of further windows, and whether the anchor stands in them more than once."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(data) < length:
         return none
     grams = gram_hashes(data, gram)
-    least = _least((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
+    place, low, high = np.arange(len(grams), dtype=np.uint64), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
+    leftmost = (_least((grams & high) | place, length - gram + 1) & low).astype(np.int64)
+    rightmost = (low - (_least((grams & high) | (low - place), length - gram + 1) & low)).astype(np.int64)
     row_end = np.repeat(off[1:], np.diff(off))
-    window = np.flatnonzero(np.arange(len(least)) + length <= row_end[: len(least)])
+    window = np.flatnonzero(np.arange(len(leftmost)) + length <= row_end[: len(leftmost)])
     if not len(window):
         return none
-    anchor = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # Wherever in a window its least hash stands, equal windows have the same; consecutive ones that share it are served together.
+    anchor, at = grams[leftmost[window]], np.arange(len(window))
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(window) != 1)
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % LONGEST == 0
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
-    start, more, anchor = window[first], window[last] - window[first], anchor[first]
+    again = leftmost[window[first]] != rightmost[window[last]]
+    start, more = window[first], window[last] - window[first]
     raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
     context = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), (start + more + length).tolist(), strict=True)], np.uint64)
-    return np.searchsorted(off, start, "right") - 1, grams[anchor].view(np.int64), context.view(np.int64), start, more
+    return np.searchsorted(off, start, "right") - 1, anchor[first].view(np.int64), context.view(np.int64), start, more, again
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -84,18 +93,18 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(stretches: DataFrame, length: int, gram: int, limit: int = CHUNK_BYTES) -> DataFrame:
-    """(row_key, base, anchor, context, start, more): one row for each anchor that serves windows."""
+    """(row_key, base, anchor, context, start, more, again): one row for each anchor that serves windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches, "bytes", limit):
             # One long text is served in parts that share no window.
             for a in range(0, max(1, len(data) - length + 1), limit if len(off) == 2 else len(data) + 1):
                 here = (data[a : a + limit + length - 1], np.array([0, min(limit + length - 1, len(data) - a)])) if len(off) == 2 else (data, off)
-                row, anchor, context, start, more = serve(*here, length, gram)
-                numbers = [pa.array(anchor), pa.array(context), pa.array((start - here[1][row] + a).astype(np.int32)), pa.array(more.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in (0, 1)), *numbers], ["row_key", "base", "anchor", "context", "start", "more"])
+                row, anchor, context, start, more, again = serve(*here, length, gram)
+                numbers = [pa.array(anchor), pa.array(context), pa.array((start - here[1][row] + a).astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(again.astype(bool))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in (0, 1)), *numbers], ["row_key", "base", "anchor", "context", "start", "more", "again"])
 
-    return stretches.select("row_key", "base", "bytes").mapInArrow(run, "row_key binary, base int, anchor long, context long, start int, more int")
+    return stretches.select("row_key", "base", "bytes").mapInArrow(run, "row_key binary, base int, anchor long, context long, start int, more int, again boolean")
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -154,16 +163,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...]
     for gram in grams:
         found = spool(anchors(stretches, length, gram), "found")
         # Tables of their own, so that Spark can split the partition of an anchor or context that very many rows share.
-        shared = spool(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
+        shared = spool(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor"), "shared")
         served = spool(found.join(shared, "anchor"), "anchors")
-        groups = spool(served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "base", "start", "more")).alias("lead")), "contexts")
+        groups = spool(served.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("row_key", "base", "start", "more")).alias("lead")), "contexts")
         whole = served.join(groups.where("n > 1").select("anchor", "context").hint("merge"), ["anchor", "context"], "left_semi")
         begin = F.col("base") + F.col("start")
         settled = whole.select("row_key", begin.alias("begin"), (begin + F.col("more") + length).alias("end"))
         spans = settled if spans is None else spans.union(settled)
 
-        variety = spool(groups.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1"), "variety")
-        cut = spool(_cut(stretches, groups.join(variety, "anchor").select("anchor", "n", "contexts", "lead.*"), length, most_contexts), "stretches")
+        # One context is enough where it may repeat itself.
+        variety = groups.groupBy("anchor").agg(F.count("*").alias("contexts"), F.max(F.col("again") & (F.col("n") == 1)).alias("again"))
+        variety = spool(variety.where("contexts > 1 or again").select("anchor", "contexts"), "variety")
+        most = most_contexts if gram < length else LONGEST
+        cut = spool(_cut(stretches, groups.join(variety, "anchor").select("anchor", "n", "contexts", "lead.*"), length, most), "stretches")
         few, many = cut.where("not many"), cut.where("many")
         shards = max(1, math.ceil(few.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0] / shard_bytes))
         spans = spans.union(few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(in_shard, schema))

@@ -96,3 +96,11 @@ def test_long_texts_are_served_in_parts(spark):
     found = suffix_dedup.anchors(suffix_dedup.keyed(docs), 50, 12, 400).collect()
     assert sum(x.more + 1 for x in found) == 5_000 - 49 + 2_000 - 49
     assert len({x.anchor for x in found if x.more}) < len(found)
+
+
+def test_long_runs_make_few_contexts(spark):
+    """A run of one sign or of a short pattern is a few contexts, not one for each byte."""
+    rows = [(1, "x" + "-" * 60_000 + "y"), (2, "ab" * 20_000), (3, "q" * 150 + "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.anchors(suffix_dedup.keyed(docs), 200, 64).count() < 400
+    assert in_order(suffix_dedup.remove_repeats(docs).collect()) == in_order(brute(rows, 200))
