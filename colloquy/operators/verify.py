@@ -14,7 +14,7 @@ THRESHOLD = 90.0
 
 def quote_parts(quote: Column) -> Column:
     """Normalised parts of a quote between ellipses."""
-    return F.filter(F.transform(F.split(clean.normalised_text(quote), r"\.\.\."), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(clean.normalised_text(quote), r"\.\.\."), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _grams(text: Column) -> Column:

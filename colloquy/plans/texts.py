@@ -40,12 +40,12 @@ def quoted(docs: DataFrame) -> DataFrame:
     """``docs`` with a quote for each: its own words from anywhere, with an ellipsis, foreign, empty, in capitals."""
     n, at = F.pmod("doc_id", F.lit(5)), _place(130)
     whole = F.substring("text", at, F.lit(60))
-    parts = F.concat(F.substring("text", at, F.lit(40)), F.lit("…"), F.substring("text", at + 90, F.lit(40)))
+    parts = F.concat(F.substring("text", at, F.lit(40)), F.lit(" … "), F.substring("text", at + 90, F.lit(40)))
     return docs.withColumn("quote", F.when(n == 0, whole).when(n == 1, parts).when(n == 2, _FOREIGN).when(n == 3, "").otherwise(F.upper(whole)))
 
 
 @query(
-    f"WITH q AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN substring(text, {_AT}, 60) WHEN 1 THEN substring(text, {_AT}, 40) || '…' || substring(text, {_AT} + 90, 40) WHEN 2 THEN '{_FOREIGN}' WHEN 3 THEN '' ELSE upper(substring(text, {_AT}, 60)) END AS quote FROM documents), "
+    f"WITH q AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN substring(text, {_AT}, 60) WHEN 1 THEN substring(text, {_AT}, 40) || ' … ' || substring(text, {_AT} + 90, 40) WHEN 2 THEN '{_FOREIGN}' WHEN 3 THEN '' ELSE upper(substring(text, {_AT}, 60)) END AS quote FROM documents), "
     f"n AS (SELECT *, {SQL_NORM.format('text')} AS norm, {_SQL_PARTS} AS parts FROM q) SELECT doc_id, {_SQL_HELD} AS verified FROM n"
 )
 def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_all_coded_rows(docs):
 def test_every_document_has_a_row(spark, sf_dir, name):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert sorted(r.doc_id for r in entry.queries()[name](spark, sf_dir).collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_parts_are_trimmed(spark):
+    """A space before an ellipsis is no part of the quote."""
+    rows = [(1, "It began. Then it went on and on, and so it came to an end.", "It began. … came to an end."), (2, "short", "… …")]
+    found = verify.verify_quotes(spark.createDataFrame(rows, "k int, body string, quote string"), "k", "quote", "body").collect()
+    assert sorted((f.k, f.verified) for f in found) == [(1, True), (2, True)]
