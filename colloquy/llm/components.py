@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("to"))
     least = near.groupBy("node").agg(F.min("to").alias("least")).select("node", F.least("node", "least").alias("least"))
-    least = spool(least, "least")  # a table of its own, so that Spark can split a node with very many neighbours
+    if large:
+        least = spool(least, "least")  # a table of its own, so that Spark can split a node with very many neighbours
     joined = near.join(least, "node")
     if large:
         out = joined.where(F.col("to") > F.col("node")).select(F.col("to").alias("u"), F.col("least").alias("v"))

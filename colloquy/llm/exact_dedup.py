@@ -160,7 +160,7 @@ def match_batch(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """(digest, old, keep, size): classes of the batch ``rows`` (old is false) and of the snapshot at ``path`` (old is true)."""
     exact, filters = spark.read.parquet(f"{path}/buckets"), spark.read.schema("shard int, shards int, filter binary").parquet(f"{path}/filters")
     new = spool(buckets(rows), "batch")
-    maybe = spool(screen(new, filters), "positives")
+    maybe = screen(new, filters)
     theirs = exact.select("digest", F.col("keep").alias("keep_old"), F.col("size").alias("size_old"))
     hits = new.join(maybe, "digest", "left_semi").join(theirs, "digest")
     hits = spool(hits.select("digest", F.least("keep", "keep_old").alias("hit_keep"), (F.col("size") + F.col("size_old")).alias("hit_size")), "hits")

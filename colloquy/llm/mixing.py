@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_R
 
     # Sums of the ranges before, in two steps, so that no task holds all ranges of a source.
     wide = F.substring("range", 1, (digits + 1) // 2).alias("wide")
-    sums = spool(rows.groupBy("source", "range").agg(F.sum("size").alias("words")).select("source", "range", wide, "words"), "ranges")
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words")).select("source", "range", wide, "words")
     in_wide = W.partitionBy("source", "wide").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     of_wide = W.partitionBy("source").orderBy("wide").rowsBetween(W.unboundedPreceding, -1)
     near = sums.select("source", "range", "wide", F.coalesce(F.sum("words").over(in_wide), F.lit(0)).alias("near"))

@@ -211,7 +211,7 @@ def candidate_sets(texts: DataFrame, threshold: float = THRESHOLD, recall: float
             pairs = matches.groupBy("u", "v").agg(F.max("similarity").alias("similarity")).withColumn("stands_for", 1 / share)
             both = pairs.select(F.col("u").alias("id"), "stands_for").union(pairs.select("v", "stands_for"))
             reached = both.groupBy("id").agg((F.count("*") / F.sum("stands_for")).alias("share")).where(F.col("share") >= recall)
-            closed = spool(reached.select("id", F.lit(False).alias("open")), "closed")
+            closed = reached.select("id", F.lit(False).alias("open"))
     # A text hangs together with all it matched; one link each and those between what it matched say the same with fewer rows.
     met = matches.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("all"))  # at most a few for each trie
     edges = met.select("u", F.col("least").alias("v")).union(met.select(F.explode("all").alias("u"), "least").where("u <> least").distinct())
@@ -309,7 +309,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
 
     found = spool(texts_of.mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
     sizes = found.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    wanted = spool(_blocks(sets, sizes, threshold, block, block_shingles), "blocks")
+    wanted = _blocks(sets, sizes, threshold, block, block_shingles)
 
     def verify(table: pa.Table) -> pa.Table:
         units, ids = table.column("unit").to_numpy(), table.column("id").to_numpy()
