@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import exact_dedup, html, mixing, near_join, packing, pii, quality, suffix_dedup, token_files, toxicity
+from colloquy.llm import decontaminate, exact_dedup, html, mixing, near_join, packing, pii, quality, suffix_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the table, by a hash of doc_id, is the immutable snapshot; the other half is the new batch."""
     docs = _table(spark, sf_dir, "documents")
-    return exact_dedup.deduplicate(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return exact_dedup.deduplicate(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).drop("row_key")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_token_orc,
         op10_packing,
+        op11_benchmark_decontamination,
         pipeline,
     )
     return {f.__name__: f for f in numbered}
@@ -119,8 +124,35 @@ SELECT doc_id, size, total AS source_size, target,
         + least(size, greatest(0, budget - budget // total * total - ahead)) ELSE 0 END)::BIGINT AS taken FROM p
 """
 
+_OP11 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), p AS (
+  SELECT item_id, least(10, len(words)) AS size, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i, words FROM b WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS grams FROM p
+), g AS (
+  SELECT r, size, unnest(range(1, len(words) - size + 2)) AS i, words FROM w, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+), grams AS (
+  SELECT r, size, i, array_to_string(words[i:i + size - 1], ' ') AS grams FROM g
+), hits AS (
+  SELECT r, i, size, item_id FROM grams JOIN windows USING (size, grams)
+), n AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM (SELECT DISTINCT r, i, size FROM hits)) GROUP BY r
+), s AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (r) LEFT JOIN s USING (r)
+"""
+
 # The added kinds have no SQL here, so op8 is tested against a brute-force version.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_source_mixing": _OP4}
+    return {"op2_exact_dedup": _OP2, "op4_source_mixing": _OP4, "op11_benchmark_decontamination": _OP11}
