@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, exact_dedup, html, mixing, near_join, packing, pii, quality, suffix_dedup, token_files, toxicity
+from colloquy.llm import decontaminate, exact_dedup, html, mixing, near_join, packing, pii, quality, spelling, suffix_dedup, token_files, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_token_orc,
         op10_packing,
         op11_benchmark_decontamination,
+        op12_spelling_variants,
+        op13_embedding_whitening,
         pipeline,
     )
     return {f.__name__: f for f in numbered}
