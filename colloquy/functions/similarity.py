@@ -6,6 +6,7 @@ costs as much as a removal and an insertion.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,32 +30,90 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * common_subsequence(a, b) / total
 
 
+def _prefix_scores(part: str, body: str) -> float:
+    """The best ``indel_ratio`` of ``part`` with a beginning of ``body`` that is shorter than it, all in one pass."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(part):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(part)) - 1
+    rest, best = full, 0.0
+    for n, c in enumerate(body[: len(part) - 1], 1):
+        hit = rest & places.get(c, 0)
+        rest = (rest + hit | rest - hit) & full
+        best = max(best, 200.0 * (len(part) - rest.bit_count()) / (len(part) + n))
+    return best
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Stretches:
+    """Longest common subsequences of a part with stretches of its length, many stretches at once: bits stand for places of the part, 64 to a word."""
+
+    def __init__(self, part: str, body: str) -> None:
+        self.size, of = len(part), _codes(part)
+        known = np.unique(of)
+        self.words = (self.size + 63) // 64
+        self.places = np.zeros((len(known) + 1, self.words), np.uint64)
+        row, at = np.searchsorted(known, of), np.arange(self.size)
+        np.bitwise_or.at(self.places, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        text = _codes(body)
+        self.text = np.minimum(np.searchsorted(known, text), len(known) - 1)
+        self.text[known[self.text] != text] = len(known)  # a character that the part lacks
+        self.full = np.full(self.words, ~np.uint64(0))
+        if self.size % 64:
+            self.full[-1] = np.uint64((1 << self.size % 64) - 1)
+
+    def common(self, starts: np.ndarray) -> np.ndarray:
+        rest = [np.full(len(starts), f) for f in self.full]
+        for k in range(self.size):
+            row = self.text[starts + k]
+            carry = None
+            for w in range(self.words):
+                hit = rest[w] & self.places[row, w]
+                up = rest[w] + hit
+                over = up < hit
+                if carry is not None:
+                    up += carry
+                    over |= up < carry
+                rest[w] = (up | rest[w] ^ hit) & self.full[w]
+                carry = over.astype(np.uint64)
+        return self.size - sum(np.bitwise_count(r).astype(np.int64) for r in rest)
+
+
+#: Every how many places a stretch is looked at first.
+STEP = 8
+
+
 def partial_score(a: str, b: str) -> float:
-    """The best ``indel_ratio`` of the shorter text with any stretch of the longer of at most its length."""
+    """The best ``indel_ratio`` of the shorter text with any stretch of the longer of at most its length.
+
+    Stretches at the ends, shorter than the part, take one pass each. A stretch one
+    place further has at most one character more in common, so of the others every
+    ``STEP``-th tells which of those between can still be the best.
+    """
     part, body = (a, b) if len(a) <= len(b) else (b, a)
     if not part:
         return 100.0 if not body else 0.0
     if part in body:
         return 100.0
-    size, best = len(part), 0.0
-    # Characters of a stretch that the part has too, counted as often as in the part, bound what they can have in common.
-    spare: dict[str, int] = {}
-    for c in part:
-        spare[c] = spare.get(c, 0) + 1
-    shared = 0
-    for end in range(1, len(body) + size):
-        if end <= len(body):
-            c = body[end - 1]
-            spare[c] = spare.get(c, 0) - 1
-            shared += spare[c] >= 0
-        if end > size:
-            c = body[end - size - 1]
-            shared -= spare[c] >= 0
-            spare[c] += 1
-        start, stop = max(0, end - size), min(end, len(body))
-        if 200.0 * shared / (size + stop - start) > best:
-            best = max(best, indel_ratio(part, body[start:stop]))
-    return best
+    stretches, last = _Stretches(part, body), len(body) - len(part)
+    seen = np.unique(np.append(np.arange(0, last + 1, STEP), last))
+    common = stretches.common(seen)
+    best = int(common.max())
+    rest = np.setdiff1d(np.arange(last + 1), seen, assume_unique=True)
+    left = np.searchsorted(seen, rest) - 1
+    most = np.minimum(common[left] + rest - seen[left], common[left + 1] + seen[left + 1] - rest) if len(rest) else rest
+    order = np.argsort(-most, kind="stable")
+    rest, most = rest[order], most[order]
+    for at in range(0, len(rest), 1024):
+        rest_here = rest[at : at + 1024][most[at : at + 1024] > best]
+        if not len(rest_here):
+            break
+        best = max(best, int(stretches.common(rest_here).max()))
+    ends = max(_prefix_scores(part, body), _prefix_scores(part[::-1], body[: -len(part) : -1]))
+    return max(200.0 * best / (2 * len(part)), ends)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from colloquy.config import FORBIDDEN_COLUMNS
 from colloquy.functions.jsonx import forbidden_in_json, spilled
 from colloquy.operators.coding import USERNAME
+from colloquy.operators.tables import observed
 
 LONG_TEXT = 500
 
@@ -61,6 +63,14 @@ def write_summary(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count_if(~bad).alias("n_written"), F.count_if(bad).alias("n_failed"))
 
 
+def write_audited(judged: DataFrame, path: str) -> dict[str, int]:
+    """Write the rows that break no rule, and count those written and those held back in the same pass."""
+    bad = F.size("violations") > 0
+    rows, seen = observed(judged, f"audit-{uuid.uuid4().hex}", n_written=F.count_if(~bad), n_failed=F.count_if(bad))
+    rows.where(~bad).drop("violations").write.mode("append").parquet(path)
+    return dict(seen.get)
+
+
 def privacy_scan(df: DataFrame, key: str, free: tuple[str, ...] = ("evidence_quotes", "details")) -> DataFrame:
     """Flagged fields by kind: long texts (but in ``free`` columns), author ids, usernames. One row counts once for each field."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]

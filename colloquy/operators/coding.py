@@ -15,6 +15,11 @@ URL = r"(?i)https?://\S+|\bwww\.\S+"
 USERNAME = r"\bu/[A-Za-z0-9_]{3,20}\b"
 
 
+def lowered(text: Column) -> Column:
+    """A text in lower case, character for character: the one letter that would become two (U+0130) becomes a plain i."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def code_by_rules(posts: DataFrame, rules: dict[str, tuple[str, ...]], text: str = "text", evidence: bool = True) -> DataFrame:
     """``posts`` with ``deductive_codes``: a code for each rule with a phrase in the text.
 
@@ -26,7 +31,7 @@ def code_by_rules(posts: DataFrame, rules: dict[str, tuple[str, ...]], text: str
     phrases = list(dict.fromkeys(p for of in rules.values() for p in of))
     held = {p: f"_held_{i}" for i, p in enumerate(phrases)}
     low, codes = F.col("_low"), []
-    rows = posts.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns({c: F.contains(low, F.lit(p)) for p, c in held.items()})
+    rows = posts.withColumn("_low", lowered(F.coalesce(F.col(text), F.lit("")))).withColumns({c: F.contains(low, F.lit(p)) for p, c in held.items()})
     for code, of in rules.items():
         hits = reduce(Column.__add__, (F.col(held[p]).cast("int") for p in of))
         places = [F.when(F.col(held[p]), F.instr(low, F.lit(p))) for p in of]

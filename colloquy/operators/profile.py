@@ -6,6 +6,7 @@ of posts is a sum of flags: one aggregation with partial sums, no distinct count
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,29 @@ from pyspark.sql import functions as F
 from colloquy.config import CODES, DIMENSION_OF, DIMENSIONS, Thresholds
 from colloquy.functions.clean import percent
 from colloquy.functions.jsonx import all_low
+from colloquy.operators.tables import observed, write_observed
 
 
 def _column(name: str) -> str:
     return name.replace("-", "_")
 
 
-def eligible(df: DataFrame, model_prefix: str = "llama") -> DataFrame:
-    """Coded posts that count: not quarantined, by the model, of a machine partition, not test data."""
+def is_eligible(model_prefix: str = "llama") -> Column:
+    """Whether a coded post counts: not quarantined, by the model, of a machine partition, not test data."""
     machine = F.coalesce("machine_partition", F.lit(""))
     ok = F.col("quarantine_reason").isNull() & F.col("model").startswith(model_prefix) & ~machine.isin("", "None")
-    return df.where(ok & ~F.col("data_source").eqNullSafe(F.lit("json_endpoint")))
+    return ok & ~F.col("data_source").eqNullSafe(F.lit("json_endpoint"))
+
+
+def eligible(df: DataFrame, model_prefix: str = "llama") -> DataFrame:
+    return df.where(is_eligible(model_prefix))
+
+
+def write_eligible(df: DataFrame, path: str, key: str = "post_id", model_prefix: str = "llama") -> dict[str, int]:
+    """Write the posts that count, and what ``filter_counts`` tells of them, counted while they are filtered and written."""
+    rows, seen = observed(df, f"filter-{uuid.uuid4().hex}", n_initial=F.count("*"))
+    kept = write_observed(rows.where(is_eligible(model_prefix)), path, {"n_kept": F.count("*"), "n_posts": F.count_if(F.col(key).startswith("t3_")), "n_replies": F.count_if(F.col(key).startswith("t1_"))})
+    return {**seen.get, **kept, "n_excluded": seen.get["n_initial"] - kept["n_kept"]}
 
 
 def stratum(df: DataFrame, name: str, key: str = "post_id") -> DataFrame:

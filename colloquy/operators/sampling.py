@@ -93,12 +93,16 @@ def tertile_ranges(df: DataFrame, community: str, score: str, tertile: str = "te
 
 
 def review_sample(df: DataFrame, batch: str, key: str, flagged: str, seed: int = 0, share: float = 0.2, most: int = 20) -> DataFrame:
-    """A fifth of each batch, 1 to ``most`` rows: flagged rows first, then rows by a seeded hash."""
-    by_batch = W.partitionBy(batch)
-    order = by_batch.orderBy(F.desc(flagged), F.when(F.col(flagged), F.col(key)).asc_nulls_last(), F.xxhash64(key, F.lit(seed)), key)
-    size = F.count("*").over(by_batch)
-    take = F.least(F.greatest(F.floor(size * share), F.lit(1)), F.lit(most))
-    return df.withColumns({"place": F.row_number().over(order), "take": take}).where("place <= take").drop("take")
+    """A fifth of each batch, 1 to ``most`` rows: flagged rows first, then rows by a draw that depends on seed and key alone.
+
+    Each task keeps its own first ``most`` rows of a batch before any are shuffled, so
+    no task holds a batch.
+    """
+    draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
+    order = W.partitionBy(batch).orderBy(F.desc(flagged), F.when(F.col(flagged), F.col(key)).asc_nulls_last(), draw, key)
+    first = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    sizes = df.groupBy(F.col(batch).alias("_batch")).agg(F.least(F.greatest(F.floor(F.count("*") * share), F.lit(1)), F.lit(most)).alias("_take"))
+    return first.join(sizes, F.col(batch).eqNullSafe(F.col("_batch"))).where("place <= _take").drop("_batch", "_take")
 
 
 def head(df: DataFrame, n: int, order: str) -> DataFrame:

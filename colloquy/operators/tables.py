@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -51,6 +52,26 @@ def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Obs
     return df.observe(seen, *(c.alias(n) for n, c in counts.items())), seen
 
 
+def write_observed(df: DataFrame, path: str, counts: dict[str, Column], mode: str = "append") -> dict[str, int]:
+    """Write ``df`` and return counts that were taken by the tasks that wrote it; the rows are read once."""
+    rows, seen = observed(df, f"write-{uuid.uuid4().hex}", **counts)
+    rows.write.mode(mode).parquet(path)
+    return dict(seen.get)
+
+
+def insert_observed(current: DataFrame, new: DataFrame, keys: list[str], order: str, path: str) -> dict[str, int]:
+    """Write the rows of ``new`` whose key is not in ``current`` to ``path``, and count on the way: inserted, skipped (key known, or not the first of its key), errors (no key).
+
+    ``new`` is counted where it is read and the fresh rows where they are written, so
+    each table is read once, where ``insert_stats`` reads them for the counts alone.
+    """
+    keyless = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
+    given, seen = observed(new, f"given-{uuid.uuid4().hex}", rows=F.count("*"), errors=F.count_if(keyless))
+    inserted = write_observed(insert_ignore(current, given.where(~keyless), keys, order), path, {"inserted": F.count("*")})["inserted"]
+    rows, errors = seen.get["rows"], seen.get["errors"]
+    return {"inserted": inserted, "skipped": rows - errors - inserted, "errors": errors}
+
+
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = (), stamp: str | None = None) -> DataFrame:
     """Rows of ``new`` replace those with their key; the last of equal keys wins.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.config import CODES, DIMENSION_OF, DIMENSIONS
 from colloquy.functions import jsonx
-from colloquy.operators import coding, profile, sampling
-from colloquy.plans.registry import query, table
+from colloquy.operators import coding, phrases, profile, sampling
+from colloquy.plans.registry import ORACLES, SQL_NORM, query, table
+from colloquy.shared import shared_path as scratch
 
 RULES = {
     "PUSH-01": ("heed", "haed", "ndst"),
@@ -150,14 +151,26 @@ def coded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM (SELECT *, lang <> 'fr' AND doc_id % 3 <> 0 AND source <> 'src1' AND doc_id % 5 <> 0 AS k FROM posts)"
 )
 def eligible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = coded_documents(spark, sf_dir).select(
+    coded = _runs(spark, sf_dir)
+    return profile.filter_counts(coded, profile.stratum(profile.eligible(coded), "full_corpus"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_documents(spark, sf_dir).select(
         F.concat(F.when(F.col("doc_id") % 2 == 0, "t3_").otherwise("t1_"), F.col("doc_id")).alias("post_id"),
         F.when(F.col("lang") != "fr", "llama3").otherwise("other").alias("model"),
         F.when(F.col("doc_id") % 3 == 0, "None").otherwise("A").alias("machine_partition"),
         F.when(F.col("source") == "src1", "json_endpoint").alias("data_source"),
         F.when(F.col("doc_id") % 5 == 0, "unverifiable_quote").alias("quarantine_reason"),
     )
-    return profile.filter_counts(coded, profile.stratum(profile.eligible(coded), "full_corpus"))
+
+
+@query(ORACLES["eligible_counts"].replace(" FROM (SELECT *", ", count(*) FILTER (k) AS n_written FROM (SELECT *"))
+def eligible_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, taken while the posts that count are filtered and written."""
+    path = scratch(spark, "eligible")
+    counts = profile.write_eligible(_runs(spark, sf_dir), path)
+    return spark.read.parquet(path).agg(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()), F.count("*").alias("n_written"))
 
 
 @query(CODED + "SELECT source, count(*) AS n, sum(PUSH_any)::BIGINT AS push, sum(PULL_any)::BIGINT AS pull, sum(MOOR_any)::BIGINT AS mooring, (sum(PULL_any) - sum(PUSH_any))::DOUBLE / nullif(sum(PULL_any) + sum(PUSH_any), 0) AS x, 100.0::DOUBLE * sum(MOOR_any) / count(*) AS y FROM posts GROUP BY source")
@@ -183,15 +196,64 @@ def archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.with_archetype(points.withColumn("source", F.concat(F.lit("r/"), F.col("source"))), kinds, "source").withColumn("source", F.regexp_replace("source", "^r/", ""))
 
 
-@query()
+_NGRAMS = (
+    CODED + f", few AS (SELECT doc_id, {SQL_NORM.format('text')} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text FROM posts WHERE {_N_CODES} <= 1)), t AS (SELECT doc_id, list_filter(string_split(norm, ' '), lambda w: length(w) > 2) AS t FROM few), "
+    "g AS (SELECT doc_id, size, unnest(list_transform(range(1, len(t) - size + 2), lambda i: array_to_string(t[i:i + size - 1], ' '))) AS phrase FROM t, (SELECT unnest({sizes}) AS size) WHERE len(t) >= size), "
+    "n AS (SELECT phrase, size, count(DISTINCT doc_id) AS n_posts, min(doc_id) AS first_post FROM g GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3) "
+)
+_KNOWN = ", ".join(f"'{p}'" for r in RULES.values() for p in r)
+
+
+@query(_NGRAMS.replace("{sizes}", "[2]") + f"SELECT phrase, n_posts, first_post FROM n WHERE phrase NOT IN ({_KNOWN})")
 def emergent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.emergent_phrases(coded_documents(spark, sf_dir, False), [p for r in RULES.values() for p in r], "doc_id")
 
 
-@query()
+@query(_NGRAMS.replace("{sizes}", "[2, 3, 4, 5]") + "SELECT phrase, size::INT AS size, n_posts, first_post FROM n WHERE phrase NOT IN (SELECT DISTINCT lower(p_name) FROM part)")
+def emergent_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to five words that recur in posts with few codes; the names of parts are known already."""
+    known = table(spark, sf_dir, "part").select(F.lower("p_name").alias("phrase"))
+    return phrases.emergent_ngrams(coded_documents(spark, sf_dir, False), known, "doc_id", sizes=(2, 3, 4, 5))
+
+
+#: A codebook with a phrase from every document and every benchmark passage, dealt to seven codes.
+_BOOK = (
+    "book AS (SELECT 'P' || (doc_id % 7) AS code, lower(substring(text, 3, 12)) AS phrase FROM documents WHERE length(text) >= 14 UNION SELECT 'Q' || (item_id % 3), lower(substring(text, 20, 12)) FROM benchmark), "
+    "d AS (SELECT doc_id, text, lower(coalesce(text, '')) AS low FROM documents), "
+    "h AS (SELECT doc_id, text, code, count(*) AS n, min(instr(low, phrase)) AS place FROM d JOIN (SELECT DISTINCT * FROM book WHERE phrase <> '') ON contains(low, phrase) GROUP BY ALL) "
+)
+
+
+def phrase_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 14)
+    own = docs.select(F.concat(F.lit("P"), F.col("doc_id") % 7).alias("code"), coding.lowered(F.substring("text", 3, 12)).alias("phrase"))
+    return own.union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Q"), F.col("item_id") % 3), coding.lowered(F.substring("text", 20, 12))))
+
+
+@query("WITH " + _BOOK + "SELECT doc_id, code, substr(text, place, 60) AS quote, CASE WHEN n >= 3 THEN 'HIGH' WHEN n = 2 THEN 'MED' ELSE 'LOW' END AS confidence FROM h")
+def phrase_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents coded by a table with as many phrases as there are documents."""
+    coded = phrases.code_by_phrases(table(spark, sf_dir, "documents"), phrase_book(spark, sf_dir))
+    return coded.select("doc_id", F.inline("deductive_codes")).select("doc_id", "code", F.col("evidence_quote").alias("quote"), "confidence")
+
+
+@query("WITH " + _BOOK + ", e AS (SELECT unnest(regexp_extract_all(substr(text, place, 60), '[A-Z][a-z]{3,}')) AS entity, doc_id FROM h) SELECT entity, count(*) AS n, min(doc_id) AS first_doc FROM e WHERE lower(entity) NOT IN (SELECT DISTINCT lower(string_split(text, ' ')[1]) FROM benchmark WHERE text IS NOT NULL) GROUP BY 1")
+def unsafe_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words in the evidence that are not in a table of safe names (here the first words of benchmark passages)."""
+    quotes = phrase_codes(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("quote", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("entity"))
+    safe = table(spark, sf_dir, "benchmark").select(F.split("text", " ")[0].alias("name"))
+    return phrases.unsafe_entities(quotes, safe).groupBy("entity").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(
+    CODED + ", f AS (SELECT doc_id, source, (length(coalesce(text, '')) < 100 OR (NONE_any = 1 AND length(text) > 250) OR all_low = 1) AS flagged FROM posts), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY flagged DESC, CASE WHEN flagged THEN doc_id END NULLS LAST, md5('11:' || doc_id), doc_id)::INT AS place, count(*) OVER (PARTITION BY source) AS n FROM f) "
+    "SELECT doc_id, source, flagged, place FROM r WHERE place <= least(greatest(n // 5, 1), 20)"
+)
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = coding.assemble(coded_documents(spark, sf_dir), "text", F.lit("A_keyword"))
-    flagged = rows.select("doc_id", "source", (F.size("circuit_breaker_flags") > 0).alias("flagged"))
+    flags = F.array_remove("circuit_breaker_flags", "PII_ENTITY_MATCH")  # names have no SQL
+    flagged = rows.select("doc_id", "source", (F.size(flags) > 0).alias("flagged"))
     return sampling.review_sample(flagged, "source", "doc_id", "flagged", seed=11)
 
 

@@ -54,9 +54,10 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_RATED = (
     "WITH b AS (SELECT l.quality = 1 AS x1, l.toxic = 1 AS x2, d.n_chars > 400 AS y1, d.lang = 'de' AS y2 FROM labels l JOIN documents d USING (doc_id)), "
     "n AS (SELECT * FROM (SELECT 'PUSH-01' AS code, count(*) AS n, count(*) FILTER (x1) AS pos1, count(*) FILTER (y1) AS pos2, count(*) FILTER (x1 AND y1) AS both_pos FROM b UNION ALL "
-    "SELECT 'PULL-02', count(*), count(*) FILTER (x2), count(*) FILTER (y2), count(*) FILTER (x2 AND y2) FROM b)), "
+    "SELECT 'PULL-02', count(*), count(*) FILTER (x2), count(*) FILTER (y2), count(*) FILTER (x2 AND y2) FROM b UNION ALL "
+    "SELECT 'NONE', count(*), count(*) FILTER (NOT (x1 OR x2)), count(*) FILTER (NOT (y1 OR y2)), count(*) FILTER (NOT (x1 OR x2 OR y1 OR y2)) FROM b)), "
     f"a AS (SELECT c.code, c.code[-3] <> '-' AS is_dimension, (SELECT max(n) FROM n) AS n, coalesce(pos1, 0) AS pos1, coalesce(pos2, 0) AS pos2, coalesce(both_pos, 0) AS both_pos FROM (SELECT unnest({[*CODES, *DIMENSIONS, 'NONE']}) AS code) c "
-    "LEFT JOIN (SELECT * FROM n UNION ALL SELECT left(code, 4), n, pos1, pos2, both_pos FROM n) m USING (code)), "
+    "LEFT JOIN (SELECT * FROM n UNION ALL SELECT left(code, 4), n, pos1, pos2, both_pos FROM n WHERE code <> 'NONE') m USING (code)), "
     "k AS (SELECT *, least(pos1, pos2) >= 5 AND pos1 < n AND pos2 < n AS ok, (n - pos1 - pos2 + 2 * both_pos)::DOUBLE / n AS po, (pos1::DOUBLE * pos2 + (n - pos1)::DOUBLE * (n - pos2)) / (n::DOUBLE * n) AS pe FROM a) "
 )
 
@@ -64,8 +65,8 @@ _SQL_RATED = (
 @query(_SQL_RATED + "SELECT CASE WHEN is_dimension THEN 'dimensions' ELSE 'codes' END AS name, code, n, pos1, pos2, CASE WHEN ok THEN round((po - pe) / (1 - pe), 9) END AS kappa FROM k")
 def kappa_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kappa by code and by dimension for a pair of raters, from the two files it is written to in report order."""
-    ratings = _ratings(spark, sf_dir).withColumn("codes", F.transform("codes", lambda c: F.when(c == "GOOD", "PUSH-01").otherwise("PULL-02")))
-    ratings = ratings.withColumn("codes", F.concat("codes", F.array_distinct(F.transform("codes", lambda c: F.regexp_replace(c, "-[0-9]+$", "")))))
+    ratings = _ratings(spark, sf_dir).withColumn("codes", F.transform("codes", lambda c: F.when(c == "GOOD", "PUSH-01").when(c == "TOXIC", "PULL-02").otherwise(c)))
+    ratings = ratings.withColumn("codes", F.array_union("codes", F.array_distinct(F.transform("codes", lambda c: F.regexp_replace(c, "-[0-9]+$", "")))))
     pairs = spark.createDataFrame([("people", "rule")], "left string, right string")
     codes = spark.createDataFrame([(c,) for c in (*CODES, *DIMENSIONS, "NONE")], "code string")
     made = writers.kappa_tables(agreement.kappa(agreement.pair_counts(ratings, pairs, codes)), DIMENSIONS)

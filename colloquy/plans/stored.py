@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import Caps, QualityGate
-from colloquy.operators import linking, reports, sampling, tables
+from colloquy.operators import layout, linking, reports, sampling, tables
 from colloquy.plans.registry import query, table
+from colloquy.shared import shared_path as scratch
 
 # -- changes -------------------------------------------------------------------------------------
 
@@ -33,6 +34,14 @@ def insert_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.insert_stats(_current(spark, sf_dir), _changes(spark, sf_dir), ["c_custkey"], "seq")
 
 
+@query("SELECT count(*) FILTER (c_custkey % 3 = 0) AS inserted, count(*) * 2 - count(*) FILTER (c_custkey % 3 = 0) AS skipped, 0::BIGINT AS errors, count(*) FILTER (c_custkey % 3 = 0) AS n_written FROM customer WHERE c_custkey % 2 = 0")
+def insert_counts_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts, taken by the tasks that write the new rows, beside a count of what was written."""
+    path = scratch(spark, "inserted")
+    counts = tables.insert_observed(_current(spark, sf_dir), _changes(spark, sf_dir), ["c_custkey"], "seq", path)
+    return spark.read.parquet(path).agg(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()), F.count("*").alias("n_written"))
+
+
 @query("SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '/2' ELSE '' END AS c_name FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upsert(_current(spark, sf_dir), _changes(spark, sf_dir), ["c_custkey"], "seq").select("c_custkey", "c_name")
@@ -380,3 +389,32 @@ def codebook_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def literature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("keywords"))
     return reports.literature_counts(refs, table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("collection_hash")), "keywords")
+
+
+# -- layout --------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderpriority, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines, both stored in buckets of the order: neither the join nor the sums by order shuffle."""
+    orders = layout.store(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_trunc("year", "o_orderdate").cast("date").alias("year")), "o_orderkey", "year", 8)
+    lines = layout.store(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.date_trunc("year", "l_shipdate").cast("date").alias("year")), "l_orderkey", "year", 8)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
+def layout_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope of ``in_scope`` from a table stored by month: other months are not opened."""
+    rows = table(spark, sf_dir, "orders").withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
+    stored = layout.store(rows, "o_orderkey", "month", 4)
+    return layout.scope(stored, "month", "o_orderdate", "o_orderpriority", ["1-URGENT", "2-HIGH"], "1996-01-01", "1997-06-30").select("o_orderkey")
+
+
+@query("WITH d AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, month LIMIT 5) SELECT o_orderkey FROM orders WHERE date_trunc('month', o_orderdate) IN (SELECT month FROM d)")
+def layout_busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the five busiest months: the join with them prunes the months that are read (dynamic partition pruning)."""
+    rows = table(spark, sf_dir, "orders").withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
+    stored = layout.store(rows, "o_orderkey", "month", 4)
+    busiest = stored.groupBy("month").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "month").limit(5)
+    return stored.join(busiest.select("month"), "month").select("o_orderkey")

@@ -11,7 +11,6 @@ from colloquy.operators import agreement, audit, emergent, fuzzy, verify
 from colloquy.plans.registry import SQL_NORM, query, table
 from colloquy.shared import shared_path as scratch
 from colloquy.sources import readers, writers
-from colloquy.streaming import jobs
 
 
 def dealt(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
@@ -109,14 +108,15 @@ def fuzzy_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rater ``people`` from the labels, ``rule`` from length and language, ``other`` on even ids only."""
+    """Rater ``people`` from the labels, ``rule`` from length and language, ``other`` on even ids only. Codes of a text without any are NONE."""
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents")
     made = lambda rater, **codes: F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in codes.items())))
     people = labels.select(F.lit("people").alias("rater"), F.col("doc_id").alias("id"), made("people", GOOD=F.col("quality") == 1, TOXIC=F.col("toxic") == 1).alias("codes"))
     rule = docs.select(F.lit("rule").alias("rater"), F.col("doc_id").alias("id"), made("rule", GOOD=F.col("n_chars") > 400, TOXIC=F.col("lang") == "de").alias("codes"))
     other = docs.where("doc_id % 2 = 0").select(F.lit("other").alias("rater"), F.col("doc_id").alias("id"), made("other", GOOD=F.col("n_chars") > 900).alias("codes"))
-    return people.unionByName(rule).unionByName(other)
+    rated = people.unionByName(rule).unionByName(other)
+    return rated.withColumn("codes", F.when(F.size("codes") == 0, F.array(F.lit("NONE"))).otherwise(F.col("codes")))
 
 
 def _pairs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +127,7 @@ def _pairs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 _COUNTS = (
     "WITH r AS (SELECT 'people' AS rater, doc_id AS id, quality = 1 AS GOOD, toxic = 1 AS TOXIC FROM labels UNION ALL SELECT 'rule', doc_id, n_chars > 400, lang = 'de' FROM documents UNION ALL SELECT 'other', doc_id, n_chars > 900, false FROM documents WHERE doc_id % 2 = 0), "
     "p AS (SELECT * FROM (VALUES ('people', 'rule'), ('people', 'other'), ('rule', 'other')) v(\"left\", \"right\")), "
-    "b AS (SELECT p.\"left\", p.\"right\", unnest(['GOOD', 'TOXIC', 'NONE']) AS code, unnest([a.GOOD, a.TOXIC, false]) AS x, unnest([c.GOOD, c.TOXIC, false]) AS y FROM p JOIN r a ON a.rater = p.\"left\" JOIN r c ON c.rater = p.\"right\" AND a.id = c.id), "
+    "b AS (SELECT p.\"left\", p.\"right\", unnest(['GOOD', 'TOXIC', 'NONE']) AS code, unnest([a.GOOD, a.TOXIC, NOT (a.GOOD OR a.TOXIC)]) AS x, unnest([c.GOOD, c.TOXIC, NOT (c.GOOD OR c.TOXIC)]) AS y FROM p JOIN r a ON a.rater = p.\"left\" JOIN r c ON c.rater = p.\"right\" AND a.id = c.id), "
     'n AS (SELECT "left", "right", code, count(*) AS n, count(*) FILTER (x) AS pos1, count(*) FILTER (y) AS pos2, count(*) FILTER (x AND y) AS "both" FROM b GROUP BY ALL), '
     'k AS (SELECT *, pos1 + pos2 - "both" AS n_pos, (n - pos1 - pos2 + 2 * "both")::DOUBLE / n AS agreement, (pos1::DOUBLE * pos2 + (n - pos1)::DOUBLE * (n - pos2)) / (n::DOUBLE * n) AS pe, '
     "CASE WHEN least(pos1, pos2) < 5 THEN 'low presence (<5)' WHEN pos1 = n OR pos2 = n THEN 'constant margin' ELSE 'estimable' END AS status FROM n), "
@@ -146,14 +146,14 @@ def rater_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     + 'SELECT "left", "right", code, n, pos1, pos2, status, round(kappa, 9) AS kappa FROM f'
 )
 def dimension_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kappa by dimension, with at least 10 positive judgements of each rater."""
-    named = F.transform("codes", lambda c: F.when(c == "GOOD", "PUSH-01").otherwise("PULL-02"))
+    """Kappa by dimension, with at least 10 positive judgements of each rater; NONE is a text without an active code."""
+    active = F.filter("codes", lambda c: c != "NONE")
+    named = F.transform(active, lambda c: F.when(c == "GOOD", "PUSH-01").otherwise("PULL-02"))
     ratings = _ratings(spark, sf_dir).withColumn("codes", jsonx.with_dimensions(named, CODES, DIMENSIONS))
     pairs, _ = _pairs(spark)
-    codes = spark.createDataFrame([("PUSH",), ("PULL",)], "code string")
+    codes = spark.createDataFrame([("PUSH",), ("PULL",), ("NONE",)], "code string")
     out = agreement.kappa(agreement.pair_counts(ratings, pairs, codes), 10)
-    none = agreement.kappa(agreement.pair_counts(ratings, pairs, spark.createDataFrame([("MOOR-F",)], "code string")), 10).withColumn("code", F.lit("NONE"))
-    return out.unionByName(none).select("left", "right", "code", "n", "pos1", "pos2", "status", F.round("kappa", 9).alias("kappa"))
+    return out.select("left", "right", "code", "n", "pos1", "pos2", "status", F.round("kappa", 9).alias("kappa"))
 
 
 @query(_COUNTS + "SELECT p.\"left\", p.\"right\", round(avg(kappa), 9) AS mean_kappa, count(kappa) AS n_codes FROM p LEFT JOIN f ON p.\"left\" = f.\"left\" AND p.\"right\" = f.\"right\" AND code <> 'NONE' GROUP BY 1, 2")
@@ -348,47 +348,3 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("llama3").alias("model"), F.lit("h").alias("session_hash"), (n % 3 == 0).alias("researcher_override"), F.lit("n").alias("override_notes"),
     )
     return audit.audit_records(rows).select("post_id", "codes_assigned", "confidence_ratings", "override_notes")
-
-
-# -- streams -------------------------------------------------------------------------------------
-
-
-def _stream(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
-    """The events as a file stream of several files; if asked, every event comes twice."""
-    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = scratch(spark, "stream")
-    (rows.union(rows) if copies else rows).repartition(4).write.parquet(path)
-    return jobs.file_stream(spark, path, rows.schema, 2)
-
-
-@query("SELECT event_id, user_id FROM events")
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "ingested")
-    jobs.ingest(_stream(spark, sf_dir, copies=True), out, scratch(spark, "offsets"), ["event_id"], "ts").awaitTermination()
-    return spark.read.parquet(out).select("event_id", "user_id")
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'PUSH' WHEN event_type = 'purchase' THEN 'PULL' ELSE 'NONE' END AS code FROM events")
-def stream_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "coded")
-    code = lambda df: df.select("event_id", F.when(F.col("event_type") == "error", "PUSH").when(F.col("event_type") == "purchase", "PULL").otherwise("NONE").alias("code"))
-    jobs.code_stream(_stream(spark, sf_dir), code, out, scratch(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(out).select("event_id", "code")
-
-
-@query("SELECT event_id, event_type = 'error' AS flagged FROM events WHERE event_type = 'error' OR user_id % 10 = 0")
-def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for review that every batch of a coding stream leaves: all flagged ones and those of some users."""
-    out, reviews = scratch(spark, "coded"), scratch(spark, "reviews")
-    code = lambda df: df.select("event_id", "user_id", (F.col("event_type") == "error").alias("flagged"))
-    pick = lambda df: df.where("flagged or user_id % 10 = 0").select("event_id", "flagged")
-    jobs.code_stream(_stream(spark, sf_dir), code, out, scratch(spark, "offsets"), pick, reviews).awaitTermination()
-    return spark.read.parquet(reviews).select("event_id", "flagged")
-
-
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by day and type of a stream, added up over its batches."""
-    out = scratch(spark, "progress")
-    jobs.count_stream(_stream(spark, sf_dir), "ts", "event_type", out, scratch(spark, "offsets")).awaitTermination()
-    return jobs.progress(spark, out, "event_type").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from colloquy.config import CODES, DIMENSIONS, FILLER_PHRASES
 from colloquy.functions import clean, jsonx
 from colloquy.operators import audit, coding
-from colloquy.plans.registry import SQL_NORM, query, table
+from colloquy.plans.registry import ORACLES, SQL_NORM, query, table
+from colloquy.shared import shared_path as scratch
 
 
 def _pick(n: Column, *texts: str | None) -> Column:
@@ -310,11 +311,23 @@ def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT count(*) FILTER (NOT bad) AS n_written, count(*) FILTER (bad) AS n_failed FROM v"
 )
 def privacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.write_summary(_judged(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as evidence; some name a user, some details an author."""
     quote = F.when(F.col("turn") % 5 == 1, F.concat(F.lit("see u/"), "role", "turn", F.lit(" there"))).otherwise(F.col("text"))
     details = F.format_string('{"%s":%d}', F.when(F.length("text") % 7 == 0, "author_id").otherwise(F.col("role")), "turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(quote).alias("evidence_quotes"), details.alias("details"))
-    return audit.write_summary(audit.privacy_verdict(rows, "evidence_quotes"))
+    return audit.privacy_verdict(rows, "evidence_quotes")
+
+
+@query(ORACLES["privacy_gate"].replace(" FROM v", ", count(*) FILTER (NOT bad) AS n_rows FROM v"))
+def audit_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break no rule are written, and the same counts taken by the tasks that write them."""
+    path = scratch(spark, "audit")
+    counts = audit.write_audited(_judged(spark, sf_dir), path)
+    return spark.read.parquet(path).agg(*(F.lit(n).cast("long").alias(c) for c, n in counts.items()), F.count("*").alias("n_rows"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,19 +11,19 @@ from colloquy.config import CODES, COMMUNITY_IDS
 from colloquy.functions import clean
 from colloquy.operators.tables import first_of, last_of
 from colloquy.schemas import CODED_POSTS
+from colloquy.shared import children, shared_path
+from colloquy.sources import split, split_json
 
 
 def _csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """All columns as texts, with ``seq``: the place of a row by file, then inside it (files with line breaks in fields are not split)."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(paths)
-    bare = [c.lstrip("﻿").strip() for c in rows.columns]
-    rows = rows.toDF(*bare)
-    return rows.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
+    """All columns as texts, with ``seq``: the place of a row by file, then inside it. A large file is read by many tasks."""
+    rows = split.read_csv(spark, paths)
+    return rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """An export as it was written, all columns as texts."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return split.read_csv(spark, path).drop("seq")
 
 
 def _get(df: DataFrame, name: str) -> Column:
@@ -81,7 +83,7 @@ def posts_and_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 def read_coded_posts(spark: SparkSession, path: str) -> DataFrame:
     """The export that profiles are made from, by its declared schema."""
-    return spark.read.schema(CODED_POSTS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return split.read_csv(spark, path, CODED_POSTS).drop("seq")
 
 
 def rater_sheet(raw: DataFrame, key: str = "reddit_id", codes: tuple[str, ...] = CODES) -> DataFrame:
@@ -95,17 +97,24 @@ def read_rater_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rater_sheet(spark.read.option("header", True).csv(path))
 
 
+def _json_lists(spark: SparkSession, path: str, keys: tuple[tuple[str, ...], ...]) -> dict[str, DataFrame]:
+    """Rows of each list by its name, with the schema that Spark infers from all of them; lists without items are not there."""
+    lines = shared_path(spark, "items")
+    split_json.as_lines(split_json.json_items(spark, path, keys), lines)
+    return {n.removeprefix("name="): spark.read.json(f"{lines}/{n}") for n in children(spark, lines) if n.startswith("name=")}
+
+
 def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a list, or of ``collected`` in an object."""
-    rows = spark.read.option("multiLine", True).json(path)
-    return rows.select(F.explode("collected").alias("item")).select("item.*") if rows.columns == ["collected"] or "collected" in rows.columns else rows
+    """Items of files that are a list or an object with ``collected``, in any mixture. A large file is read by many tasks."""
+    lists = list(_json_lists(spark, path, split_json.DATASET).values())
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists) if lists else spark.createDataFrame([], "id string")
 
 
 def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Collected rows, coded rows and codes of a saved session."""
-    rows = spark.read.option("multiLine", True).json(path)
-    parts = {"collected": "collected_data", "coded": "coded_data", "codebook": "codebook.codes"}
-    return {name: rows.select(F.explode(column).alias("r")).select("r.*") for name, column in parts.items()}
+    """Collected rows, coded rows and codes of a saved session. A large file is read by many tasks."""
+    lists = _json_lists(spark, path, split_json.BUNDLE)
+    names = {"collected": "collected_data", "coded": "coded_data", "codebook": "codes"}
+    return {name: lists.get(key, spark.createDataFrame([], "id string")) for name, key in names.items()}
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

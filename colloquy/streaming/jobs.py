@@ -1,49 +1,18 @@
-"""Structured Streaming forms of ingest, coding and progress."""
+"""Streams of files, and coding batch by batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from colloquy.operators.tables import insert_ignore
-
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, at: str | None = None, late: str | None = None, buckets: int = 16) -> StreamingQuery:
-    """Append rows whose key is not in the table yet.
-
-    The table is partitioned by a bucket of its keys, so a batch is compared with
-    the keys of its own buckets alone. That comparison is exact, and a batch that
-    is run again adds nothing, for its keys are there. With ``late`` the stream
-    also drops duplicates that arrive within that time before they reach the
-    table; Spark then leaves out rows that come later than the watermark on ``at``.
-    """
-
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        own = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        try:
-            current = spark.read.schema(rows.schema).parquet(table).where(F.col("bucket").isin(own))
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            current = spark.createDataFrame([], rows.schema)
-        fresh = insert_ignore(current, rows.withColumn("_order", F.col(order)), keys, "_order")
-        fresh.write.mode("append").partitionBy("bucket").parquet(table)
-        rows.unpersist()
-
-    once = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if at and late else stream
-    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def code_stream(stream: DataFrame, code: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, review: Callable[[DataFrame], DataFrame] | None = None, reviews: str | None = None) -> StreamingQuery:
     """Code posts as they come; the checkpoint remembers what is done, and each batch has a folder of its own, so a retry replaces it.
 
@@ -58,17 +27,3 @@ def code_stream(stream: DataFrame, code: Callable[[DataFrame], DataFrame], out:
             review(batch.sparkSession.read.parquet(f"{out}/batch={number}")).write.mode("overwrite").parquet(f"{reviews}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def count_stream(stream: DataFrame, at: str, kind: str, out: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
-    """Counts of each batch by time window and kind, in a folder of its own. They add up, however late a row comes, and no state is kept."""
-
-    def counts(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
-
-    return code_stream(stream, counts, out, checkpoint)
-
-
-def progress(spark: SparkSession, out: str, kind: str) -> DataFrame:
-    """(window_start, kind, n) over all batches that ``count_stream`` has written so far."""
-    return spark.read.parquet(out).groupBy("window_start", kind).agg(F.sum("n").alias("n"))

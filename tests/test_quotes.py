@@ -1,11 +1,13 @@
 """Quotes from anywhere in any text, against a plain version."""
 
+import random
 import re
+import time
 
 import pytest
 
 import __spark_entry__ as entry
-from colloquy.functions.similarity import partial_score
+from colloquy.functions.similarity import indel_ratio, partial_score
 from colloquy.operators import verify
 from colloquy.plans import texts
 
@@ -62,3 +64,34 @@ def test_parts_are_trimmed(spark):
     rows = [(1, "It began. Then it went on and on, and so it came to an end.", "It began. … came to an end."), (2, "short", "… …")]
     found = verify.verify_quotes(spark.createDataFrame(rows, "k int, body string, quote string"), "k", "quote", "body").collect()
     assert sorted((f.k, f.verified) for f in found) == [(1, True), (2, True)]
+
+
+def every_stretch(a, b):
+    part, body = (a, b) if len(a) <= len(b) else (b, a)
+    if not part:
+        return 100.0 if not body else 0.0
+    n = len(part)
+    return max(indel_ratio(part, body[max(0, end - n) : min(end, len(body))]) for end in range(1, len(body) + n))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_partial_score_against_every_stretch(seed):
+    r = random.Random(seed)
+    letters = ["ab", "abcdef ", "aé日😀x"][seed % 3]
+    some = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for n, m in [(0, 0), (0, 3), (1, 1), (1, 40), (7, 8), (9, 9), (63, 70), (64, 300), (65, 200), (130, 131), (129, 400)]:
+        a, b = some(n), some(m)
+        if n > 5 and r.random() < 0.5:
+            at = r.randint(0, m - n)
+            b = b[:at] + a[: n // 2] + r.choice(letters) + a[n // 2 + 1 :] + b[at + n :]
+        assert partial_score(a, b) == partial_score(b, a) == every_stretch(a, b), (a, b)
+
+
+def test_a_foreign_quote_in_a_long_text_is_quick():
+    r = random.Random(1)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    body, part = " ".join(r.choice(words) for _ in range(17_000))[:100_000], " ".join(r.choice(words) for _ in range(40))[:128]
+    partial_score(part, body)
+    began = time.process_time()
+    score = partial_score(part, body)
+    assert time.process_time() - began < 0.3 and 50 < score < 90

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.sources import readers, writers
-from colloquy.streaming import jobs
+from colloquy.streaming import ingest, jobs
 
 POSTS = [
     {"id": "a", "subreddit_id": "t5_2v89v", "subreddit_name": "", "title": "T", "body": 'line\nbreak, "quoted"', "score": "1525.0", "upvote_ratio": "", "nsfw": "TRUE ", "post_date": "2024-01-02", "tertile": "2", "permalink": "//r/a"},
@@ -84,5 +84,5 @@ def test_ingest_run_twice_adds_nothing(spark, tmp_path):
     rows.union(rows).repartition(3).write.parquet(str(tmp_path / "in"))
     for checkpoint in ("c1", "c1", "c2"):  # the same stream again, and one that has forgotten everything
         stream = jobs.file_stream(spark, str(tmp_path / "in"), rows.schema, 1)
-        jobs.ingest(stream, str(tmp_path / "out"), str(tmp_path / checkpoint), ["id"], "at", "at").awaitTermination()
-        assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / checkpoint), ["id"], "at").awaitTermination()
+        assert ingest.stored(spark, str(tmp_path / "out"), rows.schema).count() == 100
