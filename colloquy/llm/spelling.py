@@ -34,7 +34,7 @@ from colloquy.llm.storage import spool
 LEAST_LENGTH, LEAST_COUNT, RATIO, ONE_IN = 6, 5, 5, 199
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = 16
-MEMBERS, VISITORS = 4_000, 20_000
+MEMBERS, VISITORS = 20_000, 60_000
 #: States that one step of the search holds.
 STATES = 1 << 16
 #: Words longer than this are compared one by one.
