@@ -5,6 +5,10 @@ ancestors, less with each level; a container's points are discounted by the
 share of its text that is links. The best container and those of its siblings
 that score well are kept, without menus, forms, notices and the like in them.
 
+The work is linear in the page: sums over elements are carried from the innermost
+outwards once, and an open element knows its nearest relatives. A block's points reach
+``LEVELS`` containers above it.
+
 Edge cases: a null or empty page gives an empty text, a page that is cut off is
 read as if its open elements ended there, what precedes any markup is text, of
 containers with one score the innermost is the best, extra columns are ignored,
@@ -15,7 +19,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +32,8 @@ TOKEN = re.compile(
 )
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head nav footer aside button dialog menu input label svg object select option optgroup noscript template annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+DROPPED = frozenset("head nav footer aside dialog menu input svg object select option optgroup noscript template annotation annotation-xml".split())
 #: What they hold is no markup.
 RAW = frozenset("script style textarea title iframe xmp".split())
 #: They end in the tag itself if it says so, or if the page never closes them.
@@ -41,6 +44,12 @@ BROKEN_BY_BLOCKS = frozenset(("svg", "math", "select"))
 FORMS = frozenset(("form", "fieldset"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE = frozenset("ul ol dl table body html div section article td".split())
+#: What an open element is looked up by: the nearest paragraph in its scope, foreign element, block, article, and what a list or table entry closes.
+CLOSED = tuple(dict.fromkeys(CLOSES.values()))
+CLOSABLE = frozenset().union(*CLOSED)
+ENDS = SCOPE - {"td"}
+#: How many ancestors of a block's container earn points by it; the last of them gets a 78th.
+LEVELS = 40
 #: Words in class, id and role that mark what is not the article.
 UNLIKELY = frozenset(
     "header ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer "
@@ -69,7 +78,7 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "doubtful", "dropped", "links", "number", "parent", "points", "size", "tag")
+    __slots__ = ("article", "attrs", "block", "children", "closes", "container", "doubtful", "dropped", "foreign", "links", "number", "paragraph", "parent", "place", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str, number: int):
         self.tag, self.parent, self.attrs, self.number = tag, parent, attrs, number
@@ -77,6 +86,27 @@ class Node:
         self.points, self.size, self.links = 0.0, 0, 0
         self.dropped = parent is not None and parent.dropped
         self.doubtful = False
+        self.place = len(parent.children) if parent is not None else 0
+        # The nearest element of a kind, itself included, so that no tag asks for a walk through all that is open.
+        scope = tag in SCOPE
+        above = parent
+        self.block: Node = self if above is None or tag in BLOCK else above.block
+        self.container: Node = self if above is None or tag in CONTAINERS else above.container
+        self.article: Node | None = self if tag in ("article", "main") else above and above.article
+        self.foreign: Node | None = self if tag in BROKEN_BY_BLOCKS or tag == "foreignobject" else above and above.foreign
+        self.paragraph: Node | None = self if tag == "p" else None if scope else above and above.paragraph
+        before = above.closes if above is not None else (None,) * len(CLOSED)
+        if tag in ENDS or tag in CLOSABLE:
+            before = tuple(self if tag in of else None if tag in ENDS else near for of, near in zip(CLOSED, before, strict=True))
+        self.closes: tuple[Node | None, ...] = before
+
+
+def _add_up(nodes: list[Node], values: list) -> list:
+    """For each element the sum of ``values`` over it and all in it; elements come before what they hold."""
+    for n in reversed(nodes):
+        if n.parent is not None:
+            values[n.parent.number] += values[n.number]
+    return values
 
 
 def _named(attrs: str) -> tuple[set[str], bool]:
@@ -102,12 +132,8 @@ def _drops(node: Node) -> bool:
         return False
     if node.tag in DROPPED:
         return True
-    up = node.parent
-    if node.tag == "header":  # the page's, not the article's
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
-            return True
+    if node.tag == "header" and node.article is None:  # the page's, not the article's
+        return True
     if not node.attrs:
         return False
     names, hidden = _named(node.attrs)
@@ -124,24 +150,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
     """The elements of a page, and its blocks of text in page order: (innermost block element, pieces with "in a link")."""
     root = Node("html", None, "", 0)
     nodes, blocks = [root], []
-    here, links, pieces = root, 0, []
+    here, pieces, plain = root, [], 0  # plain: how many pieces there are up to the last that is text, and in no button or label
+    opened: dict[str, list[Node]] = {"html": [root]}
 
     def end_block() -> None:
-        nonlocal pieces
-        if pieces:
-            owner = here
-            while owner.tag not in BLOCK and owner.parent is not None:
-                owner = owner.parent
-            blocks.append((owner, pieces))
-            pieces = []
+        nonlocal pieces, plain
+        if plain:  # buttons and labels are words of a line only where its text goes on behind them
+            blocks.append((here.block, pieces[:plain]))
+        pieces, plain = [], 0
+
+    def text(part: str) -> None:
+        nonlocal plain
+        control = opened.get("button") or opened.get("label")
+        if control and not plain:
+            return
+        pieces.append((part, bool(opened.get("a"))))
+        if not control and not part.isspace():
+            plain = len(pieces)
 
     def leave(node: Node) -> None:
-        nonlocal here, links
-        while here is not node:
-            links -= here.tag == "a"
-            here = here.parent or root
-        links -= here.tag == "a"
-        here = node.parent or root
+        nonlocal here
+        while True:
+            left, here = here, here.parent or root
+            opened[left.tag].pop()
+            if left is node:
+                return
 
     last: dict[str, int] = {}
 
@@ -154,7 +187,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
     at, m = 0, TOKEN.search(page)
     while m is not None:
         if m.start() > at and not here.dropped:
-            pieces.append((page[at : m.start()], links > 0))
+            text(page[at : m.start()])
         at = m.end()
         tag, close, attrs = (m["tag"] or "").lower(), m["close"], m["attrs"] or ""
         if tag in HOLLOW and not close:
@@ -169,42 +202,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[tuple[str, bool]
         if tag in BLOCK:
             end_block()
         if close:
-            up: Node | None = here
-            while up is not None and up.tag != tag:
-                up = None if tag not in BLOCK and up.tag in BLOCK else up.parent
-            if up is not None and up is not root:
+            up = opened[tag][-1] if opened.get(tag) else None
+            if up is not None and up is not root and (tag in BLOCK or up.number > here.block.number):
                 leave(up)
             continue
         if tag == "br":
-            pieces.append((" ", links > 0))
+            pieces.append((" ", bool(opened.get("a"))))
         if tag in VOID:
             continue
         if tag in BLOCK:  # an open paragraph ends here, with the inline elements left open in it
-            up = here
-            while up is not None and up.tag not in BROKEN_BY_BLOCKS and up.tag != "foreignobject":
-                up = up.parent
-            if up is not None and up.tag != "foreignobject":
-                leave(up)
-            up = here if up is None or up.tag != "foreignobject" else None
-            while up is not None and up.tag != "p" and up.tag not in SCOPE:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                leave(up)
-        if tag in CLOSES:
-            up = here
-            while up is not None and up.tag not in CLOSES[tag] and up.tag not in SCOPE - {"td"}:
-                up = up.parent
-            if up is not None and up.tag in CLOSES[tag]:
-                leave(up)
+            foreign = here.foreign
+            if foreign is None or foreign.tag != "foreignobject":
+                if foreign is not None:
+                    leave(foreign)
+                if here.paragraph is not None:
+                    leave(here.paragraph)
+        if tag in CLOSES and (up := here.closes[CLOSED.index(CLOSES[tag])]) is not None:
+            leave(up)
         if tag == "html":
             continue
         node = Node(tag, here, attrs, len(nodes))
         node.dropped = node.dropped or _drops(node)
         nodes.append(node)
         here.children.append(node)
-        here, links = node, links + (tag == "a")
+        opened.setdefault(tag, []).append(node)
+        here = node
     if at < len(page) and not here.dropped:
-        pieces.append((page[at:], links > 0))
+        text(page[at:])
     end_block()
     return nodes, blocks
 
@@ -213,43 +237,34 @@ def _drop_forms(nodes: list[Node], found: list[tuple[Node, str, int, float]]) ->
     """Marks what lies in forms that are no wrapper of the page's text."""
     if not any(n.tag in FORMS for n in nodes):
         return
-    held, whole = dict.fromkeys((n.number for n in nodes), 0.0), set()
+    held = [0.0] * len(nodes)
     for owner, _, _, points in found:
-        up: Node | None = owner
-        while up is not None:
-            held[up.number] += points
-            up = up.parent
-    for n in nodes:
-        up = n.parent if n.tag in ("article", "main") and not n.dropped else None
-        while up is not None:
-            whole.add(up.number)
-            up = up.parent
+        held[owner.number] += points
+    _add_up(nodes, held)
+    articles = _add_up(nodes, [int(n.tag in ("article", "main") and not n.dropped) for n in nodes])
     for n in nodes:
         if n.parent is not None:
-            n.dropped |= n.parent.dropped or n.tag in FORMS and n.number not in whole and 2 * held[n.number] <= held[0]
+            n.dropped |= n.parent.dropped or n.tag in FORMS and not articles[n.number] and 2 * held[n.number] <= held[0]
 
 
 def _drop_named(nodes: list[Node], found: list[tuple[Node, str, int, float]]) -> None:
     """Marks blocks with an unlikely name that have no paragraph, many links, or comments in them."""
     if not any(n.doubtful for n in nodes):
         return
-    size, links, prose, replies = Counter(), Counter(), set(), set()
+    size, links, prose = ([0] * len(nodes) for _ in range(3))
     for owner, line, linked, _ in found:
-        up: Node | None = owner
-        while up is not None and not owner.dropped:
-            size[up.number] += len(line)
-            links[up.number] += linked
-            if len(line) >= PROSE:
-                prose.add(up.number)
-            up = up.parent
-    for n in nodes:
-        up = n.parent if n.attrs and _named(n.attrs)[0] & REPLIES else None
-        while up is not None:
-            replies.add(up.number)
-            up = up.parent
+        if not owner.dropped:
+            size[owner.number] += len(line)
+            links[owner.number] += linked
+            prose[owner.number] += len(line) >= PROSE
+    for values in (size, links, prose):
+        _add_up(nodes, values)
+    own = [int(bool(n.attrs) and bool(_named(n.attrs)[0] & REPLIES)) for n in nodes]
+    replies = _add_up(nodes, own.copy())
     for n in nodes:
+        k = n.number
         if n.parent is not None:
-            n.dropped |= n.parent.dropped or n.doubtful and (n.number not in prose or n.number in replies or links[n.number] > 0.25 * size[n.number])
+            n.dropped |= n.parent.dropped or n.doubtful and (not prose[k] or replies[k] > own[k] or links[k] > 0.25 * size[k])
 
 
 def _is_menu(node: Node, text: dict[int, str]) -> bool:
@@ -258,8 +273,7 @@ def _is_menu(node: Node, text: dict[int, str]) -> bool:
         return False
     if node.size >= ENTRY * len(node.children):
         return False
-    beside = node.parent.children if node.parent is not None else []
-    at = next((i for i, n in enumerate(beside) if n is node), 0)
+    beside, at = (node.parent.children, node.place) if node.parent is not None else ([], 0)
     title = text.get(beside[at - 1].number, "") if at else ""
     if not at or beside[at - 1].tag not in HEADINGS:
         ordered = node.tag == "ol" and node.size >= 8 * len(node.children)
@@ -267,16 +281,16 @@ def _is_menu(node: Node, text: dict[int, str]) -> bool:
     return not title or bool({w.lower() for w in WORDS.findall(title)} & (UNLIKELY | LISTS))
 
 
-def _plain_blocks(nodes: list[Node], lines: list[tuple[Node, str]]) -> set[int]:
-    """Those divisions among ``nodes`` that hold paragraphs and headings alone, and no imprint."""
-    found = {n.number for n in nodes if n.tag in ("div", "section") and not n.doubtful}
-    for owner, line in lines if found else ():
-        fits, up = owner.tag in ("p", "blockquote", *HEADINGS) and not IMPRINT.search(line), owner
-        while up is not None:
-            if not fits:
-                found.discard(up.number)
-            up = up.parent
-    return found
+def _plain_blocks(nodes: list[Node], beside: list[Node], lines: list[tuple[Node, str]]) -> set[int]:
+    """Those divisions ``beside`` the best one that hold paragraphs and headings alone, and no imprint."""
+    found = {n.number for n in beside if n.tag in ("div", "section") and not n.doubtful}
+    if not found:
+        return found
+    other = [0] * len(nodes)
+    for owner, line in lines:
+        other[owner.number] += owner.tag not in ("p", "blockquote", *HEADINGS) or bool(IMPRINT.search(line))
+    _add_up(nodes, other)
+    return {k for k in found if not other[k]}
 
 
 def main_text(page: str) -> str:
@@ -294,20 +308,19 @@ def main_text(page: str) -> str:
         if owner.dropped:
             continue
         lines.append((owner, line))
-        up, level = owner, 1
-        while up.tag not in CONTAINERS and up.parent is not None:
-            up = up.parent
-        while up is not None:
+        up, level = owner.container, 1
+        while up is not None and level <= 2 * LEVELS:
             up.points += points / level
             points *= 0.25 if up.doubtful else 1
             up, level = up.parent, level * 2 if level < 2 else level + 2
-        up = owner
-        while up is not None:
-            up.size += len(line)
-            up.links += linked
-            up = up.parent
+        owner.size += len(line)
+        owner.links += linked
     if not lines:
         return ""
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.links += n.links
     score = {n.number: n.points * (1 - n.links / n.size) * (0.25 if n.doubtful else 1) for n in nodes if n.size}
     best = max((n for n in nodes if n.number in score and n.tag in CONTAINERS), key=lambda n: (score[n.number], n.number))
     up, whole = best, None
@@ -325,7 +338,7 @@ def main_text(page: str) -> str:
             kept.add(near.number)
     beside = [n for n in best.parent.children if n.number in score or n is best] if best.parent is not None and not whole else [best]
     at = beside.index(best)
-    plain = _plain_blocks(beside, lines)
+    plain = _plain_blocks(nodes, beside, lines)
     for step in (-1, 1):  # headings and paragraphs next to it, however short; no heading of what is not kept
         waiting: list[int] = []
         for near in beside[at + step :: step] if at + step >= 0 else ():
@@ -339,15 +352,12 @@ def main_text(page: str) -> str:
                     waiting.append(near.number)
             else:
                 break
-    out, text = [], {owner.number: line for owner, line in lines}
-    for owner, line in lines:
-        up, menu = owner, False
-        while up is not None and up.number not in kept:
-            menu |= _is_menu(up, text)
-            up = up.parent
-        if up is not None and not menu:
-            out.append(line)
-    return "\n".join(out)
+    text = {owner.number: line for owner, line in lines}
+    shown: list[bool | None] = []  # of each element: not in what is kept (none), in a menu there (false), or shown
+    for n in nodes:
+        above = shown[n.parent.number] if n.parent is not None else None
+        shown.append(True if n.number in kept else above and not _is_menu(n, text))
+    return "\n".join(line for owner, line in lines if shown[owner.number])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ is set aside before all this.
 What meets in a node and looks alike is joined to candidate sets; texts whose
 signatures are too far apart to be at the threshold do not join them. Every set
 gets its shingles once and is verified exactly, all against all in blocks of
-bounded size, but for pairs whose sizes alone rule a link out. What leaves a task
-is one row per text and block, never a pair.
+bounded size, but for pairs whose sizes alone rule a link out. The blocks of a large
+set travel whole and compressed; what leaves a task is one row per text and pair of
+blocks, never a pair of texts.
 
 Copies (equal word sequences, by 128 bits) stand for one text from the start.
 Results: one row per document with its class (the documents that chains of links
@@ -37,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,12 +254,12 @@ def _verify(key: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarr
         root = to
 
 
-def _blocks(sets: DataFrame, sizes: DataFrame, threshold: float, block: int, block_shingles: int) -> DataFrame:
-    """id, task, unit, second, across: every pair of a set that can be linked meets in one unit. ``sizes`` is id, n (different shingles).
+def _planned(sets: DataFrame, sizes: DataFrame, threshold: float, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The members (id, root, band, own) and the plan (root, parts, whole, texts) of sets. ``sizes`` is id, n (different shingles).
 
-    A set that fits a block is a unit. A larger one is dealt into classes of size
-    (number of shingles) whose ends differ by the threshold, so that links lead
-    to the same or the next class only, and each class into blocks.
+    A set that fits a block is verified as a whole. A larger one is dealt into classes
+    of size (number of shingles) whose ends differ by the threshold, so that links lead
+    to the same or the next class (band) only, and each class into blocks (own).
     """
     members = sets.select(F.col("node").alias("id"), "root").join(sizes, "id")
     members = members.withColumn("band", F.floor(F.log("n") / (-math.log(threshold) * (1 + 1e-9))).cast("int"))
@@ -269,10 +271,27 @@ def _blocks(sets: DataFrame, sizes: DataFrame, threshold: float, block: int, blo
     bands = bands.withColumn("entry", F.struct("band", parts(F.col("texts"), F.col("shingles")).alias("parts")))
     plan = bands.groupBy("root").agg(F.map_from_entries(F.collect_list("entry")).alias("parts"), parts(F.sum("texts"), F.sum("shingles")).alias("whole"), F.sum("texts").alias("texts"))
     plan = spool(plan, "plan")
-    shares = max(1, -(-plan.where("whole = 1").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0] // block))
-
     dealt = members.join(plan.select("root", "parts", "whole"), "root")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")[F.col("band")]).cast("int"))
+    return dealt.select("id", "root", "band", "whole", F.pmod(F.xxhash64("id"), F.col("parts")[F.col("band")]).cast("int").alias("own")), plan
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """(root, band, own, ids, sizes, shingles): a row for each block of ``texts`` (with id, shingles). Near copies have most shingles in common, so a block is compressed as one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = table.column("shingles").to_pylist()
+        whole = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+        one = table.slice(0, 1).select(["root", "band", "own"])
+        lists = {"ids": (table.column("id").to_pylist(), pa.int64()), "sizes": ([len(x) // 8 for x in raw], pa.int32())}
+        for name, (values, kind) in lists.items():
+            one = one.append_column(name, pa.array([values], pa.list_(kind)))
+        return one.append_column("shingles", pa.array([whole], pa.binary()))
+
+    return texts.groupBy("root", "band", "own").applyInArrow(run, "root long, band int, own int, ids array<long>, sizes array<int>, shingles binary")
+
+
+def _units(blocks: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``blocks`` with unit, second, across: every two blocks whose texts can be linked meet in one unit, as every block does with itself."""
     own, band = F.col("own"), F.col("band")
 
     def units(other: Column, low: Column, first, second, is_second, across) -> Column:
@@ -283,10 +302,8 @@ def _blocks(sets: DataFrame, sizes: DataFrame, threshold: float, block: int, blo
     within = units(F.col("parts")[band], 2 * band, lambda o: F.least(own, o), lambda o: F.greatest(own, o), lambda o: own > o, lambda o: own != o)
     above = units(F.coalesce(F.col("parts")[band + 1], F.lit(0)), 2 * band + 1, lambda o: own, lambda o: o, lambda o: no, lambda o: yes)
     below = units(F.coalesce(F.col("parts")[band - 1], F.lit(0)), 2 * band - 1, lambda o: o, lambda o: own, lambda o: yes, lambda o: yes)
-    whole = F.array(F.struct(F.col("root").alias("unit"), no.alias("second"), no.alias("across")))
-    chosen = F.when(F.col("whole") == 1, whole).otherwise(F.concat(within, above, below))
-    spread = dealt.select("id", "whole", F.explode(chosen).alias("u")).select("id", "whole", "u.*")
-    return spread.withColumn("task", F.when(F.col("whole") == 1, F.pmod("unit", F.lit(shares))).otherwise(F.col("unit"))).drop("whole")
+    met = blocks.join(plan.select("root", "parts"), "root").withColumn("u", F.explode(F.concat(within, above, below)))
+    return met.select("ids", "sizes", "shingles", "u.*")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -309,19 +326,35 @@ def classes(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
 
     found = spool(texts_of.mapInArrow(shingled, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
     sizes = found.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    wanted = _blocks(sets, sizes, threshold, block, block_shingles)
+    dealt, plan = _planned(sets, sizes, threshold, block, block_shingles)
+    shares = max(1, -(-plan.where("whole = 1").agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0] // block))
 
     def verify(table: pa.Table) -> pa.Table:
-        units, ids = table.column("unit").to_numpy(), table.column("id").to_numpy()
-        second, across = (table.column(c).to_numpy(zero_copy_only=False) for c in ("second", "across"))
-        raw = table.column("shingles").to_pylist()
+        roots, ids, raw = table.column("root").to_numpy(), table.column("id").to_numpy(), table.column("shingles").to_pylist()
         links, to = np.zeros(len(ids), np.int64), ids.copy()
-        order = np.argsort(units, kind="stable")
-        for one in np.split(order, np.flatnonzero(np.diff(units[order])) + 1):
-            links[one], to[one] = _verify(ids[one], second[one], bool(across[one[0]]), [np.frombuffer(raw[i], np.uint64) for i in one], threshold)
+        order = np.argsort(roots, kind="stable")
+        for one in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            links[one], to[one] = _verify(ids[one], np.zeros(len(one), bool), False, [np.frombuffer(raw[i], np.uint64) for i in one], threshold)
         return pa.table({"id": ids, "links": links, "to": to})
 
-    checked = spool(wanted.join(found, "id").groupBy("task").applyInArrow(verify, "id long, links long, to long"), "links")
+    def verify_blocks(table: pa.Table) -> pa.Table:
+        ids, side, held = [], [], []
+        for row in table.to_pylist():
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["shingles"]), np.uint64)
+            held += np.split(data, np.cumsum(row["sizes"])[:-1])
+            ids += row["ids"]
+            side += [row["second"]] * len(row["ids"])
+        ids = np.array(ids, np.int64)
+        links, to = _verify(ids, np.array(side), table.column("across")[0].as_py(), held, threshold)
+        return pa.table({"id": ids, "links": links.astype(np.int64), "to": to})
+
+    result = "id long, links long, to long"
+    small = dealt.where("whole = 1").select("id", "root", F.pmod("root", F.lit(shares)).alias("task"))
+    checked = small.join(found, "id").groupBy("task").applyInArrow(verify, result)
+    # A large set is shuffled as blocks: for k texts the square of k / BLOCK rows, and never a text by itself.
+    blocks = spool(_packed(dealt.where("whole > 1").select("id", "root", "band", "own").join(found, "id")), "blocks")
+    checked = checked.unionByName(_units(blocks, plan).groupBy("unit").applyInArrow(verify_blocks, result))
+    checked = spool(checked, "links")
     joined = components(checked.where("id <> to").select(F.col("id").alias("u"), F.col("to").alias("v")))
     links = checked.groupBy("id").agg(F.sum("links").alias("n_links")).where("n_links > 0")
     # Tables of their own, so that Spark can split the partition of a text or class that very many rows share.

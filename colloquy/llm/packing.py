@@ -1,9 +1,12 @@
 """Packing documents into token sequences.
 
-A document longer than a sequence is cut into full sequences and a rest. The
-pieces are dealt at random into groups of bounded size, and each group is packed
-on its own by first-fit decreasing: a tournament tree over the capacities of its
-bins leads from the root to the first bin that still has room.
+A document longer than a sequence is cut into full sequences and a rest. A full
+sequence needs no search and gets a number of its own. The rests, at most one for a
+document, are dealt at random into groups of about ``RESTS_PER_GROUP`` (their number
+is that of the documents, so a group of long documents is no larger than one of short
+ones), and each group is packed on its own by first-fit decreasing: a tournament tree
+over the capacities of its bins leads from the root to the first bin that still has
+room.
 
 Edge cases: a null text counts as empty and holds only the end id, null doc_ids
 are packed like others, rows repeated are packed each, extra columns are
@@ -22,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.encoding import encoder, vocabulary
+from colloquy.llm.storage import spool
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LENGTH = 4096
-DOCUMENTS_PER_GROUP = 4_000
+RESTS_PER_GROUP = 4_000
 SLICE = 256
 
 
@@ -79,11 +83,15 @@ def cut(docs: DataFrame, vocabulary_path: str, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, deal double")
 
 
-def pack(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENGTH, documents_per_group: int = DOCUMENTS_PER_GROUP) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENGTH, rests_per_group: int = RESTS_PER_GROUP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece."""
     kind = dict(docs.dtypes)["doc_id"]
-    groups = max(1, math.ceil(docs.select(F.lit(1)).count() / documents_per_group))
-    pieces = cut(docs, vocabulary_path or vocabulary(VOCABULARY), length).withColumn("pack", F.floor(F.col("deal") * groups).cast("long")).drop("deal")
+    groups = max(1, math.ceil(docs.select(F.lit(1)).count() / rests_per_group))
+    pieces = cut(docs, vocabulary_path or vocabulary(VOCABULARY), length)
+    # Full sequences are numbered below 0, from the task and row that made them; groups number theirs from 0 on.
+    full = F.when(F.col("length") == length, -1 - F.monotonically_increasing_id())
+    pieces = spool(pieces.withColumns({"full": full, "pack": F.floor(F.col("deal") * groups).cast("long")}).drop("deal"), "pieces")
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
@@ -91,4 +99,6 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, length: int = LENG
         sequence = (table.column("pack")[0].as_py() << 32) + bins
         return table.drop_columns("pack").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    return pieces.groupBy("pack").applyInArrow(fit, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rests = pieces.where("full is null").drop("full").groupBy("pack").applyInArrow(fit, schema)
+    alone = pieces.where("full is not null").withColumnRenamed("full", "sequence_id").drop("pack")
+    return rests.unionByName(alone.withColumn("offset", F.lit(0).cast("long")))

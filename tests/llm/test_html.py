@@ -1,3 +1,4 @@
+import time
 import random
 
 import pytest
@@ -171,3 +172,33 @@ def test_columns_that_clash_are_ignored(spark):
     rows = [(1, "u", "<p>one</p>", 7, "x")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long, text string"))
     assert found.columns == ["page_id", "url", "text", "n_chars"] and tuple(found.first()) == (1, "u", "one", 3)
+
+
+def test_words_of_labels_and_buttons_stay_in_their_line():
+    assert html.main_text("<p>A <label>term</label> here and more words follow in it.</p>") == "A term here and more words follow in it."
+    assert html.main_text("<article><p>Press <button>OK</button> now to go on.</p><button>Share</button><div><label>Name</label></div></article>") == "Press OK now to go on."
+    assert html.main_text("<form><label>Name</label><input><button>Send</button></form><p>Text of it, with words.</p>") == "Text of it, with words."
+
+
+HOSTILE = {
+    "nested": "<div>" * 30_000 + "text " * 30,
+    "nested with text": "".join(f"<div>line {i}" for i in range(15_000)),
+    "nested and named": "<div class=related>x" * 15_000,
+    "lists": "<ul><li><a href=x>a</a><li><a>b</a><li><a>c</a></ul>" * 10_000,
+    "inline": "<p>" + "<b>" * 20_000 + "</i>x" * 20_000,
+    "headings": "<p>" + "<h1>" * 20_000,
+    "entries": "<ul>" + "<b>" * 15_000 + "<li>x" * 15_000,
+    "forms": "<form>x" * 15_000,
+    "headers": "<header>x" * 15_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_time_grows_with_the_page(name):
+    """Four times the page takes some four times as long, not sixteen."""
+    took = []
+    for page in (HOSTILE[name][: len(HOSTILE[name]) // 4], HOSTILE[name]):
+        began = time.process_time()
+        html.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.3, took

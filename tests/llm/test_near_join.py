@@ -65,6 +65,18 @@ def test_large_set_in_blocks(spark, sf_dir):
     assert in_order(near_join.near_classes(docs, block=64).collect()) == in_order(near_classes(rows))
 
 
+def test_blocks_travel_not_texts(spark, monkeypatch):
+    """A set of 900 near copies in blocks of 128: fewer rows are shuffled for its pairs than it has texts, and they are compressed together."""
+    seen, real = [], near_join._units
+    monkeypatch.setattr(near_join, "_units", lambda *args: seen.append(real(*args).cache()) or seen[-1])
+    rows = planted(900)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert in_order(near_join.near_classes(docs, block=128).collect()) == in_order(near_classes(rows))
+    assert 0 < seen[0].count() < 900
+    packed, plain = seen[0].selectExpr("sum(octet_length(shingles))", "sum(8 * aggregate(sizes, 0, (a, b) -> a + b))").first()
+    assert packed < 0.3 * plain
+
+
 def test_blocks_of_few_shingles(spark, monkeypatch):
     """Blocks bounded by shingles, nodes dealt to several tasks, and texts of very different sizes in one set."""
     monkeypatch.setattr(near_join, "NODE", 16)

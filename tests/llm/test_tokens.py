@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.orc as orc
@@ -151,12 +151,25 @@ def check_packing(rows, texts, length):
 
 
 def test_packing(docs):
-    rows = packing.pack(docs, documents_per_group=60).collect()
+    rows = packing.pack(docs, rests_per_group=60).collect()
     places = check_packing(rows, [r.text for r in docs.collect()], 4096)
     used = sum(n for spans in places.values() for _, n in spans)
     assert used / (4096 * len(places)) > 0.9
 
 
+def test_groups_of_long_documents_are_no_larger(spark):
+    """Documents of 59 pieces: only their rests are dealt to groups."""
+    text = " ".join(f"word{i}" for i in range(640))
+    docs = spark.createDataFrame([(i, f"{text} {'x ' * (i % 9)}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, length=32, rests_per_group=10).collect()
+    places = check_packing(rows, [r.text for r in docs.collect()], 32)
+    assert len(rows) > 50 * 60
+    groups = Counter(r.sequence_id >> 32 for r in rows if r.length < 32)
+    assert max(groups.values()) <= 25 and all(r.sequence_id < 0 and r.offset == 0 for r in rows if r.length == 32)
+    used = sum(n for spans in places.values() for _, n in spans)
+    assert used / (32 * len(places)) > 0.97
+
+
 def test_packing_edge_cases(spark):
     check_packing(packing.pack(edge_docs(spark), length=64).collect(), [r[1] for r in edge_rows()], 64)
     assert packing.pack(empty_docs(spark)).count() == 0
