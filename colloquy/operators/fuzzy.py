@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,38 +26,85 @@ def _tidy(label: Column) -> Column:
     return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(label, r"\s+", " ")), " ")), " ")
 
 
+def most_edits(short: int, long: int, threshold: float, metric: str = "indel") -> int:
+    """Edits between labels of two lengths that a score at the threshold allows; an indel edit inserts or removes a character."""
+    room = short + long if metric == "indel" else long
+    return math.floor(room * (100 - threshold) / 100 + 1e-9)
+
+
+def segments(length: int, edits: int) -> list[tuple[int, int]]:
+    """(start, end) of ``edits`` + 1 segments of a label: with so many edits at most, one of them is left alone."""
+    cuts = [length * k // (edits + 1) for k in range(edits + 2)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _keys_of(label: str, threshold: float, metric: str, longest: int) -> Iterator[tuple[int, int, int, str]]:
+    """Keys of a label as the shorter of a pair: its length, the number of edits, a segment's number and its text."""
+    size = len(label)
+    ways = {most_edits(size, other, threshold, metric) for other in range(size, longest + 1) if other - size <= most_edits(size, other, threshold, metric)}
+    for edits in ways:
+        if size <= edits:
+            yield size, edits, -1, ""
+        else:
+            for k, (at, end) in enumerate(segments(size, edits)):
+                yield size, edits, k, label[at:end]
+
+
+def _probes_of(label: str, threshold: float, metric: str, lengths: set[int]) -> Iterator[tuple[int, int, int, str]]:
+    """Keys that a label has in common with every shorter or equal one it may be similar to.
+
+    If the edits before segment k are as many as k and those after it no more than are
+    left, the segment is moved by at most so many places; some untouched segment is so.
+    """
+    size = len(label)
+    for other in lengths:
+        edits, extra = most_edits(other, size, threshold, metric), size - other
+        if not 0 <= extra <= edits:
+            continue
+        if other <= edits:
+            yield other, edits, -1, ""
+            continue
+        for k, (at, end) in enumerate(segments(other, edits)):
+            for move in range(max(-k, extra - (edits - k)), min(k, extra + edits - k) + 1):
+                if 0 <= at + move and end + move <= size:
+                    yield other, edits, k, label[at + move : end + move]
+
+
+def label_candidates(labels: DataFrame, threshold: float, metric: str = "indel") -> DataFrame:
+    """(a, b, ta, tb): pairs of distinct labels that may reach the threshold, each once; t* are the labels with their words in order."""
+    tidy = labels.select("label").where("label is not null").distinct().withColumn("tidy", _tidy(F.col("label")))
+    lengths = {r.n for r in tidy.select(F.length("tidy").alias("n")).distinct().collect()}  # as many as there are lengths of labels
+    longest = max(lengths, default=0)
+    schema = "label string, tidy string, size int, edits int, segment int, piece string"
+
+    def keyed(make, *rest):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                rows = [(label, text, *key) for label, text in zip(pdf["label"], pdf["tidy"], strict=True) for key in dict.fromkeys(make(text, threshold, metric, *rest))]
+                yield pd.DataFrame(rows, columns=["label", "tidy", "size", "edits", "segment", "piece"])
+
+        return tidy.mapInPandas(run, schema)
+
+    a, b = keyed(_keys_of, longest).alias("a"), keyed(_probes_of, lengths).alias("b")
+    same = reduce(Column.__and__, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("size", "edits", "segment", "piece")))
+    once = (F.length("b.tidy") > F.col("a.size")) | (F.col("a.label") < F.col("b.label"))
+    pairs = a.join(b, same & once & (F.col("a.label") != F.col("b.label")))
+    return pairs.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), F.col("a.tidy").alias("ta"), F.col("b.tidy").alias("tb")).distinct()
+
+
 def similar_pairs(labels: DataFrame, threshold: float = 85.0, metric: str = "indel") -> DataFrame:
-    """(a, b, score) of distinct labels that reach the threshold, both ways.
-
-    Labels meet on shared character bigrams. A score at ``t`` percent means at
-    least (4 t - 3) L - 1 shared bigrams of the longer label of length L, so of its
-    bigrams, rarest first, a label needs to offer only those up to the first that
-    such a partner must share. Labels so short that nothing must be shared meet on
-    that instead. Very common bigrams hardly ever bring labels together. Below 80
-    the bound says little of ordinary labels, so such thresholds are refused.
+    """(a, b, score) of distinct labels that reach the threshold (over 0), both ways.
+
+    Labels meet on segments: of the few edits that the threshold leaves between two
+    lengths, one more segment than edits must keep one of them whole, about where it
+    was. The lower the threshold, the shorter the segments and the more labels meet.
     """
-    if threshold < 80:
-        raise ValueError("similar_pairs needs a threshold of 80 or more")
-    shares = 4 * threshold / 100 - 3
-    tidy = labels.select("label").distinct().withColumn("tidy", _tidy(F.col("label"))).withColumn("size", F.length("tidy"))
-    bigrams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), lambda i: F.substring("tidy", i, F.lit(2))))
-    rows = tidy.withColumn("bigrams", bigrams)
-    each = rows.select("label", F.explode("bigrams").alias("bigram"))
-    common = each.groupBy("bigram").agg(F.count("*").alias("uses"))
-    ranked = each.join(common, "bigram").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("uses", "bigram"))).alias("ranked"))
-    repeats = F.col("size") - 1 - F.size("bigrams")
-    must = F.greatest(F.ceil(shares * F.col("size") - 1 - 1e-9) - repeats, F.lit(1))
-    offered = F.transform(F.slice("ranked", 1, F.greatest(F.size("bigrams") - must + 1, F.lit(1)).cast("int")), lambda b: b["bigram"])
-    blocks = F.when(shares * F.col("size") > 1 + 1e-9, offered).otherwise(F.array_distinct(F.concat("bigrams", F.array(F.lit("short")))))
-    keyed = rows.join(ranked, "label").select("label", "tidy", "size", F.explode(blocks).alias("block"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    # A common subsequence is no longer than the shorter label.
-    window = F.least("a.size", "b.size") * (200 - threshold) >= F.greatest("a.size", "b.size") * threshold - 1e-6
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.label") < F.col("b.label")) & window)
-    pairs = pairs.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), F.col("a.tidy").alias("ta"), F.col("b.tidy").alias("tb")).distinct()
+    if threshold <= 0:
+        raise ValueError("similar_pairs needs a threshold over 0")
+    pairs = label_candidates(labels, threshold, metric)
     if metric == "levenshtein":
         longest = F.greatest(F.length("ta"), F.length("tb"))
-        score = (1 - F.levenshtein("ta", "tb") / longest) * 100
+        score = F.when(longest == 0, 100.0).otherwise((1 - F.levenshtein("ta", "tb") / longest) * 100)
     else:
         score = label_score("ta", "tb")
     scored = pairs.withColumn("score", score).where(F.col("score") >= threshold).select("a", "b", "score")

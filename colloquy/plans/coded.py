@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import CODES, DIMENSION_OF, DIMENSIONS
-from colloquy.functions import jsonx
+from colloquy.functions import clean, jsonx
 from colloquy.operators import coding, phrases, profile, sampling
 from colloquy.plans.registry import ORACLES, SQL_NORM, query, table
 from colloquy.shared import shared_path as scratch
@@ -96,6 +96,14 @@ def subcode_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.subcode_frequency(profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source"))
 
 
+@query(ORACLES["subcode_frequency"].replace("AS pct", "AS share").replace(CODED, CODED + ", f AS (") + ") SELECT code, format('{:.2f}%', share) AS shown FROM f")
+def code_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each code as it is printed."""
+    sums = profile.subcode_frequency(profile.post_flags(coded_documents(spark, sf_dir, False), "doc_id", "source"))
+    total = table(spark, sf_dir, "documents").agg(F.count("*").alias("total"))
+    return sums.join(total).select("code", clean.percent_text(F.col("n_posts"), F.col("total")).alias("shown"))  # one row beside
+
+
 @query(CODED + f"SELECT source, {', '.join(f'sum({_name(c)})::BIGINT AS {_name(c)}' for c in CODES)} FROM posts GROUP BY source")
 def code_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded_documents(spark, sf_dir, False)

@@ -9,6 +9,7 @@ from colloquy.config import CODES, DIMENSIONS
 from colloquy.functions import jsonx
 from colloquy.operators import agreement, audit, emergent, fuzzy, verify
 from colloquy.plans.registry import SQL_NORM, query, table
+from colloquy.schemas import SAMPLE_CSV
 from colloquy.shared import shared_path as scratch
 from colloquy.sources import readers, writers
 
@@ -274,6 +275,22 @@ def post_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_posts(spark, path).select("reddit_id", "text", "score", "created_utc")
 
 
+@query(
+    "SELECT CASE WHEN doc_id % 4 = 0 THEN 't1_' ELSE 't3_' END || doc_id AS reddit_id, nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS text, n_chars::INT AS score, len(string_split(text, ' '))::INT AS word_count, "
+    "1700000000.5::DOUBLE + doc_id AS created_utc, ['push', 'pull', 'mooring', 'mixed'][doc_id % 4 + 1] AS ppm_hint, doc_id % 2 = 0 AS synthetic FROM documents"
+)
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a sample file of 19 flat columns, and back by its schema; an author in it is not kept."""
+    n = F.col("doc_id")
+    made = {c.split()[0]: F.lit("") for c in SAMPLE_CSV.split(", ")} | {
+        "SYNTHETIC": F.when(n % 2 == 0, "TRUE").otherwise("FALSE"), "id": n.cast("string"), "type": F.when(n % 4 == 0, "comment").otherwise("submission"), "subreddit": F.col("source"), "text": F.col("text"), "author": F.lit("someone"),
+        "score": F.col("n_chars"), "num_comments": F.lit(0), "created_utc": F.lit(1700000000.5) + n, "word_count": F.size(F.split("text", " ", -1)), "ppm_hint": F.get(F.array(*map(F.lit, ("Push", "pull ", "Mooring", "mixed"))), n % 4),
+    }
+    path = scratch(spark, "sample")
+    table(spark, sf_dir, "documents").select(*(v.alias(k) for k, v in made.items())).write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_sample(spark, path).select("reddit_id", "text", "score", "word_count", "created_utc", "ppm_hint", "synthetic")
+
+
 @query("SELECT 't1_' || event_id AS reddit_id, (value)::INT AS score, user_id % 3 = 0 AS orphan FROM (SELECT event_id, user_id, trunc(value) AS value FROM events)")
 def comment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as two CSV files of replies; ids in both files keep the first row."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.config import CODES, DIMENSIONS, FILLER_PHRASES
+from colloquy.config import CODES, COMMUNITY_IDS, DIMENSIONS, FILLER_PHRASES
 from colloquy.functions import clean, jsonx
 from colloquy.operators import audit, coding
 from colloquy.plans.registry import ORACLES, SQL_NORM, query, table
 from colloquy.shared import shared_path as scratch
+from colloquy.sources.readers import named_community
 
 
 def _pick(n: Column, *texts: str | None) -> Column:
@@ -152,6 +153,19 @@ def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", clean.cell(F.col("event_id") % 40, F.lit(64)).alias("cell"))
 
 
+_IDS = [*COMMUNITY_IDS, "t5_other", None]
+
+
+@query(
+    "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN ' ' END), ''), CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{COMMUNITY_IDS.get(k, k)}'" for i, k in enumerate(_IDS) if k) + " END) AS community FROM documents"
+)
+def community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name that is given, or the one that belongs to the id, or the id."""
+    key = F.get(F.array(*map(F.lit, _IDS)), (F.col("doc_id") % len(_IDS)).cast("int"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, " ")
+    return table(spark, sf_dir, "documents").select("doc_id", named_community(None, name, key).alias("community"))
+
+
 # -- JSON ----------------------------------------------------------------------------------------
 
 _SQL_CODES = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"

@@ -14,6 +14,12 @@ POST_META = "struct<corpus_layer:string,source:string,addendum:string,subreddit_
 POSTS_CSV = _struct(**dict.fromkeys("id subreddit_id subreddit_name title body score upvote_ratio flair_text post_date corpus_layer tertile nsfw locked permalink".split(), "string"))
 COMMENTS_CSV = _struct(**dict.fromkeys("comment_id post_id parent_id subreddit_id body score gilded permalink comment_date corpus_layer".split(), "string"))
 
+#: A sample file: one row for each item, all its fields flat.
+SAMPLE_CSV = _struct(
+    SYNTHETIC="string", id="string", type="string", subreddit="string", title="string", text="string", author="string", score="int", num_comments="int", created_utc="double",
+    created_date_iso="string", url="string", permalink="string", data_source="string", content_type="string", language_flag="string", word_count="int", ppm_hint="string", collected_at="string",
+)
+
 COLLECTED = _struct(
     reddit_id="string", type="string", subreddit="string", title="string", text="string", author="string", url="string", permalink="string", post_id="string",
     session_id="string", data_source="string", score="int", num_comments="int", created_utc="double", collected_at="timestamp", extra_metadata="string",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.config import CODES, COMMUNITY_IDS
 from colloquy.functions import clean
 from colloquy.operators.tables import first_of, last_of
-from colloquy.schemas import CODED_POSTS
+from colloquy.schemas import CODED_POSTS, SAMPLE_CSV
 from colloquy.shared import children, shared_path
 from colloquy.sources import split, split_json
 
@@ -86,6 +86,18 @@ def read_coded_posts(spark: SparkSession, path: str) -> DataFrame:
     return split.read_csv(spark, path, CODED_POSTS).drop("seq")
 
 
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """A sample file by its declared schema: cleaned and typed, ``synthetic`` as a flag, without authors; of equal ids the last row stays."""
+    rows = last_of(split.read_csv(spark, path, SAMPLE_CSV).where(F.coalesce(clean.trimmed(F.col("id")), F.lit("")) != ""), ["id"], "seq")
+    is_comment = F.lower(clean.trimmed(F.col("type"))) == "comment"
+    return rows.select(
+        F.when(is_comment, clean.with_prefix(F.col("id"), "t1_")).otherwise(clean.with_prefix(F.col("id"))).alias("reddit_id"), "type", "subreddit", clean.text_field(F.col("title")).alias("title"),
+        clean.text_field(F.col("text")).alias("text"), "score", "num_comments", "created_utc", clean.permalink(F.col("permalink")).alias("permalink"), "url", "data_source",
+        "content_type", "language_flag", "word_count", F.lower(clean.trimmed(F.col("ppm_hint"))).alias("ppm_hint"), F.col("collected_at").try_cast("timestamp").alias("collected_at"),
+        F.upper(clean.trimmed(F.col("SYNTHETIC"))).isin("TRUE", "1", "YES", "SYNTHETIC").alias("synthetic"), "seq",
+    )
+
+
 def rater_sheet(raw: DataFrame, key: str = "reddit_id", codes: tuple[str, ...] = CODES) -> DataFrame:
     """(id, codes) of a one-hot sheet; a row without marks is a rated text without codes."""
     raw = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns))

@@ -1,3 +1,5 @@
+from collections import Counter
+import itertools
 """Operators on small rows with awkward values, and against plain versions."""
 
 import math
@@ -385,17 +387,56 @@ def test_gates(spark):
     audit.require_gates(df, F.lit(False), "export")
 
 
-@pytest.mark.parametrize("threshold", [80.0, 85.0, 92.0])
-def test_no_similar_pair_is_missed(spark, threshold):
-    r = random.Random(int(threshold))
+def some_labels(r, n):
     words = ["a", "ab", "cue", "loss", "of", "focus", "energy", "crash", "cost", "costs"]
-    labels = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(120)} | {"a", "b", "ab", "abc", "abcd", "abcde", "abcdf"})
+    return sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(n)} | {"a", "b", "ab", "abc", "abcd", "abcde", "abcdf", ""})
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("metric", ["indel", "levenshtein"])
+@pytest.mark.parametrize("threshold", [20.0, 50.0, 70.0, 80.0, 85.0, 92.0, 100.0])
+def test_no_similar_pair_is_missed(spark, threshold, metric):
+    r = random.Random(int(threshold))
+    labels = some_labels(r, 120)
     tidy = {x: " ".join(sorted(x.split())) for x in labels}
-    want = {(a, b) for a in labels for b in labels if a != b and indel_ratio(tidy[a], tidy[b]) >= threshold}
-    found = fuzzy.similar_pairs(spark.createDataFrame([(x,) for x in labels], "label string"), threshold).collect()
-    assert {(f.a, f.b) for f in found} == want
-    with pytest.raises(ValueError, match="80"):
-        fuzzy.similar_pairs(spark.createDataFrame([("a",)], "label string"), 70.0)
+
+    def score(a, b):
+        if metric == "indel":
+            return indel_ratio(a, b)
+        return (1 - edit_distance(a, b) / max(len(a), len(b))) * 100 if a or b else 100.0
+
+    want = {(a, b) for a in labels for b in labels if a != b and score(tidy[a], tidy[b]) >= threshold}
+    df = spark.createDataFrame([(x,) for x in [*labels, None]], "label string")
+    assert {(f.a, f.b) for f in fuzzy.similar_pairs(df, threshold, metric).collect()} == want
+    pairs = [(c.a, c.b) for c in fuzzy.label_candidates(df, threshold, metric).collect()]
+    assert len(pairs) == len({tuple(sorted(p)) for p in pairs})
+
+
+def test_segments_bring_fewer_labels_together_than_bigrams(spark):
+    """Labels of three invented words: those that share any of their rarer bigrams are many times those that share a segment."""
+    r = random.Random(4)
+    syllables = ["ka", "lo", "mi", "ten", "ru", "sha", "vor", "qui", "zel", "pa"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4)))
+    labels = sorted({" ".join(sorted(word() for _ in range(3))) for _ in range(400)})
+    grams = {x: {x[i : i + 2] for i in range(len(x) - 1)} for x in labels}
+    uses = Counter(g for of in grams.values() for g in of)
+    offered = {x: set(sorted(of, key=lambda g: (uses[g], g))[: max(1, len(of) - math.ceil(0.4 * len(x) - 1) + 1)]) for x, of in grams.items()}
+    bigrams = sum(bool(offered[a] & offered[b]) for a, b in itertools.combinations(labels, 2))
+    found = fuzzy.label_candidates(spark.createDataFrame([(x,) for x in labels], "label string"), 85.0).count()
+    assert found < bigrams / 2
+
+
+def test_thresholds_must_ask_for_something(spark):
+    with pytest.raises(ValueError, match="over 0"):
+        fuzzy.similar_pairs(spark.createDataFrame([("a",)], "label string"), 0.0)
 
 
 def test_a_cluster_must_name_its_shared_folder():
