@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.config import CODES, DIMENSION_OF, DIMENSIONS
+from colloquy.config import CODES, DIMENSION_OF, DIMENSIONS, SAFE_ENTITIES
 from colloquy.functions import clean, jsonx
 from colloquy.operators import coding, phrases, profile, sampling
 from colloquy.plans.registry import ORACLES, SQL_NORM, query, table
@@ -275,7 +275,17 @@ def override_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.apply_overrides(rows, notes, "source", "doc_id").select("doc_id", "researcher_override", "override_notes")
 
 
-@query()
+_QUOTED = ", ".join(f"CASE WHEN h_{_name(c)} > 0 THEN q_{_name(c)} END" for c in RULES)
+_SAFE = ", ".join("'" + e.replace("'", "''") + "'" for e in SAFE_ENTITIES)
+
+
+@query(
+    CODED + f", quotes AS (SELECT doc_id, unnest([{_QUOTED}]) AS quote FROM (SELECT doc_id, {', '.join(f'h_{_name(c)}' for c in RULES)}, {_FIRST} FROM posts)), "
+    # A mark behind a small letter or comma and a blank stands for the look-behind.
+    + r"found AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(quote, '([a-z,] )', '\1' || chr(1), 'g'), '\x01[A-Z][A-Za-z-]{2,}(?:''s)?|\bu/[A-Za-z0-9_]{3,20}\b|(?i:https?://\S+|\bwww\.\S+)')) AS e FROM quotes WHERE quote IS NOT NULL), "
+    + "bare AS (SELECT doc_id, regexp_replace(replace(e, chr(1), ''), '''s$', '') AS entity FROM found) "
+    + f"SELECT entity, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc FROM bare WHERE lower(entity) NOT IN ({_SAFE}) GROUP BY entity"
+)
 def entity_tripwire(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = coded_documents(spark, sf_dir).withColumn("quotes", F.transform("deductive_codes", lambda c: c["evidence_quote"]))
     return quotes.select("doc_id", F.explode(coding.entity_candidates(F.col("quotes"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))

@@ -84,7 +84,7 @@ def machine_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.partition_of(rows, "A").select("event_id")
 
 
-@query("SELECT 'collected' AS part, count(*) AS n FROM documents UNION ALL SELECT 'coded', count(*) FROM labels UNION ALL SELECT 'codebook', count(*) FROM region")
+@query("SELECT 'collected' AS part, doc_id AS key, md5(text) AS digest FROM documents UNION ALL SELECT 'coded', doc_id, md5(quality || '/' || toxic) FROM labels UNION ALL SELECT 'codebook', r_regionkey, md5(r_name) FROM region")
 def bundle_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions saved as JSON bundles, for each source one for about 8 million characters, read into their three tables."""
     docs, labels, codes = (table(spark, sf_dir, t) for t in ("documents", "labels", "region"))
@@ -97,8 +97,10 @@ def bundle_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = codes.agg(F.collect_list(F.struct(*codes.columns)).alias("codes")).select(none(docs, "collected_data"), none(labels, "coded_data"), book(F.col("codes")))
     path = scratch(spark, "bundles")
     collected.unionByName(coded).unionByName(rest).write.option("maxRecordsPerFile", 1).json(path)
-    counts = [df.agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, df in readers.read_bundle(spark, path).items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    read = readers.read_bundle(spark, path)
+    shown = {"collected": ("doc_id", F.col("text")), "coded": ("doc_id", F.concat_ws("/", "quality", "toxic")), "codebook": ("r_regionkey", F.col("r_name"))}
+    rows = [read[part].select(F.lit(part).alias("part"), F.col(key).cast("long").alias("key"), F.md5(value).alias("digest")) for part, (key, value) in shown.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT p_partkey AS zotero_key, CASE WHEN p_partkey % 3 = 0 THEN 'v2' ELSE 'v1' END AS title FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")

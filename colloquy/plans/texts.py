@@ -94,14 +94,17 @@ def quarantine_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages with a changed word against the documents that share their first five words."""
-    head = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.substring("text", 1, 40), F.lit(" changed "), F.substring("text", 49, 60)).alias("part"), head.alias("head"))
+    """Whole benchmark passages, one place in the middle of each changed, against all documents that share five words in a row with them."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit(" changed "), F.substring(F.col("text"), half + 9, F.length("text"))).alias("part"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 5), " "))
+
+    def cut(rows: DataFrame, key: str, text: str) -> DataFrame:  # the words are a column of their own: a lambda would split the text for every place
+        return rows.select(key, F.split(text, " ").alias("words")).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+
     docs = table(spark, sf_dir, "documents")
-    split = docs.select("doc_id", F.split("text", " ").alias("words"))  # a column of its own: a lambda would split the text for every place
-    pairs = split.select("doc_id", F.explode(F.array_distinct(grams)).alias("head")).join(quotes, "head").select("doc_id", "item_id", "part")
-    held = docs.join(pairs, "doc_id").select("doc_id", "item_id", verify.clean.normalised_text(F.col("part")).alias("part"), verify.clean.normalised_text(F.col("text")).alias("body_norm"))
+    pairs = cut(docs, "doc_id", "text").join(cut(quotes, "item_id", "part"), "gram").select("doc_id", "item_id").distinct()
+    held = docs.join(pairs, "doc_id").join(quotes, "item_id").select("doc_id", "item_id", verify.clean.normalised_text(F.col("part")).alias("part"), verify.clean.normalised_text(F.col("text")).alias("body_norm"))
     return verify.score_parts(held).select("doc_id", "item_id", F.round("score", 6).alias("score"))
 
 
@@ -334,20 +337,24 @@ def dataset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_dataset_json(spark, path)
 
 
-@query("SELECT 'collected' AS category, count(*) AS n FROM documents UNION ALL SELECT 'coded', count(*) FROM labels")
+@query("SELECT 'collected' AS category, doc_id, lang, source, n_chars, NULL::BIGINT AS quality, false AS has_text FROM documents UNION ALL SELECT 'coded', doc_id, NULL, NULL, NULL, quality, false FROM labels")
 def selection_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables in one, written without metadata and read back."""
+    """Two tables in one, written without metadata and read back; texts may not be in it."""
     path = scratch(spark, "selection")
     parts = {"collected": table(spark, sf_dir, "documents").withColumn("session_id", F.lit("s")), "coded": table(spark, sf_dir, "labels")}
     writers.write_csv(writers.selection(parts, metadata=False), path)
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).groupBy("category").agg(F.count("*").alias("n"))
+    rows = readers.read_csv(spark, path)
+    long = [F.col(c).cast("long").alias(c) for c in ("doc_id", "n_chars", "quality")]
+    return rows.select("category", *long, "lang", "source", F.lit("text" in rows.columns).alias("has_text"))
 
 
-@query("SELECT 'collected_data' AS part, count(*) AS n_rows FROM documents UNION ALL SELECT 'coded_data', count(*) FROM labels UNION ALL SELECT 'codebook', count(*) FROM part")
+@query("SELECT 'collected_data' AS part, count(*) AS n_rows, sum(doc_id * n_chars)::BIGINT AS total FROM documents UNION ALL SELECT 'coded_data', count(*), sum(doc_id * (1 + quality))::BIGINT FROM labels UNION ALL SELECT 'codebook', count(*), sum(p_partkey * length(p_name))::BIGINT FROM part")
 def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "bundle")
     writers.write_bundle(path, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), table(spark, sf_dir, "part"))
-    return spark.read.json(f"{path}/manifest").select("part", "n_rows")
+    sums = {"collected_data": F.col("doc_id") * F.col("n_chars"), "coded_data": F.col("doc_id") * (1 + F.col("quality")), "codebook": F.col("p_partkey") * F.length("p_name")}
+    held = [spark.read.json(f"{path}/{part}").agg(F.lit(part).alias("part"), F.sum(of).alias("total")) for part, of in sums.items()]
+    return spark.read.json(f"{path}/manifest").join(held[0].unionByName(held[1]).unionByName(held[2]), "part").select("part", "n_rows", "total")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE source = 'src4' ORDER BY n_chars DESC, doc_id DESC LIMIT 40")

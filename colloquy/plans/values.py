@@ -157,12 +157,12 @@ _IDS = [*COMMUNITY_IDS, "t5_other", None]
 
 
 @query(
-    "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN ' ' END), ''), CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{COMMUNITY_IDS.get(k, k)}'" for i, k in enumerate(_IDS) if k) + " END) AS community FROM documents"
+    "SELECT doc_id, coalesce(nullif((CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN '' END), ''), CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{COMMUNITY_IDS.get(k, k)}'" for i, k in enumerate(_IDS) if k) + " END) AS community FROM documents"
 )
 def community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name that is given, or the one that belongs to the id, or the id."""
     key = F.get(F.array(*map(F.lit, _IDS)), (F.col("doc_id") % len(_IDS)).cast("int"))
-    name = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, " ")
+    name = F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, "")
     return table(spark, sf_dir, "documents").select("doc_id", named_community(None, name, key).alias("community"))
 
 

@@ -47,8 +47,9 @@ def emergent_candidates(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Rows as CSV with a header, also when there are none; nested values as JSON."""
-    jsonx.flattened(without_forbidden(df)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Rows as CSV with a header, also when there are none; nested values as JSON, blanks at the ends of texts as they are."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    jsonx.flattened(without_forbidden(df)).write.mode("overwrite").options(header=True, escape='"', **blanks).csv(path)
 
 
 def append_coded(df: DataFrame, path: str) -> None:

@@ -95,3 +95,22 @@ def test_a_foreign_quote_in_a_long_text_is_quick():
     began = time.process_time()
     score = partial_score(part, body)
     assert time.process_time() - began < 0.3 and 50 < score < 90
+
+
+def test_changed_passages_against_plain_scores(spark, sf_dir):
+    """Scores under the threshold may be 0, for they are not worked out where too few 3-grams are shared."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    five = lambda text: {tuple(w[i : i + 5]) for w in [text.split(" ")] for i in range(max(1, len(w) - 4))}
+    held, want = [(i, t, five(t)) for i, t in docs], {}
+    for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        half = len(r.text) // 2
+        part = r.text[:half] + " changed " + r.text[half + 8 :]
+        mine = five(part)
+        for i, text, grams in held:
+            if mine & grams:
+                want[i, r.item_id] = partial_score(plain(part), plain(text))
+    found = {(r.doc_id, r.item_id): r.score for r in entry.queries()["fuzzy_quotes"](spark, sf_dir).collect()}
+    assert want and found.keys() == want.keys()
+    for k, score in found.items():
+        assert score == pytest.approx(want[k], abs=1e-6) or score == 0 and want[k] < 90
+    assert any(score > 90 for score in found.values())
