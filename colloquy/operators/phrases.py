@@ -181,7 +181,10 @@ def recurring_ngrams(posts: DataFrame, key: str, text: str = "text", sizes: tupl
     sketch of fixed size counts what the level before allows, and only n-grams that
     every sketch allows are shuffled and counted exactly; nothing that recurs is lost.
     """
+    path = shared_path(posts.sparkSession, "tokens")  # every pass reads them again
     tokens = posts.select(F.col(key).alias("_key"), _tokens(text).alias("_t"))
+    tokens.write.parquet(path)
+    tokens = posts.sparkSession.read.schema(tokens.schema).parquet(path)
     most = min(255, least_posts)
     sketches: dict[int, list[bytes]] = {}
     found = None
