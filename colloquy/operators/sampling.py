@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.config import KEYWORD_GROUPS, Caps, QualityGate
+from colloquy.shared import shared_path
 
 
 def in_scope(df: DataFrame, ids: list[str], first: str, last: str, key: str = "subreddit_id", day: str = "post_date") -> DataFrame:
@@ -42,12 +43,17 @@ def thirds(df: DataFrame, community: str, value: str, key: str, into: str = "ter
     Values are dealt into ranges by approximate quantiles, the values on a cut
     further by quantiles of ``key``. Rows are numbered inside each range, and
     the sizes of the ranges ahead complete the number. The bounds only steer the
-    dealing, so approximate ones leave the numbers exact.
+    dealing, so approximate ones leave the numbers exact, as long as all who read them
+    read the same: they are written down, for quantiles depend on the order in which
+    tasks are merged.
     """
     kinds = dict(df.dtypes)
     v, k = steered(F.col(value), kinds[value]), steered(F.col(key), kinds[key])
     steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     cuts = df.groupBy(F.col(community).alias("_community")).agg(F.percentile_approx(v, steps, 10_000).alias("_cuts"), F.percentile_approx(k, steps, 10_000).alias("_key_cuts"), F.count("*").alias("_n"))
+    path = shared_path(df.sparkSession, "cuts")  # two hundred numbers for each community
+    cuts.write.parquet(path)
+    cuts = df.sparkSession.read.schema(cuts.schema).parquet(path)
     rows = df.withColumns({"_v": v, "_k": k}).join(cuts, F.col(community).eqNullSafe(F.col("_community")))
     above = F.size(F.filter("_cuts", lambda c: c > F.col("_v")))
     below = F.size(F.filter("_key_cuts", lambda c: c < F.col("_k")))

@@ -459,3 +459,11 @@ def test_a_cluster_must_name_its_shared_folder():
         assert shared_folder(session(master, "hdfs:///x/")) == "hdfs:///x"
     local = session("local[4]")
     assert shared_folder(local) == shared_folder(local)
+
+
+def test_thirds_read_the_same_bounds_twice(spark):
+    """Quantiles depend on the order of merging, so no two parts of a plan may compute them each for itself."""
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.lit("c").alias("c"))
+    made = sampling.thirds(df, "c", "v", "k")
+    assert "percentile" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r.tertile for r in made.collect()) == {1: 334, 2: 333, 3: 333}
