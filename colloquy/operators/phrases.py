@@ -1,13 +1,13 @@
 """Phrases of any number, found in one pass over each text, and n-grams that recur without being among them.
 
-``code_by_phrases`` takes its codebook as a table. Tasks get the phrases as an
-automaton over characters (Aho-Corasick) that meets every phrase of a shard at once; the
-plan is the same for ten phrases and for ten thousand.
+``code_by_phrases`` takes its codebook as a table. Of a small one, tasks get an
+automaton over characters (Aho-Corasick) that meets every phrase at once; the plan is the
+same for ten phrases and for ten thousand. A large one stays a table, and stretches of
+texts that may be in it are joined with it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +20,7 @@ from colloquy.functions import clean
 from colloquy.operators.coding import QUOTE_CHARS, lowered
 from colloquy.shared import shared_path
 
-#: Characters of phrases that a task searches for at once; an automaton takes some 50 bytes for each.
+#: Characters of phrases that an automaton may have; it takes some 50 bytes for each.
 SHARD_CHARS = 2_000_000
 _HITS = "array<struct<code:string,hits:int,place:int>>"
 
@@ -32,7 +32,7 @@ def phrase_table(codebook: DataFrame, code: str = "code", keywords: str = "keywo
 
 
 def _found(rows: DataFrame, phrases: list[tuple[str, list[str]]]) -> DataFrame:
-    """``rows`` with what its shard of phrases finds in ``_low`` put behind ``_hits``."""
+    """``rows`` with what the phrases find in ``_low`` put behind ``_hits``."""
     given = rows.sparkSession.sparkContext.broadcast(phrases)  # at most about SHARD_CHARS characters
     made: list[ahocorasick.Automaton] = []
 
@@ -65,27 +65,163 @@ def _found(rows: DataFrame, phrases: list[tuple[str, list[str]]]) -> DataFrame:
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """``posts`` with ``_hits``: for each code with a phrase in the text the number of its phrases there and the place of the first."""
+    """``posts`` with ``_hits``: for each code with a phrase in the text the number of its phrases there and the place of the first.
+
+    A table of up to ``shard_chars`` characters is an automaton in each task; a larger one
+    is joined with what a filter of fixed size lets through.
+    """
     codes = phrases.where("phrase <> ''").groupBy("phrase").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     total = codes.agg(F.sum(F.length("phrase") + 1)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_chars))
-    dealt = codes.withColumn("_shard", F.pmod(F.xxhash64("phrase"), F.lit(shards)))
-    rows = posts.withColumns({"_low": lowered(F.coalesce(F.col(text), F.lit(""))), "_hits": F.array().cast(_HITS)})
-    for k in range(shards):
-        of = [(r.phrase, list(r.codes)) for r in dealt.where(F.col("_shard") == k).collect()]
-        if not of:
-            continue
-        rows = _found(rows, of)
-        if k + 1 < shards:  # one automaton at a time in a worker
-            path = shared_path(posts.sparkSession, "hits")
-            rows.write.parquet(path)
-            rows = posts.sparkSession.read.schema(rows.schema).parquet(path)
-    if shards > 1:  # shards share codes, never phrases
-        names = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["code"])))
-        same = lambda c: F.filter("_hits", lambda h: h["code"] == c)
-        one = lambda c: F.struct(c.alias("code"), F.aggregate(same(c), F.lit(0), lambda n, h: n + h["hits"]).alias("hits"), F.array_min(F.transform(same(c), lambda h: h["place"])).alias("place"))
-        rows = rows.withColumn("_hits", F.transform(names, one))
-    return rows.drop("_low")
+    rows = posts.withColumn("_low", lowered(F.coalesce(F.col(text), F.lit(""))))
+    if total > shard_chars:
+        return _joined(rows, codes)
+    rows = rows.withColumn("_hits", F.array().cast(_HITS))
+    of = [(r.phrase, list(r.codes)) for r in codes.collect()]
+    return (_found(rows, of) if of else rows).drop("_low")
+
+
+# Phrases and stretches of texts meet on hashes: sums of characters times powers of an odd
+# number, so that one running sum of a text gives the hash of any stretch of it.
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bits of the filter for each phrase, how many of them it sets, and the most bits of a filter (32 MB).
+_BITS, _PROBES, _MOST_BITS = 16, 3, 1 << 28
+#: Longer phrases are first looked for by a beginning, as long as the power of two below.
+_WHOLE = 16
+_ROWS_AT_ONCE = 256
+
+
+class _Hashes:
+    """Hashes of stretches of one running text."""
+
+    def __init__(self, texts: list[str]) -> None:
+        import numpy as np
+
+        of = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        up, down = (np.full(len(of) + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        self.back = np.cumprod(down, dtype=np.uint64)  # products and sums are modulo 2 ** 64
+        self.sums = np.zeros(len(of) + 1, np.uint64)
+        np.cumsum((of + np.uint64(1)) * np.cumprod(up, dtype=np.uint64)[:-1], dtype=np.uint64, out=self.sums[1:])
+
+    def of(self, starts, sizes):
+        """Hashes of stretches; ``sizes`` is a number or one for each start."""
+        import numpy as np
+
+        h = (self.sums[starts + sizes] - self.sums[starts]) * self.back[starts] + np.uint64(_MIX) * np.asarray(sizes).astype(np.uint64)
+        for _ in range(2):
+            h = (h ^ h >> np.uint64(32)) * np.uint64(_MIX)
+        return h ^ h >> np.uint64(29)
+
+
+def _bits(hashes, bits: int, probe: int):
+    import numpy as np
+
+    step = (hashes >> np.uint64(21) | hashes << np.uint64(43)) | np.uint64(1)
+    return ((hashes + np.uint64(probe) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _beginning(size: int) -> int:
+    return size if size <= _WHOLE else 1 << (size.bit_length() - 1)
+
+
+def _filter(codes: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of phrases and their beginnings. Each task makes its own and hands it on in pieces; pieces are laid over each other."""
+    import numpy as np
+
+    piece = min(bits // 8, _CHUNK)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            some = b.column(0).to_pylist()
+            sizes = np.array([len(p) for p in some], np.int64)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if some else sizes
+            hashes = _Hashes(some)
+            for n in (sizes, np.array([_beginning(len(p)) for p in some], np.int64)):
+                of = hashes.of(starts, n)
+                for k in range(_PROBES):
+                    at = _bits(of, bits, k)
+                    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        flat = held.reshape(-1, piece)
+        used = np.flatnonzero(flat.any(1))
+        for k in used:
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([flat[k].tobytes()], pa.binary())], ["piece", "bits"])
+
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(piece, np.uint8)
+        for b in pdf["bits"]:
+            total |= np.frombuffer(b, np.uint8)
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "bits": [total.tobytes()]})
+
+    made = bytearray(bits // 8)
+    for r in codes.select("phrase").mapInArrow(build, "piece int, bits binary").groupBy("piece").applyInPandas(lay, "piece int, bits binary").toLocalIterator():
+        made[r.piece * piece : (r.piece + 1) * piece] = r.bits
+    return bytes(made)
+
+
+def _met(rows: DataFrame, made: bytes, sizes: list[int]) -> DataFrame:
+    """(_key, phrase, place): stretches of ``_low`` that may be phrases of ``sizes``, each with its first place in a text."""
+    import numpy as np
+
+    given = rows.sparkSession.sparkContext.broadcast(made)  # at most _MOST_BITS bits, however many phrases there are
+    longer: dict[int, list[int]] = {}
+    for n in sizes:
+        longer.setdefault(_beginning(n), []).append(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(given.value, np.uint8)
+
+        def known(hashes: _Hashes, starts, size: int):
+            of = hashes.of(starts, size)
+            for k in range(_PROBES):
+                at = _bits(of, len(held) * 8, k)
+                ok = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                starts, of = starts[ok], of[ok]
+            return starts
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, _ROWS_AT_ONCE):
+                b = batch.slice(first, _ROWS_AT_ONCE)
+                keys, texts = b.column(0), b.column(1).to_pylist()
+                ends = np.cumsum([len(t) for t in texts])
+                hashes, every = _Hashes(texts), np.arange(ends[-1])
+                left = np.repeat(ends, [len(t) for t in texts]) - every
+                places: dict[tuple[int, str], int] = {}
+                for start, more in longer.items():
+                    begun = known(hashes, every[left >= start], start)
+                    for size in more:
+                        at = begun[left[begun] >= size]
+                        at = at if size == start else known(hashes, at, size)
+                        of = np.searchsorted(ends, at, "right")
+                        for i, k in zip(of.tolist(), (at - ends[of]).tolist(), strict=True):
+                            k += len(texts[i])
+                            places.setdefault((i, texts[i][k : k + size]), k + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array([i for i, _ in places], pa.int32())), pa.array([p for _, p in places], pa.string()), pa.array(places.values(), pa.int32())], ["_key", "phrase", "place"]
+                )
+
+    return rows.select("_key", "_low").mapInArrow(run, "_key binary, phrase string, place int")
+
+
+def _joined(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """``rows`` with ``_hits`` from a table of phrases of any length: one pass over the texts, whose candidates are joined with the table, exactly.
+
+    The filter only decides what is joined. Hits are put together by a digest of the
+    text, so copies share theirs.
+    """
+    path = shared_path(rows.sparkSession, "phrases")
+    codes.write.parquet(path)
+    codes = rows.sparkSession.read.schema(codes.schema).parquet(path)
+    n = codes.count()
+    sizes = sorted(r.n for r in codes.select(F.length("phrase").alias("n")).distinct().collect())  # as many as there are lengths of phrases
+    made = _filter(codes, min(_MOST_BITS, max(1 << 16, 1 << (_BITS * n - 1).bit_length())))
+    keyed = rows.withColumn("_key", F.unhex(F.sha2("_low", 256)))
+    real = _met(keyed, made, sizes).join(codes, "phrase").select("_key", "phrase", "place", F.explode("codes").alias("code"))
+    once = real.repartition("_key").groupBy("_key", "code", "phrase").agg(F.min("place").alias("place"))
+    of = once.groupBy("_key", "code").agg(F.count("*").cast("int").alias("hits"), F.min("place").alias("place"))
+    hits = of.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("code", "hits", "place"))).alias("_hits"))
+    full = keyed.drop("_low").join(hits, "_key", "left").drop("_key")
+    return full.withColumn("_hits", F.coalesce("_hits", F.array().cast(_HITS)))
 
 
 def code_by_phrases(posts: DataFrame, phrases: DataFrame, text: str = "text", evidence: bool = True, shard_chars: int = SHARD_CHARS) -> DataFrame:

@@ -91,3 +91,19 @@ def test_unsafe_entities(spark):
     found = spark.createDataFrame([("Anna",), ("FDA",), ("fda",)], "entity string")
     rows = phrases.unsafe_entities(found, spark.createDataFrame([("Fda",)], "name string"))
     assert [x.entity for x in rows.collect()] == ["Anna"]
+
+
+def test_a_large_table_is_joined_in_one_pass(spark):
+    """Phrases of all lengths, with beginnings in common, in copies and empty texts; texts are neither written nor read again for a part of the table."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab é") for _ in range(r.choice([0, 5, 40, 300]))) for _ in range(60)]
+    texts += texts[:20] + [None, "ſtraße 😀 a", "İ" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    some = [t[k : k + n].lower() for t in texts if t for n in (1, 2, 15, 16, 17, 31, 32, 33, 70, 200) for k in [r.randrange(len(t))] if t[k : k + n]]
+    rules = {f"C{k}": tuple(dict.fromkeys(some[k::5] + [f"never {k} {j}" for j in range(30)])) for k in range(5)}
+    table = spark.createDataFrame([(c, p) for c, of in rules.items() for p in of], "code string, phrase string")
+    found = phrases.code_by_phrases(docs, table, shard_chars=100)
+    want = coding.code_by_rules(docs, rules).select("id", "deductive_codes").collect()
+    assert {x.id: x.deductive_codes for x in found.collect()} == {x.id: x.deductive_codes for x in want}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert not any("hits-" in f for f in found.inputFiles())
