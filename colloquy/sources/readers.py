@@ -117,7 +117,7 @@ def _json_lists(spark: SparkSession, path: str, keys: tuple[tuple[str, ...], ...
 
 
 def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of files that are a list or an object with ``collected``, in any mixture. A large file is read by many tasks."""
+    """Items of files that are a list or an object with ``collected``, in any mixture; a file may hold several objects. A large file is read by many tasks."""
     lists = list(_json_lists(spark, path, split_json.DATASET).values())
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists) if lists else spark.createDataFrame([], "id string")
 
