@@ -397,8 +397,9 @@ def literature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderpriority, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their lines, both stored in buckets of the order: neither the join nor the sums by order shuffle."""
-    orders = layout.store(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_trunc("year", "o_orderdate").cast("date").alias("year")), "o_orderkey", "year", 8)
-    lines = layout.store(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.date_trunc("year", "l_shipdate").cast("date").alias("year")), "l_orderkey", "year", 8)
+    n = layout.buckets_for(table(spark, sf_dir, "lineitem"), 8)
+    orders = layout.store(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_trunc("year", "o_orderdate").cast("date").alias("year")), "o_orderkey", "year", n)
+    lines = layout.store(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.date_trunc("year", "l_shipdate").cast("date").alias("year")), "l_orderkey", "year", n)
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
@@ -407,7 +408,7 @@ def layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope of ``in_scope`` from a table stored by month: other months are not opened."""
     rows = table(spark, sf_dir, "orders").withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
-    stored = layout.store(rows, "o_orderkey", "month", 4)
+    stored = layout.store(rows, "o_orderkey", "month", layout.buckets_for(rows, 4))
     return layout.scope(stored, "month", "o_orderdate", "o_orderpriority", ["1-URGENT", "2-HIGH"], "1996-01-01", "1997-06-30").select("o_orderkey")
 
 
@@ -415,6 +416,6 @@ def layout_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the five busiest months: the join with them prunes the months that are read (dynamic partition pruning)."""
     rows = table(spark, sf_dir, "orders").withColumn("month", F.date_trunc("month", "o_orderdate").cast("date"))
-    stored = layout.store(rows, "o_orderkey", "month", 4)
+    stored = layout.store(rows, "o_orderkey", "month", layout.buckets_for(rows, 4))
     busiest = stored.groupBy("month").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "month").limit(5)
     return stored.join(busiest.select("month"), "month").select("o_orderkey")

@@ -103,3 +103,8 @@ def test_review_sample_keeps_few_rows_before_the_shuffle(spark):
     df = spark.range(5000).select("id", (F.col("id") % 2).alias("batch"), (F.col("id") % 100 == 7).alias("flagged"))
     found = sampling.review_sample(df, "batch", "id", "flagged", 1)
     assert plan_of(found).count("WindowGroupLimit") >= 2 and found.count() == 40
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BUCKET_ROWS", 100)
+    assert [layout.buckets_for(spark.range(n), 4) for n in (0, 400, 401, 2000)] == [4, 4, 5, 20]
