@@ -1,4 +1,4 @@
-"""Large JSON documents, a list of objects or an object with lists, read by many tasks.
+"""Large JSON documents, a list of objects or an object with lists, read by many tasks; a file may hold several of a kind, one behind the other.
 
 Spark reads such a file (``multiLine``) whole in one task. Here it is read in pieces that
 end with a closing brace, in splits as Spark splits any text. What a split must know
@@ -124,6 +124,16 @@ class _Split:
         self.row, self.held, self.open, self.continues = self.row + 1, [], None, False
 
 
+#: Bytes of pieces that are taken out of a batch at once: Python texts take several times their room, and so do what is made of them.
+SLICE_BYTES = 2_000_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def _each(read: Callable[[_Split, str], None], end: Callable[[_Split], None], names: list[tuple[str, pa.DataType]], begin: Callable[[_Split], None] | None = None):
     """A pass over (file, block, piece, inside, depth, key1, key2, listed), split by split."""
 
@@ -139,7 +149,7 @@ def _each(read: Callable[[_Split, str], None], end: Callable[[_Split], None], na
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names, strict=True)], [n for n, _ in names])
 
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             for file, block, piece, inside, depth, one, two, listed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if split is None or split.at != (file, block):
                     if split:

@@ -3,10 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
+from colloquy.plans import texts
 from colloquy.sources import readers, split, split_json
 
 
@@ -123,3 +125,27 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
     found = split_json.json_items(spark, str(tmp_path))
     tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
     assert found.count() == 20_000 and tasks > 10
+
+
+def test_objects_behind_each_other_in_a_file(spark, tmp_path, small_splits):
+    (tmp_path / "in").mkdir()
+    made = [{"note": "}{", "collected": [{"id": f"{k}-{j}", "text": 'a } { "b' * (j % 7)} for j in range(k % 9)]} for k in range(40)]
+    for f in range(2):
+        (tmp_path / "in" / f"{f}.json").write_text("\n".join(json.dumps(x) for x in made[f::2]))
+    found = readers.read_dataset_json(spark, str(tmp_path / "in")).collect()
+    assert sorted((x.id, x.text) for x in found) == sorted((x["id"], x["text"]) for m in made for x in m["collected"])
+
+
+def test_dataset_has_no_file_for_each_user(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(texts, "scratch", lambda spark, label: str(tmp_path / label))
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+    texts.dataset_files(spark, sf_dir)
+    assert len(list((tmp_path / "dataset").glob("part-*"))) <= 4 < users
+
+
+def test_pieces_are_taken_by_bytes(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"piece": ["x" * 1000] * 50})
+    monkeypatch.setattr(split_json, "SLICE_BYTES", 10_000)
+    sizes = [b.num_rows for b in split_json._slices(batch)]
+    assert sum(sizes) == 50 and max(sizes) <= 10
+    assert list(split_json._slices(batch.slice(0, 0))) == []
