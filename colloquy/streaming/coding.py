@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,6 +22,8 @@ from colloquy.streaming import folders
 
 SAVE_EVERY, REVIEW_EVERY = 100, 500
 SHARE, MOST = 0.2, 20
+#: Posts of a lane that are numbered and picked from at once, about.
+ROWS_AT_ONCE = 50_000
 _ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -43,27 +48,40 @@ class Numbering(StatefulProcessor):
         return pd.concat([flagged, others])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        posts = pd.concat(list(rows)).sort_values(["order", "id"], kind="stable")  # of one batch and lane
+        # A batch and lane in order of arrival, as Arrow: Python texts would take several times their room.
+        posts = pa.concat_tables([pa.Table.from_pandas(r[["id", "order", "flagged", "draw"]], preserve_index=False) for r in rows], promote_options="permissive").combine_chunks()
+        arrival = pc.sort_indices(posts, [("order", "ascending"), ("id", "ascending")])
         n = int(self.count.get()[0]) if self.count.exists() else 0
         due = pd.DataFrame(list(self.due.get()) if self.due.exists() else [], columns=["id", "number", "flagged", "draw"]).astype({"flagged": bool, "number": "int64"})
-        posts["number"] = range(n + 1, n + 1 + len(posts))
-        posts["save"] = (posts["number"] - 1) // self.save_every + 1
-        posts["review"] = (posts["number"] - 1) // self.review_every + 1
-        lane = key[0]
-        yield pd.DataFrame({"lane": lane, "kind": "post", "id": posts["id"], "number": posts["number"], "save": posts["save"], "review": posts["review"]})
-        for review, group in posts.groupby("review", sort=True):
-            due = self._best(pd.concat([due, group[["id", "number", "flagged", "draw"]]]))
-            if int(group["number"].iloc[-1]) == review * self.review_every:
-                take = min(max(int(self.review_every * self.share), 1), self.most)
-                picked = due.head(take)
-                yield pd.DataFrame({"lane": lane, "kind": "review", "id": picked["id"], "number": picked["number"], "save": (picked["number"] - 1) // self.save_every + 1, "review": review})
-                due = due.iloc[:0]
-        self.count.update((n + len(posts),))
+        lane, size = key[0], max(1, ROWS_AT_ONCE // self.review_every) * self.review_every
+        for at in range(0, len(arrival), size):
+            block = posts.select(["id", "flagged", "draw"]).take(arrival.slice(at, size)).to_pandas().astype({"flagged": bool})
+            block["number"] = range(n + 1, n + 1 + len(block))
+            n += len(block)
+            yield self._shown(lane, "post", block)
+            picked, due = self._picked(pd.concat([due, block]), n // self.review_every)
+            yield self._shown(lane, "review", picked)
+        self.count.update((n,))
         if len(due):
             self.due.put([(r.id, int(r.number), bool(r.flagged), r.draw) for r in due.itertuples()])
         else:
             self.due.clear()
 
+    def _shown(self, lane: str, kind: str, rows: pd.DataFrame) -> pd.DataFrame:
+        before = rows["number"] - 1
+        return pd.DataFrame({"lane": lane, "kind": kind, "id": rows["id"], "number": rows["number"], "save": before // self.save_every + 1, "review": before // self.review_every + 1})
+
+    def _picked(self, rows: pd.DataFrame, complete: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The rows picked for all reviews that are complete, and what the next may still need. All reviews are sorted at once."""
+        review = ((rows["number"] - 1) // self.review_every + 1).to_numpy()
+        flagged = rows["flagged"].to_numpy()
+        place = pa.table({"review": review, "other": ~flagged, "draw": pa.array(rows["draw"].where(~rows["flagged"], ""), pa.string()), "number": rows["number"].to_numpy()})
+        order = pc.sort_indices(place, [(c, "ascending") for c in place.column_names]).to_numpy()
+        order = order[review[order] <= complete]
+        inside = np.arange(len(order)) - np.searchsorted(review[order], review[order])
+        take = min(max(int(self.review_every * self.share), 1), self.most)
+        return rows.iloc[order[inside < take]], self._best(rows[review > complete])
+
     def close(self) -> None:
         pass
 

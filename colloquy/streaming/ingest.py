@@ -25,6 +25,8 @@ from colloquy.streaming import folders
 
 #: Bits of a filter for each key, and how many of them a key sets: one in 20,000 foreign keys passes.
 BITS, PROBES = 24, 11
+#: Keys in a file at most, about: their filter is made by one task.
+FILE_KEYS = 1 << 18
 #: Ranges into which a batch's keys are cut for the first look; their number bounds what is broadcast.
 CELLS = 64
 #: A batch of more keys than this is not held against filters, whose every answer would be "perhaps".
@@ -105,7 +107,8 @@ def add_batch(rows: DataFrame, number: int, table: str, keys: list[str], order:
         index = _index(spark, table, rows, keys, name)
         opened = candidate_files(index, fresh.select(*keys), keys)
         new = fresh.join(spark.read.schema(rows.schema).parquet(*opened).select(*keys), keys, "left_anti") if opened else fresh
-        new.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{table}/data/{name}")
+        parts = max(files, math.ceil(fresh.count() / FILE_KEYS))  # a large batch has more files, not larger ones
+        new.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{table}/data/{name}")
         written = spark.read.schema(rows.schema).parquet(f"{table}/data/{name}")
         index_of(written, keys).write.mode("overwrite").parquet(f"{table}/index/{name}")
         log = spark.createDataFrame([(stream, number, index.count(), len(opened))], "stream string, batch long, files long, files_opened long")

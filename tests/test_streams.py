@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,31 @@ def test_filters():
     made = ingest.make_filter(keys)
     assert ingest.may_hold(made, keys).all() and ingest.may_hold(made, others).mean() < 1e-4
     assert not ingest.may_hold(ingest.make_filter(keys[:0]), others).any()
+
+
+@pytest.mark.parametrize("at_once", [1, 25, 50_000])
+def test_reviews_of_a_large_batch_are_picked_together(spark, tmp_path, monkeypatch, at_once):
+    r = random.Random(4)
+    rows = [row(i, i, "flag" if r.random() < 0.3 else "a") for i in range(150)]
+    best = []
+    given = coding.Numbering._best
+    monkeypatch.setattr(coding, "ROWS_AT_ONCE", at_once)
+    assert numbered(spark, tmp_path, [[rows[:77], rows[77:]]], 1) == plain(rows)
+
+    class State:
+        exists, update, clear, put = (lambda self: False), (lambda self, x: None), (lambda self: None), (lambda self, x: None)
+
+    one = coding.Numbering(4, 10, 0.5, 4)
+    one.count = one.due = State()
+    monkeypatch.setattr(coding.Numbering, "_best", lambda self, rows: best.append(1) or given(self, rows))
+    batch = pd.DataFrame({"id": [str(x[0]) for x in rows], "order": range(150), "flagged": False, "draw": [str(x[0]) for x in rows]})
+    list(one.handleInputRows(("0",), iter([batch]), None))
+    assert len(best) == -(-150 // max(10, at_once // 10 * 10))  # once for a block, not for each of the 15 reviews
+
+
+def test_a_large_batch_has_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "FILE_KEYS", 30)
+    table = str(tmp_path / "table")
+    ingest.add_batch(spark.createDataFrame([row(i, i) for i in range(200)], SCHEMA), 0, table, ["id"], "at", files=2)
+    index = ingest._index(spark, table, spark.createDataFrame([], SCHEMA), ["id"]).collect()
+    assert len(index) == 7 and sum(r.n for r in index) == 200
