@@ -7,6 +7,7 @@ import time
 import pytest
 
 import __spark_entry__ as entry
+from colloquy.functions import similarity
 from colloquy.functions.similarity import indel_ratio, partial_score
 from colloquy.operators import verify
 from colloquy.plans import texts
@@ -123,3 +124,15 @@ def test_capitals_are_as_long_as_their_text(spark):
     assert len(row.quote) == 60 and "ẞ" in row.quote and "SS" not in row.quote
     checked = verify.verify_quotes(spark.createDataFrame([row]), "doc_id", "quote", "text").first()
     assert checked.verified
+
+
+def test_few_stretches_of_a_changed_passage_are_looked_at(monkeypatch):
+    """Of a long part in a long text every eighth of its length, and then only where the best can still be."""
+    r = random.Random(2)
+    body = "".join(r.choice("etaoin shrdlu") for _ in range(20_000))
+    part = body[7001:7201] + " changed " + body[7210:7401]
+    seen = []
+    given = similarity._Stretches.common
+    monkeypatch.setattr(similarity._Stretches, "common", lambda self, starts: seen.append(len(starts)) or given(self, starts))
+    assert partial_score(part, body) == max(indel_ratio(part, body[k : k + 400]) for k in range(6990, 7010))
+    assert sum(seen) < len(body) / 16
